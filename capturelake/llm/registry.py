@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capturelake.llm.decontam import op7_decontaminate_simhash
 from capturelake.llm.langid import op5_language_id
 from capturelake.llm.linededup import OP9_SQL, op9_line_dedup
 from capturelake.llm.neardup import op10_minhash_bag
 from capturelake.llm.packing import op1_pack_karmarkar_karp
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_pack_karmarkar_karp, op5_language_id, op9_line_dedup, op10_minhash_bag]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_pack_karmarkar_karp, op5_language_id, op7_decontaminate_simhash, op9_line_dedup, op10_minhash_bag]
 
 SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
 
