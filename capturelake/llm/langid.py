@@ -80,19 +80,22 @@ class Model:
         self.languages, self.weights = languages, weights
 
     @staticmethod
-    def fit(x: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
+    def fit(bits: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-4) -> Model:
+        """bits: packed presence rows. They are unpacked a few at a time."""
         languages = sorted(set(labels))
         if not languages:
             return Model([], np.zeros((WIDTH + 1, 0), np.float32))
-        z = features(x)
-        pick = np.unique(np.linspace(0, len(z) - 1, min(landmarks, len(z))).astype(int))
-        mark = z[pick]
+
+        def rows(which: np.ndarray) -> np.ndarray:
+            return features(np.unpackbits(bits[which], axis=1)[:, :WIDTH].astype(np.float32))
+
+        mark = rows(np.unique(np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).astype(int)))
         value, vector = np.linalg.eigh((mark @ mark.T).astype(np.float64))
         root = vector / np.sqrt(np.maximum(value, 1e-6))  # kernel between landmarks, to the power -1/2
-        phi = (z @ mark.T).astype(np.float64) @ root
+        phi = np.vstack([(rows(np.arange(i, min(i + 128, len(bits)))) @ mark.T).astype(np.float64) @ root for i in range(0, len(bits), 128)])
         phi = np.hstack([phi, np.ones((len(phi), 1))])
         y = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
-        w = np.linalg.solve(phi.T @ phi + ridge * len(phi) / 100 * np.eye(phi.shape[1]), phi.T @ y)
+        w = np.linalg.solve(phi.T @ phi + ridge * len(phi) * np.eye(phi.shape[1]), phi.T @ y)
         return Model(languages, np.vstack([mark.T @ (root @ w[:-1]), w[-1:]]).astype(np.float32))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -117,13 +120,13 @@ def learnable(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 != 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", may_learn: Column | None = None, max_train: int = 3000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", may_learn: Column | None = None, max_train: int = 2000) -> Model:
     """Fit on at most max_train rows; what reaches the driver is a packed presence row for each."""
     may_learn = learnable(docs[id_col]) if may_learn is None else may_learn
     rows = docs.filter(may_learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
     n = rows.select("lang").distinct().count()
     if not n:
-        return Model.fit(np.zeros((0, WIDTH), np.float32), [])
+        return Model.fit(np.zeros((0, WIDTH // 8), np.uint8), [])
     order = F.xxhash64(F.col("id").cast("string"))
     chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))).filter(F.col("n") <= max(1, max_train // n)).select("id", "lang").limit(max_train)
 
@@ -136,8 +139,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     got = text.join(F.broadcast(chosen), "id").select("lang", "text").mapInArrow(pack, "lang string, bits binary").limit(max_train).collect()
     got.sort(key=lambda r: (bytes(r.bits), r.lang))
-    x = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in got]).reshape(len(got), -1), axis=1)[:, :WIDTH].astype(np.float32) if got else np.zeros((0, WIDTH), np.float32)
-    return Model.fit(x, [r.lang for r in got])
+    bits = np.array([np.frombuffer(r.bits, np.uint8) for r in got], np.uint8).reshape(len(got), -1)
+    return Model.fit(bits, [r.lang for r in got])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
