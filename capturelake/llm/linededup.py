@@ -28,7 +28,7 @@ def _key(line: Column) -> Column:
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Host, and the keys of its boilerplate lines."""
     rows = docs.select(F.coalesce(docs[host_col].cast("string"), F.lit("")).alias("host"), docs[text_col].cast("string").alias("text"))
-    keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""), _key))
+    keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), _key))
     lines = rows.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
     return lines.join(pages, "host").filter(F.col("n") > F.col("pages") * max_ratio).groupBy("host").agg(F.collect_list("key").alias("keys"))
