@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -29,7 +30,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_chunks(ids, texts, max_chars: int = 1 << 20):
+def text_chunks(ids, texts, max_chars: int = 1 << 19):
     """Split parallel lists into runs of at most about max_chars characters, so that scratch arrays stay bounded.
 
     A single text longer than max_chars forms its own run; texts are never cut here."""
@@ -42,3 +43,18 @@ def text_chunks(ids, texts, max_chars: int = 1 << 20):
         size += n
     if begin < len(texts):
         yield ids[begin:], texts[begin:]
+
+
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: hand fewer rows at once to Python workers than the default of 10,000 (never more than is set)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task, as Python workers live on for other tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

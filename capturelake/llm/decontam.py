@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import table, text_chunks
+from capturelake.llm.common import arrow_rows, release, table, text_chunks
 from capturelake.llm.shingles import WORDS, overlap, shingle, words
 
 SIMILARITY, RADIUS, BLOCK = 0.8, 23, 4096
@@ -129,6 +129,7 @@ MATCHES = "doc_id long, item_id long, first_word long, similarity double"
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """A row for each document and benchmark item that it holds: see MATCHES."""
     spark = docs.sparkSession
+    arrow_rows(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = spark.createDataFrame([], MATCHES)
     for index in indexes(benchmark, item_id, item_text, block, radius):
@@ -141,6 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     got = [(ids[d], int(index.ids[i]), w, x) for d, i, w, x in index.matches([t or "" for t in texts], similarity)]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "first_word", "similarity"])
+            release()
 
         out = out.union(rows.mapInArrow(run, MATCHES))
     return out
@@ -148,6 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
+    arrow_rows(docs.sparkSession)
     at = docs.columns.index(text_col)
     for index in indexes(benchmark, item_id, item_text, block, radius):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -160,6 +163,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     for d, *_ in index.matches([t or "" for t in texts], similarity):
                         keep[ids[d]] = False
                 yield batch.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm.common import table, text_chunks
+from capturelake.llm.common import arrow_rows, release, table, text_chunks
 
 TRAIN_PAGES = 600
 BLOCK_TAGS = frozenset(
@@ -296,6 +296,7 @@ def main_text(page: str | None, model: Chain) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Chain | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row; one pass, no shuffle."""
+    arrow_rows(pages.sparkSession)
     model = model or default_model()
     shared = pages.sparkSession.sparkContext.broadcast((model.index, model.w, model.move, model.start))
 
@@ -308,6 +309,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 part = batch.slice(at, len(own))
                 at += len(own)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        release()
 
     cols = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     return cols.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import table, text_chunks
+from capturelake.llm.common import arrow_rows, release, table, text_chunks
 
 SIZES = (1 << 9, 1 << 12, 1 << 14)  # hash buckets of 1-, 2- and 3-grams
 WEIGHTS = (0.5, 1.0, 2.0)
@@ -111,8 +111,8 @@ class Model:
 
 def _batches(ids: list, texts: list) -> Iterator[tuple[list, list]]:
     for a, b in text_chunks(ids, texts):
-        for i in range(0, len(a), 256):
-            yield a[i : i + 256], b[i : i + 256]
+        for i in range(0, len(a), 64):
+            yield a[i : i + 64], b[i : i + 64]
 
 
 def learnable(id_col: Column) -> Column:
@@ -122,6 +122,7 @@ def learnable(id_col: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", may_learn: Column | None = None, max_train: int = 2000) -> Model:
     """Fit on at most max_train rows; what reaches the driver is a packed presence row for each."""
+    arrow_rows(docs.sparkSession)
     may_learn = learnable(docs[id_col]) if may_learn is None else may_learn
     rows = docs.filter(may_learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
     n = rows.select("lang").distinct().count()
@@ -135,6 +136,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for ids, texts in _batches(list(range(len(batch))), batch.column(1).to_pylist()):
                 x, _ = presence([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py() for i in ids], pa.string()), pa.array([r.tobytes() for r in np.packbits(x > 0, axis=1)], pa.binary())], ["lang", "bits"])
+        release()
 
     text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     got = text.join(F.broadcast(chosen), "id").select("lang", "text").mapInArrow(pack, "lang string, bits binary").limit(max_train).collect()
@@ -145,6 +147,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +156,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for ids, texts in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lang, score = m.predict(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        release()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.4, languages: set[str] | None = None) -> DataFrame:
     """The rows of docs, all columns, whose language is known with a score of at least min_score (and is wanted)."""
+    arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
     at = docs.columns.index(text_col)
     wanted: Callable[[str], bool] = (lambda x: x != UNDETERMINED) if languages is None else languages.__contains__
@@ -171,6 +176,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
                 lang, score = m.predict(texts)
                 keep += [wanted(x) and s >= min_score for x, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from capturelake.llm.common import table, text_chunks
+from capturelake.llm.common import arrow_rows, release, table, text_chunks
 from capturelake.llm.tokens import encoder
 
 
@@ -137,7 +137,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 yield rows(got)
         if got := flush():
             yield rows(got)
+        release()
 
+    arrow_rows(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import table, text_chunks
+from capturelake.llm.common import arrow_rows, release, table, text_chunks
 
 KINDS = ["email", "ip", "card", "phone"]
 TRAIN_DOCS, TRAIN_TOKENS, MIN_PROBABILITY, ROUNDS = 4000, 40_000, 0.9, 8
@@ -234,6 +234,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (array of start, end, kind, base) of every row; ends are exclusive, in code points."""
+    arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((field.index, field.w, field.edge) if field else None)
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())])
 
@@ -261,6 +262,7 @@ def find(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col:
                         found[i].sort(key=lambda x: (x[0], x[2], x[1]))
                 spans = [[{"start": s, "end": e, "kind": KINDS[k], "base": b} for s, e, k, b in f] for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
+        release()
 
     cols = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long, kind: string, base: boolean>>")

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-TABLE_BITS = 22  # slots for known pieces; the table is emptied when half full
+TABLE_BITS = 21  # slots for known pieces; the table is emptied when half full
 LONG = 1 << 21  # longer texts are encoded in runs of about so many characters, cut at a safe space
 SAFE = re.compile(r"(?<=[A-Za-z,.]) (?=[A-Za-z])")
 
@@ -66,10 +66,8 @@ class TextEncoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(json_path)
-        self.tokenizer.encode_special_tokens = True
+        self.json_path, self.tokenizer = json_path, None
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -83,6 +81,11 @@ class TextEncoder:
 
     def whole(self, text: str) -> np.ndarray:
         """Straight from the tokenizer: what encode() must equal."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.json_path)
+            self.tokenizer.encode_special_tokens = True
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
