@@ -144,7 +144,7 @@ def bucket_other(value: Text, null_word: bool = False) -> Text:
 
 def comma_set(value: Text) -> Column:
     """Parts of a comma list, trimmed, lower case, blanks dropped, duplicates kept, in order of their text."""
-    return F.array_sort(F.filter(F.transform(F.split(F.lower(value), ","), F.trim), lambda x: x != ""))
+    return F.array_sort(F.filter(F.transform(F.split(F.lower(value), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def comma_set_equal(a: Text, b: Text) -> Column:
