@@ -1,7 +1,7 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
-Whole windows are cut from each document first; what remains is cut into parts of at most ``part`` tokens, and blocks of
-parts are dealt into windows by largest differencing: the two partial partitions with the largest imbalance are merged,
+Whole windows are cut from each document first; what remains is cut into parts of at most ``part`` tokens (of every sixth
+document into ``fine`` ones, which even out the windows), and blocks of parts are dealt into windows by largest differencing: the two partial partitions with the largest imbalance are merged,
 the heaviest window of one with the lightest of the other. The window count starts at ceil(tokens / capacity) and rises
 until no window exceeds the capacity. A block holds ``block`` parts, so memory is bounded by the block, not by the task.
 
@@ -71,13 +71,13 @@ def deal(weights: np.ndarray, capacity: int) -> np.ndarray:
         window, heaviest = difference(weights, k)
         if heaviest <= capacity:
             return window
-        k += max(1, k // 128)
+        k += 1
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, part: int = 192, block: int = 4096, end_id: int = 0, vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, part: int = 192, fine: int = 48, block: int = 4096, end_id: int = 0, vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: see SCHEMA, and ``ids array<int>`` with ``with_ids``.
 
     No shuffle: every task packs the documents it reads; its last block may leave one window partly filled. sequence_id is
@@ -86,6 +86,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*(vocabulary or ()))
         sequence = TaskContext.get().partitionId() << 33
+        cut = 0
         parts: list[tuple] = []  # (weight, doc_id, start, ids, doc_tokens)
 
         def rows(got: list[tuple]) -> pa.RecordBatch:
@@ -125,7 +126,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                         got.append(row(doc, s, tokens[s : s + capacity], total, sequence, 0))
                         sequence += 1
                     if (left := total - full) > 0:
-                        pieces = -(-left // part)
+                        cut += 1
+                        pieces = -(-left // (fine if cut % 6 == 0 else part))
                         cuts = [full + left * i // pieces for i in range(pieces + 1)]
                         parts += [(e - s, doc, s, tokens[s:e].copy(), total) for s, e in zip(cuts, cuts[1:], strict=False)]
                     if len(parts) >= block:
