@@ -29,6 +29,7 @@ WEIGHTS = (0.5, 1.0, 2.0)
 WIDTH = sum(SIZES)
 SHARPNESS = 6.0  # of the softmax that turns regression values into a score
 UNDETERMINED = "und"
+HASHES = 1 << 40
 
 
 @functools.cache
@@ -125,11 +126,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     arrow_rows(docs.sparkSession)
     may_learn = learnable(docs[id_col]) if may_learn is None else may_learn
     rows = docs.filter(may_learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
-    n = rows.select("lang").distinct().count()
-    if not n:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    if not counts:
         return Model.fit(np.zeros((0, WIDTH // 8), np.uint8), [])
-    order = F.xxhash64(F.col("id").cast("string"))
-    chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))).filter(F.col("n") <= max(1, max_train // n)).select("id", "lang").limit(max_train)
+    each = max(1, max_train // len(counts))
+    # Four times the rows wanted pass a threshold on the hash, so no task ever ranks more of a language than that.
+    most = docs.sparkSession.createDataFrame([(r.lang, int(HASHES * min(1.0, (4 * each + 100) / r.n))) for r in counts], "lang string, most long")
+    order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(HASHES))
+    few = rows.withColumn("h", order).join(F.broadcast(most), "lang").filter(F.col("h") < F.col("most"))
+    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= each).select("id", "lang").limit(max_train)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

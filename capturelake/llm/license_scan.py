@@ -121,3 +121,27 @@ def _key(i: int) -> tuple[list[str], int]:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_ROWS = ", ".join(f"({i}, '{label}', {_list(text.split())}, {_list(_key(i)[0])}, {_key(i)[1]}, {str(base).lower()})" for i, (label, text, _, base) in enumerate(TEMPLATES))
+OP2_SQL = rf"""
+WITH tpl(t, label, x, k, key_at, base) AS (VALUES {_ROWS}),
+d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPLIT}'), lambda x: x <> '') AS w FROM documents),
+tw AS (SELECT t, unnest(x) AS word, unnest(range(len(x))) AS pos FROM tpl),
+df AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM d) WHERE word IN (SELECT word FROM tw) GROUP BY ALL),
+rk AS (SELECT t, v.word, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), length(v.word) DESC, v.word) AS r FROM (SELECT DISTINCT t, word FROM tw) v LEFT JOIN df ON df.word = v.word),
+ix AS (SELECT tw.t, tw.word, tw.pos FROM tw JOIN rk ON rk.t = tw.t AND rk.word = tw.word WHERE r <= {RARE}),
+ia AS (SELECT t, list(pos) AS ps FROM ix GROUP BY ALL),
+o AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+c AS (SELECT DISTINCT o.doc_id, ix.t, o.p - ix.pos AS place FROM o JOIN ix ON ix.word = o.word WHERE o.p >= ix.pos),
+m AS (SELECT c.doc_id, c.t, c.place, label, base, len(list_filter(range(1, len(x) + 1), lambda j: w[place + j] = x[j])) / len(x) AS share, w[place + key_at + 1:place + key_at + len(k)] = k AS keyed,
+      len(list_filter(ps, lambda j: w[place + j + 1] = x[j + 1])) >= least(2, len(ps)) AS agree FROM c JOIN tpl ON tpl.t = c.t JOIN ia ON ia.t = c.t JOIN d ON d.doc_id = c.doc_id),
+s AS (SELECT * FROM m WHERE keyed AND agree AND share >= CASE WHEN base THEN 1 ELSE {MIN_SHARE} END),
+g AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
+      array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM s GROUP BY ALL)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

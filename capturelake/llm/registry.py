@@ -11,15 +11,16 @@ from capturelake.llm.decontam import op7_decontaminate_simhash
 from capturelake.llm.html import op8_html_crf
 from capturelake.llm.knn import OP3_SQL, op3_topk_kdtree
 from capturelake.llm.langid import op5_language_id
-from capturelake.llm.license_scan import op2_license_scan
+from capturelake.llm.license_scan import OP2_SQL, op2_license_scan
 from capturelake.llm.linededup import OP9_SQL, op9_line_dedup
 from capturelake.llm.neardup import op10_minhash_bag
+from capturelake.llm.oracles import OP7_SQL, OP10_SQL
 from capturelake.llm.packing import op1_pack_karmarkar_karp
 from capturelake.llm.pii import op4_pii_skip_chain
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_pack_karmarkar_karp, op2_license_scan, op3_topk_kdtree, op4_pii_skip_chain, op5_language_id, op6_chat_tool_calls, op7_decontaminate_simhash, op8_html_crf, op9_line_dedup, op10_minhash_bag]
 
-SQL: dict[str, str] = {"op3_topk_kdtree": OP3_SQL, "op6_chat_tool_calls": OP6_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op2_license_scan": OP2_SQL, "op7_decontaminate_simhash": OP7_SQL, "op10_minhash_bag": OP10_SQL, "op3_topk_kdtree": OP3_SQL, "op6_chat_tool_calls": OP6_SQL, "op9_line_dedup": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
