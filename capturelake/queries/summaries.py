@@ -152,15 +152,31 @@ def os_uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.os_uptime(host.withColumn("sidecar_seconds", F.when(F.col("capture_id") % 2 == 0, F.col("lo"))).withColumn("btime", F.col("lo") + (F.col("capture_id") % 5 - 1) * 1000))
 
 
-@query("""WITH f AS (SELECT o_orderkey AS capture_id, o_custkey AS total, o_orderkey % 1000 AS free, o_orderkey % 1500 AS dirty, o_orderkey % 900 AS opened, o_custkey % 1000 AS cache FROM orders),
-r AS (SELECT capture_id, CASE WHEN total > 0 THEN 1 - least(greatest(free / total, 0.0), 1.0) END AS fill, CASE WHEN total > 0 THEN least(greatest(dirty / total, 0.0), 1.0) END AS dirty, CASE WHEN cache > 0 THEN least(greatest(opened / cache, 0.0), 1.0) END AS use FROM f)
-SELECT capture_id, round(fill, 6) AS buffer_fill, round(dirty, 6) AS buffer_dirty, CASE WHEN dirty >= 0.8 THEN 'crit' WHEN dirty >= 0.5 THEN 'warn' WHEN dirty IS NOT NULL THEN 'ok' END AS dirty_severity, round(use, 6) AS table_cache_use, CASE WHEN use >= 0.95 THEN 'crit' WHEN use >= 0.8 THEN 'warn' WHEN use IS NOT NULL THEN 'ok' END AS table_cache_severity FROM r""")
-def buffer_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+A26_SQL = """WITH f AS (SELECT o_orderkey AS capture_id, o_custkey AS total, o_orderkey % 1000 AS free, o_orderkey % 1500 AS dirty, o_orderkey % 900 AS opened, o_custkey % 1000 AS cache FROM orders),
+r AS (SELECT capture_id, CASE WHEN total > 0 THEN 1 - least(greatest(free / total, 0.0), 1.0) END AS fill, CASE WHEN total > 0 THEN least(greatest(dirty / total, 0.0), 1.0) END AS dirty, CASE WHEN cache > 0 THEN least(greatest(opened / cache, 0.0), 1.0) END AS use FROM f)"""
+
+
+def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     facts = orders.select(F.col("o_orderkey").alias("capture_id"), F.col("o_custkey").alias("pages_total"), (F.col("o_orderkey") % 1000).alias("pages_free"), (F.col("o_orderkey") % 1500).alias("pages_dirty"), (F.col("o_orderkey") % 900).alias("open_tables"), (F.col("o_custkey") % 1000).alias("table_open_cache"))
     return E.fill_ratios(facts).withColumns({c: F.round(c, 6) for c in ("buffer_fill", "buffer_dirty", "table_cache_use")})
 
 
+@query(f"{A26_SQL} SELECT capture_id, round(fill, 6) AS buffer_fill FROM r")
+def buffer_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ratios(spark, sf_dir).select("capture_id", "buffer_fill")
+
+
+@query(f"{A26_SQL} SELECT capture_id, round(dirty, 6) AS buffer_dirty, CASE WHEN dirty >= 0.8 THEN 'crit' WHEN dirty >= 0.5 THEN 'warn' WHEN dirty IS NOT NULL THEN 'ok' END AS dirty_severity FROM r")
+def buffer_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ratios(spark, sf_dir).select("capture_id", "buffer_dirty", "dirty_severity")
+
+
+@query(f"{A26_SQL} SELECT capture_id, round(use, 6) AS table_cache_use, CASE WHEN use >= 0.95 THEN 'crit' WHEN use >= 0.8 THEN 'warn' WHEN use IS NOT NULL THEN 'ok' END AS table_cache_severity FROM r")
+def table_cache_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ratios(spark, sf_dir).select("capture_id", "table_cache_use", "table_cache_severity")
+
+
 _PANEL = ["version", "version_comment", "max_connections", "wsrep_on", "wsrep_cluster_size"]
 
 

@@ -35,9 +35,15 @@ def _named(path: Column) -> list[Column]:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """capture_id, prefix, suffix, path, size, snapshot_ts of every capture file; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
-    rows = found.select("path", "size", *_named(F.col("path"))).filter("prefix <> ''")
+    """capture_id, prefix, suffix, path, size, snapshot_ts of every capture file; contents are not read.
+
+    A scan leaves out empty files; they come from the listing that the driver makes for any scan."""
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    plain = lambda c: F.regexp_replace(c, r"^([a-z0-9]+):/+", "$1:/")
+    found = source.select(plain(F.col("path")).alias("path"), F.col("length").alias("size"))
+    listed = spark.createDataFrame([(p,) for p in source.inputFiles()], "url string").select(plain(F.url_decode("url")).alias("path"))
+    every = found.union(listed.join(found, "path", "left_anti").select("path", F.lit(0).cast("bigint")))
+    rows = every.select("path", "size", *_named(F.col("path"))).filter("prefix <> ''")
     return rows.withColumn("snapshot_ts", snapshot_ts(F.col("prefix")))
 
 
