@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import materialize, table
+from capturelake.llm.common import materialize, ship, table
 
 K, LEAF, SHARD_ROWS, BLOCK = 5, 128, 8192, 8192
 FOUND = "query_id long, vec_id long, score long"
@@ -116,7 +116,7 @@ def usable(vector: Column) -> Column:
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the highest inner product of integers() for each query."""
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     rows = vectors.filter(usable(vectors[vec_col]) & vectors[id_col].isNotNull()).select(vectors[id_col].cast("long").alias("id"), integers(vectors[vec_col]).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = materialize(rows)
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
