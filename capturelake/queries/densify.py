@@ -56,7 +56,7 @@ def densify_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_SQL}, r AS (SELECT capture_id, snapshot, row_number() OVER (PARTITION BY capture_id ORDER BY snapshot, ts, seq) - 1 AS i FROM s) SELECT capture_id, snapshot, min(i) AS boundary FROM r GROUP BY ALL")
 def snapshot_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.snapshot_boundaries(samples(spark, sf_dir), ["capture_id"], "snapshot", ["ts", "seq"])
+    return D.snapshot_boundaries(samples(spark, sf_dir), ["capture_id"], "snapshot", ["ts", "seq"]).withColumn("boundary", F.col("boundary").cast("bigint"))
 
 
 @query(f"WITH {S_SQL}, f AS (SELECT capture_id, min(snapshot) AS w FROM s GROUP BY ALL), n AS (SELECT DISTINCT s.capture_id, name FROM s JOIN f ON s.capture_id = f.capture_id AND snapshot = w) SELECT s.capture_id, s.name, seq, raw FROM s SEMI JOIN n ON s.capture_id = n.capture_id AND s.name = n.name")

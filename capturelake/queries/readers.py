@@ -117,7 +117,7 @@ def read_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("capture_id", _when(), "pid", "command", "cpu_percent")
 
 
-@query(f"{D_SQL}, t AS (SELECT capture_id, week, day, sum(n) AS n FROM d GROUP BY ALL), i AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS INTEGER) AS sample_idx FROM t) SELECT capture_id, week * {WEEK} + sample_idx AS at, sample_idx, CAST(n AS DOUBLE) AS runqueue, CAST(day AS DOUBLE) AS blocked, 7.0 AS cpu_iowait, 0.0 AS swap_in FROM i")
+@query(f"{D_SQL}, t AS (SELECT capture_id, week, day, sum(n) AS n FROM d GROUP BY ALL), i AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS INTEGER) AS sample_idx FROM t) SELECT capture_id, week * {WEEK} + sample_idx AS at, sample_idx, CAST(n AS DOUBLE) AS runqueue, CAST(day AS DOUBLE) AS blocked, CAST(7 AS DOUBLE) AS cpu_iowait, CAST(0 AS DOUBLE) AS swap_in FROM i")
 def read_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = days(spark, sf_dir)
     t = d.groupBy("capture", "prefix", "week", "day").agg(F.sum("n").alias("n"))
@@ -127,7 +127,7 @@ def read_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("capture_id", _when(), "sample_idx", "runqueue", "blocked", "cpu_iowait", "swap_in")
 
 
-@query(f"{D_SQL}, t AS (SELECT capture_id, week, day, sum(n) AS n FROM d WHERE NOT (capture_id = 'c3') GROUP BY ALL) SELECT capture_id, week * {WEEK} + day * 86400 AS at, CAST(n AS DOUBLE) AS mem_available, 0.0 AS dirty, CAST(1 AS DOUBLE) AS swap_used FROM t")
+@query(f"{D_SQL}, t AS (SELECT capture_id, week, day, sum(n) AS n FROM d WHERE NOT (capture_id = 'c3') GROUP BY ALL) SELECT capture_id, week * {WEEK} + day * 86400 AS at, CAST(n AS DOUBLE) AS mem_available, CAST(0 AS DOUBLE) AS dirty, CAST(1 AS DOUBLE) AS swap_used FROM t")
 def read_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture c3 lacks swap totals, so its files are rejected."""
     t = days(spark, sf_dir).groupBy("capture", "prefix", "week", "day").agg(F.sum("n").alias("n"))
@@ -192,7 +192,7 @@ def read_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = rows.withColumn("ord", _ord(F.col("day"), F.col("turn") + 1)).withColumn("line", line)
     stamp = F.format_string("TS %d.25 2026-01-01", F.col("week") * WEEK + F.col("day"))
     got = R.read_threads(_write(spark, "processlist", body, _heads(rows, stamp)))
-    return got.select("capture_id", _when(), "user", "host", "command", "time_ms", (F.length("info") - 1).alias("info_length"))
+    return got.select("capture_id", _when(), "user", "host", "command", "time_ms", (F.length("info") - 1).cast("bigint").alias("info_length"))
 
 
 _STATE = {"click": "ESTABLISHED", "view": "TIME_WAIT", "purchase": "LISTEN", "error": "CLOSE_WAIT", "login": "SYN_SENT"}
@@ -249,7 +249,7 @@ def read_cpu_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_cpu_boot(_write(spark, "procstat", rows, _heads(c, "TS 5.0 2026-01-01"))).select("capture_id", "logical_cpus", "btime")
 
 
-@query("SELECT 'c' || c_nationkey AS capture_id, CAST(max(c_custkey) AS DOUBLE) AS load1, 0.5 AS load5, 0.25 AS load15 FROM customer GROUP BY ALL")
+@query("SELECT 'c' || c_nationkey AS capture_id, CAST(max(c_custkey) AS DOUBLE) AS load1, CAST(0.5 AS DOUBLE) AS load5, CAST(0.25 AS DOUBLE) AS load15 FROM customer GROUP BY ALL")
 def read_loadavg(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _customers(spark, sf_dir).withColumn("ord", _ord(F.col("key"), 0)).withColumn("line", _text("top - 10:00:00 up 1 day, 2 users,  load average: ", F.col("key"), ".0, 0.5, 0.25"))
     return R.read_loadavg(_write(spark, "top", c)).select("capture_id", "load1", "load5", "load15")

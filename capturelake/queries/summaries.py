@@ -243,7 +243,7 @@ def top_filesystems(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NET = [*S.NET_COUNTERS, "zeta", "alpha"]
 
 
-@query(f"SELECT name, coalesce(nullif(list_position({list(S.NET_COUNTERS)!r}, name), 0), 99) AS place FROM (SELECT DISTINCT ({_NET!r})[o_orderkey % {len(_NET)} + 1] AS name FROM orders)")
+@query(f"SELECT name, coalesce(nullif(list_position({list(S.NET_COUNTERS)!r}, name), 0), 99)::BIGINT AS place FROM (SELECT DISTINCT ({_NET!r})[o_orderkey % {len(_NET)} + 1] AS name FROM orders)")
 def order_net_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     names = orders.select(F.element_at(F.array(*map(F.lit, _NET)), (F.col("o_orderkey") % len(_NET) + 1).cast("int")).alias("name")).distinct()
