@@ -11,7 +11,9 @@
    bucket: with the shortest (where texts share a passage, it is the shortest that the others reach) and with the most
    central (the one with the most company in all its buckets; for edited copies, the original). Then components are formed.
    Buckets that still hold several components get further rounds, each with another text compared with those of other
-   components, until a round finds no link. Texts already joined are not compared again.
+   components, until a round finds no link. Texts already joined are not compared again. Rounds only save work: texts of
+   buckets that are then still mixed meet all others of other components that can be similar, found by exact filters on
+   size, rare shingles (of any two similar texts, the rarest share one) and its position. No pair of a bucket is lost.
 4. A link is an exact weighted Jaccard similarity of at least ``similarity``; classes are connected components, named by
    their smallest id.
 
@@ -35,6 +37,7 @@ from capturelake.llm.tokens import mix
 
 SIMILARITY, BANDS, ROWS = 0.8, 32, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+PLACES = 1 << 16
 
 
 def bags(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +142,68 @@ def _pairs(found: DataFrame, similarity: float) -> DataFrame:
     return found.filter((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _place(s: np.ndarray) -> np.ndarray:
+    return (mix(s) & np.uint64(PLACES - 1)).astype(np.int64)
+
+
+def loads(texts: DataFrame, n: int = WORDS) -> np.ndarray:
+    """Shingles that fall to each of PLACES places. They order shingles from rare to common; any order gives right results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for _, own in text_chunks(range(len(batch)), batch.column(0).to_pylist()):
+                load += np.bincount(_place(bags([t or "" for t in own], n)[0]), minlength=PLACES)
+        at = np.flatnonzero(load)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(load[at], pa.int64())], ["place", "load"])
+        release()
+
+    out = np.zeros(PLACES, np.int64)
+    for r in texts.select("text").mapInArrow(run, "place long, load long").groupBy("place").agg(F.sum("load").alias("load")).collect():
+        out[r.place] = r.load
+    return out
+
+
+def prefix(s: np.ndarray, load: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest occurrences of a sorted bag, in order, as many as leave too few for a similar one to share none of them."""
+    at = np.arange(len(s))
+    first = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    turn = at - np.maximum.accumulate(np.where(first, at, 0))
+    token = mix(s ^ mix(turn.astype(np.uint64) + _GOLD))
+    return token[np.lexsort((token, load[_place(s)]))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+
+
+def prefixes(texts: DataFrame, load: np.ndarray, similarity: float, n: int = WORDS) -> DataFrame:
+    """id, comp, size, token, at (position) of the prefix of each of texts (id, comp, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(load)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, own in text_chunks(range(len(batch)), batch.column(2).to_pylist()):
+                s, start = bags([t or "" for t in own], n)
+                found = [prefix(s[a:b], shared.value, similarity) if b > a else s[:0] for a, b in zip(start[:-1], start[1:], strict=True)]
+                count = np.array([len(x) for x in found])
+                which = pa.array(np.repeat(np.array(rows), count))
+                token = np.concatenate(found).view(np.int64)
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(np.repeat(np.diff(start), count), pa.int64()), pa.array(token, pa.int64()), pa.array(at, pa.int64())], ["id", "comp", "size", "token", "at"])
+        release()
+
+    return texts.select("id", "comp", "text").mapInArrow(run, "id long, comp long, size long, token long, at long")
+
+
+def possible_pairs(texts: DataFrame, similarity: float, n: int = WORDS) -> DataFrame:
+    """Distinct pairs a < b of texts (id, comp, text) of different components: all that can be similar, by exact filters."""
+    part = materialize(prefixes(texts, loads(texts, n), similarity, n))
+    mixed = part.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    part = materialize(part.join(mixed, "token"))
+    a, b = (part.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "size", "at"))) for side in "ab")
+    size = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
+    # From the first shared occurrence on, so many are left at most; similar texts share this part of both.
+    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return a.join(b, (a["token"] == b["token"]) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & size & rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = WORDS) -> DataFrame:
     """doc_id, class_id (smallest id of the class), class_size for every document."""
     arrow_rows(docs.sparkSession)
@@ -168,6 +233,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         tested, links = tested.union(pairs), links.union(more)
         joined = materialize(components(links))
+    comp = full.filter("n > 2").join(joined, full["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    left = materialize(comp.join(mixed, "key").select("id", "comp").distinct())
+    if not left.isEmpty():
+        pairs = materialize(possible_pairs(materialize(left.join(texts, "id")), similarity, n).join(tested, ["a", "b"], "left_anti"))
+        links = links.union(materialize(verified(pairs, texts, similarity, n)))
+        joined = materialize(components(links))
     out = member.join(joined, member["rep"] == joined["node"], "left").select("id", F.coalesce("component", "rep").alias("root"))
     # The smallest representative of a component is its smallest id: every representative is the smallest of its copies.
     size = out.groupBy("root").agg(F.count("*").alias("class_size"), F.min("id").alias("class_id"))

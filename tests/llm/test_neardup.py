@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from capturelake.llm.components import components
-from capturelake.llm.neardup import bag_min_hash, bags, keep_representatives, near_duplicates
+from capturelake.llm.neardup import PLACES, bag_min_hash, bags, keep_representatives, near_duplicates, prefix
 from capturelake.llm.shingles import overlap
 
 SCHEMA = "doc_id long, text string"
@@ -107,3 +107,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_few_similar_pairs_in_a_large_bucket(spark):
+    rng = random.Random(8)
+    shared = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(shared + [f"w{rng.randrange(9999)}" for _ in range(rng.randint(30, 40))])) for i in range(120)]
+    rows += [(200 + i, rows[i * 11 + 3][1].rsplit(" ", 2)[0] + " other end") for i in range(8)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), bands=3, rows=1).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) < len(rows)
+
+
+def test_prefixes_of_similar_bags_meet():
+    rng, load = random.Random(9), np.random.default_rng(9).integers(0, 50, PLACES)
+    for _ in range(300):
+        a = [f"w{rng.randrange(12)}" for _ in range(rng.randint(1, 40))]
+        b = a[:]
+        for _ in range(rng.randint(0, 3)):
+            b[rng.randrange(len(b)) : rng.randrange(len(b)) + 1] = ["x"]
+        s, start = bags([" ".join(a), " ".join(b)], 1)
+        one, two = (prefix(x, load, 0.8) for x in (s[: start[1]], s[start[1] :]))
+        if len(s[: start[1]]) and overlap(s[: start[1]], s[start[1] :]) >= 0.8:
+            assert set(one.tolist()) & set(two.tolist())
