@@ -9,8 +9,10 @@ all. Candidates are verified by exact weighted Jaccard similarity of shingles, a
 The benchmark is a query set: it is read in blocks of at most ``block`` items, each of which is searched for in all
 documents, so the index that tasks hold is bounded whatever the benchmark's size. Documents are never shuffled.
 
+A document with fewer words than an item is one window, compared whole with the items it shares a shingle with.
+
 Defined cases: null or wordless texts and items match nothing; an item of fewer than five words matches only a document
-of exactly these words; of several windows, the most similar and then the first one is reported; repeated rows are
+of exactly these words or, with ``short_inside``, these words anywhere in a document; of several windows, the most similar and then the first one is reported; repeated rows are
 reported for each row, repeated items under each of their ids; empty tables give no rows; texts are read whole."""
 
 from __future__ import annotations
@@ -43,8 +45,9 @@ def simhash(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Items by their number of shingles, and the shingles of all of them."""
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, n: int = WORDS):
-        s, start = shingle(*words(texts), n)
+    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, n: int = WORDS, short_inside: bool = False):
+        hashes, begin = words(texts)
+        s, start = shingle(hashes, begin, n)
         self.ids = np.array(ids, np.int64)
         self.bags = [np.sort(s[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
         size = np.diff(start)
@@ -53,7 +56,7 @@ class Index:
         self.seen = np.zeros(TABLE, bool)
         self.seen[(s & np.uint64(TABLE - 1)).astype(np.int64)] = True
         order = np.argsort(s, kind="stable")
-        self.sorted, self.sorted_size = s[order], np.repeat(size, size)[order]
+        self.sorted, self.sorted_size, self.sorted_item = s[order], np.repeat(size, size)[order], np.repeat(np.arange(len(size)), size)[order]
         near = _ONES[np.arange(256)[:, None] ^ np.arange(256)] <= radius // 8
         self.by_size = {}
         for k in np.unique(size[size > 0]).tolist():
@@ -61,6 +64,12 @@ class Index:
             prints = simhash(np.array([_signs(self.bags[i]).sum(0) for i in which]))
             self.by_size[k] = (which, prints, [near[:, prints[:, b]] for b in range(8)])
 
+        self.short: dict[int, dict[int, list[int]]] = {}  # number of words -> their hash -> items
+        for i in np.flatnonzero((np.diff(begin) > 0) & (np.diff(begin) < n)).tolist() if short_inside else []:
+            own = hashes[begin[i] : begin[i + 1]]
+            key = int(shingle(own, np.array([0, len(own)]), len(own))[0][0])
+            self.short.setdefault(len(own), {}).setdefault(key, []).append(i)
+
     def hits(self, s: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item has."""
         at = np.flatnonzero(self.seen[(s & np.uint64(TABLE - 1)).astype(np.int64)])
@@ -74,6 +83,10 @@ class Index:
         lo, hi = np.searchsorted(self.sorted, s[at], "left"), np.searchsorted(self.sorted, s[at], "right")
         sizes = np.unique(np.concatenate([self.sorted_size[a:b] for a, b in {*zip(lo.tolist(), hi.tolist(), strict=True)}]))
         best: dict[int, tuple[float, int]] = {}
+        if len(sizes) and sizes[-1] > len(s) >= similarity * sizes[sizes > len(s)][0]:
+            for item in np.unique(np.concatenate([self.sorted_item[a:b] for a, b in {*zip(lo.tolist(), hi.tolist(), strict=True)}])).tolist():
+                if len(self.bags[item]) > len(s) and (got := overlap(np.sort(s), self.bags[item])) >= similarity:
+                    best[item] = (got, 0)
         for k in sizes.tolist():
             if k > len(s):
                 continue
@@ -103,16 +116,28 @@ class Index:
 
     def matches(self, texts: list[str], similarity: float) -> Iterator[tuple[int, int, int, float]]:
         """(text number, item number, first word, similarity)."""
-        s, start = shingle(*words(texts), self.n)
+        hashes, word = words(texts)
+        s, start = shingle(hashes, word, self.n)
         at = self.hits(s)
+        inside: dict[int, dict[int, int]] = {}  # text number -> short item -> first word
+        for m, items in self.short.items():
+            g, first = shingle(hashes, word, m)
+            found = np.flatnonzero(np.isin(g, np.fromiter(items, np.uint64, len(items))))
+            for d, i in zip((np.searchsorted(first, found, side="right") - 1).tolist(), found.tolist(), strict=True):
+                for item in items[int(g[i])]:
+                    inside.setdefault(d, {}).setdefault(item, i - int(first[d]))
         owner = np.searchsorted(start, at, side="right") - 1
-        for d in np.unique(owner).tolist():
-            own = s[start[d] : start[d + 1]]
-            for item, begin, got in self.search(own, at[owner == d] - start[d], similarity):
+        for d in sorted({*owner.tolist(), *inside}):
+            own, near = s[start[d] : start[d + 1]], at[owner == d] - start[d]
+            whole = self.search(own, near, similarity) if len(near) else []
+            for item, begin, got in whole:
                 yield d, item, begin, got
+            for item, begin in sorted(inside.get(d, {}).items()):
+                if item not in {x[0] for x in whole}:
+                    yield d, item, begin, 1.0
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, radius: int = RADIUS) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, radius: int = RADIUS, short_inside: bool = False) -> Iterator[Index]:
     """An index for each block of items, in the order of their hash; only one block's items are on the driver at a time."""
     items = benchmark.filter(benchmark[item_text].isNotNull() & benchmark[item_id].isNotNull()).select(benchmark[item_id].cast("long").alias("item"), benchmark[item_text].cast("string").alias("text"))
     blocks = max(1, -(-items.count() // max(1, block // 2)))
@@ -120,19 +145,19 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "te
         rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
         if rows:
             rows.sort()
-            yield Index([r.item for r in rows], [r.text for r in rows], radius)
+            yield Index([r.item for r in rows], [r.text for r in rows], radius, short_inside=short_inside)
 
 
 MATCHES = "doc_id long, item_id long, first_word long, similarity double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK, short_inside: bool = False) -> DataFrame:
     """A row for each document and benchmark item that it holds: see MATCHES."""
     spark = docs.sparkSession
     arrow_rows(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = spark.createDataFrame([], MATCHES)
-    for index in indexes(benchmark, item_id, item_text, block, radius):
+    for index in indexes(benchmark, item_id, item_text, block, radius, short_inside):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -148,11 +173,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK, short_inside: bool = False) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
     arrow_rows(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for index in indexes(benchmark, item_id, item_text, block, radius):
+    for index in indexes(benchmark, item_id, item_text, block, radius, short_inside):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -170,4 +195,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 
 def op7_decontaminate_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_inside=True)

@@ -64,3 +64,22 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], SCHEMA)
     assert contaminated(none, spark.createDataFrame([(1, "a b")], ITEMS)).count() == 0
     assert contaminated(docs, items).count() == 0 and keep_clean(docs, items).count() == 1
+
+
+def test_documents_shorter_than_the_item(spark):
+    item = [f"k{i}" for i in range(59)]
+    rows = [(1, " ".join(item[:-1])), (2, " ".join(item[2:])), (3, " ".join(item[:30])), (4, " ".join(item)), (5, " ".join(item[:48])), (6, " ".join(item[:49]))]
+    docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(7, " ".join(item)), (8, "other text of six words here")], ITEMS)
+    want = {(d, 7, 0, round(jaccard(brute_bag(t), brute_bag(" ".join(item))), 9)) for d, t in rows if d not in (3,)}
+    want = {x for x in want if x[3] >= 0.8}
+    assert {x[0] for x in want} == {1, 2, 4, 5, 6}
+    assert {(r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in contaminated(docs, bench).collect()} == want
+    assert [r.doc_id for r in keep_clean(docs, bench).collect()] == [3]
+
+
+def test_short_items_inside_documents(spark):
+    docs = spark.createDataFrame([(1, "a Tiny, item and a tiny item"), (2, "tiny thing item"), (3, "tiny item"), (4, "tiny"), (5, None), (6, "one two three four five")], SCHEMA)
+    bench = spark.createDataFrame([(90, "tiny item"), (91, "TINY ITEM"), (92, "two three four five"), (93, "")], ITEMS)
+    got = sorted(tuple(r) for r in contaminated(docs, bench, short_inside=True).collect())
+    assert got == [(1, 90, 1, 1.0), (1, 91, 1, 1.0), (3, 90, 0, 1.0), (3, 91, 0, 1.0), (6, 92, 1, 1.0)]
+    assert sorted(r.doc_id for r in keep_clean(docs, bench, short_inside=True).collect()) == [2, 4, 5]
