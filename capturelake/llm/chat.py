@@ -6,7 +6,8 @@ everything is serialised as canonical JSON: keys sorted, no spaces, nulls left o
 conversation is ever gathered into one row or task.
 
 Defined cases: of several calls with one identifier in a conversation the first by turn (then name, then arguments)
-stands, likewise of results; a call without a result is 'open', a result without a call 'orphan'; a null conversation or
+stands, likewise of results, unless ``each`` is set: then the k-th call meets the k-th result, and those that are left
+are 'open' or 'orphan' rows of their own (references by identifier mean the first call, whose level all of them have); a call without a result is 'open', a result without a call 'orphan'; a null conversation or
 identifier never links (each row stands alone); references to absent calls are ignored; calls on or behind a cycle, or
 deeper than ``max_level``, have level -1 and come last; arguments that are null, not JSON or not an object are invalid;
 an empty table gives no rows; other columns are ignored; texts of any length pass through whole."""
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capturelake.llm.common import materialize, table
@@ -76,7 +77,7 @@ def levels(calls: DataFrame, max_level: int = 64) -> DataFrame:
     return reduce(DataFrame.union, done)
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Schemas, max_level: int = 64) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Schemas, max_level: int = 64, each: bool = False) -> DataFrame:
     """calls: conv_id, turn, call_id, name, arguments, after (array of identifiers); results: conv_id, turn, call_id, content.
 
     Returns conv_id, call_id, status, level, call_turn, result_turn, valid, errors, json."""
@@ -86,7 +87,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas, max_level: int
     one = calls.filter(keyed).groupBy(key).agg(F.min(first_call).alias("c"), F.count("*").alias("n_calls")).select(*key, "c.*", "n_calls")
     one = materialize(one.withColumnRenamed("turn", "call_turn"))
     res = results.filter(keyed).groupBy(key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results")).select(*key, F.col("r.turn").alias("result_turn"), "r.content", "n_results")
-    linked = one.hint("shuffle_hash").join(res, key, "full_outer")
+    if each:
+        nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        every = calls.filter(keyed).select(*key, F.col("turn").alias("call_turn"), "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"), nth("turn", "name", "arguments", "after").alias("nth"))
+        answers = results.filter(keyed).select(*key, F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("n_results"), nth("turn", "content").alias("nth"))
+        linked = every.hint("shuffle_hash").join(answers, [*key, "nth"], "full_outer").drop("nth")
+    else:
+        linked = one.hint("shuffle_hash").join(res, key, "full_outer")
     loose_calls = calls.filter(f"not ({keyed})").select(*key, F.col("turn").alias("call_turn"), "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"), F.lit(None).cast("long").alias("result_turn"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("n_results"))
     loose_results = results.filter(f"not ({keyed})").select(*key, F.lit(None).cast("long").alias("call_turn"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("array<string>").alias("after"), F.lit(None).cast("long").alias("n_calls"), F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("n_results"))
     rows = linked.unionByName(loose_calls).unionByName(loose_results)
@@ -112,7 +119,7 @@ def op6_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(F.col("turn") > 1, F.array(F.lit("c0"), F.lit("c1"))).otherwise(F.array().cast("array<string>"))
     calls = turns.filter("role = 'user'").select("conv_id", "turn", name.alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"), before.alias("after"))
     results = turns.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
-    return link(calls, results, REPLY).drop("errors")
+    return link(calls, results, REPLY, each=True).drop("errors")
 
 
 OP6_SQL = """

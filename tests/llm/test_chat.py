@@ -41,3 +41,12 @@ def test_long_text_and_empty(spark):
     none = spark.createDataFrame([], RESULTS)
     assert json.loads(link(one, none, SCHEMAS).first().json)["arguments"]["text"] == text
     assert link(spark.createDataFrame([], CALLS), none, SCHEMAS).count() == 0
+
+
+def test_each_repeat_has_its_own_row(spark):
+    calls = [(1, 0, "call_0", "say", '{"text": "a"}', []), (1, 2, "call_0", "say", '{"text": "b"}', []), (1, 4, "call_0", "say", '{"text": "c"}', [])]
+    results = [(1, 1, "call_0", "A"), (1, 3, "call_0", "B"), (2, 1, "x", "first"), (2, 2, "x", "second")]
+    got = link(spark.createDataFrame(calls, CALLS).repartition(3), spark.createDataFrame(results, RESULTS), SCHEMAS, each=True).collect()
+    assert sorted((r.conv_id, r.status, r.call_turn or -1, r.result_turn or -1, json.loads(r.json).get("content", "")) for r in got) == [
+        (1, "linked", -1, 1, "A"), (1, "linked", 2, 3, "B"), (1, "open", 4, -1, ""), (2, "orphan", -1, 1, "first"), (2, "orphan", -1, 2, "second"),
+    ]
