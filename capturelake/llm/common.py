@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,22 +17,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder the cluster shares (spark.checkpoint.dir). Where that is unset, a local session gets a temporary one, and
+    a cluster an error: a folder of one machine would be lost with it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='capturelake-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back, so a lost executor costs no recomputation."""
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def materialize(df: DataFrame, at: str | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet to the shared folder and read it back, so a lost executor costs no recomputation.
+
+    The files go when the application ends, unless they are in a folder (at) that somebody else looks after."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/capturelake/{uuid.uuid4().hex}"
+    path = f"{at or shared_dir(spark) + '/capturelake'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if at is None:
+        files, where = _file_system(spark, path)
+        files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only the steps of one operator need: they are deleted when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, f"{shared_dir(spark)}/capturelake/{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        return materialize(df, self.at)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        files, where = _file_system(self.spark, self.at)
+        files.delete(where, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int, how: str = "left") -> DataFrame:
+    """rows (written before: they are read twice) joined with groups, which have one row a key and the number ``count`` of
+    rows that have it.
+
+    Keys of more than a thousandth of the ``total`` rows, of which there cannot be over a thousand, are broadcast and their
+    rows stay where they are. So no key brings more than a thousandth of the rows to one task."""
+    most = max(total // 1000, 100)
+    hot, rest = groups.filter(F.col(count) > most), groups.filter(F.col(count) <= most)
+    here = rows.join(F.broadcast(hot), key)
+    return here.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key, how))
+
+
 def text_chunks(ids, texts, max_chars: int = 1 << 19):
     """Split parallel lists into runs of at most about max_chars characters, so that scratch arrays stay bounded.
 
@@ -64,12 +107,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long: hand fewer rows at once to Python workers than the default of 10,000 (never more than is set)."""
+def arrow_rows(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Texts may be long: hand fewer rows and bytes at once to Python workers than the defaults (never more than is set).
+
+    This stays set for the session, as plans read it only when they run."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, size)
 
 
 def release() -> None:

@@ -7,37 +7,40 @@
    the points below the smaller weight. Points are drawn only up to a time that fills the signature (redrawn further where
    it doesn't), each goes to one hashed slot, and a slot keeps its earliest time: two texts agree in a slot with
    probability equal to their weighted Jaccard similarity.
-3. ``bands`` bands of ``rows`` slots. A bucket's texts are compared with two of them only, so work is linear in the
-   bucket: with the shortest (where texts share a passage, it is the shortest that the others reach) and with the most
-   central (the one with the most company in all its buckets; for edited copies, the original). Then components are formed.
-   Buckets that still hold several components get further rounds, each with another text compared with those of other
-   components, until a round finds no link. Texts already joined are not compared again. Rounds only save work: texts of
-   buckets that are then still mixed meet all others of other components that can be similar, found by exact filters on
-   size, rare shingles (of any two similar texts, the rarest share one) and its position. No pair of a bucket is lost.
-4. A link is an exact weighted Jaccard similarity of at least ``similarity``; classes are connected components, named by
-   their smallest id.
+3. ``bands`` bands of ``rows`` slots. First, a bucket's texts are compared with two of them: the shortest (where texts
+   share a passage, it is the shortest that the others reach) and the most central (the one with the most company in all
+   its buckets; for edited copies, the original). This is linear in the bucket and joins nearly all that belong together.
+4. Texts of buckets that are then still in several components meet all others of other components that can be similar.
+   Occurrences of shingles are ordered from rare to common; of two similar texts, the smaller has a shared one among its
+   first 1/9 and the larger one among its first 1/5 (for a similarity of 0.8), and enough must be left from there on in
+   both. These are exact bounds, so no pair of a bucket is lost, and texts that share only a passage too short for the
+   similarity never meet.
+5. A link is an exact weighted Jaccard similarity of at least ``similarity``; classes are connected components, named by
+   their smallest id. What is compared is the texts' hashed occurrences, made once for texts that have company.
+
+Keys that many rows have (copies, buckets, leads, classes) are spread: see join_groups and ``_spread``.
 
 Defined cases: null texts and texts without words are in a class of their own; rows that repeat an id are one document
-(their texts are taken as versions of it); an empty table gives no rows; very long texts are read whole."""
+(their texts are versions of it and in one class); a row with a null id cannot be named in a class and is a class of one
+whose id is null; an empty table gives no rows; very long texts are read whole."""
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import arrow_rows, materialize, release, table, text_chunks
+from capturelake.llm.common import Scratch, arrow_rows, join_groups, materialize, release, table, text_chunks
 from capturelake.llm.components import components
-from capturelake.llm.shingles import WORDS, overlap, shingle, words
+from capturelake.llm.shingles import WORDS, shingle, words
 from capturelake.llm.tokens import mix
 
 SIMILARITY, BANDS, ROWS = 0.8, 32, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-PLACES = 1 << 16
+LEAD = 4096  # pairs of one lead in a task
 
 
 def bags(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                 keys = band_keys(bag_min_hash(s, start, bands * rows), bands, rows)
                 size = np.diff(start)
                 empty = size == 0
-                sums = [np.concatenate([[0], np.cumsum(mix(s ^ np.uint64(c)), dtype=np.uint64)]).astype(np.uint64) for c in (1, 2)]
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(c)), dtype=np.uint64)]) for c in (1, 2)]
                 f1, f2 = ((x[start[1:]] - x[start[:-1]] + size.astype(np.uint64)).view(np.int64) for x in sums)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f1, pa.int64(), mask=empty), pa.array(f2, pa.int64(), mask=empty), pa.array(size, pa.int64()), keys], ["id", "f1", "f2", "size", "keys"])
@@ -112,144 +115,179 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "id long, f1 long, f2 long, size long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, n: int = WORDS) -> DataFrame:
-    """a, b of the pairs whose texts overlap by at least similarity. Texts are read only for the ids in pairs."""
+def occurrences(s: np.ndarray) -> np.ndarray:
+    """A sorted bag as a sorted set: the second, third, ... occurrence of a shingle are elements of their own."""
+    at = np.arange(len(s))
+    first = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    turn = at - np.maximum.accumulate(np.where(first, at, 0))
+    return np.sort(np.where(turn > 0, mix(s ^ mix(turn.astype(np.uint64) + _GOLD)), s))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of occurrences overlap enough."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    if len(b) > len(a):
+        a, b = b, a
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def hashed(texts: DataFrame, n: int = WORDS) -> DataFrame:
+    """id, bag (occurrences as 8-byte numbers) of texts (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, None)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(len(a)):
-                if known[0] != a[i]:
-                    known = (a[i], bags([ta[i].as_py() or ""], n)[0])
-                x, y = known[1], bags([tb[i].as_py() or ""], n)[0]
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and overlap(x, y) >= similarity:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            for ids, own in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s, start = bags([t or "" for t in own], n)
+                made = [occurrences(s[a:b]).tobytes() for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], ["id", "bag"])
         release()
 
-    t = texts.select(F.col("id"), F.col("text"))
-    with_a = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return texts.select("id", "text").mapInArrow(run, "id long, bag binary")
 
 
-def _pairs(found: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs a < b that their sizes allow to be similar."""
-    near = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    return found.filter((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _spread(pairs: DataFrame, lead: str) -> DataFrame:
+    """How many parts the pairs of a lead are dealt into: lead, n, parts."""
+    return pairs.groupBy(lead).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / LEAD).cast("int"))
 
 
-def _place(s: np.ndarray) -> np.ndarray:
-    return (mix(s) & np.uint64(PLACES - 1)).astype(np.int64)
+def verified(pairs: DataFrame, held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """a, b of the pairs whose bags overlap by at least similarity. a may lead very many pairs: its bag goes to each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = (None, None)
+        for batch in batches:
+            first, second = batch.column(2), batch.column(3)
+            keep, a = [], batch.column(0).to_pylist()
+            for i in range(len(a)):
+                if known[0] != a[i]:
+                    known = (a[i], np.frombuffer(first[i].as_buffer(), np.uint64).copy())
+                keep.append(similar(known[1], np.frombuffer(second[i].as_buffer(), np.uint64), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
+
+    parts = scratch.table(_spread(pairs, "a"))
+    dealt = join_groups(pairs, parts, ["a"], "n", pairs.count(), "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    with_b = dealt.join(held.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    leads = held.join(parts, held["id"] == parts["a"]).select("a", F.col("bag").alias("bag_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return with_b.join(leads, ["a", "part"]).select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
 
-def loads(texts: DataFrame, n: int = WORDS) -> np.ndarray:
-    """Shingles that fall to each of PLACES places. They order shingles from rare to common; any order gives right results."""
+def tokens(held: DataFrame) -> DataFrame:
+    """id, comp, size, token: a row for each occurrence in held (id, comp, bag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = np.zeros(PLACES, np.int64)
         for batch in batches:
-            for _, own in text_chunks(range(len(batch)), batch.column(0).to_pylist()):
-                load += np.bincount(_place(bags([t or "" for t in own], n)[0]), minlength=PLACES)
-        at = np.flatnonzero(load)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(load[at], pa.int64())], ["place", "load"])
+            for i in range(len(batch)):
+                own = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                which = pa.array(np.full(len(own), i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(np.full(len(own), len(own))), pa.array(own)], ["id", "comp", "size", "token"])
         release()
 
-    out = np.zeros(PLACES, np.int64)
-    for r in texts.select("text").mapInArrow(run, "place long, load long").groupBy("place").agg(F.sum("load").alias("load")).collect():
-        out[r.place] = r.load
-    return out
+    return held.select("id", "comp", "bag").mapInArrow(run, "id long, comp long, size long, token long")
 
 
-def prefix(s: np.ndarray, load: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest occurrences of a sorted bag, in order, as many as leave too few for a similar one to share none of them."""
-    at = np.arange(len(s))
-    first = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
-    turn = at - np.maximum.accumulate(np.where(first, at, 0))
-    token = mix(s ^ mix(turn.astype(np.uint64) + _GOLD))
-    return token[np.lexsort((token, load[_place(s)]))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+def possible_pairs(held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Distinct pairs of texts in held (id, comp, bag) of different components: all that can be similar, by exact bounds.
 
+    a is the smaller text. Occurrences that no other component has cannot be shared; they count as the rarest."""
+    every = scratch.table(tokens(held))
+    shared = every.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "n")
+    # ``rest``: shared occurrences from this one on, itself included, from rare to common.
+    order = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("token"))
+    ranked = every.join(shared, "token").withColumn("rest", F.row_number().over(order)).filter(F.col("rest") >= F.col("size") * similarity - 1e-6)
+    ranked = scratch.table(ranked.select("id", "comp", "size", "token", "rest"))
+    a, b = (ranked.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "size", "rest"))) for side in "ab")
+    half = similarity / (1 + similarity)
+    a = a.filter(F.col("rest_a") >= 2 * half * F.col("size_a") - 1e-6)
+    ordered = F.struct("size_a", "id_a") < F.struct("size_b", "id_b")
+    size = F.col("size_a") >= F.lit(similarity) * F.col("size_b")
+    rest = F.least("rest_a", "rest_b") >= F.lit(half) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return a.join(b, (a["token"] == b["token"]) & ordered & (F.col("comp_a") != F.col("comp_b")) & size & rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
-def prefixes(texts: DataFrame, load: np.ndarray, similarity: float, n: int = WORDS) -> DataFrame:
-    """id, comp, size, token, at (position) of the prefix of each of texts (id, comp, text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(load)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, own in text_chunks(range(len(batch)), batch.column(2).to_pylist()):
-                s, start = bags([t or "" for t in own], n)
-                found = [prefix(s[a:b], shared.value, similarity) if b > a else s[:0] for a, b in zip(start[:-1], start[1:], strict=True)]
-                count = np.array([len(x) for x in found])
-                which = pa.array(np.repeat(np.array(rows), count))
-                token = np.concatenate(found).view(np.int64)
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(np.repeat(np.diff(start), count), pa.int64()), pa.array(token, pa.int64()), pa.array(at, pa.int64())], ["id", "comp", "size", "token", "at"])
-        release()
+def _buckets(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """key, id, size, n for each text and each of its buckets that holds n > 1 texts, and the number of these rows."""
+    bucket = scratch.table(reps.select("id", "size", F.explode("keys").alias("key")))
+    company = scratch.table(bucket.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    full = scratch.table(join_groups(bucket, company, ["key"], "n", bucket.count(), "inner"))
+    return full, full.count()
 
-    return texts.select("id", "comp", "text").mapInArrow(run, "id long, comp long, size long, token long, at long")
+
+def _stars(full: DataFrame, rows: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (lead, member) of each bucket's shortest and most central text with all others, as sizes allow."""
+    central = full.groupBy("id").agg(F.sum("n").alias("central"))
+    lead = full.join(central, "id").groupBy("key").agg(F.min(F.struct("size", "id")).alias("short"), F.max(F.struct("central", (-F.col("id")).alias("order"), "id", "size")).alias("mid"), F.first("n").alias("of"))
+    lead = scratch.table(lead.select("key", "of", F.array(F.struct("short.id", "short.size"), F.struct("mid.id", "mid.size")).alias("leads")))
+    stars = join_groups(full, lead, ["key"], "of", rows, "inner").select("id", "size", F.explode("leads").alias("lead"))
+    near = F.least("size", "lead.size") >= F.lit(similarity) * F.greatest("size", "lead.size")
+    pairs = stars.filter((F.col("id") != F.col("lead.id")) & near).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+    return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
-def possible_pairs(texts: DataFrame, similarity: float, n: int = WORDS) -> DataFrame:
-    """Distinct pairs a < b of texts (id, comp, text) of different components: all that can be similar, by exact filters."""
-    part = materialize(prefixes(texts, loads(texts, n), similarity, n))
-    mixed = part.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    part = materialize(part.join(mixed, "token"))
-    a, b = (part.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "size", "at"))) for side in "ab")
-    size = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    # From the first shared occurrence on, so many are left at most; similar texts share this part of both.
-    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    return a.join(b, (a["token"] == b["token"]) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & size & rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+def _mixed(full: DataFrame, rows: int, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, comp of the texts in buckets that still hold several components. (A bucket of two was compared by its star.)"""
+    comp = scratch.table(full.filter("n > 2").join(joined, full["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp")))
+    mixed = scratch.table(comp.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "n"))
+    return join_groups(comp, mixed, ["key"], "n", rows, "inner").select("id", "comp").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = WORDS) -> DataFrame:
     """doc_id, class_id (smallest id of the class), class_size for every document."""
     arrow_rows(docs.sparkSession)
-    texts = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    sig = materialize(signatures(texts, "id", "text", bands, rows, n))
-    same = sig.filter("f1 is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    member = materialize(sig.join(same, ["f1", "f2"], "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct())
-    reps = sig.filter("f1 is not null").join(same.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi")
-    bucket = reps.select("id", "size", F.explode("keys").alias("key"))
-    company = bucket.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    full = materialize(bucket.join(company, "key").select("key", "id", "size", "n"))
-    central = full.groupBy("id").agg(F.sum("n").alias("central"))
-    lead = full.join(central, "id").groupBy("key").agg(F.min(F.struct("size", "id")).alias("short"), F.max(F.struct("central", (-F.col("id")).alias("order"), "id", "size")).alias("mid"))
-    leads = F.array(F.struct("short.id", "short.size"), F.struct("mid.id", "mid.size"))
-    stars = full.join(lead.select("key", F.explode(leads).alias("lead")), "key").select(F.col("lead.id").alias("a"), F.col("lead.size").alias("size_a"), F.col("id").alias("b"), F.col("size").alias("size_b"))
-    tested = materialize(_pairs(stars, similarity))
-    links = materialize(verified(tested, texts, similarity, n))
-    joined = materialize(components(links))
-    for turn in itertools.count():
-        comp = full.filter("n > 2").join(joined, full["id"] == joined["node"], "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
-        draw = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "comp")).alias("lead")
-        mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), draw).filter("lo < hi").select("key", "lead")
-        across = comp.join(mixed, "key").filter("comp <> lead.comp").select(F.col("lead.id").alias("a"), F.col("lead.size").alias("size_a"), F.col("id").alias("b"), F.col("size").alias("size_b"))
-        pairs = materialize(_pairs(across, similarity).join(tested, ["a", "b"], "left_anti"))
-        more = materialize(verified(pairs, texts, similarity, n))
-        if more.isEmpty():
-            break
-        tested, links = tested.union(pairs), links.union(more)
-        joined = materialize(components(links))
-    comp = full.filter("n > 2").join(joined, full["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    left = materialize(comp.join(mixed, "key").select("id", "comp").distinct())
-    if not left.isEmpty():
-        pairs = materialize(possible_pairs(materialize(left.join(texts, "id")), similarity, n).join(tested, ["a", "b"], "left_anti"))
-        links = links.union(materialize(verified(pairs, texts, similarity, n)))
-        joined = materialize(components(links))
-    out = member.join(joined, member["rep"] == joined["node"], "left").select("id", F.coalesce("component", "rep").alias("root"))
-    # The smallest representative of a component is its smallest id: every representative is the smallest of its copies.
-    size = out.groupBy("root").agg(F.count("*").alias("class_size"), F.min("id").alias("class_id"))
-    return out.join(size, "root").select(F.col("id").alias("doc_id"), "class_id", "class_size").distinct()
+    with Scratch(docs.sparkSession) as scratch:
+        texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+        known = texts.filter("id is not null")
+        sig = scratch.table(signatures(known, "id", "text", bands, rows, n))
+        total = sig.count()
+        # Copies: one representative, the smallest id, for each fingerprint that repeats.
+        copies = scratch.table(sig.filter("f1 is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
+        dealt = join_groups(sig, copies, ["f1", "f2"], "copies", total).select("id", "f1", "size", "keys", F.coalesce("rep", "id").alias("rep"), "copies")
+        member = scratch.table(dealt.select("id", "rep", "copies").distinct())
+        full, in_buckets = _buckets(dealt.filter("f1 is not null and id = rep"), scratch)
+        held = known.join(full.select("id").distinct(), "id", "left_semi")
+        repeats = not sig.groupBy("id").count().filter("count > 1").isEmpty()
+        held = scratch.table(hashed(held, n).distinct() if repeats else hashed(held, n))
+
+        tested = scratch.table(_stars(full, in_buckets, similarity, scratch))
+        links = scratch.table(verified(tested, held, similarity, scratch))
+        versions = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
+        links = links.union(member.join(versions, "id").filter("rep > a").select("a", F.col("rep").alias("b")))
+        joined = components(links, scratch)
+        # Pairs left over by the stars: texts of buckets that are not yet in one component.
+        left = scratch.table(_mixed(full, in_buckets, joined, scratch))
+        if not left.isEmpty():
+            met = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+            pairs = possible_pairs(held.join(left, "id"), similarity, scratch)
+            pairs = scratch.table(pairs.join(met, (F.least("a", "b") == met["x"]) & (F.greatest("a", "b") == met["y"]), "left_anti"))
+            more = scratch.table(verified(pairs, held, similarity, scratch))
+            if not more.isEmpty():
+                joined = components(links.union(more), scratch)
+
+        # A text without company is its own class. The smallest representative of a component is its smallest id.
+        out = scratch.table(member.join(joined, member["rep"] == joined["node"], "left").select("id", "rep", "copies", "component"))
+        alone = out.filter("copies is null and component is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+        rest = scratch.table(out.filter("copies is not null or component is not null").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id")).distinct())
+        size = scratch.table(rest.groupBy("class_id").agg(F.count("*").alias("class_size")))
+        rest = join_groups(rest, size, ["class_id"], "class_size", total, "inner")
+        null = F.lit(None).cast("long")
+        nameless = texts.filter("id is null").select(null.alias("doc_id"), null.alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+        return materialize(alone.unionByName(rest.select("doc_id", "class_id", "class_size")).unionByName(nameless))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that repeat the smallest id of their class."""
-    drop = materialize(near_duplicates(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("__drop")))
-    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    """One row of docs, all columns, for each class: that of its smallest id. Of rows that repeat this id, the one with the
+    smallest text stays; rows with a null id all stay."""
+    drop = near_duplicates(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("__drop"))
+    kept = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    repeated = materialize(docs.groupBy(docs[id_col].alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1 and __id is not null").select("__id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept[id_col] == repeated["__id"], "left_anti")
+    every = F.struct(*(kept[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    first = kept.join(repeated, kept[id_col] == repeated["__id"]).groupBy("__id").agg(F.min_by(every, F.struct(kept[text_col])).alias("row"))
+    return once.union(first.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))
 
 
 def op10_minhash_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
