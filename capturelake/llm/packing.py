@@ -5,8 +5,9 @@ document into ``fine`` ones, which even out the windows), and blocks of parts ar
 the heaviest window of one with the lightest of the other. The window count starts at ceil(tokens / capacity) and rises
 until no window exceeds the capacity. A block holds ``block`` parts, so memory is bounded by the block, not by the task.
 
-Defined cases: a null text counts as empty; an empty document is the single token 0; a text of any length is tokenized
-whole; equal documents are packed one by one; an empty table gives no rows; other columns of the input are ignored.
+Defined cases: a null text counts as empty; an empty document is the single token 0; a null id is kept as null; a text of
+any length is tokenized whole; equal documents are packed one by one; parts of equal weight are taken in the order read; an
+empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +26,19 @@ from capturelake.llm.tokens import encoder
 
 
 def difference(weights: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """Window of each weight by largest differencing into k windows, and the heaviest window's weight."""
+    """Window of each weight by largest differencing into k windows, and the heaviest window's weight.
+
+    A partial partition is its window weights, heaviest first (zeros left out), and the node that stands for each window.
+    While no finished partition is more uneven than the next weight, differencing single weights gives runs of k neighbours
+    in descending order; so it starts from those runs and, from the first one that the condition fails for, from single weights."""
     n = len(weights)
     order = np.argsort(-weights, kind="stable")
-    # A partial partition is its window weights, heaviest first (zeros left out), and the node that stands for each window.
-    # Differencing single weights one by one first builds runs of k neighbours in this order, so it starts from those runs.
-    nodes: list[np.ndarray] = [order[i : i + k] for i in range(0, n, k)]
+    ordered = weights[order]
+    runs, spread = 0, 0
+    while runs + k <= n and ordered[runs + k - 1] >= spread:
+        spread = max(spread, int(ordered[runs] - ordered[runs + k - 1]))
+        runs += k
+    nodes: list[np.ndarray] = [order[i : i + k] for i in range(0, runs, k)] + [order[i : i + 1] for i in range(runs, n)]
     loads: list[np.ndarray] = [weights[x].astype(np.int64) for x in nodes]
     heap = [(int(x[-1] if len(x) == k else 0) - int(x[0]), i) for i, x in enumerate(loads)]
     heapq.heapify(heap)
@@ -77,14 +85,14 @@ def deal(weights: np.ndarray, capacity: int) -> np.ndarray:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, part: int = 192, fine: int = 48, block: int = 4096, end_id: int = 0, vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, part: int = 192, fine: int = 48, block: int = 4096, end_id: int = 0, vocabulary: tuple[str, str] | None = None, special_as_text: bool = False, with_ids: bool = False) -> DataFrame:
     """One row per piece: see SCHEMA, and ``ids array<int>`` with ``with_ids``.
 
     No shuffle: every task packs the documents it reads; its last block may leave one window partly filled. sequence_id is
     the partition number in the high bits, so ids are unique and the same again if a task is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*(vocabulary or ()))
+        encode = encoder(*(vocabulary or (None, None)), special_as_text)
         sequence = TaskContext.get().partitionId() << 33
         cut = 0
         parts: list[tuple] = []  # (weight, doc_id, start, ids, doc_tokens)

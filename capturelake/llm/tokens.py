@@ -2,8 +2,12 @@
 
 The vocabulary's splitting pattern always starts a new match at a space or line feed that stands alone between two
 characters that are not white space, and after such a line feed. So texts may be cut there, the pieces encoded apart and
-their ids joined. Pieces are told apart by a 64-bit hash (with their length); ids of pieces seen before come from a table of bounded
-size, all others are encoded together from the rank form of the same vocabulary."""
+their ids joined. Ids of pieces seen before come from a table of bounded size that is addressed by a hash; the bytes of
+every hit are compared, and a text with a piece that only shares the hash of another is encoded afresh. All other pieces are
+encoded together from the rank form of the same vocabulary.
+
+Special tokens that stand in a text are found as the tokenizer finds them (they get their own id), unless
+``special_as_text``."""
 
 from __future__ import annotations
 
@@ -34,40 +38,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+PRIME = np.uint64(2**31 - 1)
+_BYTE_P = _rng.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_Q = int(_rng.integers(1 << 20, 2**31 - 1))
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x == PRIME, np.uint64(0), x)
+
+
 class Powers:
-    """P**i and P**-i modulo 2**64."""
+    """Powers of P and of 1/P modulo 2**64, and of Q and 1/Q modulo PRIME."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.of = [np.ones(1, np.uint64)] * 4
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
+    def to(self, n: int) -> list[np.ndarray]:
+        if len(self.of[0]) < n:
             m = 1 << (n - 1).bit_length()
-            up, down = np.full(m, _P), np.full(m, _P_INV)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up, self.down
+            self.of = []
+            for base in (_P, _P_INV):
+                x = np.full(m, base)
+                x[0] = 1
+                self.of.append(np.multiply.accumulate(x))
+            for q in (_Q, pow(_Q, -1, int(PRIME))):
+                x, step = np.ones(1, np.uint64), q
+                while len(x) < m:  # doubling: the second half is the first, times q to the half's length
+                    x = np.concatenate([x, _fold(x * np.uint64(step))])
+                    step = step * step % int(PRIME)
+                self.of.append(x)
+        return self.of
 
 
 POWERS = Powers()
 
 
 def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal spans wherever they stand."""
-    up, down = POWERS.to(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
+    """A 64-bit hash of each span of bytes, equal for equal spans wherever they stand.
+
+    Two polynomials, modulo 2**64 and modulo a prime, so that texts built to agree in the first (words of Thue and Morse)
+    differ in the second."""
+    up, down, up_p, down_p = POWERS.to(len(buf) + 1)
+    total, total_p = np.zeros(len(buf) + 1, np.uint64), np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_fold(_BYTE_P[buf] * up_p[: len(buf)]), out=total_p[1:])
+    second = _fold(_fold(total_p[ends] - total_p[starts]) * down_p[starts])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) + mix(second))
 
 
 class TextEncoder:
-    def __init__(self, json_path: str, rank_path: str):
+    hash = staticmethod(spans_hash)
+
+    def __init__(self, json_path: str, rank_path: str, special_as_text: bool = False):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
-        self.json_path, self.tokenizer = json_path, None
+        self.json_path, self.tokenizer, self.special_as_text = json_path, None, special_as_text
+        with open(json_path) as f:
+            added = [] if special_as_text else json.load(f)["added_tokens"]
+        self.special = {x["content"]: x["id"] for x in added}
+        self.plain = not any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -78,6 +115,7 @@ class TextEncoder:
     def _reset(self) -> None:
         self.key, self.at = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
         self.ids, self.used, self.starts, self.known = np.empty(1 << 16, np.uint32), 0, np.zeros(1 << 12, np.int64), 0
+        self.held, self.held_at = np.empty(1 << 18, np.uint8), np.zeros(1 << 12, np.int64)  # bytes of each known piece
 
     def whole(self, text: str) -> np.ndarray:
         """Straight from the tokenizer: what encode() must equal."""
@@ -85,7 +123,7 @@ class TextEncoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.json_path)
-            self.tokenizer.encode_special_tokens = True
+            self.tokenizer.encode_special_tokens = self.special_as_text
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -112,7 +150,7 @@ class TextEncoder:
 
     def _learn(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> None:
         """Encode pieces together. One that begins with no space goes behind a line feed; odd ends are encoded alone."""
-        data, first, last = buf.tobytes(), buf[s], buf[e - 1]
+        data, first, last, all_s, all_e = buf.tobytes(), buf[s], buf[e - 1], s, e
         feed = (first == 10) & (e - s == 1)
         inner = np.where(first == 32, buf[np.minimum(s + 1, e - 1)], first)
         odd = _SPACE[inner] | _LEAD2[inner] | _LEAD3[inner] | _SPACE[last] | ((last >= 0x80) & (_LEAD2[buf[e - 2]] | _LEAD3[buf[e - 3]]))
@@ -139,6 +177,13 @@ class TextEncoder:
         n = len(order)
         while self.known + n + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+            self.held_at = np.concatenate([self.held_at, np.zeros(len(self.held_at), np.int64)])
+        size = (all_e - all_s)[order]
+        self.held_at[self.known + 1 : self.known + n + 1] = self.held_at[self.known] + np.cumsum(size)
+        begin, end = self.held_at[self.known], self.held_at[self.known + n]
+        while end > len(self.held):
+            self.held = np.concatenate([self.held, np.empty(len(self.held), np.uint8)])
+        self.held[begin:end] = buf[_each(all_s[order], size)]
         self.starts[self.known + 1 : self.known + n + 1] = self.used + np.cumsum(length)
         number = np.arange(self.known, self.known + n, dtype=np.int32)
         self._keep(h[order], number)
@@ -147,10 +192,20 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
+        if self.find_special and any(map(self.find_special.search, texts)):
+            return [self._special(t) if self.find_special.search(t) else self.encode([t])[0] for t in texts]
         if any(len(t) > LONG for t in texts):
             return [x for t in texts for x in (self.encode([t]) if len(t) <= LONG else [np.concatenate([self._encode([r])[0] for r in _runs(t)])])]
         return self._encode(texts)
 
+    def _special(self, text: str) -> np.ndarray:
+        """Ids of a text that holds special tokens: they are cut out first, and what is between them is encoded apart."""
+        if not self.plain:
+            return self.whole(text)
+        parts = self.find_special.split(text)
+        between = iter(self.encode(parts[::2]))
+        return np.concatenate([np.array([self.special[p]], np.uint32) if i % 2 else next(between) for i, p in enumerate(parts)])
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "replace") for t in texts]
         buf = np.frombuffer(b"\n\n" + b"\n\n".join(raw) + b"\n\n\n", np.uint8)
@@ -169,7 +224,7 @@ class TextEncoder:
         ends[last] = doc[:-1] + size[:-1]
         full = ends > cut
         cut, ends = cut[full], ends[full]
-        h = spans_hash(buf, cut, ends)
+        h = self.hash(buf, cut, ends)
         h[h == 0] = 1
         if self.known + len(h) > 1 << (TABLE_BITS - 1):
             self._reset()
@@ -180,11 +235,32 @@ class TextEncoder:
             which = new[which]
             self._learn(buf, cut[which], ends[which], fresh)
             number[new] = self._find(h[new])
+        odd = np.unique(np.searchsorted(doc, cut[~self._same(buf, cut, ends, number)], side="right") - 1)
         begin, length = self.starts[number], self.starts[number + 1] - self.starts[number]
         upto = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])]
         bounds = upto[np.searchsorted(cut, np.append(doc, len(buf)))]
-        return [ids[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        out = [ids[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for d in odd.tolist():  # a piece of it has the hash of another
+            out[d] = np.array(self.ranked(raw[d].decode()), np.uint32)
+        return out
+
+    def _same(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each piece are those of the known piece that its hash led to."""
+        size = e - s
+        same = size == self.held_at[number + 1] - self.held_at[number]
+        which = np.flatnonzero(same)
+        size = size[which]
+        differ = self.held[_each(self.held_at[number[which]], size)] != buf[_each(s[which], size)]
+        if differ.any():
+            same[which[np.unique(np.searchsorted(np.cumsum(size), np.flatnonzero(differ), side="right"))]] = False
+        return same
+
+
+def _each(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as size says, one after the other."""
+    total = np.cumsum(size)
+    return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
 
 def _runs(text: str) -> list[str]:
@@ -195,15 +271,16 @@ def _runs(text: str) -> list[str]:
     return [*out, text[begin:]]
 
 
-_encoders: dict[tuple[str, str], TextEncoder] = {}
+_encoders: dict[tuple[str, str, bool], TextEncoder] = {}
 
 
-def encoder(json_path: str | None = None, rank_path: str | None = None) -> TextEncoder:
+def encoder(json_path: str | None = None, rank_path: str | None = None, special_as_text: bool = False) -> TextEncoder:
     """One for each Python worker. The two paths must hold the same vocabulary."""
     if json_path is None or rank_path is None:
         import public_tokenizers
 
         json_path, rank_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if (json_path, rank_path) not in _encoders:
-        _encoders[json_path, rank_path] = TextEncoder(json_path, rank_path)
-    return _encoders[json_path, rank_path]
+    key = (json_path, rank_path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = TextEncoder(*key)
+    return _encoders[key]
