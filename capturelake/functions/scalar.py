@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from capturelake.functions import fixed
+
 Text = Column
 
 # Possessive first, greedy fallback: an unclosed or very long literal neither overflows the stack nor backtracks.
@@ -152,92 +156,33 @@ def comma_set_equal(a: Text, b: Text) -> Column:
     return comma_set(a) == comma_set(b)
 
 
-#: Fixed values.
-ARCHES = ["x86_64", "aarch64", "arm64", "i386", "i686", "ppc64le", "s390x", "riscv64"]
-DISTROS = ["ubuntu", "debian", "centos", "red hat", "rocky", "alma", "oracle linux", "amazon linux", "suse"]
-
-
 def known_arch(release: Text) -> Text:
     """P10: what follows the last dot of a kernel release, if it names an architecture."""
     tail = F.substring_index(release, ".", -1)
-    return F.when(tail.isin(ARCHES), tail)
+    return F.when(tail.isin(fixed.ARCHES), tail)
 
 
 def names_distro(line: Text) -> Column:
     """P11"""
-    return any_token(line, DISTROS)
-
-
-#: P4, fixed values: counters and gauges that the families below would misplace, spelled as servers spell them.
-EXPLICIT_COUNTERS = [
-    "Aborted_clients", "Aborted_connects", "Binlog_cache_disk_use", "Binlog_cache_use", "Binlog_stmt_cache_disk_use", "Binlog_stmt_cache_use", "Bytes_received", "Bytes_sent", "Connections",
-    "Created_tmp_disk_tables", "Created_tmp_files", "Created_tmp_tables", "Deprecated_use_i_s_processlist_count", "Flush_commands", "Innodb_buffer_pool_read_ahead", "Innodb_buffer_pool_read_ahead_evicted",
-    "Innodb_buffer_pool_read_requests", "Innodb_buffer_pool_reads", "Innodb_buffer_pool_wait_free", "Innodb_buffer_pool_write_requests", "Innodb_data_fsyncs", "Innodb_data_read", "Innodb_data_reads",
-    "Innodb_data_writes", "Innodb_data_written", "Innodb_log_waits", "Innodb_log_write_requests", "Innodb_log_writes", "Innodb_os_log_fsyncs", "Innodb_os_log_written", "Innodb_pages_created", "Innodb_pages_read",
-    "Innodb_pages_written", "Innodb_row_lock_time", "Innodb_row_lock_waits", "Key_read_requests", "Key_reads", "Key_write_requests", "Key_writes", "Opened_files", "Opened_table_definitions", "Opened_tables",
-    "Prepared_stmt_count_total", "Queries", "Questions", "Select_full_join", "Select_full_range_join", "Select_range", "Select_range_check", "Select_scan", "Slow_launch_threads", "Slow_queries",
-    "Sort_merge_passes", "Sort_range", "Sort_rows", "Sort_scan", "Table_locks_immediate", "Table_locks_waited", "Table_open_cache_hits", "Table_open_cache_misses", "Table_open_cache_overflows", "Threads_created",
-]
-EXPLICIT_GAUGES = [
-    "Innodb_checkpoint_age", "Innodb_checkpoint_max_age", "Innodb_history_list_length", "Innodb_os_log_pending_fsyncs", "Innodb_os_log_pending_writes", "Innodb_row_lock_current_waits", "Innodb_row_lock_time_avg",
-    "Innodb_row_lock_time_max", "Max_used_connections", "Open_files", "Open_table_definitions", "Open_tables", "Prepared_stmt_count", "Threads_cached", "Threads_connected", "Threads_running", "Uptime",
-]
+    return reduce(lambda a, b: a | b, [line.contains(name) for name in fixed.DISTROS])
 
 
 def is_counter(name: Text) -> Column:
-    """The explicit lists (by exact case) first, then name families, else a gauge."""
+    """The list of counters (by exact case) first, then name families, else a gauge."""
     low = F.lower(name)
     pages = F.regexp_extract(low, r"^innodb_buffer_pool_pages_(.+)$", 1)
     family = F.when(pages != "", ~pages.isin("data", "free", "misc", "old", "dirty", "total")).otherwise(low.rlike(r"^(com_|handler_|connection_errors_|innodb_rows_|performance_schema_)"))
-    return F.when(name.isin(EXPLICIT_COUNTERS), True).when(name.isin(EXPLICIT_GAUGES), False).otherwise(family)
-
-
-#: F14, fixed values: canonical network counter -> label, in display order.
-NET_COUNTERS = {
-    "tcp_active_opens": "Active connection openings", "tcp_passive_opens": "Passive connection openings", "tcp_failed_attempts": "Failed connection attempts", "tcp_resets_received": "Connection resets received",
-    "tcp_segments_received": "Segments received", "tcp_segments_sent": "Segments sent", "tcp_retransmits": "Segments retransmitted", "tcp_bad_segments": "Bad segments received", "tcp_resets_sent": "Resets sent",
-    "listen_overflows": "Listen queue overflows", "listen_drops": "SYNs to LISTEN dropped", "syn_cookies_sent": "SYN cookies sent", "tcp_timeouts": "TCP timeouts", "udp_received": "UDP packets received",
-    "udp_sent": "UDP packets sent", "udp_errors": "UDP receive errors", "ip_received": "IP packets received", "ip_dropped": "IP packets dropped",
-}
+    return name.isin(fixed.COUNTERS) | family
 
 
 def net_display_name(name: Text) -> Text:
     """F14"""
-    return lookup(name, NET_COUNTERS, name)
+    return lookup(name, fixed.NET_COUNTERS, name)
 
 
 def net_order(name: Text) -> Column:
     """Curated names first, in their order, others after."""
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, NET_COUNTERS)), name), F.lit(0)), F.lit(99).cast("bigint"))
-
-
-#: P5, fixed values: category -> (members, prefixes, prefixes not meant).
-CATEGORIES: dict[str, tuple[list[str], list[str], list[str]]] = {
-    "binlog": (["slave_open_temp_tables", "replica_open_temp_tables"], ["binlog_"], []),
-    "buffer-pool": ([], ["innodb_buffer_pool_"], ["innodb_buffer_pool_read", "innodb_buffer_pool_write"]),
-    "com-ddl": ([], ["com_create_", "com_alter_", "com_drop_", "com_rename_"], []),
-    "com-dml": (["com_select", "com_insert", "com_insert_select", "com_update", "com_update_multi", "com_delete", "com_delete_multi", "com_replace", "com_replace_select", "com_load", "com_call_procedure"], [], []),
-    "com-prep": ([], ["com_stmt_"], []),
-    "com-tx": (["com_begin", "com_commit", "com_rollback", "com_rollback_to_savepoint", "com_savepoint", "com_release_savepoint", "com_lock_tables", "com_unlock_tables", "com_xa_start", "com_xa_end", "com_xa_commit", "com_xa_rollback"], [], []),
-    "handlers": ([], ["handler_"], []),
-    "innodb-locks": ([], ["innodb_row_lock_"], []),
-    "innodb-reads": ([], ["innodb_buffer_pool_read", "innodb_data_read", "innodb_pages_read", "innodb_rows_read"], []),
-    "innodb-writes": (["innodb_rows_inserted", "innodb_rows_updated", "innodb_rows_deleted", "innodb_pages_written", "innodb_pages_created"], ["innodb_buffer_pool_write", "innodb_data_writ", "innodb_dblwr_", "innodb_data_fsync"], []),
-    "myisam": ([], ["key_"], []),
-    "network": (["bytes_received", "bytes_sent", "connections", "aborted_clients", "aborted_connects", "max_used_connections", "max_used_connections_time"], ["connection_errors_"], []),
-    "open-tables": (["open_files", "open_streams", "open_tables", "open_table_definitions"], [], []),
-    "pending-io": (["innodb_data_pending_fsyncs", "innodb_os_log_pending_fsyncs"], ["innodb_data_pending_", "innodb_os_log_pending_"], []),
-    "perfschema": ([], ["performance_schema_"], []),
-    "redo-log": ([], ["innodb_log_", "innodb_os_log_", "innodb_redo_log_"], []),
-    "replication": ([], ["slave_", "replica_", "rpl_"], []),
-    "select": ([], ["select_"], []),
-    "sort": ([], ["sort_"], []),
-    "ssl": ([], ["ssl_", "tls_"], []),
-    "table-cache": (["table_open_cache_hits", "table_open_cache_misses", "table_open_cache_overflows", "opened_tables", "open_tables", "opened_table_definitions"], [], []),
-    "threads": (["slow_launch_threads"], ["threads_"], []),
-    "throughput": (["queries", "questions", "slow_queries", "com_select", "uptime"], [], []),
-    "tmp-tables": ([], ["created_tmp_"], []),
-}
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, fixed.NET_COUNTERS)), name), F.lit(0)), F.lit(99).cast("bigint"))
 
 
 def in_category(name: Text, members: list[str], prefixes: list[str], excluded: list[str]) -> Column:
@@ -250,10 +195,10 @@ def in_category(name: Text, members: list[str], prefixes: list[str], excluded: l
             out = out | low.startswith(v)
         return out
 
-    return (low.isin(members) if members else F.lit(False)) | (starts(prefixes) & ~starts(excluded))
+    return (low.isin([m.lower() for m in members]) if members else F.lit(False)) | (starts(prefixes) & ~starts(excluded))
 
 
 def categories(name: Text, table: dict[str, tuple[list[str], list[str], list[str]]] | None = None) -> Column:
-    """P5: all categories of a name, by name."""
-    table = CATEGORIES if table is None else table
-    return F.array_compact(F.array(*[F.when(in_category(name, *rule), F.lit(key)) for key, rule in sorted(table.items())]))
+    """P5: all categories of a name, in the order of the table."""
+    table = fixed.CATEGORIES if table is None else table
+    return F.array_compact(F.array(*[F.when(in_category(name, *rule), F.lit(key)) for key, rule in table.items()]))

@@ -35,9 +35,15 @@ def net_rate(samples: DataFrame) -> DataFrame:
     return net_delta(samples).withColumn("rate", F.when(gap > 0, F.col("delta") / gap))
 
 
+def _counts(rows: DataFrame) -> Column:
+    """Whether a series is a counter: if it is one in any of its samples."""
+    return F.coalesce(F.bool_or("is_counter"), F.lit(False)) if "is_counter" in rows.columns else F.lit(True)
+
+
 def counter_total(deltas: DataFrame) -> DataFrame:
-    """A1: sum of a counter's deltas, negative ones included; null with fewer than two samples."""
-    return deltas.groupBy(*SERIES).agg(F.when(F.count("*") >= 2, F.coalesce(F.sum("delta"), F.lit(0))).alias("total"))
+    """A1: sum of a counter's deltas, negative ones included; null with fewer than two samples, and for gauges where
+    is_counter tells them."""
+    return deltas.groupBy(*SERIES).agg(F.when((F.count("*") >= 2) & _counts(deltas), F.coalesce(F.sum("delta"), F.lit(0))).alias("total"))
 
 
 def observed_seconds(samples: DataFrame) -> DataFrame:
@@ -55,8 +61,9 @@ def counter_rate(samples: DataFrame) -> DataFrame:
 
 
 def gauge_max(samples: DataFrame) -> DataFrame:
-    """A4"""
-    return samples.groupBy(*SERIES).agg(F.max("raw").alias("peak"))
+    """A4: highest value of a gauge; null for counters where is_counter tells them."""
+    gauge = ~_counts(samples) if "is_counter" in samples.columns else F.lit(True)
+    return samples.groupBy(*SERIES).agg(F.when(gauge, F.max("raw")).alias("peak"))
 
 
 def gauge_last(samples: DataFrame) -> DataFrame:

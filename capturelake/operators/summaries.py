@@ -26,9 +26,9 @@ def latch_breakdown(sites: DataFrame, capture: str, snapshot: str) -> tuple[Data
     return at_peak, total
 
 
-def order_latch_sites(sites: DataFrame) -> DataFrame:
-    """T7"""
-    return sites.orderBy(F.desc("wait_count"), "file", "line", "mutex")
+def order_latch_sites(sites: DataFrame, capture: str) -> DataFrame:
+    """Place of a site in its capture."""
+    return sites.withColumn("place", F.row_number().over(Window.partitionBy(capture).orderBy(F.desc("wait_count"), "file", "line", "mutex")))
 
 
 def device_peaks(rows: DataFrame, capture: str) -> DataFrame:
@@ -53,7 +53,7 @@ def memory_extremes(rows: DataFrame, capture: str) -> DataFrame:
 def network_peaks(rates: DataFrame, sockets: DataFrame, capture: str) -> DataFrame:
     """Peak rates and socket counts; zero means nothing seen."""
     peak = lambda c, name: F.nullif(F.max(F.when(F.col("name") == name, F.col(c))), F.lit(0)).alias(f"peak_{name}")
-    r = rates.groupBy(capture).agg(peak("rate", "tcp_retransmits"), peak("rate", "listen_overflows"))
+    r = rates.groupBy(capture).agg(peak("rate", "tcp_retransmits"), peak("rate", "tcp_listen_overflows"))
     s = sockets.withColumnRenamed("state", "name").groupBy(capture).agg(peak("n", "TIME_WAIT"), peak("n", "CLOSE_WAIT"))
     return r.join(s, capture, "full_outer")
 
@@ -82,8 +82,8 @@ def pending_io(status: DataFrame, capture: str, snapshot: str) -> DataFrame:
 
 
 def history_list_series(status: DataFrame, capture: str, snapshot: str) -> DataFrame:
-    """A20"""
-    return status.select(capture, snapshot, "history_list").orderBy(capture, snapshot)
+    """In order of snapshots within a capture; a fleet's captures have no order among them."""
+    return status.select(capture, snapshot, "history_list").repartition(capture).sortWithinPartitions(capture, snapshot)
 
 
 def missing_collectors(files: DataFrame, capture: str) -> DataFrame:
@@ -108,7 +108,7 @@ def top_filesystems(rows: DataFrame, capture: str, k: int = 5) -> DataFrame:
 
 
 def order_net_counters(names: DataFrame, name: str = "name") -> DataFrame:
-    """T10"""
+    """Place of each counter: the known ones in their order, others (99) after them."""
     from capturelake.functions.scalar import net_order
 
-    return names.withColumn("place", net_order(F.col(name))).orderBy("place", name)
+    return names.withColumn("place", net_order(F.col(name)))

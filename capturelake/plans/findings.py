@@ -63,22 +63,22 @@ def rule_dimension(spark: SparkSession) -> DataFrame:
     return dim.select("*", category(F.col("rule_id"), F.col("title"), F.col("formula")).alias("category"), advice(F.col("texts")).alias("advice")).drop("texts")
 
 
-def related(found: DataFrame) -> DataFrame:
-    """capture_id, rule_id, related (id, relationship) for edges whose two ends fired; a repeated target counts once."""
-    edges = F.broadcast(found.sparkSession.createDataFrame(EDGES, "rule_id string, to_id string, relationship string"))
-    ends = found.select("capture_id", F.col("rule_id").alias("to_id"))
-    kept = found.select("capture_id", "rule_id").join(edges, "rule_id").join(ends, ["capture_id", "to_id"], "left_semi")
-    one = kept.groupBy("capture_id", "rule_id", "to_id").agg(F.min("relationship").alias("relationship"))
-    return one.groupBy("capture_id", "rule_id").agg(F.array_sort(F.collect_list(F.struct(F.col("to_id").alias("id"), "relationship"))).alias("related"))
+def related(rule_id: Column, fired: Column) -> Column:
+    """(id, relationship) of the edges of a rule whose other end fired too, by id. No two edges have both ends in common."""
+    edges = F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("id"), F.lit(c).alias("relationship")) for a, b, c in EDGES])
+    kept = F.filter(edges, lambda e: (e["from"] == rule_id) & F.array_contains(fired, e["id"]))
+    return F.array_sort(F.transform(kept, lambda e: F.struct(e["id"].alias("id"), e["relationship"].alias("relationship"))))
 
 
 def findings_table(facts: DataFrame) -> DataFrame:
-    """Findings with evidence, advice, relations and their place in the capture's report."""
+    """Findings with evidence, advice, relations and their place in the capture's report. Relations are
+    looked up in the set of a capture's findings, which needs the shuffle that the order needs; rules are evaluated once."""
     spark = facts.sparkSession
-    found = evaluate(facts)
+    found = evaluate(facts).withColumn("fired", F.collect_set("rule_id").over(Window.partitionBy("capture_id")))
+    found = found.withColumn("related", related(F.col("rule_id"), F.col("fired")))
     evidence = F.transform("metrics", lambda m: F.struct(m["name"].alias("name"), m["value"].alias("value"), S.evidence_kind(m["name"]).alias("kind"), S.evidence_strength(m["name"], m["value"]).alias("strength")))
-    rows = found.join(F.broadcast(rule_dimension(spark)), "rule_id").join(related(found), ["capture_id", "rule_id"], "left")
-    rows = rows.select("capture_id", "rule_id", "subsystem", "title", "topic", "category", "severity", severity_rank(F.col("severity")).alias("severity_rank"), S.confidence(F.col("severity"), F.size("metrics")).alias("confidence"), evidence.alias("evidence"), "advice", F.coalesce("related", F.array().cast("array<struct<id:string,relationship:string>>")).alias("related"))
+    rows = found.join(F.broadcast(rule_dimension(spark)), "rule_id")
+    rows = rows.select("capture_id", "rule_id", "subsystem", "title", "topic", "category", "severity", severity_rank(F.col("severity")).alias("severity_rank"), S.confidence(F.col("severity"), F.size("metrics")).alias("confidence"), evidence.alias("evidence"), "advice", "related")
     subsystem = F.array_position(F.array(*map(F.lit, SUBSYSTEMS)), F.col("subsystem"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("capture_id").orderBy(subsystem, F.desc("severity_rank"), "rule_id")))
 

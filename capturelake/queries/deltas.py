@@ -61,9 +61,11 @@ def net_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.net_rate(_polls(spark, sf_dir)).select("capture_id", "name", "seq", F.round("rate", 6).alias("rate"))
 
 
-@query(f"{T_SQL} SELECT capture_id, name, CAST(total AS BIGINT) AS total FROM t")
+@query(f"{T_SQL} SELECT capture_id, name, CASE WHEN name <> 'signup' THEN CAST(total AS BIGINT) END AS total FROM t")
 def counter_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.counter_total(D.counter_delta(samples(spark, sf_dir)))
+    """Signups are a gauge."""
+    rows = samples(spark, sf_dir).withColumn("is_counter", F.col("name") != "signup")
+    return D.counter_total(D.counter_delta(rows))
 
 
 @query(f"{T_SQL} SELECT capture_id, CAST(observed_seconds AS BIGINT) AS observed_seconds FROM o")
@@ -76,9 +78,10 @@ def counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.counter_rate(samples(spark, sf_dir)).select("capture_id", "name", "total", "observed_seconds", F.round("rate", 9).alias("rate"))
 
 
-@query(f"WITH {S_SQL} SELECT capture_id, name, max(raw) AS peak FROM s GROUP BY ALL")
+@query(f"WITH {S_SQL} SELECT capture_id, name, max(CASE WHEN name = 'signup' THEN raw END) AS peak FROM s GROUP BY ALL")
 def gauge_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.gauge_max(samples(spark, sf_dir))
+    """Signups are a gauge, the others counters."""
+    return D.gauge_max(samples(spark, sf_dir).withColumn("is_counter", F.col("name") != "signup"))
 
 
 @query(f"WITH {S_SQL} SELECT capture_id, name, arg_max(raw, (snapshot, ts, seq)) AS last_value FROM s WHERE raw IS NOT NULL GROUP BY ALL")
@@ -161,23 +164,3 @@ def section_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return D.section_scope(lines, ["doc_id"], "n", F.when(F.char_length("line") < 40, F.col("line"))).select("doc_id", F.col("n").cast("bigint").alias("n"), "section")
-
-
-PAGES = "('data', 'free', 'misc', 'old', 'dirty', 'total')"
-NAME_LIST = [*S.EXPLICIT_COUNTERS, *S.EXPLICIT_GAUGES, "Com_x", "Handler_x", "Connection_errors_x", "Innodb_rows_x", "Performance_schema_x", "Innodb_buffer_pool_pages_dirty", "Innodb_buffer_pool_pages_flushed", "Mystery_x", "Slave_x", "Ssl_x"]
-NAMES_SQL = f"n AS (SELECT p_partkey, ({NAME_LIST!r})[p_partkey % {len(NAME_LIST)} + 1] AS name FROM part)"
-
-
-@query(f"""WITH {NAMES_SQL} SELECT p_partkey, name, CASE WHEN name IN {tuple(S.EXPLICIT_COUNTERS)} THEN true WHEN name IN {tuple(S.EXPLICIT_GAUGES)} THEN false
-WHEN starts_with(lower(name), 'innodb_buffer_pool_pages_') THEN substr(lower(name), 26) NOT IN {PAGES}
-ELSE regexp_matches(lower(name), '^(com_|handler_|connection_errors_|innodb_rows_|performance_schema_)') END AS is_counter FROM n""")
-def counter_or_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are part types, with families as prefixes."""
-    return _named(spark, sf_dir).select("p_partkey", "name", S.is_counter(F.col("name")).alias("is_counter"))
-
-
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter names made of the parts' sizes, so that every rule of the classifier occurs."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    pick = F.element_at(F.array(*map(F.lit, NAME_LIST)), (F.col("p_partkey") % len(NAME_LIST) + 1).cast("int"))
-    return parts.select("p_partkey", pick.alias("name"))

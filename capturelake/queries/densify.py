@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.catalog import query
-from capturelake.functions import scalar as S
 from capturelake.operators import densify as D
-from capturelake.queries.deltas import NAMES_SQL, S_SQL, _named, samples
+from capturelake.queries.deltas import S_SQL, samples
 
 DAY = "seconds // 86400 AS day"
 
@@ -104,64 +103,11 @@ def top_labels_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.top_labels_other(text, ["capture_id"], "device", "month", "value", order="order")
 
 
-@query("SELECT source AS label, row_number() OVER (ORDER BY source = 'Other', source) AS place FROM (SELECT DISTINCT CASE WHEN source = 'src3' THEN 'Other' ELSE source END AS source FROM documents)")
+@query("SELECT lang, label, row_number() OVER (PARTITION BY lang ORDER BY label = 'Other', label) AS place FROM (SELECT DISTINCT lang, CASE WHEN source = 'src3' THEN 'Other' ELSE source END AS label FROM documents)")
 def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language is a capture."""
     from pyspark.sql import Window
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = docs.select(F.when(F.col("source") == "src3", "Other").otherwise(F.col("source")).alias("label")).distinct()
-    return labels.withColumn("place", F.row_number().over(Window.orderBy(*D.order_labels(F.col("label")))).cast("bigint"))
-
-
-_CAT = " UNION ALL ".join(
-    f"SELECT '{k}' AS category, p_partkey, name FROM n WHERE {('lower(name) IN (' + ', '.join(map(repr, m)) + ')') if m else 'false'}"
-    + (" OR ((" + " OR ".join(f"starts_with(lower(name), {x!r})" for x in p) + ")" + "".join(f" AND NOT starts_with(lower(name), {x!r})" for x in e) + ")" if p else "")
-    for k, (m, p, e) in S.CATEGORIES.items()
-)
-
-
-@query(f"WITH {NAMES_SQL} SELECT * FROM ({_CAT})")
-def tag_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark, sf_dir).select(F.explode(S.categories(F.col("name"))).alias("category"), "p_partkey", "name")
-
-
-_KEYS = ", ".join(f"('{k}')" for k in S.CATEGORIES)
-
-
-@query(f"WITH {NAMES_SQL}, c AS (SELECT category, count(*) AS n FROM (SELECT DISTINCT category, name FROM ({_CAT})) GROUP BY ALL) SELECT k.category, coalesce(c.n, 0) AS n FROM (VALUES {_KEYS}) k(category) LEFT JOIN c ON c.category = k.category")
-def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories without a match count 0."""
-    names = _named(spark, sf_dir).select("name").distinct()
-    found = names.select(F.explode(S.categories(F.col("name"))).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
-    every = spark.createDataFrame([(k,) for k in S.CATEGORIES], "category string")
-    return every.join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query(f"WITH {NAMES_SQL} SELECT DISTINCT name, lower(name) AS sort_key FROM n WHERE contains(lower(name), 'cache')")
-def select_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _named(spark, sf_dir).select("name").distinct()
-    return names.filter(F.lower("name").contains("cache")).select("name", F.lower("name").alias("sort_key")).orderBy("sort_key")
-
-
-PREFERRED = ["Com_x", "Queries", "Innodb_rows_x", "Uptime"]
-
-
-@query(f"WITH {NAMES_SQL}, c AS (SELECT DISTINCT name FROM n WHERE name IN {tuple(S.EXPLICIT_COUNTERS)} OR name IN ('Com_x', 'Handler_x', 'Connection_errors_x', 'Innodb_rows_x', 'Performance_schema_x', 'Innodb_buffer_pool_pages_flushed')), k AS (SELECT name, row_number() OVER (ORDER BY coalesce(nullif(list_position({PREFERRED!r}, name), 0), 99), name) AS rank FROM c) SELECT name, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
-def default_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preferred names that are counters, then others by name, five at most."""
-    from pyspark.sql import Window
-
-    names = _named(spark, sf_dir).select("name").distinct().filter(S.is_counter(F.col("name")))
-    first = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PREFERRED)), F.col("name")), F.lit(0)), F.lit(99).cast("bigint"))
-    return names.withColumn("rank", F.row_number().over(Window.orderBy(first, "name"))).filter("rank <= 5")
-
-
-HOST_GROUPS = {"runqueue": "procs", "blocked": "procs", "free_kb": "memory", "buff_kb": "memory", "cache_kb": "memory", "swap_in": "memory", "swap_out": "memory", "io_in": "io", "io_out": "io", "cpu_user": "cpu", "cpu_sys": "cpu", "cpu_idle": "cpu", "cpu_iowait": "cpu"}
-
-
-@query("WITH u AS (SELECT l_orderkey, l_linenumber, unnest([('runqueue', 'procs', l_quantity), ('io_in', 'io', l_tax), ('cpu_user', 'cpu', l_discount)]) AS x FROM lineitem) SELECT x[1] AS metric, x[2] AS metric_group, count(*) AS n, round(max(x[3]), 6) AS peak FROM u GROUP BY ALL")
-def host_metric_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host metrics as rows with their group."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("runqueue"), F.col("l_tax").alias("io_in"), F.col("l_discount").alias("cpu_user"))
-    rows = items.unpivot(["l_orderkey", "l_linenumber"], ["runqueue", "io_in", "cpu_user"], "metric", "value")
-    return rows.groupBy("metric", S.lookup(F.col("metric"), HOST_GROUPS).alias("metric_group")).agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("peak"))
+    labels = docs.select("lang", F.when(F.col("source") == "src3", "Other").otherwise(F.col("source")).alias("label")).distinct()
+    return labels.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*D.order_labels(F.col("label")))).cast("bigint"))

@@ -4,6 +4,8 @@ A user group is a capture, a week a snapshot, a day with events a sample, an eve
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,9 +101,36 @@ def read_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_device(_device_lines(spark, sf_dir)).select("capture_id", _when(), "sample_idx", "device", "util_percent", "avgqu_sz")
 
 
-@query(f"{D_SQL} SELECT capture_id, 'warning' AS severity, count(*) AS n FROM d WHERE name = 'error' GROUP BY ALL")
+@query(f"""{D_SQL}, t AS (SELECT capture_id, week, day, sum(n) AS n FROM d GROUP BY ALL), f AS (SELECT capture_id, week, count(*) AS days FROM t GROUP BY ALL)
+SELECT 'iostat' AS suffix, capture_id, week * {WEEK} AS at, 'warning' AS severity, count(*) AS n FROM d WHERE name = 'error' GROUP BY ALL
+UNION ALL SELECT 'variables', capture_id, week * {WEEK}, 'warning', days - 1 FROM f WHERE days > 1
+UNION ALL SELECT 'mysqladmin', capture_id, week * {WEEK}, 'warning', count(*) FROM (SELECT capture_id, week, name, max(day) AS last FROM d GROUP BY ALL) JOIN (SELECT capture_id, week, max(day) AS whole FROM d GROUP BY ALL) USING (capture_id, week) WHERE last < whole GROUP BY ALL
+UNION ALL SELECT 'meminfo', capture_id, week * {WEEK}, 'error', 1 FROM f WHERE capture_id = 'c3' UNION ALL SELECT 'meminfo', capture_id, week * {WEEK}, 'warning', 5 FROM f
+UNION ALL SELECT 'netstat', capture_id, week * {WEEK}, 'info', 1 FROM f UNION ALL SELECT 'netstat', capture_id, week * {WEEK}, 'warning', days FROM f
+UNION ALL SELECT 'vmstat', capture_id, week * {WEEK}, 'warning', 1 FROM f
+UNION ALL SELECT 'top', capture_id, week * {WEEK}, 'warning', days FROM f
+UNION ALL SELECT 'innodbstatus1', capture_id, week * {WEEK}, 'warning', 1 FROM f WHERE capture_id = 'c1'
+UNION ALL SELECT 'processlist', capture_id, week * {WEEK}, 'warning', days FROM f""")
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.read_device_rejects(_device_lines(spark, sf_dir)).groupBy("capture_id", "severity").agg(F.count("*").alias("n"))
+    """A file of every collector with lines that its reader cannot use, and what the readers say of them."""
+    d = days(spark, sf_dir)
+    t = d.groupBy("capture", "prefix", "week", "day").agg(F.sum("n").alias("n"))
+    one = t.groupBy("capture", "prefix").agg(F.first("week").alias("week"), F.min("day").alias("day"))
+    line = lambda text, rank=1: t.withColumn("ord", _ord(F.col("day"), rank)).withColumn("line", text if isinstance(text, Column) else F.lit(text))
+    swap = F.when(F.col("capture") == "c3", "SwapTotal: 1 kB").otherwise("SwapTotal: 1 kB\nSwapFree: 1 kB")
+    stamp = F.format_string("TS %d 2026-01-01", F.col("week") * WEEK + F.col("day") * 86400)
+    lines = {
+        "iostat": _device_lines(spark, sf_dir), "mysqladmin": _status_lines(spark, sf_dir),
+        "variables": _write(spark, "variables", line("a\t1"), _heads(one, "Variable_name\tValue")),
+        "meminfo": _write(spark, "meminfo", line(F.concat(swap, F.lit("\nMemFree: 1 kB\nCached: 2 kB"))), _heads(t, stamp)),
+        "netstat": _write(spark, "netstat", line("tcp 0 0 a b")),
+        "vmstat": _write(spark, "vmstat", line(" 1 2 3"), _heads(one, " 9 9 9", " r  b  free")),
+        "top": _write(spark, "top", line("x mysql 20 0 1g 2g 3m S 1 1.0 0:01.00 c"), _heads(t, "top - 10:00:00 up 3 days", "  PID USER PR NI VIRT RES SHR S %CPU %MEM TIME+ COMMAND")),
+        "innodbstatus1": _write(spark, "innodbstatus1", line(F.when(F.col("capture") == "c1", "nothing known").otherwise("SEMAPHORES"))),
+        "processlist": _write(spark, "processlist", line("TS never 2026")),
+    }
+    said = [R.REJECTS[c](rows).groupBy("capture_id", "prefix", "severity").agg(F.count("*").alias("n")).select(F.lit(c).alias("suffix"), "capture_id", F.unix_seconds(S.snapshot_ts(F.col("prefix"))).alias("at"), "severity", "n") for c, rows in lines.items()]
+    return reduce(DataFrame.union, said)
 
 
 @query(f"""{D_SQL}, c AS (SELECT *, day * 18000 % 86400 AS clock FROM d), b AS (SELECT DISTINCT capture_id, week, day, clock FROM c),
@@ -212,11 +241,15 @@ def read_sockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("capture_id", _when(), "state", "n", "recvq_nonzero", "sendq_nonzero")
 
 
-@query(f"{D_SQL}, t AS (SELECT capture_id, week, day, sum(n) AS n FROM d GROUP BY ALL), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS INTEGER) AS poll_idx FROM t) SELECT capture_id, week * {WEEK} + day * 86400 AS at, poll_idx, unnest(['tcp_retransmits', 'listen_overflows']) AS counter, CAST(unnest([n, n * 2]) AS DOUBLE) AS raw FROM p")
+@query(f"{D_SQL}, t AS (SELECT capture_id, week, day, sum(n) AS n FROM d GROUP BY ALL), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS INTEGER) AS poll_idx FROM t) SELECT capture_id, week * {WEEK} + day * 86400 AS at, poll_idx, unnest(['tcp_retransmits', 'tcp_listen_overflows', 'tcp_backlog_drop', 'tcp_syncookies_sent', 'tcp_syn_retrans', 'udp_pkts_in', 'udp_rcvbuf_errors', 'udp_sndbuf_errors', 'tcp_failed_conns']) AS counter, CAST(unnest([n, n * 2, n * 3, n + 1, n + 2, n + 3, n + 4, n + 5, n + 6]) AS DOUBLE) AS raw FROM p")
 def read_net_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same label in another section is not a counter."""
     t = days(spark, sf_dir).groupBy("capture", "prefix", "week", "day").agg(F.sum("n").alias("n"))
-    line = _text("Tcp:\n    ", F.col("n"), " segments retransmitted\nIcmp:\n    99 segments retransmitted\nTcpExt:\n    times the listen queue of a socket overflowed: ", F.col("n") * 2)
+    n = F.col("n")
+    line = _text(
+        "Ip:\n    1 total packets received\nTcp:\n    ", n, " segments retransmitted\n    ", n + 6, " failed connection attempts\nIcmp:\n    99 segments retransmitted\nTcpExt:\n    TCPListenOverflows: ", n * 2, "\n    TCPBacklogDrop: ", n * 3,
+        "\n    SyncookiesSent: ", n + 1, "\n    TCPSynRetrans: ", n + 2, "\n    TCPTimeouts: 7\nUdp:\n    ", n + 3, " packets received\n    ", n + 4, " receive buffer errors\n    ", n + 5, " send buffer errors\nUdpLite:\n    5 packets received",
+    )
     body = t.withColumn("ord", _ord(F.col("day"), 1)).withColumn("line", line)
     stamp = F.format_string("TS %d 2026-01-01", F.col("week") * WEEK + F.col("day") * 86400)
     got = R.read_net_counters(_write(spark, "netstat_s", body, _heads(t, stamp)))
@@ -236,9 +269,9 @@ def read_hostname(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_hostname(_write(spark, "hostname", c.withColumn("ord", _ord(F.col("key"), 0)).withColumn("line", line))).select("capture_id", "hostname")
 
 
-@query("SELECT 'c' || c_nationkey AS capture_id, 'vm.swappiness' AS key, CAST(max(c_custkey) AS VARCHAR) AS value FROM customer GROUP BY ALL")
+@query("WITH m AS (SELECT 'c' || c_nationkey AS capture_id, max(c_custkey) AS k FROM customer GROUP BY ALL) SELECT capture_id, unnest(['vm.swappiness', 'kernel.osrelease', 'kernel.version']) AS key, unnest([CAST(k AS VARCHAR), '5.14.0-' || k || '.el9.x86_64', '#1 SMP = x']) AS value FROM m")
 def read_sysctl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _customers(spark, sf_dir).withColumn("ord", _ord(F.col("key"), 0)).withColumn("line", _text("vm.swappiness = ", F.col("key"), "\nvm.other = 3"))
+    c = _customers(spark, sf_dir).withColumn("ord", _ord(F.col("key"), 0)).withColumn("line", _text("vm.swappiness = ", F.col("key"), "\nvm.other = 3\nkernel.osrelease = 5.14.0-", F.col("key"), ".el9.x86_64\nkernel.version = #1 SMP = x"))
     return R.read_sysctl(_write(spark, "sysctl", c)).select("capture_id", "key", "value")
 
 
@@ -279,11 +312,11 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 
     d = days(spark, sf_dir).withColumn("suffix", F.coalesce(lookup(F.col("name"), {"click": "iostat", "view": "top", "error": "hostname", "purchase": "vmstat"}), F.lit("other")))
     root = S.shared_folder(spark)
-    S.land(d.select("capture", "prefix", "suffix", _ord(F.col("day"), 0).alias("ord"), F.lit("top - procs").alias("line")), root)
+    S.land(d.select("capture", "prefix", "suffix", _ord(F.col("day"), 0).alias("ord"), F.when(F.col("suffix") == "vmstat", "procs memory").when(F.col("suffix") == "top", "PID COMMAND ").otherwise("top - procs ").alias("line")), root)
     return root, S.scan_files(spark, root)
 
 
-FILES = f"{D_SQL}, f AS (SELECT DISTINCT capture_id, week, CASE name WHEN 'click' THEN 'iostat' WHEN 'view' THEN 'top' WHEN 'error' THEN 'hostname' WHEN 'purchase' THEN 'vmstat' ELSE 'other' END AS suffix, count(*) * 12 AS size FROM d GROUP BY ALL)"
+FILES = f"{D_SQL}, f AS (SELECT DISTINCT capture_id, week, CASE name WHEN 'click' THEN 'iostat' WHEN 'view' THEN 'top' WHEN 'error' THEN 'hostname' WHEN 'purchase' THEN 'vmstat' ELSE 'other' END AS suffix, count(*) * 13 AS size FROM d GROUP BY ALL)"
 
 
 @query(f"{FILES} SELECT capture_id, week * {WEEK} AS at, suffix, CAST(sum(size) AS BIGINT) AS size FROM f GROUP BY ALL")
@@ -341,3 +374,43 @@ def series_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.parquet(root)
     values = F.filter(F.col("points.value"), lambda v: v.isNotNull())
     return back.select(F.col("capture_id").cast("string").alias("capture_id"), "label", F.size("points").cast("bigint").alias("points"), F.size(values).cast("bigint").alias("values"), F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+
+
+#: What an event type is here: a status name.
+_COUNTER = {"click": "Select_full_join", "view": "Select_scan", "purchase": "Innodb_buffer_pool_wait_free", "error": "Aborted_connects", "signup": "Threads_running"}
+
+
+@query(f"""{D_SQL}, i AS (SELECT *, dense_rank() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS i FROM d),
+s AS (SELECT *, n - lag(n) OVER (PARTITION BY capture_id, week, name ORDER BY i) AS delta FROM i),
+o AS (SELECT capture_id, sum(span) AS secs FROM (SELECT capture_id, week, max(i) - min(i) AS span FROM i GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT s.capture_id, name, CASE WHEN count(*) >= 2 AND any_value(secs) > 0 THEN coalesce(sum(delta), 0) / any_value(secs) END AS rate, max(n) AS peak FROM s JOIN o ON o.capture_id = s.capture_id GROUP BY ALL),
+v AS (SELECT capture_id, name, rate, peak, 200 + CAST(substr(capture_id, 2) AS INTEGER) * 100 AS limit_of FROM r),
+f AS (SELECT capture_id, 'queryshape.select_full_join' AS rule_id, CASE WHEN rate > 1 THEN 'crit' WHEN rate > 0 THEN 'warn' END AS severity FROM v WHERE name = 'click'
+UNION ALL SELECT capture_id, 'queryshape.select_scan', CASE WHEN rate > 10 THEN 'crit' WHEN rate > 0 THEN 'warn' END FROM v WHERE name = 'view'
+UNION ALL SELECT capture_id, 'bp.wait_free', CASE WHEN rate > 0 THEN 'crit' END FROM v WHERE name = 'purchase'
+UNION ALL SELECT capture_id, 'connections.aborted_rate', CASE WHEN rate > 1 THEN 'crit' WHEN rate > 0.1 THEN 'warn' WHEN rate > 0 THEN 'ok' END FROM v WHERE name = 'error'
+UNION ALL SELECT capture_id, 'connections.saturation', CASE WHEN peak >= 100 THEN 'crit' WHEN peak >= 50 THEN 'warn' ELSE 'ok' END FROM v WHERE name = 'signup'
+UNION ALL SELECT capture_id, 'thread.max_queue_depth', CASE WHEN peak >= 0.9 * limit_of THEN 'crit' WHEN peak >= 0.5 * limit_of THEN 'warn' WHEN peak > 0 THEN 'ok' END FROM v WHERE name = 'signup'
+UNION ALL SELECT DISTINCT capture_id, 'queryshape.observed_slow_processlist', CASE capture_id WHEN 'c1' THEN 'crit' WHEN 'c2' THEN 'warn' END FROM v
+UNION ALL SELECT capture_id, 'innodb.semaphores', CASE WHEN max(days) >= 500 THEN 'crit' ELSE 'warn' END FROM (SELECT capture_id, week, count(DISTINCT day) AS days FROM d GROUP BY ALL) GROUP BY ALL)
+SELECT * FROM f WHERE severity IS NOT NULL""")
+def files_to_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files of four collectors, read to facts, rated, written by the sink and read back."""
+    from capturelake.functions.scalar import lookup
+    from capturelake.plans import fleet
+    from capturelake.sources.sinks import write_findings
+
+    d = days(spark, sf_dir)
+    root = S.shared_folder(spark)
+    rows = d.withColumn("ord", _ord(F.col("day"), 1, F.col("name"))).withColumn("line", _text("| ", lookup(F.col("name"), _COUNTER), " | ", F.col("n"), " |")).select("capture", "prefix", "ord", "line")
+    one = d.groupBy("capture", "prefix").agg(F.first("week").alias("week"), F.min("day").alias("day")).withColumn("ord", _ord(1, 1))
+    limit = F.substring("capture", 2, 9).cast("int") * 100 + 200
+    variables = one.withColumn("line", _text("max_connections\t", limit)).select("capture", "prefix", "ord", "line").union(_heads(one, "Variable_name\tValue", rank=-9))
+    thread = lambda state, ms: F.lit(f"*** 1. row ***\n   User: a\nCommand: Query\n   Time: 1\n  State: {state}\n   Info: ALTER TABLE t\nTime_ms: {ms}")
+    threads = one.withColumn("line", F.when(F.col("capture") == "c1", thread("Waiting for table metadata lock", 61000)).when(F.col("capture") == "c2", thread("executing", 60000)).otherwise(thread("executing", 59999)))
+    waits = d.select("capture", "prefix", "day").distinct().withColumn("ord", _ord(F.col("day"), 1)).withColumn("line", F.lit("--Thread 1 has waited at a.cc line 5 for 0.1 seconds the semaphore:"))
+    files = {"mysqladmin": rows.union(_heads(d, "| Variable_name | Value |")), "variables": variables, "processlist": threads, "innodbstatus1": waits}
+    for suffix, text in files.items():
+        S.land(text.select("capture", "prefix", "ord", "line").withColumn("suffix", F.lit(suffix)), f"{root}/in")
+    write_findings(fleet.findings(spark, f"{root}/in"), f"{root}/findings")
+    return spark.read.parquet(f"{root}/findings").select("capture_id", "rule_id", "severity")

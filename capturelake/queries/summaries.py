@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,7 @@ def latch_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{T_SQL} SELECT capture_id, file, line, mutex, wait_count, row_number() OVER (PARTITION BY capture_id ORDER BY wait_count DESC, file, line, mutex) AS place FROM t")
 def order_latch_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = M.latch_breakdown(_sites(spark, sf_dir), "capture_id", "snapshot")[1].drop("pct")
-    place = F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("wait_count"), "file", "line", "mutex"))
-    return M.order_latch_sites(total.withColumn("place", place.cast("bigint")))
+    return M.order_latch_sites(total, "capture_id").withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("""WITH d AS (SELECT l_orderkey % 500 AS capture_id, l_suppkey AS device, l_quantity AS u, l_tax - 0.04 AS q FROM lineitem)
@@ -68,7 +69,7 @@ def memory_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.memory_extremes(items, "capture_id")
 
 
-NETWORK = {"click": "tcp_retransmits", "view": "listen_overflows"}
+NETWORK = {"click": "tcp_retransmits", "view": "tcp_listen_overflows"}
 SOCKETS = {"click": "TIME_WAIT", "error": "CLOSE_WAIT"}
 
 
@@ -77,7 +78,7 @@ n AS (SELECT capture_id, name, CASE WHEN raw >= r0 AND seconds > s0 THEN (raw -
 a AS (SELECT capture_id, nullif(max(rate) FILTER (WHERE name = 'click'), 0) AS x, nullif(max(rate) FILTER (WHERE name = 'view'), 0) AS y FROM n GROUP BY ALL),
 dd AS (SELECT capture_id, name, seconds // 86400 AS day, count(*) AS n FROM s GROUP BY ALL),
 b AS (SELECT capture_id, nullif(max(n) FILTER (WHERE name = 'click'), 0) AS t, nullif(max(n) FILTER (WHERE name = 'error'), 0) AS c FROM dd GROUP BY ALL)
-SELECT a.capture_id, round(x, 6) AS peak_tcp_retransmits, round(y, 6) AS peak_listen_overflows, t AS "peak_TIME_WAIT", c AS "peak_CLOSE_WAIT" FROM a JOIN b ON a.capture_id = b.capture_id""")
+SELECT a.capture_id, round(x, 6) AS peak_tcp_retransmits, round(y, 6) AS peak_tcp_listen_overflows, t AS "peak_TIME_WAIT", c AS "peak_CLOSE_WAIT" FROM a JOIN b ON a.capture_id = b.capture_id""")
 def network_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from capturelake.operators import deltas as D
 
@@ -86,7 +87,7 @@ def network_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = D.net_rate(polls).withColumn("name", S.lookup(F.col("name"), NETWORK))
     sockets = rows.withColumn("state", S.lookup(F.col("name"), SOCKETS)).groupBy("capture_id", F.expr("seconds div 86400").alias("day"), "state").agg(F.count("*").alias("n"))
     out = M.network_peaks(rates, sockets, "capture_id")
-    return out.withColumns({c: F.round(c, 6) for c in ("peak_tcp_retransmits", "peak_listen_overflows")})
+    return out.withColumns({c: F.round(c, 6) for c in ("peak_tcp_retransmits", "peak_tcp_listen_overflows")})
 
 
 #: engine status of an order: remainders of its key, so that zero, small and large values occur.
@@ -240,24 +241,28 @@ def top_filesystems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_filesystems(rows, "capture_id")
 
 
-_NET = [*S.NET_COUNTERS, "zeta", "alpha"]
+#: Display names by hand, in order.
+_NET_SQL = """('tcp_segs_in', 'TCP segs in/s', 1), ('tcp_segs_out', 'TCP segs out/s', 2), ('tcp_retransmits', 'TCP retransmits/s', 3), ('tcp_syn_retrans', 'TCP SYN retransmits/s', 4), ('tcp_resets_recv', 'RST received/s', 5),
+('tcp_resets_sent', 'RST sent/s', 6), ('tcp_failed_conns', 'Failed connect/s', 7), ('tcp_bad_segs', 'Bad segments/s', 8), ('tcp_listen_overflows', 'Listen overflows/s', 9), ('tcp_backlog_drop', 'Backlog drops/s', 10),
+('tcp_syncookies_sent', 'SYN cookies/s', 11), ('tcp_active_opens', 'Active opens/s', 12), ('tcp_passive_opens', 'Passive opens/s', 13), ('udp_pkts_in', 'UDP in/s', 14), ('udp_pkts_out', 'UDP out/s', 15),
+('udp_recv_errors', 'UDP recv errors/s', 16), ('udp_rcvbuf_errors', 'UDP rcvbuf errors/s', 17), ('udp_sndbuf_errors', 'UDP sndbuf errors/s', 18), ('zeta', 'zeta', 99), ('alpha', 'alpha', 99)"""
+_NET = re.findall(r"\('([a-z_]+)', '[^']*', \d+\)", _NET_SQL)
+_N_SQL = f"WITH l AS (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {_NET_SQL}) v(name, label, place)), n AS (SELECT o_orderkey, l.* FROM orders JOIN l ON o_orderkey % {len(_NET)} = i)"
 
 
-@query(f"SELECT name, coalesce(nullif(list_position({list(S.NET_COUNTERS)!r}, name), 0), 99)::BIGINT AS place FROM (SELECT DISTINCT ({_NET!r})[o_orderkey % {len(_NET)} + 1] AS name FROM orders)")
-def order_net_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _net_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    names = orders.select(F.element_at(F.array(*map(F.lit, _NET)), (F.col("o_orderkey") % len(_NET) + 1).cast("int")).alias("name")).distinct()
-    return M.order_net_counters(names)
+    return orders.select("o_orderkey", F.element_at(F.array(*map(F.lit, _NET)), (F.col("o_orderkey") % len(_NET) + 1).cast("int")).alias("name"))
 
 
-_LABELS = ", ".join(f"('{k}', '{v}')" for k, v in S.NET_COUNTERS.items())
+@query(f"{_N_SQL} SELECT DISTINCT name, CAST(place AS BIGINT) AS place FROM n")
+def order_net_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.order_net_counters(_net_names(spark, sf_dir).select("name").distinct())
 
 
-@query(f"WITH n AS (SELECT o_orderkey, ({_NET!r})[o_orderkey % {len(_NET)} + 1] AS name FROM orders) SELECT o_orderkey, coalesce(l.label, n.name) AS label FROM n LEFT JOIN (VALUES {_LABELS}) l(name, label) ON l.name = n.name")
+@query(f"{_N_SQL} SELECT o_orderkey, label FROM n")
 def net_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    name = F.element_at(F.array(*map(F.lit, _NET)), (F.col("o_orderkey") % len(_NET) + 1).cast("int"))
-    return orders.select("o_orderkey", S.net_display_name(name).alias("label"))
+    return _net_names(spark, sf_dir).select("o_orderkey", S.net_display_name(F.col("name")).alias("label"))
 
 
 _TOKENS = [*S.SOCKET_STATES, "weird"]

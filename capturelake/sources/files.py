@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from capturelake.functions.fixed import MARKS
 from capturelake.functions.scalar import snapshot_ts
 
 NAME = r"/(?:capture=)?([^/]+)/(?:file=)?(\d{4}(?:_\d\d){5})-([A-Za-z0-9_]+?)(?:\.gz)?(?:/[^/]*)?$"
@@ -18,15 +21,15 @@ COLLECTORS = ["iostat", "top", "variables", "vmstat", "meminfo", "innodbstatus1"
 SIDECARS = ["hostname", "meminfo", "procstat", "sysctl", "top", "df", "output"]
 SIZE_LIMIT = 200 << 20
 
-#: S5, fixed values: marks in the first 8 KiB of a supported file.
-MARKS = {
-    "iostat": "Device", "top": "top - ", "variables": "Variable_name", "vmstat": "procs", "meminfo": "MemTotal", "innodbstatus1": "INNODB MONITOR OUTPUT", "mysqladmin": "Variable_name", "processlist": "row ***", "netstat": "Recv-Q", "netstat_s": "Tcp:",
-}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; a temporary one only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new folder in the one that the cluster shares. Where none is set, a local session gets a temporary one, and a
+    cluster an error: a folder of one machine would be lost with it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"file://{tempfile.gettempdir()}"
     return f"{at.rstrip('/')}/capturelake-{uuid.uuid4().hex}"
 
 
@@ -37,16 +40,45 @@ def _named(path: Column) -> list[Column]:
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """capture_id, prefix, suffix, path, size, snapshot_ts of every capture file; contents are not read.
 
-    A scan leaves out empty files; they come from the listing that the driver makes for any scan."""
+    A scan leaves out empty files, so each folder that holds files of a capture is listed once more by the task that has it."""
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     plain = lambda c: F.regexp_replace(c, r"^([a-z0-9]+):/+", "$1:/")
     found = source.select(plain(F.col("path")).alias("path"), F.col("length").alias("size"))
-    listed = spark.createDataFrame([(p,) for p in source.inputFiles()], "url string").select(plain(F.url_decode("url")).alias("path"))
-    every = found.union(listed.join(found, "path", "left_anti").select("path", F.lit(0).cast("bigint")))
-    rows = every.select("path", "size", *_named(F.col("path"))).filter("prefix <> ''")
+    rows = found.union(_empty_files(spark, root).select(plain(F.col("path")).alias("path"), F.lit(0).cast("bigint").alias("size"))).select("path", "size", *_named(F.col("path"))).filter("prefix <> ''")
     return rows.withColumn("snapshot_ts", snapshot_ts(F.col("prefix")))
 
 
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of empty files below root. Only the captures' folders pass the driver; tasks list what is in them, with
+    Arrow's file systems. Where Arrow does not know the scheme, the driver walks the listing and keeps the empty ones only."""
+    from pyarrow import fs
+
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        fs.FileSystem.from_uri(files.getFileStatus(top).getPath().toString())
+    except (ValueError, OSError, NotImplementedError):
+        walk, out = files.listFiles(top, True), []
+        while walk.hasNext():
+            f = walk.next()
+            if f.getLen() == 0:
+                out.append((f.getPath().toString(),))
+        return spark.createDataFrame(out, "path string")
+
+    def empties(batches):
+        for batch in batches:
+            out = []
+            for folder in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(folder)
+                head = folder[: len(folder) - len(at)] if folder.endswith(at) else "file:"
+                out += [head + x.path for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.is_file and x.size == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["path"])
+
+    captures = [(x.getPath().toString(),) for x in files.listStatus(top) if x.isDirectory()]
+    folders = spark.createDataFrame(captures, "folder string")
+    return folders.repartition(max(1, min(len(captures), spark.sparkContext.defaultParallelism))).mapInArrow(empties, "path string")
+
+
 def capture_roots(files: DataFrame, root: str, max_depth: int = 8) -> DataFrame:
     """Folders that hold capture files, and how many; hidden folders and those more than max_depth below root are left out."""
     folder = F.regexp_extract("path", r"^(.*?)/(?:file=)?\d{4}(?:_\d\d){5}-", 1)
@@ -70,11 +102,14 @@ def oversize_files(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
     return files.filter(F.col("size") > limit).select("capture_id", "path", F.lit("file").alias("location"), F.lit("error").alias("severity"), F.concat(F.lit("larger than "), F.lit(str(limit)), F.lit(" bytes")).alias("message"))
 
 
-def lines(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """capture_id, prefix, start, path, n, line of a collector's files, in file order.
+def lines(spark: SparkSession, root: str, suffix: str, limit: int = SIZE_LIMIT, only: str | None = None) -> DataFrame:
+    """capture_id, prefix, start, path, n, line of a collector's files, in file order; files above the limit are left out.
 
-    Position and id are taken on the scan itself, before anything moves; part files of one capture file follow by name."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(f"{root}/*/*-{suffix}{{,.gz}}")
+    Position and id are taken on the scan itself, before anything moves; part files of one capture file follow by name. A
+    pattern (only) drops lines before they are numbered and moved: for readers that look at single lines and their order."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(f"{root}/*/*-{suffix}{{,.gz}}").filter(F.col("_metadata.file_size") <= limit)
+    if only:
+        raw = raw.filter(F.col("value").rlike(only))
     at = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
     named = at.select(*_named(F.col("path")), F.regexp_replace("path", r"/[^/]*part-[^/]*$", "").alias("file"), "path", "block", "id", F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line"))
     n = F.row_number().over(Window.partitionBy("file").orderBy("path", "block", "id"))
@@ -82,18 +117,27 @@ def lines(spark: SparkSession, root: str, suffix: str) -> DataFrame:
 
 
 def detect_format(lines: DataFrame, suffix: str) -> DataFrame:
-    """Whether a file's first 8 KiB bear the collector's mark."""
-    head = lines.withColumn("upto", F.sum(F.octet_length("line") + 1).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    return head.groupBy("capture_id", "prefix", "path").agg(F.when(F.bool_or((F.col("upto") - F.octet_length("line") - 1 < 8192) & F.col("line").contains(MARKS[suffix])), "v1").otherwise("unsupported").alias("format"))
+    """Whether a file's first 8 KiB bear the collector's marks."""
+    before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    head = lines.withColumn("before", F.coalesce(before, F.lit(0))).filter("before < 8192")
+    line = F.substring(F.col("line"), F.lit(1), F.lit(8192) - F.col("before"))
+    has = lambda mark: F.bool_or(line.startswith(mark[1:]) if mark.startswith("^") else line.contains(mark))
+    found = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(has, marks)) for marks in MARKS[suffix]])
+    return head.groupBy("capture_id", "prefix", "path").agg(F.when(found, "v1").otherwise("unsupported").alias("format"))
 
 
-def file_status(files: DataFrame, rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Failed without rows, partial with a diagnostic, else ok. rows and diagnostics have capture_id and prefix."""
+def file_status(files: DataFrame, rows: DataFrame, diagnostics: DataFrame, formats: DataFrame | None = None) -> DataFrame:
+    """Unsupported by its format, failed without rows, partial with a warning or an error, else ok.
+
+    rows, diagnostics and formats have capture_id and prefix; a diagnostic that only informs does not count."""
     key = ["capture_id", "prefix"]
     n = rows.groupBy(*key).agg(F.count("*").alias("rows"))
-    bad = diagnostics.groupBy(*key).agg(F.count("*").alias("warnings"))
+    bad = diagnostics.groupBy(*key).agg(F.count_if(F.col("severity").isin("warning", "error")).alias("warnings"))
     out = files.select(*key, "suffix").distinct().join(n, key, "left").join(bad, key, "left")
-    return out.select(*key, "suffix", F.when(F.col("rows").isNull(), "failed").when(F.col("warnings") > 0, "partial").otherwise("ok").alias("status"))
+    if formats is not None:
+        out = out.join(formats.groupBy(*key).agg(F.bool_or(F.col("format") == "unsupported").alias("foreign")), key, "left")
+    foreign = F.col("foreign") if formats is not None else F.lit(False)
+    return out.select(*key, "suffix", F.when(foreign, "unsupported").when(F.col("rows").isNull(), "failed").when(F.col("warnings") > 0, "partial").otherwise("ok").alias("status"))
 
 
 def latest_sidecar(files: DataFrame) -> DataFrame:
@@ -105,6 +149,12 @@ def latest_sidecar(files: DataFrame) -> DataFrame:
     return skipped.agg(F.count_if(F.col("empty_prefix") > F.col("prefix")).alias("newer_empty"))
 
 
+def sidecar_diagnostics(latest: DataFrame) -> DataFrame:
+    """A warning where newer files were empty."""
+    text = F.concat(F.lit("fell back past "), F.col("newer_empty").cast("string"), F.lit(" newer empty file(s)"))
+    return latest.filter("newer_empty > 0").select("capture_id", "prefix", "path", F.lit("file").alias("location"), F.lit("warning").alias("severity"), text.alias("message"))
+
+
 def land(rows: DataFrame, root: str) -> None:
     """Write text files; rows have capture, prefix, suffix, ord and line. Each file is written by one task, in order."""
     named = rows.select("capture", F.concat("prefix", F.lit("-"), "suffix").alias("file"), "ord", "line")

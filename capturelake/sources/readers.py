@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturelake.functions import scalar as S
+from capturelake.functions.fixed import NET_LABELS, SYSCTL
 
 KEY = ["capture_id", "prefix", "start", "path"]
 TS = r"^TS (\d+(?:\.\d+)?) "
@@ -44,13 +45,16 @@ def _stamped(lines: DataFrame) -> DataFrame:
     return marked.withColumn("ts", F.coalesce(_last(F.when(epoch != "", S.epoch_to_ts(epoch, F.col("start")))), F.col("start"))).filter(~F.col("line").rlike(TS))
 
 
-def read_status(lines: DataFrame) -> DataFrame:
-    """S14"""
+def _status_rows(lines: DataFrame) -> DataFrame:
     cell = r"^\|\s*([^|\s]+)\s*\|\s*(.*?)\s*\|\s*$"
     rows = _blocks(lines, F.col("line").rlike(r"^\|\s*Variable_name")).filter("block > 0").filter(F.col("line").rlike(cell) & ~F.col("line").rlike(r"^\|\s*Variable_name"))
-    name, idx = F.regexp_extract("line", cell, 1), (F.col("block") - 1).cast("int")
-    raw = F.coalesce(F.regexp_extract("line", cell, 2).try_cast("bigint"), F.lit(0))
-    return rows.select("capture_id", "prefix", idx.alias("sample_idx"), _after(F.col("start"), idx).alias("ts"), name.alias("name"), raw.alias("raw"), S.is_counter(name).alias("is_counter"))
+    return rows.select(*KEY, "block", F.regexp_extract("line", cell, 1).alias("name"), F.coalesce(F.regexp_extract("line", cell, 2).try_cast("bigint"), F.lit(0)).alias("raw"))
+
+
+def read_status(lines: DataFrame) -> DataFrame:
+    """S14"""
+    idx = (F.col("block") - 1).cast("int")
+    return _status_rows(lines).select("capture_id", "prefix", idx.alias("sample_idx"), _after(F.col("start"), idx).alias("ts"), "name", "raw", S.is_counter(F.col("name")).alias("is_counter"))
 
 
 def _device_rows(lines: DataFrame) -> DataFrame:
@@ -78,13 +82,112 @@ def read_device_rejects(lines: DataFrame) -> DataFrame:
     return diagnostics(_device_rows(lines).filter("util_percent is null or avgqu_sz is null"), "unreadable device row")
 
 
-def diagnostics(rows: DataFrame, message: str, severity: str = "warning") -> DataFrame:
-    """capture_id, prefix, path, location, severity, message."""
-    return rows.select("capture_id", "prefix", "path", F.concat(F.lit("line "), F.col("n").cast("string")).alias("location"), F.lit(severity).alias("severity"), F.lit(message).alias("message"))
+DIAGNOSTIC = ["capture_id", "prefix", "path", "location", "severity", "message"]
 
 
-def read_process(lines: DataFrame) -> DataFrame:
-    """A block's rows follow its PID header; a row of fewer than 12 fields ends it."""
+def diagnostics(rows: DataFrame, message: Column | str, severity: str = "warning") -> DataFrame:
+    """A diagnostic for each of the rows, at its line."""
+    text = message if isinstance(message, Column) else F.lit(message)
+    return rows.select("capture_id", "prefix", "path", F.concat(F.lit("line "), F.col("n").cast("string")).alias("location"), F.lit(severity).alias("severity"), text.alias("message"))
+
+
+def _of_files(files: DataFrame, message: Column | str, severity: str) -> DataFrame:
+    """A diagnostic for each of the files (capture_id, prefix, path) as a whole."""
+    text = message if isinstance(message, Column) else F.lit(message)
+    return files.select("capture_id", "prefix", "path", F.lit("file").alias("location"), F.lit(severity).alias("severity"), text.alias("message"))
+
+
+FILE = ["capture_id", "prefix", "path"]
+
+
+def _stamp_rejects(lines: DataFrame, implicit: bool = True) -> DataFrame:
+    """Stamps whose epoch cannot be read; with implicit, also files that have rows and no stamp."""
+    any_stamp, epoch = F.col("line").rlike(r"^TS \S"), F.regexp_extract("line", TS, 1)
+    bad = diagnostics(lines.filter(any_stamp & ((epoch == "") | S.epoch_to_ts(epoch, F.lit(None).cast("timestamp")).isNull())), "malformed TS epoch; snapshot start used")
+    if not implicit:
+        return bad
+    bare = lines.groupBy(*FILE).agg(F.bool_or(any_stamp).alias("stamped"), F.bool_or(F.trim("line") != "").alias("filled")).filter("filled and not stamped")
+    return bad.union(_of_files(bare, "no TS marker; snapshot start used", "info"))
+
+
+def read_process_rejects(lines: DataFrame) -> DataFrame:
+    """Rows of S8 without a readable pid or CPU share."""
+    rows = _process_rows(lines)
+    return diagnostics(rows.filter("pid is null"), "unreadable PID").union(diagnostics(rows.filter("pid is not null and cpu_percent is null"), "unreadable %CPU"))
+
+
+def read_host_rejects(lines: DataFrame) -> DataFrame:
+    """Data rows before any header."""
+    head = F.col("line").rlike(r"^\s*r\s+b\s")
+    rows = lines.withColumn("headed", F.max(F.when(head, 1).otherwise(0)).over(_so_far()))
+    return diagnostics(rows.filter((F.col("headed") == 0) & F.col("line").rlike(r"^\s*\d")), "data row before any header")
+
+
+def read_memory_rejects(lines: DataFrame) -> DataFrame:
+    """Why a file of S10 was rejected, and series that no sample has."""
+    rows = _memory_rows(lines)
+    early = _of_files(rows.filter("block = 0").select(*FILE).distinct(), "value line before first TS marker", "error")
+    seen = rows.filter("block > 0")
+    none = _of_files(lines.select(*FILE).distinct().join(rows.select("path").distinct(), "path", "left_anti"), "no samples found", "error")
+    whole = seen.groupBy(*FILE, "block").agg(F.count_distinct(F.when(F.col("k").isin("SwapTotal", "SwapFree"), F.col("k"))).alias("swap"))
+    swap = _of_files(whole.filter("swap < 2").select(*FILE).distinct(), "sample without SwapTotal or SwapFree", "error")
+    absent = seen.groupBy(*FILE).agg(F.collect_set("k").alias("keys")).select(*FILE, F.explode(F.array_except(F.array(*map(F.lit, MEMORY)), "keys")).alias("key"))
+    return early.union(none).union(swap).union(_of_files(absent, F.concat(F.lit("never seen: "), F.col("key")), "warning"))
+
+
+def read_variables_rejects(lines: DataFrame) -> DataFrame:
+    """Repeated names of S11."""
+    return diagnostics(_variable_rows(lines).filter("k > 1"), F.concat(F.lit("duplicate "), F.col("name"), F.lit("; first value kept")))
+
+
+SECTIONS = ["BACKGROUND THREAD", "SEMAPHORES", "TRANSACTIONS", "FILE I/O", "INSERT BUFFER AND ADAPTIVE HASH INDEX", "LOG", "BUFFER POOL AND MEMORY", "ROW OPERATIONS"]
+
+
+def read_engine_rejects(lines: DataFrame) -> DataFrame:
+    """Files without any section header."""
+    bare = lines.groupBy(*FILE).agg(F.bool_or(F.trim("line").isin(SECTIONS)).alias("known")).filter("not known")
+    return _of_files(bare, "no recognised section headers", "warning")
+
+
+def read_status_rejects(lines: DataFrame) -> DataFrame:
+    """Variables that the file's last samples lack."""
+    rows = _status_rows(lines)
+    last = rows.groupBy("path").agg(F.max("block").alias("samples"))
+    short = rows.groupBy(*FILE, "name").agg(F.max("block").alias("last")).join(last, "path").filter("last < samples")
+    text = F.concat(F.col("name"), F.lit(" missing from "), (F.col("samples") - F.col("last")).cast("string"), F.lit(" trailing sample(s)"))
+    return _of_files(short, text, "warning")
+
+
+def read_threads_rejects(lines: DataFrame) -> DataFrame:
+    """Bad stamps of S15."""
+    return _stamp_rejects(lines, implicit=False)
+
+
+def read_sockets_rejects(lines: DataFrame) -> DataFrame:
+    """Bad stamps, TCP rows without a state, and lone ESTAB rows that nothing in the file tells to be TCP or UDP."""
+    rows, netstat, _ = _socket_rows(lines)
+    stateless = diagnostics(rows.filter(netstat & F.lower(F.col("f")[0]).startswith("tcp") & (F.size("f") < 6)), "tcp row without state")
+    doubt = rows.filter((F.col("word") == "ESTAB") & (F.col("unconn") == 0) & (F.col("tcp_word") == 0)).groupBy(*FILE).agg(F.min("n").alias("n"), F.count("*").alias("of"))
+    text = F.concat(F.col("of").cast("string"), F.lit(" ESTAB row(s) taken as TCP without evidence"))
+    return _stamp_rejects(lines).union(stateless).union(diagnostics(doubt, text))
+
+
+def read_net_counters_rejects(lines: DataFrame) -> DataFrame:
+    """Bad stamps, and known labels without a number."""
+    rows = _net_rows(lines)
+    odd = rows.filter("raw is null").join(_net_labels(lines), ["section", "label"], "left_semi")
+    return _stamp_rejects(lines).union(diagnostics(odd, F.concat(F.lit("no number for "), F.col("label"))))
+
+
+def read_env_memory_rejects(lines: DataFrame) -> DataFrame:
+    """Files of S22 whose newest sample lacks core keys, and what was used instead."""
+    wide = _env_samples(lines)
+    newest = wide.groupBy(*FILE).agg(F.max_by("rank", "block").alias("newest"), F.max("rank").alias("best")).filter("newest < 2")
+    used = F.when(F.col("best") == 2, "older complete sample used").when(F.col("best") == 1, "newest sample with MemTotal used").otherwise("newest partial sample used")
+    return _of_files(newest, F.concat(F.lit("newest sample is incomplete; "), used), "warning")
+
+
+def _process_rows(lines: DataFrame) -> DataFrame:
     top = r"^top - (\d\d):(\d\d):(\d\d)"
     part = lambda i: F.regexp_extract("line", top, i).try_cast("int")
     b = _blocks(lines, F.col("line").rlike(top)).filter("block > 0")
@@ -98,7 +201,12 @@ def read_process(lines: DataFrame) -> DataFrame:
     at = midnight_roll(clocks, ["path"], "block").select("path", "block", "at")
     midnight = F.unix_seconds("start") - F.unix_seconds("start") % 86400
     out = rows.join(at, ["path", "block"]).withColumn("pid", F.col("f")[0].try_cast("int"))
-    return out.filter("pid is not null").select("capture_id", "prefix", F.timestamp_seconds(midnight + F.col("at")).alias("ts"), "pid", F.array_join(F.slice("f", 12, 1000), " ").alias("command"), S.localized_double(F.col("f")[8]).alias("cpu_percent"))
+    return out.select(*FILE, "n", F.timestamp_seconds(midnight + F.col("at")).alias("ts"), "pid", F.array_join(F.slice("f", 12, 1000), " ").alias("command"), S.localized_double(F.col("f")[8]).alias("cpu_percent"))
+
+
+def read_process(lines: DataFrame) -> DataFrame:
+    """A block's rows follow its PID header; a row of fewer than 12 fields ends it."""
+    return _process_rows(lines).filter("pid is not null and cpu_percent is not null").select("capture_id", "prefix", "ts", "pid", "command", "cpu_percent")
 
 
 #: S9, fixed values: column of the collector -> ours.
@@ -119,10 +227,14 @@ def read_host(lines: DataFrame) -> DataFrame:
 MEMORY = {"MemAvailable": "mem_available", "MemFree": "mem_free", "Cached": "cached", "Buffers": "buffers", "AnonPages": "anon_pages", "Dirty": "dirty", "Slab": "slab"}
 
 
+def _memory_rows(lines: DataFrame) -> DataFrame:
+    key = r"^([A-Za-z_()]+):\s+(\d+)(?: kB)?"
+    return _stamped(lines).filter(F.col("line").rlike(key)).withColumn("k", F.regexp_extract("line", key, 1)).withColumn("v", F.regexp_extract("line", key, 2).try_cast("double") / 1048576)
+
+
 def read_memory(lines: DataFrame) -> DataFrame:
     """Gigabytes at each stamp. A file with a value before its first stamp, or a sample without swap totals, is rejected."""
-    key = r"^([A-Za-z_()]+):\s+(\d+)(?: kB)?"
-    rows = _stamped(lines).filter(F.col("line").rlike(key)).withColumn("k", F.regexp_extract("line", key, 1)).withColumn("v", F.regexp_extract("line", key, 2).try_cast("double") / 1048576)
+    rows = _memory_rows(lines)
     early = rows.filter("block = 0").select("path").distinct()
     at = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
     wide = rows.groupBy(*KEY, "block", "ts").agg(*[F.coalesce(at(k), F.lit(0.0)).alias(c) for k, c in MEMORY.items()], at("SwapTotal").alias("swap_total"), at("SwapFree").alias("swap_free"))
@@ -131,8 +243,7 @@ def read_memory(lines: DataFrame) -> DataFrame:
     return good.select("capture_id", "prefix", "ts", *MEMORY.values(), F.greatest(F.col("swap_total") - F.col("swap_free"), F.lit(0.0)).alias("swap_used"))
 
 
-def read_variables(lines: DataFrame) -> DataFrame:
-    """The first listing only; the first of equal names."""
+def _variable_rows(lines: DataFrame) -> DataFrame:
     cells = F.split("line", "\t")
     row = F.size(cells) == 2
     head = F.col("line").startswith("Variable_name\t")
@@ -140,7 +251,12 @@ def read_variables(lines: DataFrame) -> DataFrame:
     stop = (~row) | F.col("line").startswith("THREAD_ID\t") | F.col("line").startswith("SHOW ")
     kept = opened.withColumn("stopped", F.max(F.when(stop, 1).otherwise(0)).over(_so_far())).filter("stopped = 0")
     first = F.row_number().over(Window.partitionBy("path", "name").orderBy("n"))
-    return kept.select(*KEY, "n", cells[0].alias("name"), cells[1].alias("value")).withColumn("k", first).filter("k = 1").select("capture_id", "prefix", F.col("start").alias("snapshot_ts"), "name", "value")
+    return kept.select(*KEY, "n", cells[0].alias("name"), cells[1].alias("value")).withColumn("k", first)
+
+
+def read_variables(lines: DataFrame) -> DataFrame:
+    """The first listing only; the first of equal names."""
+    return _variable_rows(lines).filter("k = 1").select("capture_id", "prefix", F.col("start").alias("snapshot_ts"), "name", "value")
 
 
 def read_engine(lines: DataFrame) -> DataFrame:
@@ -184,8 +300,8 @@ def read_threads(lines: DataFrame) -> DataFrame:
     return wide.filter(named).withColumn("row_no", no).select("capture_id", "prefix", F.date_trunc("second", "ts").alias("ts"), "row_no", "user", S.strip_port(F.col("host")).alias("host"), "db", "command", "state", *map(number, ("time_s", "time_ms", "rows_sent", "rows_examined")), "info")
 
 
-def read_sockets(lines: DataFrame) -> DataFrame:
-    """Three layouts; in a state-first file without a word of its own, whole-file evidence tells UDP from TCP."""
+def _socket_rows(lines: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Rows with the file's evidence, and which of them are of the first and of the second layout."""
     f = _fields(F.col("line"))
     rows = _stamped(lines).filter(F.trim("line") != "").withColumn("f", f)
     proto = F.lower(F.col("f")[0])
@@ -196,6 +312,13 @@ def read_sockets(lines: DataFrame) -> DataFrame:
     whole = Window.partitionBy("path")
     word = F.upper(F.col("f")[0])
     rows = rows.withColumn("unconn", F.max((word == "UNCONN").cast("int")).over(whole)).withColumn("tcp_word", F.max(F.when(first.isNotNull() & ~word.isin("UNCONN", "ESTAB"), 1).otherwise(0)).over(whole))
+    return rows.withColumn("word", word), netstat, has_state
+
+
+def read_sockets(lines: DataFrame) -> DataFrame:
+    """Three layouts; in a state-first file without a word of its own, whole-file evidence tells UDP from TCP."""
+    rows, netstat, has_state = _socket_rows(lines)
+    udp, first, word = F.lower(F.col("f")[0]).rlike("^udp6?$"), S.socket_state(F.col("f")[0]), F.col("word")
     lone_estab = F.when((F.col("unconn") == 1) & (F.col("tcp_word") == 0), "UDP").otherwise("ESTABLISHED")
     state = F.when(udp, "UDP").when(has_state, S.socket_state(F.col("f")[1])).when(netstat, F.coalesce(S.socket_state(F.try_element_at("f", F.lit(6))), F.lit("UNKNOWN"))).when(word == "ESTAB", lone_estab).otherwise(first)
     recv = F.when(netstat, F.col("f")[1]).when(has_state, F.try_element_at("f", F.lit(3))).otherwise(F.try_element_at("f", F.lit(2)))
@@ -204,26 +327,26 @@ def read_sockets(lines: DataFrame) -> DataFrame:
     return known.groupBy("capture_id", "prefix", "ts", "state").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("recv", F.lit("0")) != "0").alias("recvq_nonzero"), F.bool_or(F.coalesce("send", F.lit("0")) != "0").alias("sendq_nonzero"))
 
 
-#: S17, fixed values: section and label -> canonical counter.
-NET_LABELS = [
-    ("Ip", "total packets received", "ip_received"), ("Ip", "incoming packets discarded", "ip_dropped"), ("Tcp", "active connection openings", "tcp_active_opens"), ("Tcp", "passive connection openings", "tcp_passive_opens"),
-    ("Tcp", "failed connection attempts", "tcp_failed_attempts"), ("Tcp", "connection resets received", "tcp_resets_received"), ("Tcp", "segments received", "tcp_segments_received"), ("Tcp", "segments sent out", "tcp_segments_sent"),
-    ("Tcp", "segments retransmitted", "tcp_retransmits"), ("Tcp", "bad segments received", "tcp_bad_segments"), ("Tcp", "resets sent", "tcp_resets_sent"), ("Udp", "packets received", "udp_received"), ("Udp", "packets sent", "udp_sent"),
-    ("Udp", "packet receive errors", "udp_errors"), ("TcpExt", "times the listen queue of a socket overflowed", "listen_overflows"), ("TcpExt", "SYNs to LISTEN sockets dropped", "listen_drops"), ("TcpExt", "TCPTimeouts", "tcp_timeouts"), ("TcpExt", "SYN cookies sent", "syn_cookies_sent"),
-]
+def _net_labels(lines: DataFrame) -> DataFrame:
+    rows = [(section, label, counter) for section, labels in NET_LABELS.items() for label, counter in labels.items()]
+    return F.broadcast(lines.sparkSession.createDataFrame(rows, "section string, label string, counter string"))
+
+
+def _net_rows(lines: DataFrame) -> DataFrame:
+    """Indented lines with their section (a line that is not indented begins or ends one), label and number."""
+    in_block = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when((F.trim("line") != "") & ~F.col("line").rlike(r"^\s"), F.regexp_extract("line", r"^(.*):\s*$", 1))
+    scoped = _stamped(lines).withColumn("section", F.last(head, ignorenulls=True).over(in_block)).filter(F.col("line").rlike(r"^\s+\S"))
+    front, back = r"^\s+(\d+) (.+?)\s*$", r"^\s+([^:]+?)\s*:\s*(\S*).*$"
+    leads = F.col("line").rlike(front)
+    label = F.when(leads, F.regexp_extract("line", front, 2)).otherwise(F.regexp_extract("line", back, 1))
+    raw = F.when(leads, F.regexp_extract("line", front, 1)).otherwise(F.regexp_extract("line", back, 2)).try_cast("double")
+    return scoped.withColumn("label", label).withColumn("raw", raw)
 
 
 def read_net_counters(lines: DataFrame) -> DataFrame:
     """S17: 'N label' and 'Label: N' under the section that a label belongs to; a section ends with its block."""
-    rows = _stamped(lines)
-    head = r"^([A-Za-z]+):\s*$"
-    in_block = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    scoped = rows.withColumn("section", F.last(F.nullif(F.regexp_extract("line", head, 1), F.lit("")), ignorenulls=True).over(in_block))
-    front, back = r"^\s+(\d+) (.+?)\s*$", r"^\s+([^:]+): (\d+)\s*$"
-    label = F.when(F.col("line").rlike(front), F.regexp_extract("line", front, 2)).otherwise(F.regexp_extract("line", back, 1))
-    raw = F.when(F.col("line").rlike(front), F.regexp_extract("line", front, 1)).otherwise(F.regexp_extract("line", back, 2)).try_cast("double")
-    dim = F.broadcast(lines.sparkSession.createDataFrame(NET_LABELS, "section string, label string, counter string"))
-    found = scoped.withColumn("label", label).withColumn("raw", raw).filter("raw is not null").join(dim, ["section", "label"])
+    found = _net_rows(lines).filter("raw is not null").join(_net_labels(lines), ["section", "label"])
     poll = F.dense_rank().over(Window.partitionBy("path").orderBy("block"))
     return found.withColumn("poll_idx", poll - 1).select("capture_id", "prefix", "poll_idx", "ts", "counter", "raw")
 
@@ -234,9 +357,6 @@ def read_hostname(lines: DataFrame) -> DataFrame:
     return good.groupBy("capture_id", "prefix").agg(F.trim(F.max_by("line", "n")).alias("hostname"))
 
 
-SYSCTL = ["vm.swappiness", "vm.dirty_ratio", "vm.dirty_background_ratio", "fs.file-max", "net.core.somaxconn", "net.ipv4.tcp_max_syn_backlog", "kernel.numa_balancing"]
-
-
 def read_sysctl(lines: DataFrame) -> DataFrame:
     """S19"""
     key, value = F.trim(F.substring_index("line", " = ", 1)), F.trim(F.expr("substr(line, instr(line, ' = ') + 3)"))
@@ -260,14 +380,17 @@ def read_loadavg(lines: DataFrame) -> DataFrame:
 ENV_CORE = ["MemTotal", "MemFree", "MemAvailable", "Buffers", "Cached", "SwapTotal", "SwapFree"]
 
 
-def read_env_memory(lines: DataFrame) -> DataFrame:
-    """The newest sample with all core keys, else with the total, else with any; the last two are a fallback."""
+def _env_samples(lines: DataFrame) -> DataFrame:
     key = r"^([A-Za-z_()]+):\s+(\d+)"
     rows = _stamped(lines).withColumn("k", F.regexp_extract("line", key, 1)).filter(F.col("k").isin(ENV_CORE))
     at = lambda k: F.max(F.when(F.col("k") == k, F.regexp_extract("line", key, 2).try_cast("bigint"))).alias(k)
-    wide = rows.groupBy("capture_id", "prefix", "block").agg(*map(at, ENV_CORE), F.count_distinct("k").alias("keys"))
-    rank = F.when(F.col("keys") == len(ENV_CORE), 2).when(F.col("MemTotal").isNotNull(), 1).otherwise(0)
-    best = wide.withColumn("rank", rank).withColumn("no", F.row_number().over(Window.partitionBy("capture_id", "prefix").orderBy(F.desc("rank"), F.desc("block"))))
+    wide = rows.groupBy(*FILE, "block").agg(*map(at, ENV_CORE), F.count_distinct("k").alias("keys"))
+    return wide.withColumn("rank", F.when(F.col("keys") == len(ENV_CORE), 2).when(F.col("MemTotal").isNotNull(), 1).otherwise(0))
+
+
+def read_env_memory(lines: DataFrame) -> DataFrame:
+    """The newest sample with all core keys, else with the total, else with any; the last two are a fallback."""
+    best = _env_samples(lines).withColumn("no", F.row_number().over(Window.partitionBy("capture_id", "prefix").orderBy(F.desc("rank"), F.desc("block"))))
     return best.filter("no = 1").select("capture_id", "prefix", *ENV_CORE, (F.col("rank") < 2).alias("fallback"))
 
 
@@ -287,3 +410,9 @@ READERS = {
     "iostat": read_device, "top": read_process, "vmstat": read_host, "meminfo": read_memory, "variables": read_variables, "innodbstatus1": read_engine, "mysqladmin": read_status, "processlist": read_threads, "netstat": read_sockets, "netstat_s": read_net_counters,
     "hostname": read_hostname, "sysctl": read_sysctl, "procstat": read_cpu_boot, "df": read_filesystems,
 }
+
+#: Collector -> its diagnostics, each with the columns DIAGNOSTIC.
+REJECTS = {
+    "iostat": read_device_rejects, "top": read_process_rejects, "vmstat": read_host_rejects, "meminfo": read_memory_rejects, "variables": read_variables_rejects, "innodbstatus1": read_engine_rejects, "mysqladmin": read_status_rejects,
+    "processlist": read_threads_rejects, "netstat": read_sockets_rejects, "netstat_s": read_net_counters_rejects,
+}

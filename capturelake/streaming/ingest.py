@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from capturelake.functions.scalar import snapshot_ts
-from capturelake.sources.files import NAME
+from capturelake.sources.files import NAME, SIZE_LIMIT
 
 
-def stream_ingest(spark: SparkSession, root: str, suffix: str, reader: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, root: str, suffix: str, reader: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, limit: int = SIZE_LIMIT) -> StreamingQuery:
     """Read every file of a collector that has come since the last call and append its rows to a Parquet table.
 
     A file is read whole in one batch, so windows over a file see all its lines; nothing is kept between batches, as deltas
     start anew with every snapshot. The batch number is a partition of the table: a batch that is repeated after a failure
-    replaces its own rows, so each file counts once."""
-    raw = spark.readStream.format("text").option("recursiveFileLookup", "true").load(f"{root}/*/*-{suffix}")
+    replaces its own rows, so each file counts once. Files above the limit are left out, plain and gzipped ones are read."""
+    raw = spark.readStream.format("text").option("recursiveFileLookup", "true").load(f"{root}/*/*-{suffix}{{,.gz}}").filter(F.col("_metadata.file_size") <= limit)
     at = raw.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
 
     def batch(rows: DataFrame, number: int) -> None:

@@ -98,18 +98,48 @@ def test_sockets_in_three_layouts(spark, tmp_path):
 
 
 def test_net_counters(spark, tmp_path):
-    text = "TS 1776790303 x\nTcp:\n    5 segments retransmitted\nIcmp:\n    6 segments retransmitted\nTS 1776790304 x\nTcpExt:\n    TCPTimeouts: 9\n    segments retransmitted: 1\n"
-    got = rows(spark, capture(tmp_path, netstat_s=text), "netstat_s", R.read_net_counters)
-    assert sorted((r.counter, r.raw, r.poll_idx) for r in got) == [("tcp_retransmits", 5.0, 0), ("tcp_timeouts", 9.0, 1)]
+    text = "TS 1776790303 x\nTcp:\n    5 segments retransmitted\nIcmp:\n    6 segments retransmitted\nTS 1776790304 x\nTcpExt:\n    TCPListenOverflows: 9\n    segments retransmitted: 1\n    SyncookiesSent: x\nUdp:\n    7 receive buffer errors\nno section\n    8 send buffer errors\n"
+    root = capture(tmp_path, netstat_s=text)
+    got = rows(spark, root, "netstat_s", R.read_net_counters)
+    assert sorted((r.counter, r.raw, r.poll_idx) for r in got) == [("tcp_listen_overflows", 9.0, 1), ("tcp_retransmits", 5.0, 0), ("udp_rcvbuf_errors", 7.0, 1)]
+    assert [(r.location, r.severity) for r in rows(spark, root, "netstat_s", R.read_net_counters_rejects)] == [("line 10", "warning")]
+
+
+def test_every_reader_says_what_it_cannot_use(spark, tmp_path):
+    root = capture(
+        tmp_path, iostat="Device aqu-sz %util\nsda 1\n", top="top - 10:00:00 up\n PID USER PR NI VIRT RES SHR S %CPU %MEM TIME+ COMMAND\n x m 20 0 1 1 1 S 1 1 0:01 c\n 5 m 20 0 1 1 1 S y 1 0:01 c\n", vmstat=" 1 2 3\n r  b  free\n 3 4 5\n",
+        meminfo="MemFree: 1 kB\n", variables="Variable_name\tValue\na\t1\na\t2\n", innodbstatus1="nothing\n", mysqladmin="| Variable_name | Value |\n| a | 1 |\n| b | 1 |\n| Variable_name | Value |\n| a | 1 |\n",
+        processlist="TS never x\n", netstat="TS 5 x\ntcp 0 0 a b\nESTAB 0 0 a b\n", netstat_s="Tcp:\n   no number here: x\n",
+    )
+    said = {c: sorted((r.severity, r.location, r.message) for r in rows(spark, root, c, R.REJECTS[c])) for c in R.REJECTS}
+    assert {c: [(a, b) for a, b, _ in x] for c, x in said.items()} == {
+        "iostat": [("warning", "line 2")], "top": [("warning", "line 3"), ("warning", "line 4")], "vmstat": [("warning", "line 1")], "meminfo": [("error", "file")], "variables": [("warning", "line 3")], "innodbstatus1": [("warning", "file")],
+        "mysqladmin": [("warning", "file")], "processlist": [("warning", "line 1")], "netstat": [("warning", "line 2"), ("warning", "line 3")], "netstat_s": [("info", "file")],
+    }
+    assert said["mysqladmin"][0][2] == "b missing from 1 trailing sample(s)"
+
+
+def test_oversize_files_are_not_read(spark, tmp_path):
+    root = capture(tmp_path, iostat=["Device aqu-sz %util\nsda 1 2\n", "Device aqu-sz %util\n" + "sda 1 2\n" * 9])
+    assert {r.prefix for r in R.read_device(S.lines(spark, root, "iostat", limit=60)).collect()} == {A}
+    assert S.oversize_files(S.scan_files(spark, root), 60).count() == 1
+
+
+def test_status_of_files(spark, tmp_path):
+    root = capture(tmp_path, iostat=["Device aqu-sz %util\nsda 1 2\nsdb x\n", "no mark\n"])
+    lines = S.lines(spark, root, "iostat")
+    files = S.scan_files(spark, root)
+    got = S.file_status(files, R.read_device(lines), R.REJECTS["iostat"](lines), S.detect_format(lines, "iostat")).collect()
+    assert {(r.prefix, r.status) for r in got} == {(A, "partial"), (B, "unsupported")}
 
 
 def test_sidecars(spark, tmp_path):
     root = capture(
-        tmp_path, hostname="sudo: unable to resolve host x\ndb7\n\n", sysctl="vm.swappiness = 1\nvm.swappiness = 10\nother = 3\n", procstat="TS 1 x\ncpu 1\ncpu0 1\ncpu1 1\nbtime 100\nTS 2 x\ncpu0 1\nbtime 101\n",
+        tmp_path, hostname="sudo: unable to resolve host x\ndb7\n\n", sysctl="vm.swappiness = 1\nvm.swappiness = 10\nother = 3\nkernel.osrelease = 5.1.armv7l\n", procstat="TS 1 x\ncpu 1\ncpu0 1\ncpu1 1\nbtime 100\nTS 2 x\ncpu0 1\nbtime 101\n",
         df="TS 1 x\n/dev/old 1 1 1 99% /old\nTS 2 x\nFilesystem 1K Used Avail Use% Mounted on\n/dev/mapper/very-long\n  100 50 50 50% /data\n/dev/sda 10 9 1 90% /\n", meminfo="TS 1 x\n" + "".join(f"{k}: 5 kB\n" for k in R.ENV_CORE) + "TS 2 x\nMemTotal: 9 kB\n", top="top - 10:00:00 up, load average: 1.5, 2.5, 3.5\n",
     )
     assert rows(spark, root, "hostname", R.read_hostname)[0].hostname == "db7"
-    assert [(r.key, r.value) for r in rows(spark, root, "sysctl", R.read_sysctl)] == [("vm.swappiness", "10")]
+    assert sorted((r.key, r.value) for r in rows(spark, root, "sysctl", R.read_sysctl)) == [("kernel.osrelease", "5.1.armv7l"), ("vm.swappiness", "10")]
     assert [(r.logical_cpus, r.btime) for r in rows(spark, root, "procstat", R.read_cpu_boot)] == [(2, 101)]
     assert [(r.mount, r.use_pct) for r in sorted(rows(spark, root, "df", R.read_filesystems), key=lambda r: r.rank)] == [("/", 90.0), ("/data", 50.0)]
     assert [(r.MemTotal, r.fallback) for r in rows(spark, root, "meminfo", R.read_env_memory)] == [(5, False)]
@@ -127,6 +157,7 @@ def test_discovery(spark, tmp_path):
     assert {(r.folder.rsplit("/", 1)[1], r.files) for r in S.capture_roots(files, root).collect()} == {("host1", 5), ("host2", 1)}
     assert {(r.capture_id, r.prefix, tuple(r.collectors)) for r in S.snapshots(files).collect()} == {("host1", A, ("iostat",)), ("host1", B, ("iostat",)), ("host2", A, ())}
     side = {(r.capture_id, r.suffix): (r.prefix, r.newer_empty) for r in S.latest_sidecar(files).collect()}
+    assert [(r.severity, r.message) for r in S.sidecar_diagnostics(S.latest_sidecar(files)).collect()] == [("warning", "fell back past 1 newer empty file(s)")]
     assert side == {("host1", "hostname"): (A, 1), ("host2", "output"): (A, 0)}
     assert {(r.prefix, r.format) for r in S.detect_format(S.lines(spark, root, "iostat"), "iostat").collect()} == {(A, "v1"), (B, "unsupported")}
     assert S.oversize_files(files, 7).count() == 2
