@@ -5,12 +5,16 @@ the dependency graph order calls, and a result follows its call. Arguments are c
 everything is serialised as canonical JSON: keys sorted, no spaces, nulls left out. One row leaves for each link, so no
 conversation is ever gathered into one row or task.
 
-Defined cases: of several calls with one identifier in a conversation the first by turn (then name, then arguments)
-stands, likewise of results, unless ``each`` is set: then the k-th call meets the k-th result, and those that are left
-are 'open' or 'orphan' rows of their own (references by identifier mean the first call, whose level all of them have); a call without a result is 'open', a result without a call 'orphan'; a null conversation or
-identifier never links (each row stands alone); references to absent calls are ignored; calls on or behind a cycle, or
-deeper than ``max_level``, have level -1 and come last; arguments that are null, not JSON or not an object are invalid;
-an empty table gives no rows; other columns are ignored; texts of any length pass through whole."""
+Levels: runs of calls that each wait for one other are shortened by pointer doubling, so a chain of any length takes a
+logarithmic number of rounds; calls that wait for several follow in topological order, a round for each such call on the
+longest way. There is no greatest depth.
+
+Defined cases: where a conversation repeats an identifier, the k-th call (by turn, then name, then arguments) meets the k-th
+result, and those that are left are 'open' or 'orphan' rows of their own (references by identifier mean the first call,
+whose level all of them have); a call without a result is 'open', a result without a call 'orphan'; a null conversation or
+identifier never links (each row stands alone); references to absent calls are ignored; calls on or behind a cycle have level
+-1; arguments that are null, not JSON or not an object are invalid; an empty table gives no rows; other columns are ignored;
+texts of any length pass through whole."""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import materialize, table
+from capturelake.llm.common import Scratch, join_groups, materialize, table
 
 #: tool -> parameter -> (JSON kind, whether it is required)
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -53,87 +57,122 @@ def canonical(arguments: Column) -> Column:
     return F.to_json(F.try_parse_json(arguments))
 
 
-def levels(calls: DataFrame, max_level: int = 64) -> DataFrame:
-    """conv_id, call_id, level: 0 without dependencies, else one more than the deepest call that must come before."""
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct()
-    known = calls.select("conv_id", F.col("call_id").alias("dep"))
-    edges = materialize(edges.join(known, ["conv_id", "dep"], "left_semi"))
-    if edges.isEmpty():
-        return calls.select("conv_id", "call_id", F.lit(0).alias("level"))
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = [calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))]
-    last = materialize(done[0])
-    done = [last]
-    for level in range(1, max_level + 1):
-        if edges.isEmpty():
-            break
-        edges = materialize(edges.join(last.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"))
-        still = edges.select("conv_id", "call_id").distinct()
-        last = materialize(waiting.join(still, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(level).alias("level")))
-        if last.isEmpty():  # a cycle
+def levels(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of each call (one row an identifier): 0 without dependencies, else one more than the deepest call
+    that must come before; -1 on or behind a cycle."""
+    key = ["conv_id", "call_id"]
+    with Scratch(calls.sparkSession) as scratch:
+        named = scratch.table(calls.select(*key, F.explode("after").alias("dep")).distinct())
+        asked = named.groupBy("conv_id", "dep").agg(F.count("*").alias("n"))
+        there = scratch.table(asked.join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"))
+        edges = scratch.table(join_groups(named, there, ["conv_id", "dep"], "n", named.count(), "inner").select(*key, "dep"))
+        waits = edges.groupBy(*key).agg(F.count("*").alias("waits"), F.min("dep").alias("dep"))
+        nodes = scratch.table(calls.select(*key).join(waits, key, "left").select(*key, F.coalesce("waits", F.lit(0)).alias("waits"), "dep"))
+        anchor = _anchors(nodes.filter("waits = 1").select(*key, "dep"), scratch)
+        several = nodes.filter("waits > 1").select(*key)
+        known = scratch.table(nodes.filter("waits = 0").select(*key, F.lit(0).alias("level")))
+        done = [known]
+        # Each edge of a call that waits for several leads to the end of a run, which is a root or such a call again.
+        end = F.struct(F.coalesce("to", "dep").alias("to"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"))
+        runs = anchor.select("conv_id", F.col("call_id").alias("dep"), "to", "dist")
+        left = scratch.table(edges.join(several, key, "left_semi").join(runs, ["conv_id", "dep"], "left").select(*key, end.alias("e")).select(*key, "e.*"))
+        while not left.isEmpty():
+            ends = known.select("conv_id", F.col("call_id").alias("to"), "level")
+            met = scratch.table(left.join(ends, ["conv_id", "to"], "left").select(*key, "to", "dist", "level"))
+            known = scratch.table(met.groupBy(*key).agg(F.count("*").alias("n"), F.count("level").alias("met"), F.max(F.col("level") + F.col("dist")).alias("level")).filter("n = met").select(*key, "level"))
+            if known.isEmpty():  # only cycles are left, and what is behind them
+                break
+            done.append(known)
+            known = scratch.table(reduce(DataFrame.union, done))
+            done = [known]
+            left = scratch.table(left.join(known.select(*key), key, "left_anti"))
+        level = reduce(DataFrame.union, done)
+        ends = level.select("conv_id", F.col("call_id").alias("to"), "level")
+        behind = anchor.join(ends, ["conv_id", "to"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
+        every = level.union(behind)
+        return materialize(nodes.select(*key).join(every, key, "left").select(*key, F.coalesce("level", F.lit(-1)).alias("level")))
+
+
+def _anchors(waits: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, call_id, to, dist: where the run of calls that wait for one other (dep) ends, and how far away. The distance
+    doubles each round; a run longer than its conversation's calls is a cycle and has no end."""
+    key = ["conv_id", "call_id"]
+    open_ = scratch.table(waits.select(*key, F.col("dep").alias("to"), F.lit(1).alias("dist")))
+    most = open_.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    ended = []
+    jump = open_
+    for _ in range(most.bit_length() + 1):
+        total = open_.count()
+        if not total:
             break
-        done.append(last)
-        waiting = materialize(still)
-    return reduce(DataFrame.union, done)
+        to = jump.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("further"))
+        held = scratch.table(open_.groupBy("conv_id", "to").agg(F.count("*").alias("n")).join(to, ["conv_id", "to"]))
+        stepped = scratch.table(join_groups(open_, held, ["conv_id", "to"], "n", total))
+        ended.append(stepped.filter("next is null").select(*key, "to", "dist"))
+        open_ = scratch.table(stepped.filter("next is not null").select(*key, F.col("next").alias("to"), (F.col("dist") + F.col("further")).alias("dist")))
+        jump = scratch.table(open_.union(ended[-1]).union(reduce(DataFrame.union, ended[:-1]))) if len(ended) > 1 else scratch.table(open_.union(ended[-1]))
+    return reduce(DataFrame.union, ended) if ended else open_
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Schemas, max_level: int = 64, each: bool = False) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """calls: conv_id, turn, call_id, name, arguments, after (array of identifiers); results: conv_id, turn, call_id, content.
 
     Returns conv_id, call_id, status, level, call_turn, result_turn, valid, errors, json."""
     key = ["conv_id", "call_id"]
     keyed = "conv_id is not null and call_id is not null"
-    first_call = F.struct("turn", "name", "arguments", "after")
-    one = calls.filter(keyed).groupBy(key).agg(F.min(first_call).alias("c"), F.count("*").alias("n_calls")).select(*key, "c.*", "n_calls")
-    one = materialize(one.withColumnRenamed("turn", "call_turn"))
-    res = results.filter(keyed).groupBy(key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results")).select(*key, F.col("r.turn").alias("result_turn"), "r.content", "n_results")
-    if each:
-        nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-        every = calls.filter(keyed).select(*key, F.col("turn").alias("call_turn"), "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"), nth("turn", "name", "arguments", "after").alias("nth"))
-        answers = results.filter(keyed).select(*key, F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("n_results"), nth("turn", "content").alias("nth"))
-        linked = every.hint("shuffle_hash").join(answers, [*key, "nth"], "full_outer").drop("nth")
-    else:
-        linked = one.hint("shuffle_hash").join(res, key, "full_outer")
-    loose_calls = calls.filter(f"not ({keyed})").select(*key, F.col("turn").alias("call_turn"), "name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"), F.lit(None).cast("long").alias("result_turn"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("n_results"))
-    loose_results = results.filter(f"not ({keyed})").select(*key, F.lit(None).cast("long").alias("call_turn"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("array<string>").alias("after"), F.lit(None).cast("long").alias("n_calls"), F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("n_results"))
-    rows = linked.unionByName(loose_calls).unionByName(loose_results)
-    level = levels(one, max_level)
-    rows = rows.join(level, key, "left")
-    is_call = F.col("n_calls").isNotNull()
+    one = materialize(calls.filter(keyed).groupBy(key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c")).select(*key, "c.after"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    every = calls.filter(keyed).select(*key, F.col("turn").alias("call_turn"), "name", "arguments", F.lit(True).alias("called"), nth("turn", "name", "arguments", "after").alias("nth"))
+    answers = results.filter(keyed).select(*key, F.col("turn").alias("result_turn"), "content", F.lit(True).alias("answered"), nth("turn", "content").alias("nth"))
+    linked = every.hint("shuffle_hash").join(answers, [*key, "nth"], "full_outer").drop("nth")
+    none = lambda kind: F.lit(None).cast(kind)
+    loose_calls = calls.filter(f"not ({keyed})").select(*key, F.col("turn").alias("call_turn"), "name", "arguments", F.lit(True).alias("called"), none("long").alias("result_turn"), none("string").alias("content"), none("boolean").alias("answered"))
+    loose_results = results.filter(f"not ({keyed})").select(*key, none("long").alias("call_turn"), none("string").alias("name"), none("string").alias("arguments"), none("boolean").alias("called"), F.col("turn").alias("result_turn"), "content", F.lit(True).alias("answered"))
+    rows = linked.unionByName(loose_calls).unionByName(loose_results).join(levels(one), key, "left")
+    is_call = F.col("called").isNotNull()
     errors = F.when(is_call, argument_errors(F.col("name"), F.col("arguments"), schemas))
-    status = F.when(~is_call, "orphan").when(F.col("n_results").isNull(), "open").otherwise("linked")
+    status = F.when(~is_call, "orphan").when(F.col("answered").isNull(), "open").otherwise("linked")
     return rows.select(
-        *key, status.alias("status"), F.when(is_call, F.coalesce("level", F.when(F.expr(keyed), -1).otherwise(0))).cast("long").alias("level"),
+        *key, status.alias("status"), F.when(is_call, F.coalesce("level", F.lit(0))).cast("long").alias("level"),
         "call_turn", "result_turn", F.coalesce(F.size(errors) == 0, F.lit(False)).alias("valid"), errors.alias("errors"),
         F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", "content", "name")).alias("json"),
     )
 
 
-#: Turns as calls: a user's turn asks for a reply, the turn after it answers; later turns come after the conversation's first two.
+#: Turns as calls: a user's turn asks for a reply, the turn after it answers; each call comes after the one two turns before.
 REPLY: Schemas = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
 
 
 def op6_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of other roles (or none) are rows of their own, with status 'message'."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    name = F.concat(F.lit("c"), F.col("turn").cast("string"))
-    before = F.when(F.col("turn") > 1, F.array(F.lit("c0"), F.lit("c1"))).otherwise(F.array().cast("array<string>"))
-    calls = turns.filter("role = 'user'").select("conv_id", "turn", name.alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"), before.alias("after"))
-    results = turns.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
-    return link(calls, results, REPLY, each=True).drop("errors")
+    named = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    calls = turns.filter("role = 'user'").select("conv_id", "turn", named(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"), F.array_compact(F.array(named(F.col("turn") - 2))).alias("after"))
+    results = turns.filter("role = 'assistant'").select("conv_id", "turn", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    linked = link(calls, results, REPLY).withColumn("errors", F.array_join("errors", "; "))
+    other = turns.filter("role is null or role not in ('user', 'assistant')")
+    null = F.lit(None)
+    messages = other.select("conv_id", named(F.col("turn")).alias("call_id"), F.lit("message").alias("status"), null.cast("long").alias("level"), F.col("turn").alias("call_turn"), null.cast("long").alias("result_turn"), F.lit(False).alias("valid"), null.cast("string").alias("errors"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"))
+    return linked.unionByName(messages)
 
 
 OP6_SQL = """
 WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
-c AS (SELECT conv_id, 'c' || turn AS call_id, min(turn) AS call_turn, min(text) AS prompt FROM t WHERE role = 'user' GROUP BY ALL),
-r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, min(text) AS content FROM t WHERE role = 'assistant' GROUP BY ALL),
-l AS (SELECT c.conv_id, c.call_id, CASE WHEN c.call_turn > 1 AND EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.call_turn < 2) THEN 1 ELSE 0 END AS level FROM c)
+u AS (SELECT conv_id, turn, text AS prompt, '{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text) || ',' END || '"turn":' || turn || '}' AS args FROM t WHERE role = 'user'),
+c AS (SELECT *, 'c' || turn AS call_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY args) AS k FROM u),
+r AS (SELECT conv_id, turn AS result_turn, text AS content, 'c' || (turn - 1) AS call_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS k FROM t WHERE role = 'assistant'),
+d AS (SELECT DISTINCT conv_id, turn FROM u WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+i AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM d),
+l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM i)
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
-       CASE WHEN c.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'open' ELSE 'linked' END AS status,
-       CAST(l.level AS BIGINT) AS level, c.call_turn, r.result_turn, c.conv_id IS NOT NULL AND c.prompt IS NOT NULL AS valid,
-       '{' || CASE WHEN c.conv_id IS NULL THEN '' ELSE '"arguments":{' || CASE WHEN c.prompt IS NULL THEN '' ELSE '"prompt":' || to_json(c.prompt) || ',' END || '"turn":' || c.call_turn || '},' END
-       || '"call_id":' || to_json(coalesce(c.call_id, r.call_id))
-       || CASE WHEN r.content IS NULL THEN '' ELSE ',"content":' || to_json(r.content) END
-       || CASE WHEN c.conv_id IS NULL THEN '' ELSE ',"name":"reply"' END || '}' AS json
-FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
-LEFT JOIN l ON l.conv_id = c.conv_id AND l.call_id = c.call_id
+       CASE WHEN c.k IS NULL THEN 'orphan' WHEN r.k IS NULL THEN 'open' ELSE 'linked' END AS status,
+       CASE WHEN c.k IS NOT NULL THEN CAST(coalesce(l.level, 0) AS BIGINT) END AS level, c.turn AS call_turn, r.result_turn, c.k IS NOT NULL AND c.prompt IS NOT NULL AS valid,
+       CASE WHEN c.k IS NOT NULL THEN CASE WHEN c.prompt IS NULL THEN 'missing prompt' ELSE '' END END AS errors,
+       '{' || CASE WHEN c.k IS NULL THEN '' ELSE '"arguments":' || c.args || ',' END || '"call_id":' || to_json(coalesce(c.call_id, r.call_id))
+       || CASE WHEN r.content IS NULL THEN '' ELSE ',"content":' || to_json(r.content) END || CASE WHEN c.k IS NULL THEN '' ELSE ',"name":"reply"' END || '}' AS json
+FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.k = r.k
+LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn
+UNION ALL
+SELECT conv_id, 'c' || turn, 'message', NULL, turn, NULL, false, NULL, '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text) || CASE WHEN role IS NULL THEN '' ELSE ',' END END || CASE WHEN role IS NULL THEN '' ELSE '"role":' || to_json(role) END || '}'
+FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

@@ -17,7 +17,7 @@ def test_link(spark):
     results = [(1, 1, "x", "3"), (1, 9, "x", "again"), (1, 4, "lost", "?"), (2, 3, "x", None), (None, 1, "n", "r")]
     c = spark.createDataFrame(calls, CALLS).withColumn("level", F.lit(7)).withColumn("content", F.lit("clash")).repartition(3)
     got = {(r.conv_id, r.call_id, r.status): r for r in link(c, spark.createDataFrame(results, RESULTS), SCHEMAS).collect()}
-    assert len(got) == 12
+    assert len(got) == 14
     x = got[1, "x", "linked"]
     assert (x.level, x.call_turn, x.result_turn, x.valid) == (0, 0, 1, True)
     assert x.json == '{"arguments":{"a":2,"b":1.5},"call_id":"x","content":"3","name":"add"}'
@@ -35,6 +35,18 @@ def test_levels_of_a_chain(spark):
     assert {r.call_id: r.level for r in levels(calls).collect()} == {f"c{i}": i for i in range(6)}
 
 
+def test_levels_have_no_greatest_depth_and_cycles_none(spark):
+    chain = [(1, i, f"c{i}", "say", "{}", [f"c{i - 1}"] if i else ["c0x"]) for i in range(150)]
+    several = [(2, i, f"d{i}", "say", "{}", [f"d{j}" for j in range(max(0, i - 3), i)]) for i in range(12)]  # each waits for the three before
+    mixed = [(3, 0, "a", "say", "{}", []), (3, 1, "b", "say", "{}", ["a"]), (3, 2, "c", "say", "{}", ["b"]), (3, 3, "d", "say", "{}", ["a", "c"]), (3, 4, "e", "say", "{}", ["d"]), (3, 5, "f", "say", "{}", ["e", "b"])]
+    cycle = [(4, 0, "a", "say", "{}", ["b"]), (4, 1, "b", "say", "{}", ["a"]), (4, 2, "c", "say", "{}", ["b"]), (4, 3, "d", "say", "{}", ["c", "e"]), (4, 4, "e", "say", "{}", []), (4, 5, "s", "say", "{}", ["s"])]
+    got = {(r.conv_id, r.call_id): r.level for r in levels(spark.createDataFrame(chain + several + mixed + cycle, CALLS)).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, f"c{i}"): i for i in range(150)}
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, f"d{i}"): i for i in range(12)}
+    assert [got[3, x] for x in "abcdef"] == [0, 1, 2, 3, 4, 5]
+    assert [got[4, x] for x in "abcdes"] == [-1, -1, -1, -1, 0, -1]
+
+
 def test_long_text_and_empty(spark):
     text = "long " * 50000
     one = spark.createDataFrame([(1, 0, "c", "say", json.dumps({"text": text}), [])], CALLS)
@@ -46,7 +58,7 @@ def test_long_text_and_empty(spark):
 def test_each_repeat_has_its_own_row(spark):
     calls = [(1, 0, "call_0", "say", '{"text": "a"}', []), (1, 2, "call_0", "say", '{"text": "b"}', []), (1, 4, "call_0", "say", '{"text": "c"}', [])]
     results = [(1, 1, "call_0", "A"), (1, 3, "call_0", "B"), (2, 1, "x", "first"), (2, 2, "x", "second")]
-    got = link(spark.createDataFrame(calls, CALLS).repartition(3), spark.createDataFrame(results, RESULTS), SCHEMAS, each=True).collect()
+    got = link(spark.createDataFrame(calls, CALLS).repartition(3), spark.createDataFrame(results, RESULTS), SCHEMAS).collect()
     assert sorted((r.conv_id, r.status, r.call_turn or -1, r.result_turn or -1, json.loads(r.json).get("content", "")) for r in got) == [
         (1, "linked", -1, 1, "A"), (1, "linked", 2, 3, "B"), (1, "open", 4, -1, ""), (2, "orphan", -1, 1, "first"), (2, "orphan", -1, 2, "second"),
     ]
