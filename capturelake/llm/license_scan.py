@@ -2,10 +2,10 @@
 
 Templates are short word sequences with a label and a mandatory key phrase. The corpus gives every licence word's document
 frequency; a template is indexed under its ``RARE`` words of highest IDF (with their positions in it). Of every file the
-index words it holds are looked up; each hit carries the words around it, so that only short windows leave the file. A hit
-and a posting give the place where the template would begin; a place stands if at least two index words agree on it (all of
-a template that has fewer), the key phrase stands word by word, and ``MIN_SHARE`` of the words are equal. A template marked
-whole needs every word. As a template's rarest word is always indexed, no whole occurrence is missed.
+anchors it holds are looked up: the rarest word of each key phrase, where the phrase stands around it word by word (a key
+phrase is mandatory, so no place is missed). Only such a hit leaves the file, with the words around it. A hit and a posting
+give the place where the template would begin; a place stands if at least two index words agree on it (all of a template that
+has fewer) and ``MIN_SHARE`` of the words are equal. A template marked whole needs every word.
 
 The word table that reaches the driver is bounded by the templates' vocabulary. Nothing is grouped by word or by label.
 
@@ -15,6 +15,7 @@ same result each; of equal places of several templates all count; an empty table
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,19 +76,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     vocabulary = sorted({w for _, t, _, _ in TEMPLATES for w in t.split()})
     index = postings(document_frequency(texts, vocabulary))
-    rare = _strings(sorted({w for w, *_ in index}))
+    anchors = anchored(index)
+    rare = _strings(sorted(anchors))
 
     def window(w: Column, i: Column) -> Column:
         begin = F.greatest(i - REACH, F.lit(0))
         return F.struct(w.alias("word"), i.alias("at"), begin.alias("begin"), F.slice("words", begin + 1, 2 * REACH).alias("near"))
 
+    def keyed(w: Column, i: Column) -> Column:
+        out = F.lit(False)
+        for word, phrases in sorted(anchors.items()):
+            stands = reduce(lambda a, b: a | b, [(i >= at) & (F.slice("words", F.greatest(i - at, F.lit(0)) + 1, len(key)) == _strings(list(key))) for key, at in sorted(phrases)])
+            out = F.when(w == word, stands).otherwise(out)
+        return out
+
     split = texts.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("words"))
     found = split.withColumn("held", F.array_intersect("words", rare))
-    spots = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("held", w), window(w, i))), lambda x: x.isNotNull())
+    spots = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("held", w), F.when(keyed(w, i), window(w, i)))), lambda x: x.isNotNull())
     files = materialize(found.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.when(F.size("held") > 0, spots).alias("hits")))
 
     names = ["word", "template", "pos", "rank"]
-    posted = spark.createDataFrame([(*p, TEMPLATES[p[1]][1].split(), *_key(p[1]), TEMPLATES[p[1]][3]) for p in index], "word string, template int, pos int, rank int, expect array<string>, key array<string>, key_at int, base boolean")
+    posted = spark.createDataFrame([(*p, TEMPLATES[p[1]][1].split(), *_key(p[1]), TEMPLATES[p[1]][3]) for p in anchor_postings(index)], "word string, template int, pos int, rank int, expect array<string>, key array<string>, key_at int, base boolean")
     index_at = spark.createDataFrame([(i, sorted({p for _, t, p, _ in index if t == i})) for i in range(len(TEMPLATES))], "template int, index_at array<int>")
     labels = spark.createDataFrame([(i, x[0]) for i, x in enumerate(TEMPLATES)], "template int, label string")
     rows = posted.join(index_at, "template").join(labels, "template").select(*names, "expect", "key", "key_at", "base", "index_at", "label")
@@ -113,6 +122,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def anchor_postings(index: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """Of each template, the posting of its key phrase's rarest word (its first place in the phrase)."""
+    out = []
+    for i in range(len(TEMPLATES)):
+        key, at = _key(i)
+        rank = {w: r for w, t, _, r in index if t == i}
+        word = min(key, key=lambda w: (rank.get(w, RARE), -len(w), w))
+        out.append((word, i, at + key.index(word), rank.get(word, RARE)))
+    return out
+
+
+def anchored(index: list[tuple[str, int, int, int]]) -> dict[str, set[tuple[tuple[str, ...], int]]]:
+    """Anchor word -> the key phrases it anchors, and where it stands in them."""
+    out: dict[str, set[tuple[tuple[str, ...], int]]] = {}
+    for word, i, _, _ in anchor_postings(index):
+        key, _ = _key(i)
+        out.setdefault(word, set()).add((tuple(key), key.index(word)))
+    return out
+
+
 def _key(i: int) -> tuple[list[str], int]:
     """Key phrase of a template and where in the template it stands."""
     words, key = TEMPLATES[i][1].split(), TEMPLATES[i][2].split()
