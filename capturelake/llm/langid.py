@@ -6,10 +6,12 @@ features. As scores are linear in presence, the landmarks' presence rows and the
 and a batch of texts is scored by one matrix product.
 
 Training rows: at most ``max_train`` labelled rows, an equal number of each language, those with the smallest hash of
-their id. Every text is read whole, in training and in scoring.
+their id and text (rows that repeat both are one). Every text is read whole, in training and in scoring. Where there are more
+languages than max_train, one row of each is learned from.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text where there is no training
-row; with one language, that language is predicted. Repeated rows are scored one by one; an empty table gives no rows.
+row; with one language, that language is predicted. Repeated rows are scored one by one; a row with a null id is scored,
+never learned from, and not held out; an empty table gives no rows.
 Ties go to the language that sorts first."""
 
 from __future__ import annotations
@@ -118,34 +120,36 @@ def _batches(ids: list, texts: list) -> Iterator[tuple[list, list]]:
 
 def learnable(id_col: Column) -> Column:
     """Rows that may be learned from: the others are held out."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 3 != 1
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", may_learn: Column | None = None, max_train: int = 2000) -> Model:
     """Fit on at most max_train rows; what reaches the driver is a packed presence row for each."""
     arrow_rows(docs.sparkSession)
     may_learn = learnable(docs[id_col]) if may_learn is None else may_learn
-    rows = docs.filter(may_learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
+    known = docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull()
+    rows = docs.filter(may_learn & known).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), F.pmod(F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string")), F.lit(HASHES)).alias("h"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
     if not counts:
         return Model.fit(np.zeros((0, WIDTH // 8), np.uint8), [])
     each = max(1, max_train // len(counts))
     # Four times the rows wanted pass a threshold on the hash, so no task ever ranks more of a language than that.
     most = docs.sparkSession.createDataFrame([(r.lang, int(HASHES * min(1.0, (4 * each + 100) / r.n))) for r in counts], "lang string, most long")
-    order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(HASHES))
-    few = rows.withColumn("h", order).join(F.broadcast(most), "lang").filter(F.col("h") < F.col("most"))
-    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= each).select("id", "lang").limit(max_train)
+    few = rows.join(F.broadcast(most), "lang").filter(F.col("h") < F.col("most"))
+    chosen = few.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= each).select("lang", "h")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _batches(list(range(len(batch))), batch.column(1).to_pylist()):
+            for at, texts in _batches(list(range(len(batch))), batch.column(1).to_pylist()):
                 x, _ = presence([t or "" for t in texts])
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py() for i in ids], pa.string()), pa.array([r.tobytes() for r in np.packbits(x > 0, axis=1)], pa.binary())], ["lang", "bits"])
+                part = batch.slice(at[0], len(at))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in np.packbits(x > 0, axis=1)], pa.binary())], ["lang", "h", "bits"])
         release()
 
-    text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    got = text.join(F.broadcast(chosen), "id").select("lang", "text").mapInArrow(pack, "lang string, bits binary").limit(max_train).collect()
-    got.sort(key=lambda r: (bytes(r.bits), r.lang))
+    # At most `each` hashes a language; rows that repeat one are equal and count once.
+    packed = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "text", "h").mapInArrow(pack, "lang string, h long, bits binary")
+    got = packed.groupBy("lang", "h").agg(F.min("bits").alias("bits")).collect()
+    got.sort(key=lambda r: (r.h, r.lang))
     bits = np.array([np.frombuffer(r.bits, np.uint8) for r in got], np.uint8).reshape(len(got), -1)
     return Model.fit(bits, [r.lang for r in got])
 
