@@ -1,6 +1,10 @@
 """Corpus preparation: language ID, line dedup, near-dedup, decontamination and packing, in this order.
 
-Every stage takes the rows that the one before it kept, written as Parquet and read again."""
+Every stage takes the rows that the one before it kept, written as Parquet and read again.
+
+Defined cases: a null text, or one without a letter, goes with the first stage; a null id stays (it cannot be named in a class
+of near duplicates); of rows that repeat an id, one stays; a null source is the source ''; an empty table gives no rows; other
+columns of documents pass through all stages but the last."""
 
 from __future__ import annotations
 
@@ -22,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source."""
-    return drop_boilerplate(docs)
+    """All documents, without the boilerplate lines of their source. Copies of a document stay whole for the next stage, which
+    keeps one of them; without that, none of their text would be left."""
+    return drop_boilerplate(docs, keep_copies=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
