@@ -2,18 +2,18 @@
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers in the whole text. Tokens that could be
 personal data (they hold a digit or '@') are the nodes of a factor graph: chain edges join neighbouring tokens, skip edges
-join each token to the next one of the same or similar form anywhere in the document (so edges grow with the tokens, not
-with their pairs). Loopy sum-product passing over all graphs of a batch gives marginals; tokens that the patterns left out
-become spans of their likeliest label where that has a probability of ``MIN_PROBABILITY`` or more (in one of a run of
-neighbours).
+join tokens of the same or similar form anywhere in the document, through a hub where they are more than two (so edges grow
+with the tokens, not with their pairs). Loopy sum-product passing over all graphs of a batch gives marginals; tokens that the
+patterns left out become spans of their likeliest label where that has a probability of ``MIN_PROBABILITY`` or more (in one of
+a run of neighbours). Secrets (keys, tokens, passwords) are a kind that only the field finds.
 
-Training: node weights by multinomial logistic regression on at most ``TRAIN_DOCS`` documents that hold such tokens, with
-the patterns' spans as labels but without features that copy the patterns; edge potentials are the smoothed log ratios of
-how often two joined tokens carry each pair of labels. Only token features and labels reach the driver, at most
-``TRAIN_TOKENS`` of them.
+Training: node and edge weights together by pseudo-likelihood, on at most ``TRAIN_DOCS`` documents that hold such tokens and
+``TRAIN_TOKENS`` tokens of whole documents, with the patterns' spans and the values of assignments such as ``token = "..."``
+as labels but without features that copy the patterns. Only token features and labels reach the driver.
 
-Defined cases: null and empty texts have no spans; equal documents give equal spans; with no token to learn from only the
-patterns' spans are found; an empty table gives no rows; texts are read whole, in time linear in their length."""
+Defined cases: null and empty texts have no spans; equal documents give equal spans; null ids are kept; ties between labels go to
+the first kind; with no token to learn from only the patterns' spans are found; an empty table gives no rows; texts are read
+whole, in time linear in their length."""
 
 from __future__ import annotations
 
@@ -26,15 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import arrow_rows, release, table, text_chunks
+from capturelake.llm.common import arrow_rows, materialize, release, table, text_chunks
 
-KINDS = ["email", "ip", "card", "phone"]
-TRAIN_DOCS, TRAIN_TOKENS, MIN_PROBABILITY, ROUNDS = 4000, 40_000, 0.9, 8
+#: The patterns' kinds, and one that only the field finds.
+BASE = ["email", "ip", "card", "phone"]
+KINDS = [*BASE, "secret"]
+TRAIN_DOCS, TRAIN_TOKENS, MIN_PROBABILITY = 4000, 40_000, 0.9
+SAME = 2.5  # what tokens of one form are given for equal labels, before training
+ROUNDS, TOLERANCE = 60, 1e-3  # message passing ends when no message changes by more, and in any case after so many rounds
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Assignments whose values the field learns as secrets; it finds others by their form and by what stands before them.
+_SECRET = re.compile(r"\b(?:token|secret|passw(?:or)?d|api[_-]?key|key)\b[\"']?\s*+[=:]\s*+[\"']?([A-Za-z0-9+/_-]{16,})", re.I)
 _DIGIT = re.compile(r"[0-9]")
 _NODE = re.compile(r"\S*[0-9@]\S*")
 _CORE = re.compile(r"[A-Za-z0-9+(](?:.*[A-Za-z0-9)])?", re.S)
@@ -73,12 +79,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Graph:
-    """Tokens of one document: spans, features, labels by the patterns (0: none), and edges by kind (0 chain, 1 skip)."""
+    """Tokens of one document: spans, features, labels by the patterns (0: none), and edges by kind (0 chain, 1 skip).
+
+    Tokens of one form are joined directly if they are two; more are joined to a hub, a node without a span, so that a label
+    is two steps away however many they are. ``learn`` has the labels to train on: those of the patterns, of assignments of
+    secrets, and of a hub that of most of its labelled tokens."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        self.spans, self.features, keys, word_no = [], [], [], []
+        self.spans, self.features, self.labels = [], [], []
         begins = [b[0] for b in base]
-        self.labels = []
+        secrets = [(m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
+        keys: list[str] = []
         for m in _NODE.finditer(text):
             core = _CORE.search(m[0])
             if not core:
@@ -87,26 +98,41 @@ class Graph:
             token = text[s:e]
             before = _WORD.findall(text[max(0, s - 24) : s].lower())
             keys.append(re.sub(r"[^0-9a-z@]", "", token.lower()))
-            word_no.append(s)
             self.spans.append((s, e))
             self.features.append(shape(token, before[-1] if before else ""))
             i = bisect.bisect_right(begins, e - 1)
             near = [b for b in base[max(0, i - 4) : i] if b[0] < e and s < b[1]]
             self.labels.append(near[0][2] + 1 if near else 0)
-        self.edges = [(i, i + 1, 0) for i in range(len(keys) - 1) if word_no[i + 1] - self.spans[i][1] <= 3]
-        last: dict[str, int] = {}
+        self.edges = [(i, i + 1, 0) for i in range(len(keys) - 1) if self.spans[i + 1][0] - self.spans[i][1] <= 3]
+        self.learn = list(self.labels)
+        at = 0
+        for i, (s, e) in enumerate(self.spans):
+            while at < len(secrets) and secrets[at][1] <= s:
+                at += 1
+            if not self.learn[i] and at < len(secrets) and secrets[at][0] < e:
+                self.learn[i] = len(KINDS)
+        forms: dict[str, list[int]] = {}
         for i, k in enumerate(keys):
             for form in {k, k[:8] + "|" + str(len(k))}:  # the same, or of one length and beginning
-                if form in last and (last[form], i, 1) not in self.edges[-2:]:
-                    self.edges.append((last[form], i, 1))
-                last[form] = i
-
+                forms.setdefault(form, []).append(i)
+        for members in {tuple(x) for x in forms.values() if len(x) > 1}:
+            if len(members) == 2:
+                self.edges.append((*members, 1))
+            else:
+                hub = len(self.features)
+                self.features.append(["hub"])
+                self.labels.append(0)
+                own = [y for i in members if (y := self.learn[i])]
+                self.learn.append(max(sorted(set(own)), key=own.count) if own else 0)
+                self.edges += [(i, hub, 1) for i in members]
+        self.edges.sort()
 
     def added(self, p: np.ndarray) -> list[tuple[int, int, int, bool]]:
         """Runs of tokens, one character apart, that the patterns left out and that share a likely label."""
-        label, out, sure = p.argmax(1), [], 0.0
+        tokens = len(self.spans)
+        label, out, sure = p[:tokens].argmax(1), [], 0.0
         before = -1
-        for n in np.flatnonzero((label > 0) & (np.array(self.labels) == 0)).tolist():
+        for n in np.flatnonzero((label > 0) & (np.array(self.labels[:tokens]) == 0)).tolist():
             s, e = self.spans[n]
             kind, chance = int(label[n]) - 1, float(p[n, label[n]])
             if out and before == n - 1 and out[-1][2] == kind and s - out[-1][1] <= 1:
@@ -127,13 +153,13 @@ def shape(token: str, before: str) -> list[str]:
     letters = sum(c.isalpha() for c in token)
     groups = [len(g) for g in re.findall(r"[0-9]+", token)]
     return [
-        "bias", f"d{min(digits, 20)}", f"l{min(letters.bit_length(), 5)}", f"groups:{'.'.join(map(str, groups[:5]))}", f"n{min(len(groups), 5)}",
+        "bias", f"d{min(digits, 20)}", f"l{min(letters.bit_length(), 5)}", f"long:{min(len(token) // 8, 6)}", "mixed" if digits >= 4 and letters >= 4 and token.isalnum() else "plain", f"groups:{'.'.join(map(str, groups[:5]))}", f"n{min(len(groups), 5)}",
         *(f"has{c}" for c in "@.+()-:/" if c in token), "at-dot" if "@" in token and "." in token.split("@", 1)[1] else "no-at-dot", f"before:{before}" if before in CUES else "before:-",
     ]
 
 
 #: Words that announce personal data.
-CUES = frozenset("address call card cell contact email fax host ip mail mobile phone server tel telephone visa write".split())
+CUES = frozenset("address api apikey bearer call card cell contact email fax host ip key mail mobile passwd password phone secret server tel telephone token visa write".split())
 
 
 class Field:
@@ -141,34 +167,39 @@ class Field:
         self.index, self.w, self.edge = index, w, edge  # edge[kind, label, label]: log potentials
 
     @staticmethod
-    def fit(features: list[list[str]], labels: list[int], pairs: list[tuple[int, int, int]], rounds: int = 200) -> Field:
-        """pairs: (edge kind, label, label)."""
+    def fit(features: list[list[str]], labels: list[int], edges: list[tuple[int, int, int]], rounds: int = 200) -> Field:
+        """Node and edge weights together, by the likelihood of each label given its features and its neighbours' labels.
+
+        edges: (node, node, kind)."""
         index: dict[str, int] = {}
         found = [[index.setdefault(f, len(index)) for f in fs] for fs in features]
         rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
         cols = np.array([i for f in found for i in f], int)
         n = len(KINDS) + 1
-        w = np.zeros((len(index), n))
-        m = v = np.zeros_like(w)
         gold = np.eye(n)[labels]
+        e = np.array(edges, int).reshape(-1, 3)
+        to, by, kind = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]]), np.concatenate([e[:, 2]] * 2)
+        # Labels around a node, by edge kind, scaled so that a hub's many tokens count as a few.
+        share = 1 / np.sqrt(np.maximum(np.bincount(to, minlength=len(found)), 1))
+        around = np.zeros((2, len(found), n))
+        np.add.at(around, (kind, to), gold[by] * share[to][:, None])
+        prior = np.stack([np.zeros((n, n)), SAME * np.eye(n)])
+        theta = [np.zeros((len(index), n)), prior.copy()]
+        m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
         for step in range(1, rounds + 1):
-            z = np.zeros((len(found), n))
+            w, edge = theta
+            z = np.einsum("kia,kab->ib", around, edge)
             np.add.at(z, rows, w[cols])
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = np.zeros_like(w)
-            np.add.at(g, cols, (gold - p)[rows])
-            g = g / len(found) - 1e-4 * w
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w = w + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        count = np.ones((2, n, n))
-        for kind, a, b in pairs:
-            count[kind, a, b] += 1
-            count[kind, b, a] += 1
-        share = count / count.sum((1, 2), keepdims=True)
-        single = share.sum(2)
-        edge = np.clip(np.log(share) - np.log(single[:, :, None]) - np.log(single[:, None, :]), -3, 3)
-        return Field(index, w, edge)
+            gw = np.zeros_like(w)
+            np.add.at(gw, cols, (gold - p)[rows])
+            ge = np.einsum("kia,ib->kab", around, gold - p)
+            grads = [gw / len(found) - 1e-4 * w, (ge + ge.transpose(0, 2, 1)) / 2 / len(found) - 1e-2 * (edge - prior)]
+            for i, g in enumerate(grads):
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
+                theta[i] = theta[i] + 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+        return Field(index, theta[0], np.clip(theta[1], -3, 3))
 
     def marginals(self, graphs: list[Graph]) -> np.ndarray:
         """Label probabilities of all tokens of all graphs; labels given by the patterns are held fixed."""
@@ -177,7 +208,7 @@ class Field:
         given = np.array([y for g in graphs for y in g.labels], int)
         phi[given > 0] = -30
         phi[np.flatnonzero(given > 0), given[given > 0]] = 0
-        first = np.cumsum([0, *(len(g.spans) for g in graphs)])
+        first = np.cumsum([0, *(len(g.features) for g in graphs)])
         edges = np.array([(a + o, b + o, k) for g, o in zip(graphs, first, strict=False) for a, b, k in g.edges], int).reshape(-1, 3)
         belief = phi
         if len(edges):
@@ -191,7 +222,10 @@ class Field:
                 out = belief[src] - message[back]
                 new = np.logaddexp.reduce(out[:, :, None] + psi, axis=1)
                 new -= new.max(1, keepdims=True)
+                change = np.abs(new - message).max()
                 message = 0.5 * message + 0.5 * new
+                if change < TOLERANCE:
+                    break
             belief = phi.copy()
             np.add.at(belief, dst, message)
         p = np.exp(belief - belief.max(1, keepdims=True))
@@ -199,34 +233,41 @@ class Field:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_tokens: int = TRAIN_TOKENS) -> Field | None:
-    """Learn from the documents with the smallest hash of their id among those that may hold personal data."""
+    """Learn from the documents with the smallest hash of their id and text among those that may hold personal data, whole,
+    in the order of the hash, leaving out those that would go over max_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = text.as_py()
                 g = Graph(t, base_spans(t))
-                n = max(1, max_tokens // max_docs * 4)
-                g.features, g.labels = g.features[:n], g.labels[:n]  # a document's share of the training bound
-                pairs = [(k, g.labels[a], g.labels[b]) for a, b, k in g.edges if a < n and b < n]
-                if g.features:
-                    yield pa.RecordBatch.from_pylist([{"features": g.features, "labels": g.labels, "pairs": [list(p) for p in pairs]}], schema=schema)
+                if g.spans and len(g.features) <= max_tokens:
+                    yield pa.RecordBatch.from_pylist([{"h": h, "features": g.features, "labels": g.learn, "edges": [list(e) for e in g.edges]}], schema=schema)
+        release()
 
-    schema = pa.schema([("features", pa.list_(pa.list_(pa.string()))), ("labels", pa.list_(pa.int32())), ("pairs", pa.list_(pa.list_(pa.int32())))])
+    schema = pa.schema([("h", pa.int64()), ("features", pa.list_(pa.list_(pa.string()))), ("labels", pa.list_(pa.int32())), ("edges", pa.list_(pa.list_(pa.int32())))])
     arrow_rows(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    chosen = rows.select(F.xxhash64("id", "text").alias("h")).distinct().orderBy("h").limit(max_docs)
-    sample = rows.join(F.broadcast(chosen), F.xxhash64("id", "text") == F.col("h"), "left_semi").select("text")
-    got = sample.mapInArrow(run, "features array<array<string>>, labels array<int>, pairs array<array<int>>").limit(max_docs).collect()
-    got.sort(key=lambda r: (r.features, r.labels))
-    features, labels, pairs = [], [], []
-    for r in got:
-        if len(features) + len(r.features) > max_tokens:
-            break
+    rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("id", "text").alias("h"), "text")
+    chosen = rows.select("h").distinct().orderBy("h").limit(max_docs)
+    # Rows that repeat id and text have one hash and give equal graphs: one of them counts.
+    made = rows.join(F.broadcast(chosen), "h").select("h", "text").mapInArrow(run, "h long, features array<array<string>>, labels array<int>, edges array<array<int>>")
+    graphs = materialize(made.groupBy("h").agg(F.min(F.struct("features", "labels", "edges")).alias("g")).select("h", F.size("g.features").alias("n"), "g.*"))
+    # Only as many as fit reach the driver; their sizes come first.
+    left, want = max_tokens, []
+    for r in graphs.select("h", "n").orderBy("h").collect():
+        if r.n <= left:
+            left -= r.n
+            want.append((r.h,))
+    if not want:
+        return None
+    features, labels, edges = [], [], []
+    kept = graphs.join(F.broadcast(docs.sparkSession.createDataFrame(want, "h long")), "h", "left_semi").drop("n").collect()
+    for r in sorted(kept, key=lambda r: r.h):
+        at = len(features)
         features += r.features
         labels += r.labels
-        pairs += map(tuple, r.pairs)
-    return Field.fit(features, labels, pairs) if features else None
+        edges += [(a + at, b + at, k) for a, b, k in r.edges]
+    return Field.fit(features, labels, edges)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -257,8 +298,8 @@ def find(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col:
                     p = model.marginals(graphs)
                     at = 0
                     for i, g in zip(where, graphs, strict=True):
-                        own = p[at : at + len(g.spans)]
-                        at += len(g.spans)
+                        own = p[at : at + len(g.features)]
+                        at += len(g.features)
                         found[i] += g.added(own)
                         found[i].sort(key=lambda x: (x[0], x[2], x[1]))
                 spans = [[{"start": s, "end": e, "kind": KINDS[k], "base": b} for s, e, k, b in f] for f in found]
@@ -273,5 +314,6 @@ def op4_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = F.filter("spans", lambda s: s.base)
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    added = F.size(F.filter("spans", lambda s: ~s.base)).cast("long")
     count = lambda kind: F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return find(docs, train(docs)).select("doc_id", *map(count, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return find(docs, train(docs)).select("doc_id", *map(count, BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added.alias("n_added"), F.size("spans").cast("long").alias("n_spans"))

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from capturelake.llm.pii import KINDS, base_spans, find, train
+from capturelake.llm.pii import KINDS, Field, Graph, base_spans, find, train
 
 SCHEMA = "doc_id long, text string"
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -69,3 +70,60 @@ def test_nothing_to_learn(spark):
     assert train(none) is None and find(none, None).count() == 0
     docs = spark.createDataFrame([(1, "ask a@b.example"), (2, "x " * 200000 + "a@b.example")], SCHEMA)
     assert [len(r.spans) for r in find(docs, None).collect()] == [1, 1]
+
+
+def test_marginals_equal_enumeration():
+    """On a tree of tokens message passing is exact; a hub joins three tokens of one form."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    text = "call 4155551234 or +1 (415) 555-1299 xx 4155551234 yy zz long words between them all 4155551234 end a1"
+    g = Graph(text, base_spans(text))
+    g.edges = [e for e in g.edges if e[2] == 1]  # without chain edges the graph is a tree
+    assert max(max(e[:2]) for e in g.edges) >= len(g.spans)  # the hub
+    n, nodes = len(KINDS) + 1, len(g.features)
+    names = sorted({f for fs in g.features for f in fs})
+    edge = rng.normal(size=(2, n, n))
+    field = Field({f: i for i, f in enumerate(names)}, rng.normal(size=(len(names), n)), edge + edge.transpose(0, 2, 1))
+    got = field.marginals([g])
+    want = np.zeros((nodes, n))
+    phi = np.array([sum(field.w[field.index[f]] for f in fs) for fs in g.features])
+    free = [range(n) if not y else [y] for y in g.labels]
+    for y in itertools.product(*free):
+        score = sum(phi[i, y[i]] for i in range(nodes) if not g.labels[i]) + sum(field.edge[k, y[a], y[b]] for a, b, k in g.edges)
+        for i in range(nodes):
+            want[i, y[i]] += np.exp(score)
+    want /= want.sum(1, keepdims=True)
+    assert np.abs(got - want).max() < 0.01
+
+
+def test_secrets_and_distant_repeats(spark):
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    data = [(i, f'some words token = "{key()}" and more words in room {i % 9}') for i in range(120)] + [(1000 + i, f"plain words about day {i % 28} of year {1990 + i % 30} and unit {i}") for i in range(120)]
+    bare = key()
+    data += [(2000, f'first token = "{bare}" ' + "then many plain words follow here " * 40 + f' key = "{bare}" token = "{bare}" secret = "{bare}" token = "{bare}" ' + "and more of them " * 40 + f"{bare} end"), (2001, None)]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in find(docs, train(docs)).collect()}
+    assert all(got[i] == [("secret", False)] for i in range(120)) and all(not got[1000 + i] for i in range(120))
+    assert got[2001] == []
+
+
+def test_distant_repeats_share_their_labels():
+    """A token without a cue follows the labels of the same token far away; without skip edges it does not."""
+    word = "ab12cd34ef56ab12cd34ef56"
+    text = f"token {word} " + "plain words " * 50 + f"token {word} " + "plain words " * 50 + word
+    names = ["before:token", "before:-"]
+    w = np.zeros((2, len(KINDS) + 1))
+    w[0, -1], w[1, 0] = 3, 1  # the cue says secret, its absence nothing
+    field = Field({f: i for i, f in enumerate(names)}, w, np.stack([np.zeros((len(KINDS) + 1,) * 2), 2.5 * np.eye(len(KINDS) + 1)]))
+    g = Graph(text, [])
+    joined = field.marginals([g])[2]
+    g.edges = []
+    alone = field.marginals([g])[2]
+    assert joined.argmax() == len(KINDS) and alone.argmax() == 0
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a@b.example"), (None, None), (1, "a@b.example"), (1, "a@b.example")], SCHEMA)
+    assert sorted([(r.doc_id or 0, len(r.spans)) for r in find(docs, train(docs)).collect()]) == [(0, 0), (0, 1), (1, 1), (1, 1)]
