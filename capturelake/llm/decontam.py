@@ -6,8 +6,9 @@ sign of running sums over shingles. Fingerprints within ``radius`` bits of an it
 of eight bits, one at least differs by no more than radius // 8 bits, so looking up every block's neighbours finds them
 all. Candidates are verified by exact weighted Jaccard similarity of shingles, at least ``similarity``.
 
-The benchmark is a query set: it is read in blocks of at most ``block`` items, each of which is searched for in all
-documents, so the index that tasks hold is bounded whatever the benchmark's size. Documents are never shuffled.
+The benchmark is a query set: it is read in blocks of at most ``block`` items and BLOCK_CHARS characters, each of which is
+searched for in all documents, so the index that tasks hold is bounded whatever the benchmark's size. Documents are never
+shuffled.
 
 A document with fewer words than an item is one window, compared whole with the items it shares a shingle with.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from capturelake.llm.common import arrow_rows, release, table, text_chunks
 from capturelake.llm.shingles import WORDS, overlap, shingle, words
 
-SIMILARITY, RADIUS, BLOCK = 0.8, 23, 4096
+SIMILARITY, RADIUS, BLOCK, BLOCK_CHARS = 0.8, 23, 16384, 1 << 23
 TABLE = 1 << 20
 _BIT = np.arange(64, dtype=np.uint64)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -39,7 +40,7 @@ def _signs(s: np.ndarray) -> np.ndarray:
 
 def simhash(sums: np.ndarray) -> np.ndarray:
     """Eight bytes for each row of 64 sums."""
-    return np.packbits(sums > 0, axis=1)
+    return np.ascontiguousarray(np.packbits(sums > 0, axis=1))
 
 
 class Index:
@@ -94,9 +95,10 @@ class Index:
             cover = np.zeros(len(s) + 1, np.int32)
             np.add.at(cover, np.maximum(at - k + 1, 0), 1)
             np.add.at(cover, at + 1, -1)
+            step = max(1, min(4096, (1 << 22) // len(which)))  # windows at once, so that windows times items stay bounded
             begins = np.flatnonzero(np.cumsum(cover)[: len(s) - k + 1] > 0)
             for run in np.split(begins, np.flatnonzero(np.diff(begins) > k) + 1):  # near windows share their sums
-                for part in (run[i : i + 4096] for i in range(0, len(run), 4096)):
+                for part in (run[i : i + step] for i in range(0, len(run), step)):
                     if not len(part):
                         continue
                     base = int(part[0])
@@ -106,12 +108,14 @@ class Index:
                     maybe = np.zeros((len(part), len(which)), bool)
                     for b in range(8):
                         maybe |= tables[b][code[:, b]]
-                    for w, i in zip(*np.nonzero(maybe), strict=True):
-                        if _ONES[code[w] ^ prints[i]].sum() <= self.radius:
-                            begin, item = int(part[w]), int(which[i])
-                            got = overlap(np.sort(s[begin : begin + k]), self.bags[item])
-                            if got >= similarity and (item not in best or got > best[item][0]):
-                                best[item] = (got, begin)
+                    w, i = np.nonzero(maybe)
+                    far = np.bitwise_count(code.view(np.uint64)[w, 0] ^ prints.view(np.uint64)[i, 0])
+                    close = np.flatnonzero(far <= self.radius)
+                    for w, i in zip(w[close].tolist(), i[close].tolist(), strict=True):
+                        begin, item = int(part[w]), int(which[i])
+                        got = overlap(np.sort(s[begin : begin + k]), self.bags[item])
+                        if got >= similarity and (item not in best or got > best[item][0]):
+                            best[item] = (got, begin)
         return [(item, begin, got) for item, (got, begin) in sorted(best.items())]
 
     def matches(self, texts: list[str], similarity: float) -> Iterator[tuple[int, int, int, float]]:
@@ -138,14 +142,26 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, radius: int = RADIUS, short_inside: bool = False) -> Iterator[Index]:
-    """An index for each block of items, in the order of their hash; only one block's items are on the driver at a time."""
+    """An index for each block of at most ``block`` items and BLOCK_CHARS characters (or one longer item); items come to the
+    driver a part at a time, and only one block is there at once."""
     items = benchmark.filter(benchmark[item_text].isNotNull() & benchmark[item_id].isNotNull()).select(benchmark[item_id].cast("long").alias("item"), benchmark[item_text].cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // max(1, block // 2)))
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        if rows:
-            rows.sort()
-            yield Index([r.item for r in rows], [r.text for r in rows], radius, short_inside=short_inside)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size.n // block), -(-size.chars // BLOCK_CHARS))
+    held: list[tuple[int, str]] = []
+    chars = 0
+    for r in items.repartition(parts, F.xxhash64("item", "text")).toLocalIterator():
+        if held and (len(held) == block or chars + len(r.text) > BLOCK_CHARS):
+            yield _index(held, radius, short_inside)
+            held, chars = [], 0
+        held.append((r.item, r.text))
+        chars += len(r.text)
+    if held:
+        yield _index(held, radius, short_inside)
+
+
+def _index(items: list[tuple[int, str]], radius: int, short_inside: bool) -> Index:
+    items = sorted(items)
+    return Index([i for i, _ in items], [t for _, t in items], radius, short_inside=short_inside)
 
 
 MATCHES = "doc_id long, item_id long, first_word long, similarity double"
