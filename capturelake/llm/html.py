@@ -4,10 +4,11 @@ A page is cut into leaf blocks (runs of text between block-level tags). Features
 roles of its ancestors and its text (length, share of link text, punctuation). A two-label chain (article or not) is
 trained by maximum likelihood on labelled pages and decoded by Viterbi. As the pages come without labels, training pages
 are written by ``labelled_pages``: layouts whose article is known because they are built around it. They are a fixed
-number (``TRAIN_PAGES``), so training is bounded; it runs once on the driver, and tasks get the weights.
+number (``TRAIN_PAGES``), so training is bounded; it runs once on the driver, and tasks get the weights. Text of math, object,
+canvas, svg and noscript elements is text like any other.
 
 Defined cases: null or empty html gives '' and 0; markup may be broken: an unclosed tag ends with its parent, an unclosed
-script, style or comment hides the rest; character references are decoded once; rows that repeat are extracted each; an
+script, style or comment hides the rest; a null id or url is kept; character references are decoded once; rows that repeat are extracted each; an
 empty table gives no rows; pages of any length are read whole."""
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import functools
 import html as _html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from capturelake.llm.common import arrow_rows, release, table, text_chunks
 
 TRAIN_PAGES = 600
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul video audio".split()
+    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul video audio".split()
 )
-RAW_TAGS = frozenset("script style noscript template textarea title svg iframe math object canvas".split())
+RAW_TAGS = frozenset("script style template textarea title iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -47,6 +49,7 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, white space already single."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    opened: Counter[str] = Counter()  # tags on the stack, so that a closing tag without one costs nothing
     run: list[str] = []
     linked, in_link = 0, False
     at, end = 0, len(page)
@@ -94,9 +97,10 @@ def blocks(page: str) -> list[Block]:
             elif tag in BLOCK_TAGS:
                 flush()
                 in_link = False
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
+                while opened[tag]:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == tag:
                         break
             continue
         if tag in RAW_TAGS:
@@ -115,13 +119,14 @@ def blocks(page: str) -> list[Block]:
             in_link = False
             shut = CLOSES.get(tag, {"p"} if tag not in ("button", "label", "option") else set())
             while len(stack) > 1 and stack[-1][0] in shut:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if tag in VOID_TAGS:
                 continue
             own = {f"<{tag}>"}
             for name, a, b, c in ATTRIBUTE.findall(m[2]):
                 own |= {f"{'role' if name.lower() == 'role' else 'c'}:{t}" for t in TOKEN.findall((a or b or c).lower())}
             stack.append((tag, stack[-1][1] | own))
+            opened[tag] += 1
     flush()
     return out
 
@@ -132,7 +137,7 @@ def features(block: Block) -> list[str]:
     last = block.text[-1]
     stops = sum(map(block.text.count, ".,;:!?"))
     out = [*block.tokens, "bias", f"len:{min(n.bit_length(), 10)}", f"link:{0 if not share else 1 if share < 0.5 else 2}", f"stop:{min(stops, 5)}", "end" if last in ".!?\"'" else "open"]
-    if "©" in block.text or "copyright" in block.text[:200].lower():
+    if "©" in block.text or "copyright" in block.text.lower():
         out.append("copyright")
     return out
 

@@ -47,3 +47,28 @@ def test_edge_cases(spark):
     assert got[1] == ("u", "", 0) and got[2] == (None, "", 0) and got[3][1].startswith("Title")
     assert got[4][1].count("\n") == 19999 and got[4][2] == len(got[4][1])
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_nested_and_stray_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        blocks("<div>" * n + "<p>text</p>" + "</section>" * n + "</div>" * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(8000) < 20 * seconds(1000) + 0.5
+
+
+def test_text_of_embedded_elements_stays():
+    page = "<article><p>Let <math><mi>x</mi></math> be <object>seven</object> of <canvas>nine</canvas>.</p><script>no</script></article>"
+    assert [b.text for b in blocks(page)] == ["Let x be seven of nine."]
+
+
+def test_null_ids_and_repeats(spark):
+    page = "<html><body><nav><a href='/'>Home</a></nav><article><h1>Title of it</h1><p>Some words of an article, long enough to be one.</p></article></body></html>"
+    rows = [(None, None, page), (1, "u", page), (1, "u", page), (2, "u", None)]
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    text = "Title of it\nSome words of an article, long enough to be one."
+    assert got == [(0, text, len(text)), (1, text, len(text)), (1, text, len(text)), (2, "", 0)]
