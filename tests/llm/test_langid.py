@@ -61,3 +61,20 @@ def test_nothing_to_learn(spark):
     assert identify(docs, train(docs)).first().lang_pred == "und"
     one = Model.fit(np.packbits(presence(["abc def"])[0] > 0, axis=1), ["xx"])
     assert one.predict(["anything", None])[0] == ["xx", "und"]
+
+
+def test_equals_plain_kernel_ridge_regression():
+    """With all training rows as landmarks the Nystrom features are exact: the same values as the dual form gives."""
+    train_rows, labels = zip(*[(t, lang) for _, t, lang in rows(90)], strict=True)
+    first = {t: n for n, t in reversed(list(enumerate(train_rows)))}  # equal rows would make the kernel singular
+    own = sorted(first.values())
+    x = presence([train_rows[n] for n in own])[0]
+    y = [labels[n] for n in own]
+    model = Model.fit(np.packbits(x > 0, axis=1), y, landmarks=len(own), ridge=1e-3)
+    k = features(x).astype(np.float64) @ features(x).T.astype(np.float64) + 1  # the bias is one more feature, of value 1
+    gold = np.where(np.array(y)[:, None] == np.array(sorted(set(y))), 1.0, -1.0)
+    dual = np.linalg.solve(k + 1e-3 * len(own) * np.eye(len(own)), gold)
+    other = presence([t for _, t, _ in rows(150)[90:]] + ["the dog and other words", "ein anderes haus"])[0]
+    want = (features(other) @ features(x).T + 1) @ dual
+    got = features(other) @ model.weights[:-1] + model.weights[-1]
+    assert np.abs(got - want).max() < 1e-2 and (got.argmax(1) == want.argmax(1)).all()
