@@ -130,8 +130,8 @@ W_SQL = "CASE WHEN seconds BETWEEN least(lo, hi) AND greatest(lo, hi) THEN raw E
 @query(f"WITH {S_SQL}, e AS (SELECT max(seconds) - 86400 * 10 AS lo, max(seconds) - 86400 * 20 AS hi FROM s), v AS (SELECT capture_id, name, {W_SQL} AS v FROM s, e) SELECT capture_id, name, min(v) AS low, max(v) AS high, round(sum(v) / nullif(count(v), 0), 6) AS mean, count(v) AS n FROM v GROUP BY ALL")
 def windowed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
-    end = rows.agg(F.max("seconds")).first()[0]
-    return D.windowed_stats(rows, F.lit(end - 86400 * 10), F.lit(end - 86400 * 20)).withColumn("mean", F.round("mean", 6))
+    end = rows.agg(F.max("seconds")).scalar()
+    return D.windowed_stats(rows, end - 86400 * 10, end - 86400 * 20).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"""WITH {S_SQL}, c AS (SELECT capture_id, greatest(1, floor((max(seconds) - min(seconds)) / 30)) AS want FROM s GROUP BY ALL),

@@ -25,8 +25,8 @@ def variables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     name = F.when(F.col("o_orderpriority") == "5-LOW", "GTID_executed").otherwise(F.col("o_orderpriority"))
     every = orders.groupBy((F.col("o_custkey") % 200).alias("capture_id"), F.expr(f"{DAYS} div 90").alias("snapshot"), name.alias("name")).agg(F.max("o_orderstatus").alias("value"))
-    lo, hi = every.agg(F.min("snapshot"), F.max("snapshot")).first()
-    snapshots = every.select("capture_id").distinct().withColumn("snapshot", F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint")))).filter((F.col("capture_id") + F.col("snapshot")) % 5 > 0)
+    lo, hi = (every.agg(f("snapshot").cast("bigint")).scalar() for f in (F.min, F.max))
+    snapshots = every.select("capture_id").distinct().withColumn("snapshot", F.explode(F.sequence(lo, hi))).filter((F.col("capture_id") + F.col("snapshot")) % 5 > 0)
     kept = every.join(snapshots, ["capture_id", "snapshot"], "left_semi").filter((F.col("capture_id") * 7 + F.col("snapshot")) % 6 > 0)
     return kept, snapshots
 
