@@ -31,6 +31,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul video audio".split()
 )
 RAW_TAGS = frozenset("script style template textarea title iframe".split())
+#: Tags by which a page names its article; blocks of such a page outside of them are marked as standing beside it.
+NAMED = frozenset(["article", "main"])
+NAMED_TOKENS = frozenset(f"{a}<{t}>" for t in NAMED for a in ("", "around "))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -125,9 +128,17 @@ def blocks(page: str) -> list[Block]:
             own = {f"<{tag}>"}
             for name, a, b, c in ATTRIBUTE.findall(m[2]):
                 own |= {f"{'role' if name.lower() == 'role' else 'c'}:{t}" for t in TOKEN.findall((a or b or c).lower())}
-            stack.append((tag, stack[-1][1] | own))
+            around = stack[-1][1]
+            if tag in NAMED:  # names of an article itself and of what it stands in say something else than names in it
+                own = {f"<{tag}>", *(f"own {t}" for t in own)}
+                around = frozenset(t if t.startswith("around ") else f"around {t}" for t in around)
+            stack.append((tag, around | own))
             opened[tag] += 1
     flush()
+    if any(not NAMED_TOKENS.isdisjoint(b.tokens) for b in out):
+        for b in out:
+            if NAMED_TOKENS.isdisjoint(b.tokens):
+                b.tokens |= {"beside"}
     return out
 
 
@@ -214,7 +225,8 @@ class Chain:
         return Chain(index, theta[:-6].reshape(-1, 2), theta[-6:-2].reshape(2, 2), theta[-2:])
 
 
-#: Names that sites give to the parts of a page; those of NOISE never hold the article.
+#: Names that sites give to the parts of a page. Those of NOISE hold no article, but an article's own name, and that of what
+#: it stands in, may have such a word in it; cards of other stories stand in parts of the names of CARDS.
 NOISE: dict[str, list[str]] = {
     "nav": ["nav", "navbar", "menu", "breadcrumb", "breadcrumbs", "navigation", "toc", "pagination"],
     "header": ["header", "masthead", "topbar", "branding", "logo"],
@@ -226,6 +238,7 @@ NOISE: dict[str, list[str]] = {
     "ul": ["menu", "nav", "links", "tags", "share"],
     "dialog": ["cookie", "modal"],
 }
+CARDS = ["related", "recommended", "trending", "sidebar", "rail", "widget", "promo"]
 MAIN: list[tuple[str, list[str]]] = [("article", ["", "post", "article", "entry"]), ("main", ["", "content", "main"]), ("div", ["content", "article", "post", "entry", "body", "story", "main", "text"]), ("section", ["content", "article", "body", "story"])]
 
 
@@ -241,7 +254,16 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> tuple[list[list[Bloc
         out = " ".join(word(main) + ("" if plain else rng.choice(["", "", "", "", ","])) for _ in range(rng.randint(lo, hi)))
         return out if plain else out + rng.choice([".", ".", ".", "", "!", "?"])
 
+    def title() -> str:
+        return "-".join([word(False), rng.choice(NOISE[rng.choice(list(NOISE))]), *(word(False) for _ in range(rng.randint(0, 2)))])
+
+    def cards() -> str:
+        inner = "".join(f"<article{rng.choice(['', ' class=card', ' class=teaser'])}><h3>{text(False, 2, 8)}</h3><p>{text(False, 3, 30)}</p></article>" for _ in range(rng.randint(1, 4)))
+        return rng.choice([f"<aside>{inner}</aside>", f'<div class="{rng.choice(CARDS)}">{inner}</div>', f'<aside class="{rng.choice(CARDS)}">{inner}</aside>'])
+
     def noise(deep: bool = False) -> str:
+        if rng.random() < 0.08:
+            return cards()
         tag = rng.choice(list(NOISE))
         if deep and tag in ("header", "form"):
             tag = "div"
@@ -276,13 +298,20 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> tuple[list[list[Bloc
             out.append(f'<{rng.choice(["div", "section"])} class="{rng.choice(["comments", "comment-list", "share", "related", "reader-comments"])}">' + "".join(f"<p>{text(False, 3, 40)}</p>" for _ in range(rng.randint(1, 5))) + "</div>")
         tag, names = rng.choice(MAIN)
         name = rng.choice(names)
+        if tag in NAMED and rng.random() < 0.2:
+            name = f"{name} {title()}".strip()
         return f"<{tag}{f' class={name!r}' if name else ''}>" + "".join(out) + f"</{tag}>"
 
+    def strip() -> str:
+        return f"<div class='{word(False)}-{word(False)}'><p>{text(False, 2, 12)}</p></div>"
+
     pages, labels = [], []
     for _ in range(n):
         body = article()
         if rng.random() < 0.3:
-            body = f'<{rng.choice(["div", "main", "section"])} {rng.choice(["class", "id"])}="{rng.choice(["wrap", "container", "page", "layout", "content"])}">' + "".join(noise() for _ in range(rng.randint(0, 2))) + body + "".join(noise() for _ in range(rng.randint(0, 2))) + "</div>"
+            body = f'<{rng.choice(["div", "main", "section"])} {rng.choice(["class", "id"])}="{title() if body.startswith(("<article", "<main")) and rng.random() < 0.3 else rng.choice(["wrap", "container", "page", "layout", "content"])}">' + "".join(noise() for _ in range(rng.randint(0, 2))) + body + "".join(noise() for _ in range(rng.randint(0, 2))) + "</div>"
+        if body.startswith(("<article", "<main")) and rng.random() < 0.3:
+            body = strip() + body if rng.random() < 0.5 else body + strip()
         page = blocks("<html><body>" + "".join(noise() for _ in range(rng.randint(1, 4))) + body + "".join(noise() for _ in range(rng.randint(1, 4))) + "</body></html>")
         pages.append(page)
         labels.append([int(b.text[0] == "m") for b in page])

@@ -72,3 +72,19 @@ def test_null_ids_and_repeats(spark):
     got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
     text = "Title of it\nSome words of an article, long enough to be one."
     assert got == [(0, text, len(text)), (1, text, len(text)), (1, text, len(text)), (2, "", 0)]
+
+
+def test_names_of_the_article_and_around_it_are_no_noise():
+    """An article may be named like a part that never holds one, or stand in such a part; parts beside it may have any name."""
+    body = "<h1>Title of it</h1><p>Some words of an article, long enough to be one, with stops.</p><p>Another paragraph of it follows here. It has two sentences.</p>"
+    menu, foot = "<nav><ul><li><a href='/'>Home</a></li></ul></nav>", "<footer>&copy; site</footer>"
+    want = "Title of it\nSome words of an article, long enough to be one, with stops.\nAnother paragraph of it follows here. It has two sentences."
+    for middle in [
+        f"<article>{body}</article>",
+        f"<article class='search-engine-history'>{body}</article>",
+        f"<div class='social-science comment-on-law'><article>{body}</article></div>",
+        f"<article>{body}</article><div class='cta-strip'><p>Try it free today</p></div>",
+        f"<article>{body}<div class='comments'><p>I like this one. Me too, thanks.</p></div></article>",
+        f"<article>{body}</article><aside class='related'><article><p>Other story that you may like, read on.</p></article></aside>",
+    ]:
+        assert main_text(f"<html><body>{menu}{middle}{foot}</body></html>", default_model()) == want
