@@ -221,9 +221,11 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False))
 
 
-def _fit(rows: DataFrame, cells: int) -> dict[int, Splits]:
-    """Splits for each dimension of the sample, of about ``cells`` cells in all."""
-    sample = rows.select("v", "dim", F.xxhash64("id", "v").alias("h")).orderBy("h", "v").limit(16 * cells).collect()
+def _fit(rows: DataFrame, max_cells: int, shard_rows: int) -> dict[int, Splits]:
+    """Splits for each dimension of the sample, of about a cell for shard_rows rows in all, max_cells at most."""
+    n = rows.count()
+    cells = min(max_cells, max(1, -(-n // shard_rows)))
+    sample = rows.select("v", "dim", F.xxhash64("id", "v").alias("h")).orderBy("h", "v").limit(16 * cells).collect() if n else []
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r.dim, []).append(r.v)
@@ -234,8 +236,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     """query_id, rank, vec_id, score: the k rows with the highest inner product of integers() for each query."""
     arrow_rows(vectors.sparkSession)
     rows = vectors.filter(usable(vectors[vec_col]) & vectors[id_col].isNotNull()).select(vectors[id_col].cast("long").alias("id"), integers(vectors[vec_col]).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = materialize(rows.select("id", "v", F.size("v").alias("dim"), "q", F.monotonically_increasing_id().alias("salt")))
-    splits = _fit(rows, min(max_cells, max(1, -(-rows.count() // shard_rows))))
+    rows = rows.select("id", "v", F.size("v").alias("dim"), "q", F.monotonically_increasing_id().alias("salt"))
+    splits = _fit(rows, max_cells, shard_rows)
     rows = materialize(_with_cell(rows, splits))
     key = ["dim", "cell"]
     cells = materialize(rows.groupBy(*key).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")))
