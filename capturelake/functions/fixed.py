@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Files that a collection's summary tools leave beside, or instead of, capture files.
+SUMMARIES = ["pt-summary.out", "pt-mysql-summary.out"]
+
 #: Status variables that only grow, beyond the name families. All others are gauges.
 COUNTERS = """
 Aborted_clients Aborted_connects Binlog_cache_disk_use Binlog_cache_use Binlog_stmt_cache_disk_use Binlog_stmt_cache_use Bytes_received Bytes_sent

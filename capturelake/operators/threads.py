@@ -42,17 +42,34 @@ def thread_peaks(activity: DataFrame, keys: list[str]) -> DataFrame:
     return activity.groupBy(*keys).agg(*[F.max(c).alias(f"peak_{c}") for c in ("total", "active", "sleeping", "max_age_ms", "max_rows_examined", "max_rows_sent")])
 
 
-def query_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each query shape; descriptive columns come from the slowest sighting, the first of equals.
+def digest_state(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A9 as mergeable state: one row for each query shape, with how slow its slowest sighting was and what was seen there.
 
     Partial aggregation keeps one value for each shape and task, so the shuffle grows with shapes, not with threads."""
     shape = S.normalize_query(F.col("info"))
     text = rows.withColumn("normal", shape).withColumn("fingerprint", S.query_fingerprint(F.col("normal")))
-    slowest = F.struct(F.col("time_ms").isNotNull(), F.coalesce("time_ms", F.lit(0)), -F.col("seq"))
+    slowest = F.struct(F.col("time_ms").isNotNull().alias("known"), F.coalesce("time_ms", F.lit(0)).alias("time_ms"), (-F.col("seq")).alias("before"))
     return text.groupBy(*keys, "fingerprint").agg(
-        F.count("*").alias("sightings"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("time_ms").alias("max_time_ms"),
-        F.max("rows_examined").alias("max_rows_examined"), F.max("rows_sent").alias("max_rows_sent"), F.max_by(F.struct("user", "db", "command", "state"), slowest).alias("at"), S.bound_snippet(F.min("normal")).alias("snippet"),
-    ).select(*keys, "fingerprint", "sightings", "first_seen", "last_seen", "max_time_ms", "max_rows_examined", "max_rows_sent", "at.*", "snippet")
+        F.count("*").alias("sightings"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("time_ms").alias("max_time_ms"), F.max("rows_examined").alias("max_rows_examined"),
+        F.max("rows_sent").alias("max_rows_sent"), F.max_by(F.struct("user", "db", "command", "state"), slowest).alias("at"), F.max(slowest).alias("slowest"), F.min("normal").alias("normal"),
+    )
+
+
+def merge_digests(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Digest state of the sightings of several states, which must not overlap."""
+    return states.groupBy(*keys, "fingerprint").agg(
+        F.sum("sightings").alias("sightings"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("max_time_ms").alias("max_time_ms"), F.max("max_rows_examined").alias("max_rows_examined"),
+        F.max("max_rows_sent").alias("max_rows_sent"), F.max_by("at", "slowest").alias("at"), F.max("slowest").alias("slowest"), F.min("normal").alias("normal"),
+    )
+
+
+def digests_of(states: DataFrame, keys: list[str]) -> DataFrame:
+    return states.select(*keys, "fingerprint", "sightings", "first_seen", "last_seen", "max_time_ms", "max_rows_examined", "max_rows_sent", "at.*", S.bound_snippet(F.col("normal")).alias("snippet"))
+
+
+def query_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each query shape; descriptive columns come from the slowest sighting, the first of equals."""
+    return digests_of(digest_state(rows, keys), keys)
 
 
 def top_queries(digests: DataFrame, keys: list[str], k: int = 10) -> DataFrame:

@@ -1,27 +1,39 @@
-"""From capture files to facts and findings: which reader and which operator feeds which fact."""
+"""From capture files to facts and findings: which reader and which operator feeds which fact.
+
+Files become mergeable states, a few rows a capture and snapshot; facts are made of merged states alone. So facts of a capture
+that got a new snapshot need its old states and the new file, and none of its old files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.operators import deltas as D
+from capturelake.deploy import written
+from capturelake.operators import state as C
 from capturelake.operators import threads as T
 from capturelake.operators import variables as V
 from capturelake.plans import findings as P
 from capturelake.sources import files as S
 from capturelake.sources import readers as R
 
+#: Part of a capture's state -> the collector it comes from.
+PARTS = {"counters": "mysqladmin", "variables": "variables", "engine": "innodbstatus1", "queries": "processlist"}
+
 
 def status_samples(status: DataFrame) -> DataFrame:
     """Rows of read_status in the form that the delta operators take."""
     return status.select("capture_id", F.col("prefix").alias("snapshot"), "name", "ts", F.col("sample_idx").alias("seq"), F.unix_seconds("ts").alias("seconds"), "raw", "is_counter")
 
 
-def slow_queries(threads: DataFrame) -> DataFrame:
-    """capture_id, x_slow_age_s, x_slow_state, x_slow_sightings of the oldest active statement of a capture."""
-    aged = threads.withColumn("time_ms", F.coalesce("time_ms", F.col("time_s") * 1000)).withColumn("seq", F.col("row_no"))
-    top = T.top_queries(T.query_digest(T.active_queries(aged), ["capture_id"]), ["capture_id"], 1)
+def thread_samples(threads: DataFrame) -> DataFrame:
+    """Active rows of read_threads in the form that the digest takes; of equally slow sightings the earliest counts."""
+    aged = threads.withColumn("time_ms", F.coalesce("time_ms", F.col("time_s") * 1000)).withColumn("seq", F.unix_seconds("ts") * 1_000_000 + F.col("row_no"))
+    return T.active_queries(aged)
+
+
+def slow_queries(digests: DataFrame) -> DataFrame:
+    """capture_id, x_slow_age_s, x_slow_state, x_slow_sightings: the first statement in the order of the ten slowest."""
+    top = T.top_queries(digests, ["capture_id"], 1)
     return top.select("capture_id", (F.col("max_time_ms") / 1000).alias("x_slow_age_s"), F.col("state").alias("x_slow_state"), F.col("sightings").cast("double").alias("x_slow_sightings"))
 
 
@@ -31,34 +43,34 @@ def engine_facts(engine: DataFrame) -> DataFrame:
     return engine.groupBy("capture_id").agg(F.max("semaphore_count").alias("x_semaphores"), pending.alias("x_pending_total"), F.max("pending_writes_single_page").alias("x_pending_single_page"), F.max("pending_fsync_log").alias("x_pending_fsync_log"))
 
 
-def facts(spark: SparkSession, root: str, limit: int = S.SIZE_LIMIT) -> DataFrame:
-    """All facts of every capture below root. A collector without files gives no facts, and its rules do not apply.
+def states(spark: SparkSession, root: str, files: DataFrame, limit: int = S.SIZE_LIMIT) -> dict[str, DataFrame]:
+    """Each part of the state of the captures that the files (of scan_files) belong to; unsupported files give none.
+
+    All parts have capture_id, and are aggregated to a few rows a capture and snapshot."""
+    read = {part: S.blocks(spark, root, collector, limit, True, files) for part, collector in PARTS.items()}
+    return {
+        "counters": C.counter_state(status_samples(R.read_status(read["counters"]))),
+        "variables": R.read_variables(read["variables"]).select("capture_id", "prefix", "snapshot_ts", "name", "value"),
+        "engine": R.read_engine(read["engine"]),
+        "queries": T.digest_state(thread_samples(R.read_threads(read["queries"])), ["capture_id", "prefix"]),
+    }
+
+
+def facts_of(states: dict[str, DataFrame]) -> DataFrame:
+    """All facts of the captures that have states; of a part without rows there are no facts, and its rules do not apply.
 
     Every part is keyed by capture and aggregated before parts meet, so the joins are of one row a capture."""
-    lines = {c: S.lines(spark, root, c, limit) for c in ("mysqladmin", "variables", "innodbstatus1", "processlist") if _any(spark, root, c)}
-    none = lambda schema: spark.createDataFrame([], schema)
-    rates, gauges, variables = none("capture_id string, name string, total double, rate double"), none("capture_id string, name string, peak double, last_value double"), none("capture_id string, name string, value string")
-    extra = None
-    if "mysqladmin" in lines:
-        samples = status_samples(R.read_status(lines["mysqladmin"]))
-        rates = D.counter_rate(samples)
-        gauges = D.gauge_max(samples).join(D.gauge_last(samples), ["capture_id", "name"], "left")
-    if "variables" in lines:
-        variables = V.latest_variable(R.read_variables(lines["variables"]), "capture_id", "snapshot_ts")
-    parts = []
-    if "innodbstatus1" in lines:
-        parts.append(engine_facts(R.read_engine(lines["innodbstatus1"])))
-    if "processlist" in lines:
-        parts.append(slow_queries(R.read_threads(lines["processlist"])))
-    for p in parts:
-        extra = p if extra is None else extra.join(p, "capture_id", "full_outer")
-    return P.facts(rates, gauges, variables, extra)
-
-
-def _any(spark: SparkSession, root: str, suffix: str) -> bool:
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/*-{suffix}{{,.gz}}")
-    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top)
-    return found is not None and len(found) > 0
+    counters = C.counters_of(C.merge_counter_state(states["counters"]))
+    variables = V.latest_variable(states["variables"], "capture_id", "snapshot_ts")
+    digests = T.digests_of(T.merge_digests(states["queries"].drop("prefix"), ["capture_id"]), ["capture_id"])
+    extra = engine_facts(states["engine"]).join(slow_queries(digests), "capture_id", "full_outer")
+    return P.facts(counters.select("capture_id", "name", "total", "rate"), counters.select("capture_id", "name", "peak", "last_value"), variables, extra)
+
+
+def facts(spark: SparkSession, root: str, limit: int = S.SIZE_LIMIT) -> DataFrame:
+    """All facts of every capture below root."""
+    files = written(S.scan_files(spark, root))  # read once for each collector
+    return facts_of({part: written(rows) for part, rows in states(spark, root, files, limit).items()})
 
 
 def findings(spark: SparkSession, root: str, limit: int = S.SIZE_LIMIT) -> DataFrame:

@@ -37,6 +37,17 @@ def snapshot_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.counter_delta(samples(spark, sf_dir)).groupBy("capture_id", "snapshot", "name").agg((F.count("*") - F.count("delta")).alias("resets"))
 
 
+@query(f"""{T_SQL}, g AS (SELECT capture_id, name, max(raw) AS peak, arg_max(raw, (snapshot, ts, seq)) AS last_value FROM s GROUP BY ALL)
+SELECT t.capture_id, t.name, t.total, o.observed_seconds, CASE WHEN o.observed_seconds > 0 THEN t.total / o.observed_seconds END AS rate, g.peak, g.last_value FROM t JOIN o ON o.capture_id = t.capture_id JOIN g ON g.capture_id = t.capture_id AND g.name = t.name""")
+def merged_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 to A5 from states of three parts of the samples, which merge; no part is read again."""
+    from capturelake.operators import state as C
+
+    rows = samples(spark, sf_dir)
+    parts = [C.counter_state(rows.filter(F.col("seq") % 3 == i)) for i in range(3)]
+    return C.counters_of(C.merge_counter_state(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+
+
 def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth event is a poll that failed, so that gaps occur."""
     from pyspark.sql import Window

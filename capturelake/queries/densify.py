@@ -30,12 +30,12 @@ def densify_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.densify(rows, ["capture_id"], "name", ["snapshot", "day"], F.max("raw"), None, axis)
 
 
-@query(f"""{D_SQL}, p AS (SELECT name AS host, capture_id AS pid, day, arg_max(raw, seq) AS cpu FROM e WHERE capture_id < 40 GROUP BY ALL),
+@query(f"""{D_SQL}, p AS (SELECT name AS host, capture_id AS pid, day, arg_max(raw, seq) AS cpu FROM e GROUP BY ALL),
 x AS (SELECT DISTINCT host, day FROM p), l AS (SELECT DISTINCT host, pid FROM p)
 SELECT x.host, x.day, l.pid, coalesce(p.cpu, 0) AS value FROM x JOIN l ON x.host = l.host LEFT JOIN p ON p.host = x.host AND p.day = x.day AND p.pid = l.pid""")
 def densify_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event type is a host, a user below 40 a process of it."""
-    rows = days(spark, sf_dir).filter("capture_id < 40").select(F.col("name").alias("host"), F.col("capture_id").alias("pid"), "day", "raw", "seq")
+    """An event type is a host, a user a process of it."""
+    rows = days(spark, sf_dir).select(F.col("name").alias("host"), F.col("capture_id").alias("pid"), "day", "raw", "seq")
     return D.densify(rows, ["host"], "pid", ["day"], F.max_by("raw", "seq"), 0)
 
 

@@ -115,10 +115,10 @@ def tag_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYS = "('buffer-pool'), ('innodb-reads'), ('innodb-writes'), ('redo-log'), ('pending-io'), ('innodb-locks'), ('throughput'), ('com-dml'), ('com-tx'), ('com-ddl'), ('com-prep'), ('handlers'), ('table-cache'), ('open-tables'), ('tmp-tables'), ('sort'), ('select'), ('threads'), ('network'), ('binlog'), ('replication'), ('myisam'), ('ssl'), ('perfschema')"
 
 
-@query(f"{K_SQL}, c AS (SELECT category, count(*) AS n FROM (SELECT DISTINCT unnest(string_split(cats, ',')) AS category, name FROM n WHERE p_partkey % 3 = 0) GROUP BY ALL) SELECT k.category, coalesce(c.n, 0) AS n FROM (VALUES {_KEYS}) k(category) LEFT JOIN c ON c.category = k.category")
+@query(f"{K_SQL}, c AS (SELECT category, count(*) AS n FROM (SELECT DISTINCT unnest(string_split(cats, ',')) AS category, name FROM n) GROUP BY ALL) SELECT k.category, coalesce(c.n, 0) AS n FROM (VALUES {_KEYS}) k(category) LEFT JOIN c ON c.category = k.category")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of every third part, by category; categories without a match count 0."""
-    names = _parts(spark, sf_dir).filter("p_partkey % 3 = 0").select("name").distinct()
+    """Names of all parts, by category; categories without a match count 0."""
+    names = _parts(spark, sf_dir).select("name").distinct()
     found = names.select(F.explode(S.categories(F.col("name"))).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([(k,) for k in CATEGORIES], "category string")
     return every.join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))

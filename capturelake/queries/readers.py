@@ -33,13 +33,13 @@ def _text(*parts: Column | str) -> Column:
 
 
 def _write(spark: SparkSession, suffix: str, rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """rows and heads: capture, prefix, ord (array of long and text), line. Returns the lines as read back."""
+    """rows and heads: capture, prefix, ord (array of long and text), line. Returns their blocks as read back."""
     root = S.shared_folder(spark)
     every = rows.select("capture", "prefix", "ord", "line")
     if heads is not None:
         every = every.union(heads.select("capture", "prefix", "ord", "line"))
     S.land(every.withColumn("suffix", F.lit(suffix)), root)
-    return S.lines(spark, root, suffix)
+    return S.blocks(spark, root, suffix)
 
 
 def _ord(*values: Column | int) -> Column:
@@ -84,7 +84,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = days(spark, sf_dir)
     root = S.shared_folder(spark)
     rows = d.withColumn("ord", _ord(F.col("day"), 1, F.col("name"))).withColumn("line", _text("| ", F.col("name"), " | ", F.col("n"), " |"))
-    S.land(rows.select("capture", "prefix", "ord", "line").union(_heads(d, "| Variable_name | Value |")).withColumn("suffix", F.lit("mysqladmin")), f"{root}/in")
+    S.land(rows.select("capture", "prefix", "ord", "line").union(_heads(d, "+-----+-----+", "| Variable_name | Value |")).withColumn("suffix", F.lit("mysqladmin")), f"{root}/in")
     start_stream(spark, f"{root}/in", "mysqladmin", R.read_status, f"{root}/table", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/table").select("capture_id", _when(), "sample_idx", "name", "raw")
 
@@ -326,8 +326,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FILES} SELECT capture_id, count(DISTINCT (week, suffix)) AS files FROM f GROUP BY ALL")
 def capture_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, found = _tree(spark, sf_dir)
-    return S.capture_roots(found, root).select(F.regexp_extract("folder", r"/capture=([^/]+)$", 1).alias("capture_id"), "files")
+    return S.capture_roots(_tree(spark, sf_dir)[1]).select("capture_id", "files")
 
 
 @query(f"{FILES} SELECT capture_id, week * {WEEK} AS at, list_sort(list(DISTINCT suffix) FILTER (WHERE suffix IN ('iostat', 'top', 'vmstat'))) AS collectors, row_number() OVER (PARTITION BY capture_id ORDER BY week) AS snapshot_no FROM f WHERE suffix IN ('iostat', 'top', 'vmstat') GROUP BY capture_id, week")
@@ -343,10 +342,7 @@ def oversize_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FILES} SELECT DISTINCT capture_id, week, suffix, CASE WHEN suffix IN ('top', 'vmstat') THEN 'v1' ELSE 'unsupported' END AS format FROM f WHERE suffix IN ('iostat', 'top', 'vmstat')")
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, _ = _tree(spark, sf_dir)
-    found = [S.detect_format(S.lines(spark, root, s), s).withColumn("suffix", F.lit(s)) for s in ("iostat", "top", "vmstat")]
-    every = found[0].union(found[1]).union(found[2])
-    return every.select("capture_id", F.floor(F.unix_seconds(S.snapshot_ts(F.col("prefix"))) / WEEK).alias("week"), "suffix", "format")
+    return S.formats(_tree(spark, sf_dir)[1]).select("capture_id", F.floor(F.unix_seconds(S.snapshot_ts(F.col("prefix"))) / WEEK).alias("week"), "suffix", "format")
 
 
 @query(f"{FILES} SELECT capture_id, week * {WEEK} AS at, 'hostname' AS kind, CAST(0 AS BIGINT) AS newer_empty FROM f WHERE suffix = 'hostname' QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY week DESC) = 1 UNION ALL SELECT capture_id, week * {WEEK}, 'top', 0 FROM f WHERE suffix = 'top' QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY week DESC) = 1")
@@ -376,6 +372,24 @@ def series_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("capture_id").cast("string").alias("capture_id"), "label", F.size("points").cast("bigint").alias("points"), F.size(values).cast("bigint").alias("values"), F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
 
 
+@query(f"""{D_SQL}, i AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS INTEGER) AS sample_idx FROM d)
+SELECT CASE capture_id WHEN 'c0' THEN 'a/dump' WHEN 'c1' THEN 'b/dump' WHEN 'c2' THEN 'b/x/y/dump' ELSE '1/2/3/4/5/6/7/8' END AS capture_id, week * {WEEK} + sample_idx AS at, sample_idx, name, n AS raw,
+  dense_rank() OVER (PARTITION BY capture_id ORDER BY week) AS snapshot_no FROM i""")
+def nested_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots at depths 2, 4 and 8, two of them of the same name, read as captures of their own."""
+    d = days(spark, sf_dir)
+    rows = d.withColumn("ord", _ord(F.col("day"), 1, F.col("name"))).withColumn("line", _text("| ", F.col("name"), " | ", F.col("n"), " |")).select("capture", "prefix", "ord", "line")
+    every = rows.union(_heads(d, "+-----+-----+", "| Variable_name | Value |")).withColumn("suffix", F.lit("mysqladmin"))
+    at = {"c0": "a/dump", "c1": "b/dump", "c2": "b/x/y/dump", "c3": "1/2/3/4/5/6/7/8"}
+    root = S.shared_folder(spark)
+    for capture, folder in at.items():
+        S.land(every.filter(F.col("capture") == capture).withColumn("capture", F.lit(folder.rsplit("/", 1)[1])), f"{root}/{folder.rsplit('/', 1)[0]}")
+    files = S.scan_files(spark, root)
+    order = S.snapshots(files).select("capture_id", "prefix", F.col("snapshot_no").cast("bigint").alias("snapshot_no"))
+    got = R.read_status(S.blocks(spark, root, "mysqladmin", gate=True, files=files)).join(order, ["capture_id", "prefix"])
+    return got.select("capture_id", _when(), "sample_idx", "name", "raw", "snapshot_no")
+
+
 #: What an event type is here: a status name.
 _COUNTER = {"click": "Select_full_join", "view": "Select_scan", "purchase": "Innodb_buffer_pool_wait_free", "error": "Aborted_connects", "signup": "Threads_running"}
 
@@ -408,9 +422,41 @@ def files_to_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     variables = one.withColumn("line", _text("max_connections\t", limit)).select("capture", "prefix", "ord", "line").union(_heads(one, "Variable_name\tValue", rank=-9))
     thread = lambda state, ms: F.lit(f"*** 1. row ***\n   User: a\nCommand: Query\n   Time: 1\n  State: {state}\n   Info: ALTER TABLE t\nTime_ms: {ms}")
     threads = one.withColumn("line", F.when(F.col("capture") == "c1", thread("Waiting for table metadata lock", 61000)).when(F.col("capture") == "c2", thread("executing", 60000)).otherwise(thread("executing", 59999)))
-    waits = d.select("capture", "prefix", "day").distinct().withColumn("ord", _ord(F.col("day"), 1)).withColumn("line", F.lit("--Thread 1 has waited at a.cc line 5 for 0.1 seconds the semaphore:"))
-    files = {"mysqladmin": rows.union(_heads(d, "| Variable_name | Value |")), "variables": variables, "processlist": threads, "innodbstatus1": waits}
+    waits = d.select("capture", "prefix", "day").distinct().withColumn("ord", _ord(F.col("day"), 1)).withColumn("line", F.lit("INNODB MONITOR OUTPUT\n--Thread 1 has waited at a.cc line 5 for 0.1 seconds the semaphore:"))
+    files = {"mysqladmin": rows.union(_heads(d, "+-----+-----+", "| Variable_name | Value |")), "variables": variables, "processlist": threads, "innodbstatus1": waits}
     for suffix, text in files.items():
         S.land(text.select("capture", "prefix", "ord", "line").withColumn("suffix", F.lit(suffix)), f"{root}/in")
     write_findings(fleet.findings(spark, f"{root}/in"), f"{root}/findings")
     return spark.read.parquet(f"{root}/findings").select("capture_id", "rule_id", "severity")
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[str, list[DataFrame]]:
+    """Status files of a capture's snapshots, which arrive in three batches: a week's remainder by three says in which."""
+    from capturelake.functions.scalar import lookup
+
+    d = days(spark, sf_dir)
+    rows = d.withColumn("ord", _ord(F.col("day"), 1, F.col("name"))).withColumn("line", _text("| ", lookup(F.col("name"), _COUNTER), " | ", F.col("n"), " |"))
+    every = rows.select("capture", "prefix", "week", "ord", "line").unionByName(_heads(d, "+-----+-----+", "| Variable_name | Value |").join(d.select("capture", "prefix", "week").distinct(), ["capture", "prefix"]))
+    return S.shared_folder(spark), [every.filter(F.col("week") % 3 == i).withColumn("suffix", F.lit("mysqladmin")) for i in range(3)]
+
+
+@query(f"""{D_SQL}, i AS (SELECT *, dense_rank() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS i FROM d),
+s AS (SELECT *, n - lag(n) OVER (PARTITION BY capture_id, week, name ORDER BY i) AS delta FROM i),
+o AS (SELECT capture_id, sum(span) AS secs FROM (SELECT capture_id, week, max(i) - min(i) AS span FROM i GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT s.capture_id, name, CASE WHEN count(*) >= 2 AND any_value(secs) > 0 THEN coalesce(sum(delta), 0) / any_value(secs) END AS rate, max(n) AS peak FROM s JOIN o ON o.capture_id = s.capture_id GROUP BY ALL),
+f AS (SELECT capture_id, 'queryshape.select_full_join' AS rule_id, CASE WHEN rate > 1 THEN 'crit' WHEN rate > 0 THEN 'warn' END AS severity FROM r WHERE name = 'click'
+UNION ALL SELECT capture_id, 'queryshape.select_scan', CASE WHEN rate > 10 THEN 'crit' WHEN rate > 0 THEN 'warn' END FROM r WHERE name = 'view'
+UNION ALL SELECT capture_id, 'bp.wait_free', CASE WHEN rate > 0 THEN 'crit' END FROM r WHERE name = 'purchase'
+UNION ALL SELECT capture_id, 'connections.aborted_rate', CASE WHEN rate > 1 THEN 'crit' WHEN rate > 0.1 THEN 'warn' WHEN rate > 0 THEN 'ok' END FROM r WHERE name = 'error'
+UNION ALL SELECT capture_id, 'connections.saturation', CASE WHEN peak >= 100 THEN 'crit' WHEN peak >= 50 THEN 'warn' ELSE 'ok' END FROM r WHERE name = 'signup'
+UNION ALL SELECT capture_id, 'thread.max_queue_depth', CASE WHEN peak >= 200 THEN 'crit' WHEN peak >= 50 THEN 'warn' WHEN peak > 0 THEN 'ok' END FROM r WHERE name = 'signup')
+SELECT * FROM f WHERE severity IS NOT NULL""")
+def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings after three batches, each of which brings some snapshots of every capture; the SQL sees all at once."""
+    from capturelake.streaming import ingest
+
+    root, batches = _batches(spark, sf_dir)
+    for lines in batches:
+        S.land(lines, f"{root}/in")
+        ingest.stream_findings(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
+    return ingest.current(spark, f"{root}/out", "findings").select("capture_id", "rule_id", "severity")

@@ -1,91 +1,64 @@
-"""Capture files: discovery, format detection, lines in file order, and landing of text files.
+"""Capture files: discovery, format, blocks and lines in file order, and landing of text files.
 
-A capture file lies at <root>/<capture>/<YYYY_MM_DD_hh_mm_ss>-<collector>, plain or gzipped; a directory of that name with
-part files, as Spark writes it, is read the same way. Nothing here opens a file on the driver."""
+A capture is a folder, at any depth below the root, that holds files <YYYY_MM_DD_hh_mm_ss>-<collector>, plain or gzipped; its
+name is its path from the root on, so equally named folders of two hosts are two captures. A folder with the name of a
+capture file whose part files are in it, as Spark writes it, is read as one file. Nothing here opens a file on the driver."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capturelake.functions.fixed import MARKS
+from capturelake.deploy import shared_folder  # noqa: F401
+from capturelake.functions.fixed import SUMMARIES
 from capturelake.functions.scalar import snapshot_ts
+from capturelake.sources import blocks as B
+from capturelake.sources import tree as T
 
-NAME = r"/(?:capture=)?([^/]+)/(?:file=)?(\d{4}(?:_\d\d){5})-([A-Za-z0-9_]+?)(?:\.gz)?(?:/[^/]*)?$"
+#: A path from the root on: folder, snapshot, collector, and the name of a part.
+NAME = r"^(?:(.*)/)?(?:file=)?(\d{4}(?:_\d\d){5})-([A-Za-z0-9_]+?)(?:\.gz)?(?:/([^/]*))?$"
+#: Name of a capture that is the root itself.
+ROOT = "."
 COLLECTORS = ["iostat", "top", "variables", "vmstat", "meminfo", "innodbstatus1", "mysqladmin", "processlist", "netstat", "netstat_s"]
 SIDECARS = ["hostname", "meminfo", "procstat", "sysctl", "top", "df", "output"]
 SIZE_LIMIT = 200 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares. Where none is set, a local session gets a temporary one, and a
-    cluster an error: a folder of one machine would be lost with it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"file://{tempfile.gettempdir()}"
-    return f"{at.rstrip('/')}/capturelake-{uuid.uuid4().hex}"
-
-
-def _named(path: Column) -> list[Column]:
-    return [F.regexp_extract(path, NAME, 1).alias("capture_id"), F.regexp_extract(path, NAME, 2).alias("prefix"), F.regexp_extract(path, NAME, 3).alias("suffix")]
-
-
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """capture_id, prefix, suffix, path, size, snapshot_ts of every capture file; contents are not read.
-
-    A scan leaves out empty files, so each folder that holds files of a capture is listed once more by the task that has it."""
-    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = lambda c: F.regexp_replace(c, r"^([a-z0-9]+):/+", "$1:/")
-    found = source.select(plain(F.col("path")).alias("path"), F.col("length").alias("size"))
-    rows = found.union(_empty_files(spark, root).select(plain(F.col("path")).alias("path"), F.lit(0).cast("bigint").alias("size"))).select("path", "size", *_named(F.col("path"))).filter("prefix <> ''")
-    return rows.withColumn("snapshot_ts", snapshot_ts(F.col("prefix")))
-
-
-def _empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of empty files below root. Only the captures' folders pass the driver; tasks list what is in them, with
-    Arrow's file systems. Where Arrow does not know the scheme, the driver walks the listing and keeps the empty ones only."""
-    from pyarrow import fs
-
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        fs.FileSystem.from_uri(files.getFileStatus(top).getPath().toString())
-    except (ValueError, OSError, NotImplementedError):
-        walk, out = files.listFiles(top, True), []
-        while walk.hasNext():
-            f = walk.next()
-            if f.getLen() == 0:
-                out.append((f.getPath().toString(),))
-        return spark.createDataFrame(out, "path string")
-
-    def empties(batches):
-        for batch in batches:
-            out = []
-            for folder in batch.column(0).to_pylist():
-                system, at = fs.FileSystem.from_uri(folder)
-                head = folder[: len(folder) - len(at)] if folder.endswith(at) else "file:"
-                out += [head + x.path for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.is_file and x.size == 0]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["path"])
-
-    captures = [(x.getPath().toString(),) for x in files.listStatus(top) if x.isDirectory()]
-    folders = spark.createDataFrame(captures, "folder string")
-    return folders.repartition(max(1, min(len(captures), spark.sparkContext.defaultParallelism))).mapInArrow(empties, "path string")
-
-
-def capture_roots(files: DataFrame, root: str, max_depth: int = 8) -> DataFrame:
-    """Folders that hold capture files, and how many; hidden folders and those more than max_depth below root are left out."""
-    folder = F.regexp_extract("path", r"^(.*?)/(?:file=)?\d{4}(?:_\d\d){5}-", 1)
-    base = len([x for x in root.split("://")[-1].split(":")[-1].split("/") if x])
-    depth = F.size(F.filter(F.split(F.regexp_replace("folder", r"^[a-z0-9]+:/+", ""), "/"), lambda x: x != "")) - base
-    rows = files.withColumn("folder", folder).filter(~F.col("folder").rlike(r"/\.[^/]"))
-    return rows.groupBy("folder").agg(F.count("*").alias("files")).filter(depth <= max_depth)
+def _capture(folder: Column) -> Column:
+    """Name of the capture of a folder, given from the root on."""
+    bare = F.regexp_replace(F.coalesce(folder, F.lit("")), "(^|/)capture=", "$1")
+    return F.when(bare == "", ROOT).otherwise(bare)
+
+
+def named(files: DataFrame, root: str, max_depth: int = T.MAX_DEPTH) -> DataFrame:
+    """Of path, name and size below root: capture_id, prefix, suffix, path, size, snapshot_ts, folder of capture files and summaries.
+
+    Hidden folders, and those more than max_depth below root, are left out. A summary has no prefix; it makes its folder a capture."""
+    at = T.relative(root)
+    rows = files.withColumn("rel", at).withColumn("folder", F.when(F.col("name").isin(SUMMARIES), F.regexp_extract("rel", r"^(?:(.*)/)?[^/]*$", 1)).otherwise(F.regexp_extract("rel", NAME, 1)))
+    prefix = F.nullif(F.regexp_extract("rel", NAME, 2), F.lit(""))
+    suffix = F.when(F.col("name").isin(SUMMARIES), "summary").otherwise(F.nullif(F.regexp_extract("rel", NAME, 3), F.lit("")))
+    rows = rows.withColumn("prefix", prefix).withColumn("suffix", suffix).filter("suffix is not null")
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    rows = rows.filter((depth <= max_depth) & ~F.concat(F.lit("/"), F.col("folder")).contains("/."))
+    return rows.select(_capture(F.col("folder")).alias("capture_id"), "prefix", "suffix", "path", "size", snapshot_ts(F.col("prefix")).alias("snapshot_ts"), "folder")
+
+
+def scan_files(spark: SparkSession, root: str, max_depth: int = T.MAX_DEPTH) -> DataFrame:
+    """capture_id, prefix, suffix, path, size, snapshot_ts, folder of every capture file, empty ones too; contents are not read."""
+    return named(T.listing(spark, root, max_depth), T.absolute(spark, root), max_depth)
+
+
+def whole_files(files: DataFrame) -> DataFrame:
+    """Files of scan_files with their parts in one: capture_id, prefix, suffix, path, parts, size."""
+    path = F.regexp_replace("path", r"(/(?:file=)?\d{4}(?:_\d\d){5}-[A-Za-z0-9_]+(?:\.gz)?)/[^/]*$", "$1")
+    of = files.filter("prefix is not null").groupBy("capture_id", "prefix", "suffix", path.alias("path"))
+    return of.agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("parts"), F.sum("size").alias("size"))
+
+
+def capture_roots(files: DataFrame) -> DataFrame:
+    """The folders that hold capture files or summaries: each is a capture."""
+    return files.groupBy("capture_id", "folder").agg(F.count("*").alias("files"))
 
 
 def snapshots(files: DataFrame) -> DataFrame:
@@ -102,28 +75,32 @@ def oversize_files(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
     return files.filter(F.col("size") > limit).select("capture_id", "path", F.lit("file").alias("location"), F.lit("error").alias("severity"), F.concat(F.lit("larger than "), F.lit(str(limit)), F.lit(" bytes")).alias("message"))
 
 
-def lines(spark: SparkSession, root: str, suffix: str, limit: int = SIZE_LIMIT, only: str | None = None) -> DataFrame:
-    """capture_id, prefix, start, path, n, line of a collector's files, in file order; files above the limit are left out.
+def blocks(spark: SparkSession, root: str, suffix: str, limit: int = SIZE_LIMIT, gate: bool = False, files: DataFrame | None = None, size: int = B.RANGE) -> DataFrame:
+    """capture_id, prefix, start, path, part, sample, n, text: the samples of a collector's files (see sources.blocks).
+
+    Files above the limit are left out; with gate, so are those whose format is not supported. A tree that was listed before
+    (files) is not listed again."""
+    found = (scan_files(spark, root) if files is None else files).filter(F.col("suffix") == suffix)
+    rows = B.read_blocks(whole_files(found).filter(F.col("size") <= limit), limit, gate, size, T.absolute(spark, root))
+    return rows.withColumn("start", snapshot_ts(F.col("prefix")))
+
 
-    Position and id are taken on the scan itself, before anything moves; part files of one capture file follow by name. A
-    pattern (only) drops lines before they are numbered and moved: for readers that look at single lines and their order."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(f"{root}/*/*-{suffix}{{,.gz}}").filter(F.col("_metadata.file_size") <= limit)
-    if only:
-        raw = raw.filter(F.col("value").rlike(only))
-    at = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    named = at.select(*_named(F.col("path")), F.regexp_replace("path", r"/[^/]*part-[^/]*$", "").alias("file"), "path", "block", "id", F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line"))
-    n = F.row_number().over(Window.partitionBy("file").orderBy("path", "block", "id"))
-    return named.select("capture_id", "prefix", snapshot_ts(F.col("prefix")).alias("start"), F.col("file").alias("path"), n.alias("n"), "line")
+def as_lines(blocks: DataFrame) -> DataFrame:
+    """capture_id, prefix, start, path, n, line of blocks; lines pass as they are."""
+    if "text" not in blocks.columns:
+        return blocks
+    rows = blocks.select("capture_id", "prefix", "start", "path", F.col("n").alias("first"), F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("i", "line"))
+    return rows.select("capture_id", "prefix", "start", "path", (F.col("first") + F.col("i")).alias("n"), F.rtrim("line", F.lit(" \r")).alias("line"))
 
 
-def detect_format(lines: DataFrame, suffix: str) -> DataFrame:
-    """Whether a file's first 8 KiB bear the collector's marks."""
-    before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    head = lines.withColumn("before", F.coalesce(before, F.lit(0))).filter("before < 8192")
-    line = F.substring(F.col("line"), F.lit(1), F.lit(8192) - F.col("before"))
-    has = lambda mark: F.bool_or(line.startswith(mark[1:]) if mark.startswith("^") else line.contains(mark))
-    found = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(has, marks)) for marks in MARKS[suffix]])
-    return head.groupBy("capture_id", "prefix", "path").agg(F.when(found, "v1").otherwise("unsupported").alias("format"))
+def lines(spark: SparkSession, root: str, suffix: str, limit: int = SIZE_LIMIT, gate: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """capture_id, prefix, start, path, n, line of a collector's files, in file order; nothing is moved to number them."""
+    return as_lines(blocks(spark, root, suffix, limit, gate, files))
+
+
+def formats(files: DataFrame) -> DataFrame:
+    """Files of collectors (from scan_files) with format: whether their first 8 KiB, which alone are read, bear the marks."""
+    return B.formats(whole_files(files.filter(F.col("suffix").isin(COLLECTORS))))
 
 
 def file_status(files: DataFrame, rows: DataFrame, diagnostics: DataFrame, formats: DataFrame | None = None) -> DataFrame:
@@ -156,7 +133,9 @@ def sidecar_diagnostics(latest: DataFrame) -> DataFrame:
 
 
 def land(rows: DataFrame, root: str) -> None:
-    """Write text files; rows have capture, prefix, suffix, ord and line. Each file is written by one task, in order."""
-    named = rows.select("capture", F.concat("prefix", F.lit("-"), "suffix").alias("file"), "ord", "line")
+    """Write text files; rows have capture, prefix, suffix, ord and line. Each file is written by one task, in order.
+
+    A capture that is the same constant in all rows would drop out of the order, and the writer would sort anew."""
+    named = rows.select(F.concat("capture", F.substring("prefix", 1, 0)).alias("capture"), F.concat("prefix", F.lit("-"), "suffix").alias("file"), "ord", "line")
     dealt = named.repartition("capture", "file").sortWithinPartitions("capture", "file", "ord")
     dealt.select("capture", "file", F.col("line").alias("value")).write.mode("append").partitionBy("capture", "file").text(root)

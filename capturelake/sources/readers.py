@@ -1,7 +1,10 @@
-"""Readers: text lines of a collector to typed rows. Each takes lines() and returns rows; *_rejects give its diagnostics.
+"""Readers: blocks of a collector's files to typed rows. Each takes blocks() and returns rows; *_rejects give its diagnostics.
 
-State that a parser would keep while it walks a file is a window over the file's lines: the last header, a running count
-of blocks. A window covers one file, and files are limited in size."""
+Where samples are many (devices, processes, status, threads, network counters) a block is all that a row depends on: the
+``parse_*`` functions are narrow, and give the rows that cannot be used too, with the problem. ``read_both`` writes what was parsed
+once, and takes rows and diagnostics from there. Places within a file are found on two levels, in a range and over the
+ranges before it. The other readers look at lines; what a parser would keep while it walks a file is a window over the
+lines of one file, and files are limited in size."""
 
 from __future__ import annotations
 
@@ -10,8 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.deploy import written
 from capturelake.functions import scalar as S
 from capturelake.functions.fixed import NET_LABELS, SYSCTL
+from capturelake.sources.files import as_lines
 
 KEY = ["capture_id", "prefix", "start", "path"]
 TS = r"^TS (\d+(?:\.\d+)?) "
@@ -40,46 +45,97 @@ def _after(start: Column, seconds: Column) -> Column:
 
 def _stamped(lines: DataFrame) -> DataFrame:
     """Lines of files with TS marks: block, and ts floored to microseconds; a bad stamp falls back to the snapshot."""
+    lines = as_lines(lines)
     marked = _blocks(lines, F.col("line").rlike(TS))
     epoch = F.regexp_extract("line", TS, 1)
     return marked.withColumn("ts", F.coalesce(_last(F.when(epoch != "", S.epoch_to_ts(epoch, F.col("start")))), F.col("start"))).filter(~F.col("line").rlike(TS))
 
 
-def _status_rows(lines: DataFrame) -> DataFrame:
+def _collapsed(text: Column | str) -> Column:
+    """Runs of white space inside lines as one space."""
+    return F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
+
+
+def _numbered(rows: DataFrame, of: list[str], name: str) -> DataFrame:
+    """Place of a row among those of its file with the same ``of``, from 0 on: its place in its range, and what is in the
+    ranges before it. rows are read twice."""
+    key = ["path", "part", *of]
+    here = rows.withColumn("__here", F.row_number().over(Window.partitionBy(*key).orderBy("sample", "row")) - 1)
+    before = F.sum("__n").over(Window.partitionBy("path", *of).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = rows.groupBy(*key).agg(F.count("*").alias("__n")).select(*key, F.coalesce(before, F.lit(0)).alias("__before"))
+    return here.join(totals, key).withColumn(name, (F.col("__here") + F.col("__before")).cast("int")).drop("__here", "__before")
+
+
+BLOCK = ["capture_id", "prefix", "start", "path", "part", "sample"]
+
+
+def parse_status(blocks: DataFrame) -> DataFrame:
+    """Name and raw of every cell of every sample."""
     cell = r"^\|\s*([^|\s]+)\s*\|\s*(.*?)\s*\|\s*$"
-    rows = _blocks(lines, F.col("line").rlike(r"^\|\s*Variable_name")).filter("block > 0").filter(F.col("line").rlike(cell) & ~F.col("line").rlike(r"^\|\s*Variable_name"))
-    return rows.select(*KEY, "block", F.regexp_extract("line", cell, 1).alias("name"), F.coalesce(F.regexp_extract("line", cell, 2).try_cast("bigint"), F.lit(0)).alias("raw"))
+    rows = blocks.filter("sample > 0").select(*BLOCK, F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").startswith("|"))
+    rows = rows.withColumn("name", F.regexp_extract("line", cell, 1)).filter("name <> '' and name <> 'Variable_name'")
+    return rows.select(*BLOCK, "name", F.coalesce(F.regexp_extract("line", cell, 2).try_cast("bigint"), F.lit(0)).alias("raw"))
+
+
+def _status(parsed: DataFrame) -> DataFrame:
+    idx = (F.col("sample") - 1).cast("int")
+    return parsed.select("capture_id", "prefix", idx.alias("sample_idx"), _after(F.col("start"), idx).alias("ts"), "name", "raw", S.is_counter(F.col("name")).alias("is_counter"))
+
+
+def _status_rejects(parsed: DataFrame) -> DataFrame:
+    last = parsed.groupBy("path").agg(F.max("sample").alias("samples"))
+    short = parsed.groupBy(*FILE, "name").agg(F.max("sample").alias("last")).join(last, "path").filter("last < samples")
+    text = F.concat(F.col("name"), F.lit(" missing from "), (F.col("samples") - F.col("last")).cast("string"), F.lit(" trailing sample(s)"))
+    return _of_files(short, text, "warning")
+
+
+def read_status(blocks: DataFrame) -> DataFrame:
+    """Samples of a file are a second apart."""
+    return _status(parse_status(blocks))
+
+
+def read_status_rejects(blocks: DataFrame) -> DataFrame:
+    """Variables that the file's last samples lack."""
+    return _status_rejects(parse_status(blocks))
+
 
+def parse_device(blocks: DataFrame) -> DataFrame:
+    """Device, util_percent, avgqu_sz of every row below a head, up to a blank line; columns are found once a head.
 
-def read_status(lines: DataFrame) -> DataFrame:
-    """S14"""
-    idx = (F.col("block") - 1).cast("int")
-    return _status_rows(lines).select("capture_id", "prefix", idx.alias("sample_idx"), _after(F.col("start"), idx).alias("ts"), "name", "raw", S.is_counter(F.col("name")).alias("is_counter"))
+    Without a column that is needed, the head is the problem and its rows are left out."""
+    rows = blocks.filter("sample > 0").select(*BLOCK, "n", F.split(_collapsed("text"), "\n").alias("rows"))
+    head = F.transform(F.split(F.trim(F.col("rows")[0]), " "), lambda c: F.replace(c, F.lit(":"), F.lit("")))
+    place = lambda names: reduce(F.coalesce, [F.nullif(F.array_position("head", n), F.lit(0)) for n in names]).cast("int")
+    rows = rows.withColumn("head", head).withColumn("u", place(["%util", "util"])).withColumn("q", place(["aqu-sz", "avgqu-sz"])).withColumn("body", F.slice("rows", F.lit(2), F.size("rows")))
+    blank = F.array_position(F.transform("body", lambda x: F.trim(x) == ""), True)
+    rows = rows.withColumn("blank", blank.cast("int"))
+    body = F.when(F.col("blank") > 0, F.slice("body", F.lit(1), F.col("blank") - 1)).otherwise(F.col("body"))
+    known = F.col("u").isNotNull() & F.col("q").isNotNull()
+    rows = rows.select(*BLOCK, "n", "u", "q", F.posexplode(F.when(known, body).otherwise(F.array(F.lit(None).cast("string")))).alias("row", "line"))
+    rows = rows.withColumn("f", F.split(F.trim("line"), " "))
+    number = lambda c: S.localized_double(F.try_element_at("f", F.col(c)))
+    rows = rows.select(*BLOCK, "row", (F.col("n") + F.when(F.col("line").isNotNull(), F.col("row") + 1).otherwise(0)).alias("n"), "line", F.col("f")[0].alias("device"), number("u").alias("util_percent"), number("q").alias("avgqu_sz"))
+    problem = F.when(F.col("line").isNull(), "header without utilisation or queue column").when(F.col("util_percent").isNull() | F.col("avgqu_sz").isNull(), "unreadable device row")
+    return rows.withColumn("problem", problem).drop("line")
 
 
-def _device_rows(lines: DataFrame) -> DataFrame:
-    head = F.col("line").rlike(r"^Device")
-    none = F.array().cast("array<string>")
-    scoped = lines.withColumn("cols", _last(F.when(head, F.transform(_fields(F.col("line")), lambda c: F.rtrim(F.replace(c, F.lit(":"), F.lit("")))).cast("array<string>")).when(F.trim("line") == "", none)))
-    rows = scoped.filter((F.size("cols") > 0) & ~head & (F.trim("line") != ""))
+def _device(parsed: DataFrame) -> DataFrame:
+    good = _numbered(parsed.filter("problem is null"), ["device"], "sample_idx")
+    return good.select("capture_id", "prefix", "sample_idx", _after(F.col("start"), F.col("sample_idx")).alias("ts"), "device", "util_percent", "avgqu_sz")
 
-    def pick(names: list[str]) -> Column:
-        at = reduce(lambda a, b: F.coalesce(a, b), [F.nullif(F.array_position("cols", n), F.lit(0)) for n in names])
-        return S.localized_double(F.try_element_at("f", at.cast("int")))
 
-    return rows.withColumn("f", _fields(F.col("line"))).withColumn("util_percent", pick(["%util", "util"])).withColumn("avgqu_sz", pick(["aqu-sz", "avgqu-sz"]))
+def _problems(parsed: DataFrame) -> DataFrame:
+    return diagnostics(parsed.filter("problem is not null"), F.col("problem"))
 
 
-def read_device(lines: DataFrame) -> DataFrame:
+def read_device(blocks: DataFrame) -> DataFrame:
     """Samples of a device are a second apart, counted for each device."""
-    good = _device_rows(lines).filter("util_percent is not null and avgqu_sz is not null").withColumn("device", F.col("f")[0])
-    idx = (F.row_number().over(Window.partitionBy("path", "device").orderBy("n")) - 1).cast("int")
-    return good.withColumn("sample_idx", idx).select("capture_id", "prefix", "sample_idx", _after(F.col("start"), F.col("sample_idx")).alias("ts"), "device", "util_percent", "avgqu_sz")
+    return read_both("iostat", blocks)[0]
 
 
-def read_device_rejects(lines: DataFrame) -> DataFrame:
-    """Rows of S7 that cannot be read."""
-    return diagnostics(_device_rows(lines).filter("util_percent is null or avgqu_sz is null"), "unreadable device row")
+def read_device_rejects(blocks: DataFrame) -> DataFrame:
+    """Rows of S7 that cannot be read, and heads."""
+    return _problems(parse_device(blocks))
 
 
 DIAGNOSTIC = ["capture_id", "prefix", "path", "location", "severity", "message"]
@@ -102,6 +158,7 @@ FILE = ["capture_id", "prefix", "path"]
 
 def _stamp_rejects(lines: DataFrame, implicit: bool = True) -> DataFrame:
     """Stamps whose epoch cannot be read; with implicit, also files that have rows and no stamp."""
+    lines = as_lines(lines)
     any_stamp, epoch = F.col("line").rlike(r"^TS \S"), F.regexp_extract("line", TS, 1)
     bad = diagnostics(lines.filter(any_stamp & ((epoch == "") | S.epoch_to_ts(epoch, F.lit(None).cast("timestamp")).isNull())), "malformed TS epoch; snapshot start used")
     if not implicit:
@@ -110,14 +167,14 @@ def _stamp_rejects(lines: DataFrame, implicit: bool = True) -> DataFrame:
     return bad.union(_of_files(bare, "no TS marker; snapshot start used", "info"))
 
 
-def read_process_rejects(lines: DataFrame) -> DataFrame:
+def read_process_rejects(blocks: DataFrame) -> DataFrame:
     """Rows of S8 without a readable pid or CPU share."""
-    rows = _process_rows(lines)
-    return diagnostics(rows.filter("pid is null"), "unreadable PID").union(diagnostics(rows.filter("pid is not null and cpu_percent is null"), "unreadable %CPU"))
+    return _problems(parse_process(blocks))
 
 
 def read_host_rejects(lines: DataFrame) -> DataFrame:
     """Data rows before any header."""
+    lines = as_lines(lines)
     head = F.col("line").rlike(r"^\s*r\s+b\s")
     rows = lines.withColumn("headed", F.max(F.when(head, 1).otherwise(0)).over(_so_far()))
     return diagnostics(rows.filter((F.col("headed") == 0) & F.col("line").rlike(r"^\s*\d")), "data row before any header")
@@ -125,6 +182,7 @@ def read_host_rejects(lines: DataFrame) -> DataFrame:
 
 def read_memory_rejects(lines: DataFrame) -> DataFrame:
     """Why a file of S10 was rejected, and series that no sample has."""
+    lines = as_lines(lines)
     rows = _memory_rows(lines)
     early = _of_files(rows.filter("block = 0").select(*FILE).distinct(), "value line before first TS marker", "error")
     seen = rows.filter("block > 0")
@@ -145,22 +203,14 @@ SECTIONS = ["BACKGROUND THREAD", "SEMAPHORES", "TRANSACTIONS", "FILE I/O", "INSE
 
 def read_engine_rejects(lines: DataFrame) -> DataFrame:
     """Files without any section header."""
+    lines = as_lines(lines)
     bare = lines.groupBy(*FILE).agg(F.bool_or(F.trim("line").isin(SECTIONS)).alias("known")).filter("not known")
     return _of_files(bare, "no recognised section headers", "warning")
 
 
-def read_status_rejects(lines: DataFrame) -> DataFrame:
-    """Variables that the file's last samples lack."""
-    rows = _status_rows(lines)
-    last = rows.groupBy("path").agg(F.max("block").alias("samples"))
-    short = rows.groupBy(*FILE, "name").agg(F.max("block").alias("last")).join(last, "path").filter("last < samples")
-    text = F.concat(F.col("name"), F.lit(" missing from "), (F.col("samples") - F.col("last")).cast("string"), F.lit(" trailing sample(s)"))
-    return _of_files(short, text, "warning")
-
-
-def read_threads_rejects(lines: DataFrame) -> DataFrame:
+def read_threads_rejects(blocks: DataFrame) -> DataFrame:
     """Bad stamps of S15."""
-    return _stamp_rejects(lines, implicit=False)
+    return _problems(parse_threads(blocks))
 
 
 def read_sockets_rejects(lines: DataFrame) -> DataFrame:
@@ -172,11 +222,14 @@ def read_sockets_rejects(lines: DataFrame) -> DataFrame:
     return _stamp_rejects(lines).union(stateless).union(diagnostics(doubt, text))
 
 
-def read_net_counters_rejects(lines: DataFrame) -> DataFrame:
-    """Bad stamps, and known labels without a number."""
-    rows = _net_rows(lines)
-    odd = rows.filter("raw is null").join(_net_labels(lines), ["section", "label"], "left_semi")
-    return _stamp_rejects(lines).union(diagnostics(odd, F.concat(F.lit("no number for "), F.col("label"))))
+def read_net_counters_rejects(blocks: DataFrame) -> DataFrame:
+    """Bad stamps, files without any, and known labels without a number."""
+    return _net_rejects(parse_net(blocks))
+
+
+def _net_rejects(parsed: DataFrame) -> DataFrame:
+    bare = parsed.groupBy(*FILE).agg(F.max("sample").alias("samples"), F.bool_or("filled").alias("filled")).filter("samples = 0 and filled")
+    return _problems(parsed).union(_of_files(bare, "no TS marker; snapshot start used", "info"))
 
 
 def read_env_memory_rejects(lines: DataFrame) -> DataFrame:
@@ -187,26 +240,36 @@ def read_env_memory_rejects(lines: DataFrame) -> DataFrame:
     return _of_files(newest, F.concat(F.lit("newest sample is incomplete; "), used), "warning")
 
 
-def _process_rows(lines: DataFrame) -> DataFrame:
-    top = r"^top - (\d\d):(\d\d):(\d\d)"
-    part = lambda i: F.regexp_extract("line", top, i).try_cast("int")
-    b = _blocks(lines, F.col("line").rlike(top)).filter("block > 0")
-    in_block = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("clock", F.first(F.when(F.col("line").rlike(top), part(1) * 3600 + part(2) * 60 + part(3)), ignorenulls=True).over(in_block)).withColumn("f", _fields(F.col("line")))
-    body = b.withColumn("headed", F.max(F.when(F.col("line").rlike(r"^\s*PID\s"), F.col("n"))).over(in_block)).filter("headed < n")
-    rows = body.withColumn("ended", F.max(F.when(F.size("f") < 12, 1).otherwise(0)).over(in_block)).filter("ended = 0")
-    clocks = b.groupBy(*KEY, "block").agg(F.max("clock").alias("clock")).withColumn("start_clock", F.unix_seconds("start") % 86400)
+def parse_process(blocks: DataFrame) -> DataFrame:
+    """Pid, command and cpu_percent of the rows below a block's PID header, up to one of fewer than 12 fields; a block without
+    rows is a row without a pid and without a problem, as its clock counts."""
+    part = lambda i: F.regexp_extract("text", r"^top - (\d\d):(\d\d):(\d\d)", i).try_cast("int")
+    rows = blocks.filter("sample > 0").select(*BLOCK, "n", (part(1) * 3600 + part(2) * 60 + part(3)).alias("clock"), F.split(_collapsed("text"), "\n").alias("rows"))
+    rows = rows.withColumn("headed", F.array_position(F.transform("rows", lambda x: F.ltrim(x).startswith("PID ")), True).cast("int"))
+    fields = F.transform(F.slice("rows", F.col("headed") + 1, F.size("rows")), lambda x: F.split(F.trim(x), " "))
+    rows = rows.withColumn("fields", F.when(F.col("headed") > 0, fields))
+    rows = rows.withColumn("end", F.array_position(F.transform("fields", lambda f: F.size(f) < 12), True).cast("int"))
+    body = F.when(F.col("end") > 0, F.slice("fields", F.lit(1), F.col("end") - 1)).otherwise(F.col("fields"))
+    rows = rows.select(*BLOCK, "n", "clock", "headed", F.posexplode_outer(body).alias("row", "f"))
+    rows = rows.select(*BLOCK, "clock", "row", (F.col("n") + F.col("headed") + F.col("row")).alias("n"), F.col("f").isNotNull().alias("is_row"), F.col("f")[0].try_cast("int").alias("pid"), F.array_join(F.slice("f", 12, 1000), " ").alias("command"), S.localized_double(F.col("f")[8]).alias("cpu_percent"))
+    problem = F.when(~F.col("is_row"), None).when(F.col("pid").isNull(), "unreadable PID").when(F.col("cpu_percent").isNull(), "unreadable %CPU")
+    return rows.withColumn("problem", problem)
+
+
+def _process(parsed: DataFrame) -> DataFrame:
+    """Days are counted over the clocks of a file's samples, one row each."""
     from capturelake.operators.deltas import midnight_roll
 
-    at = midnight_roll(clocks, ["path"], "block").select("path", "block", "at")
+    clocks = parsed.select("path", "sample", "clock", (F.unix_seconds("start") % 86400).alias("start_clock")).distinct()
+    at = midnight_roll(clocks, ["path"], "sample").select("path", "sample", "at")
     midnight = F.unix_seconds("start") - F.unix_seconds("start") % 86400
-    out = rows.join(at, ["path", "block"]).withColumn("pid", F.col("f")[0].try_cast("int"))
-    return out.select(*FILE, "n", F.timestamp_seconds(midnight + F.col("at")).alias("ts"), "pid", F.array_join(F.slice("f", 12, 1000), " ").alias("command"), S.localized_double(F.col("f")[8]).alias("cpu_percent"))
+    rows = parsed.filter("is_row and problem is null").join(at, ["path", "sample"])
+    return rows.select("capture_id", "prefix", F.timestamp_seconds(midnight + F.col("at")).alias("ts"), "pid", "command", "cpu_percent")
 
 
-def read_process(lines: DataFrame) -> DataFrame:
+def read_process(blocks: DataFrame) -> DataFrame:
     """A block's rows follow its PID header; a row of fewer than 12 fields ends it."""
-    return _process_rows(lines).filter("pid is not null and cpu_percent is not null").select("capture_id", "prefix", "ts", "pid", "command", "cpu_percent")
+    return read_both("top", blocks)[0]
 
 
 #: S9, fixed values: column of the collector -> ours.
@@ -215,6 +278,7 @@ HOST = {"r": "runqueue", "b": "blocked", "free": "free_kb", "buff": "buff_kb", "
 
 def read_host(lines: DataFrame) -> DataFrame:
     """Of a repeated column the first counts, an absent one is 0."""
+    lines = as_lines(lines)
     head = F.col("line").rlike(r"^\s*r\s+b\s")
     scoped = lines.withColumn("cols", _last(F.when(head, _fields(F.col("line"))))).filter(F.col("cols").isNotNull() & ~head & F.col("line").rlike(r"^\s*\d"))
     idx = (F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1).cast("int")
@@ -244,6 +308,7 @@ def read_memory(lines: DataFrame) -> DataFrame:
 
 
 def _variable_rows(lines: DataFrame) -> DataFrame:
+    lines = as_lines(lines)
     cells = F.split("line", "\t")
     row = F.size(cells) == 2
     head = F.col("line").startswith("Variable_name\t")
@@ -261,6 +326,7 @@ def read_variables(lines: DataFrame) -> DataFrame:
 
 def read_engine(lines: DataFrame) -> DataFrame:
     """Pool instances are summed; of the sync line and the hash table size the last counts."""
+    lines = as_lines(lines)
     one = lambda p, i=1: F.regexp_extract("line", p, i).try_cast("double")
     writes = r"^Pending writes: LRU (\d+), flush list (\d+), single page (\d+)"
     fsync = r"^Pending flushes \(fsync\) log: (\d+); buffer pool: (\d+)"
@@ -277,6 +343,7 @@ def read_engine(lines: DataFrame) -> DataFrame:
 
 def read_latch_waits(lines: DataFrame) -> DataFrame:
     """Waits by file, line and the mutex that the next line names."""
+    lines = as_lines(lines)
     wait, mutex = r"^--Thread \S+ has waited at (\S+) line (\d+)", r"^Mutex at \S+, (?:Mutex )?(\S+)"
     named = F.lead("line").over(Window.partitionBy("path").orderBy("n"))
     rows = lines.filter(F.trim("line") != "").withColumn("next", named).filter(F.col("line").rlike(wait))
@@ -286,18 +353,34 @@ def read_latch_waits(lines: DataFrame) -> DataFrame:
 THREAD = {"User": "user", "Host": "host", "db": "db", "Command": "command", "State": "state", "Time": "time_s", "Time_ms": "time_ms", "Rows_sent": "rows_sent", "Rows_examined": "rows_examined", "Info": "info"}
 
 
-def read_threads(lines: DataFrame) -> DataFrame:
-    """Numbers that cannot be read or are negative are absent; rows that name nothing are dropped."""
-    sep = r"^\*+ (\d+)\. row \*+"
-    rows = _blocks(_stamped(lines).withColumnRenamed("block", "stamp"), F.col("line").rlike(sep), "row_block").filter("row_block > 0").filter(~F.col("line").rlike(sep))
-    key = r"^\s*(Id|User|Host|db|Command|Time|State|Info|Time_ms|Rows_sent|Rows_examined): ?(.*)$"
-    k, v = F.regexp_extract("line", key, 1), F.regexp_extract("line", key, 2)
-    first = lambda c: F.min_by(v, F.when(k == c, F.col("n"))).alias(THREAD[c])
-    wide = rows.filter(k != "").groupBy("capture_id", "prefix", "ts", "path", "row_block").agg(*map(first, THREAD))
+def parse_threads(blocks: DataFrame) -> DataFrame:
+    """The known keys of every row of a sample, the first of each, and stamps that cannot be read."""
+    epoch = F.regexp_extract("text", TS, 1)
+    ts = F.coalesce(F.when(epoch != "", S.epoch_to_ts(epoch, F.col("start"))), F.col("start"))
+    key = r"(?md)^[ \t]*(Id|User|Host|db|Command|Time|State|Info|Time_ms|Rows_sent|Rows_examined): ?(.*)$"
+    stamp = lambda x: F.regexp_extract(x, TS, 1)
+    odd = lambda x: x["line"].rlike(r"^TS \S") & ((stamp(x["line"]) == "") | S.epoch_to_ts(stamp(x["line"]), F.lit(None).cast("timestamp")).isNull())
+    bad = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), odd)
+    asks = F.col("text").rlike(r"(?:^|\n)TS \D") | (epoch != "") & S.epoch_to_ts(epoch, F.lit(None).cast("timestamp")).isNull()
+    bad = F.transform(F.when(asks, bad).otherwise(F.expr("array()").cast("array<struct<i:int,line:string>>")), lambda x: F.struct(F.lit(None).cast("string").alias("text"), x["i"].alias("at")))
+    rows = F.transform(F.split("text", r"(?:^|\n)\*+ \d+\. row \*+[^\n]*"), lambda x, i: F.struct(F.when(i > 0, x).alias("text"), F.lit(None).cast("int").alias("at")))
+    every = blocks.select(*BLOCK, "n", ts.alias("ts"), F.posexplode(F.concat(bad, F.filter(rows, lambda x: x["text"].isNotNull()))).alias("row", "x"))
+    every = every.withColumn("keys", F.regexp_extract_all("x.text", F.lit(key), F.lit(1))).withColumn("values", F.regexp_extract_all("x.text", F.lit(key), F.lit(2)))
+    value = lambda k: F.rtrim(F.try_element_at("values", F.nullif(F.array_position("keys", k), F.lit(0)).cast("int")), F.lit(" \r"))
+    problem = F.when(F.col("x.at").isNotNull(), "malformed TS epoch; snapshot start used")
+    return every.select(*BLOCK, "ts", "row", (F.col("n") + F.coalesce("x.at", F.lit(0))).alias("n"), *[value(k).alias(c) for k, c in THREAD.items()], problem.alias("problem"))
+
+
+def _threads(parsed: DataFrame) -> DataFrame:
     number = lambda c: F.when(F.col(c).try_cast("double") >= 0, F.col(c).try_cast("double")).alias(c)
     named = reduce(lambda a, b: a | b, [F.trim(F.coalesce(c, F.lit(""))) != "" for c in ("user", "host", "command", "db", "state")])
-    no = F.row_number().over(Window.partitionBy("path", "ts").orderBy("row_block"))
-    return wide.filter(named).withColumn("row_no", no).select("capture_id", "prefix", F.date_trunc("second", "ts").alias("ts"), "row_no", "user", S.strip_port(F.col("host")).alias("host"), "db", "command", "state", *map(number, ("time_s", "time_ms", "rows_sent", "rows_examined")), "info")
+    no = F.row_number().over(Window.partitionBy("path", "ts").orderBy("sample", "row"))
+    return parsed.filter("problem is null").filter(named).withColumn("row_no", no).select("capture_id", "prefix", F.date_trunc("second", "ts").alias("ts"), "row_no", "user", S.strip_port(F.col("host")).alias("host"), "db", "command", "state", *map(number, ("time_s", "time_ms", "rows_sent", "rows_examined")), "info")
+
+
+def read_threads(blocks: DataFrame) -> DataFrame:
+    """Numbers that cannot be read or are negative are absent; rows that name nothing are dropped."""
+    return _threads(parse_threads(blocks))
 
 
 def _socket_rows(lines: DataFrame) -> tuple[DataFrame, Column, Column]:
@@ -332,33 +415,51 @@ def _net_labels(lines: DataFrame) -> DataFrame:
     return F.broadcast(lines.sparkSession.createDataFrame(rows, "section string, label string, counter string"))
 
 
-def _net_rows(lines: DataFrame) -> DataFrame:
-    """Indented lines with their section (a line that is not indented begins or ends one), label and number."""
-    in_block = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when((F.trim("line") != "") & ~F.col("line").rlike(r"^\s"), F.regexp_extract("line", r"^(.*):\s*$", 1))
-    scoped = _stamped(lines).withColumn("section", F.last(head, ignorenulls=True).over(in_block)).filter(F.col("line").rlike(r"^\s+\S"))
+def parse_net(blocks: DataFrame) -> DataFrame:
+    """Known labels of every block with their number, and a row of each block for its stamp.
+
+    A line that is not indented begins or ends a section; a label counts in the section that it belongs to."""
+    epoch = F.regexp_extract("text", r"^TS (\S+) ", 1)
+    rows = blocks.select(*BLOCK, "n", F.coalesce(F.when(epoch != "", S.epoch_to_ts(epoch, F.col("start"))), F.col("start")).alias("ts"), ((epoch != "") & S.epoch_to_ts(epoch, F.lit(None).cast("timestamp")).isNull()).alias("odd"), F.split("text", r"\n(?=\S)").alias("pieces"), (F.trim(F.translate("text", "\r\n\t", "   ")) != "").alias("filled"))
+    sizes = F.transform("pieces", lambda x: F.size(F.split(x, "\n")))
+    rows = rows.withColumn("sizes", sizes)
+    before = lambda i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda a, x: a + x)
+    pieces = F.transform("pieces", lambda x, i: F.struct(F.regexp_extract(x, r"^(\S[^\n]*?):\s*(?:\n|$)", 1).alias("section"), before(i).alias("before"), F.split(x, "\n").alias("rows")))
+    rows = rows.select(*BLOCK, "n", "ts", "odd", "filled", F.explode(pieces).alias("p"))
+    rows = rows.select(*BLOCK, "n", "ts", "odd", "filled", "p.section", "p.before", F.posexplode("p.rows").alias("i", "line"))
+    indented, stamp = F.col("line").rlike(r"^\s+\S") & (F.col("section") != ""), (F.col("before") == 0) & (F.col("i") == 0)
     front, back = r"^\s+(\d+) (.+?)\s*$", r"^\s+([^:]+?)\s*:\s*(\S*).*$"
     leads = F.col("line").rlike(front)
     label = F.when(leads, F.regexp_extract("line", front, 2)).otherwise(F.regexp_extract("line", back, 1))
     raw = F.when(leads, F.regexp_extract("line", front, 1)).otherwise(F.regexp_extract("line", back, 2)).try_cast("double")
-    return scoped.withColumn("label", label).withColumn("raw", raw)
+    rows = rows.filter(indented | stamp).select(*BLOCK, (F.col("n") + F.col("before") + F.col("i")).alias("n"), "ts", "filled", (F.col("odd") & stamp).alias("odd"), F.when(indented, F.col("section")).alias("section"), F.when(indented, label).alias("label"), F.when(indented, raw).alias("raw"), stamp.alias("stamp"))
+    found = rows.join(_net_labels(blocks), ["section", "label"], "left").filter(F.col("stamp") | F.col("counter").isNotNull())
+    problem = F.when(F.col("odd"), "malformed TS epoch; snapshot start used").when(F.col("counter").isNotNull() & F.col("raw").isNull(), F.concat(F.lit("no number for "), F.col("label")))
+    return found.select(*BLOCK, "n", "ts", "filled", "counter", "raw", problem.alias("problem"))
+
+
+def _net(parsed: DataFrame) -> DataFrame:
+    """Polls are counted over a file's samples that have a counter, one row each."""
+    found = parsed.filter("counter is not null and raw is not null")
+    polls = found.select("path", "sample").distinct().withColumn("poll_idx", F.row_number().over(Window.partitionBy("path").orderBy("sample")) - 1)
+    return found.join(polls, ["path", "sample"]).select("capture_id", "prefix", "poll_idx", "ts", "counter", "raw")
 
 
-def read_net_counters(lines: DataFrame) -> DataFrame:
+def read_net_counters(blocks: DataFrame) -> DataFrame:
     """S17: 'N label' and 'Label: N' under the section that a label belongs to; a section ends with its block."""
-    found = _net_rows(lines).filter("raw is not null").join(_net_labels(lines), ["section", "label"])
-    poll = F.dense_rank().over(Window.partitionBy("path").orderBy("block"))
-    return found.withColumn("poll_idx", poll - 1).select("capture_id", "prefix", "poll_idx", "ts", "counter", "raw")
+    return read_both("netstat_s", blocks)[0]
 
 
 def read_hostname(lines: DataFrame) -> DataFrame:
     """S18"""
+    lines = as_lines(lines)
     good = lines.filter((F.trim("line") != "") & ~F.lower("line").rlike(r"^\s*(sudo|warning):") & ~F.col("line").contains("unable to resolve host"))
     return good.groupBy("capture_id", "prefix").agg(F.trim(F.max_by("line", "n")).alias("hostname"))
 
 
 def read_sysctl(lines: DataFrame) -> DataFrame:
     """S19"""
+    lines = as_lines(lines)
     key, value = F.trim(F.substring_index("line", " = ", 1)), F.trim(F.expr("substr(line, instr(line, ' = ') + 3)"))
     return lines.filter(F.col("line").contains(" = ")).select("capture_id", "prefix", "n", key.alias("key"), value.alias("value")).filter(F.col("key").isin(SYSCTL)).groupBy("capture_id", "prefix", "key").agg(F.max_by("value", "n").alias("value"))
 
@@ -372,6 +473,7 @@ def read_cpu_boot(lines: DataFrame) -> DataFrame:
 
 def read_loadavg(lines: DataFrame) -> DataFrame:
     """From the latest header."""
+    lines = as_lines(lines)
     p = r"load averages?:\s*([\d.]+),?\s+([\d.]+),?\s+([\d.]+)"
     rows = lines.filter(F.col("line").rlike(r"^top - ") & F.col("line").rlike(p)).groupBy("capture_id", "prefix").agg(F.max_by("line", "n").alias("line"))
     return rows.select("capture_id", "prefix", *[F.regexp_extract("line", p, i + 1).try_cast("double").alias(c) for i, c in enumerate(("load1", "load5", "load15"))])
@@ -405,6 +507,21 @@ def read_filesystems(lines: DataFrame, k: int = 5) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+#: Collector -> what parses its blocks, and what makes rows and diagnostics of that.
+PARSED = {"iostat": (parse_device, _device, _problems), "top": (parse_process, _process, _problems), "mysqladmin": (parse_status, _status, _status_rejects), "processlist": (parse_threads, _threads, _problems), "netstat_s": (parse_net, _net, _net_rejects)}
+
+
+def read_both(collector: str, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and diagnostics of a collector's files. Where they are parsed by blocks, files are read once: what was parsed is
+    written, and both come from there."""
+    if collector not in PARSED:
+        rejects = REJECTS.get(collector)
+        return READERS[collector](blocks), rejects(blocks) if rejects else blocks.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in DIAGNOSTIC))
+    parse, rows, rejects = PARSED[collector]
+    parsed = written(parse(blocks))
+    return rows(parsed), rejects(parsed)
+
+
 #: Collector -> reader: add a collector here.
 READERS = {
     "iostat": read_device, "top": read_process, "vmstat": read_host, "meminfo": read_memory, "variables": read_variables, "innodbstatus1": read_engine, "mysqladmin": read_status, "processlist": read_threads, "netstat": read_sockets, "netstat_s": read_net_counters,

@@ -21,7 +21,7 @@ def capture(tmp_path, **files):
 
 
 def rows(spark, root, name, reader):
-    return reader(S.lines(spark, root, name)).collect()
+    return reader(S.blocks(spark, root, name)).collect()
 
 
 def test_status_deltas_and_late_names(spark, tmp_path):
@@ -31,7 +31,7 @@ def test_status_deltas_and_late_names(spark, tmp_path):
     assert got == {(A, 0, "Questions"): (251, True), (A, 0, "Ssl_x"): (0, False), (A, 1, "Questions"): (254, True), (A, 2, "Questions"): (451, True), (A, 2, "Late"): (7, False), (B, 0, "Questions"): (5, True)}
     from capturelake.operators import deltas as D
 
-    long = R.read_status(S.lines(spark, root, "mysqladmin")).select("capture_id", F.col("prefix").alias("snapshot"), "name", "ts", F.col("sample_idx").alias("seq"), "raw")
+    long = R.read_status(S.blocks(spark, root, "mysqladmin")).select("capture_id", F.col("prefix").alias("snapshot"), "name", "ts", F.col("sample_idx").alias("seq"), "raw")
     profile = {r.name: r for r in D.counter_profile(D.counter_delta(long)).collect()}
     q = profile["Questions"]
     assert (q.total, q.low, q.high, q.whole_mean) == (200, 3, 197, 66)
@@ -121,15 +121,15 @@ def test_every_reader_says_what_it_cannot_use(spark, tmp_path):
 
 def test_oversize_files_are_not_read(spark, tmp_path):
     root = capture(tmp_path, iostat=["Device aqu-sz %util\nsda 1 2\n", "Device aqu-sz %util\n" + "sda 1 2\n" * 9])
-    assert {r.prefix for r in R.read_device(S.lines(spark, root, "iostat", limit=60)).collect()} == {A}
+    assert {r.prefix for r in R.read_device(S.blocks(spark, root, "iostat", limit=60)).collect()} == {A}
     assert S.oversize_files(S.scan_files(spark, root), 60).count() == 1
 
 
 def test_status_of_files(spark, tmp_path):
     root = capture(tmp_path, iostat=["Device aqu-sz %util\nsda 1 2\nsdb x\n", "no mark\n"])
-    lines = S.lines(spark, root, "iostat")
     files = S.scan_files(spark, root)
-    got = S.file_status(files, R.read_device(lines), R.REJECTS["iostat"](lines), S.detect_format(lines, "iostat")).collect()
+    rows, rejects = R.read_both("iostat", S.blocks(spark, root, "iostat", gate=True, files=files))
+    got = S.file_status(files, rows, rejects, S.formats(files)).collect()
     assert {(r.prefix, r.status) for r in got} == {(A, "partial"), (B, "unsupported")}
 
 
@@ -154,18 +154,18 @@ def test_discovery(spark, tmp_path):
     (lone / f"{A}-output").write_text("x")
     files = S.scan_files(spark, root)
     assert {(r.capture_id, r.prefix, r.suffix) for r in files.collect()} == {("host1", A, "iostat"), ("host1", B, "iostat"), ("host1", A, "hostname"), ("host1", B, "hostname"), ("host1", A, "weird"), ("host2", A, "output")}
-    assert {(r.folder.rsplit("/", 1)[1], r.files) for r in S.capture_roots(files, root).collect()} == {("host1", 5), ("host2", 1)}
+    assert {(r.capture_id, r.files) for r in S.capture_roots(files).collect()} == {("host1", 5), ("host2", 1)}
     assert {(r.capture_id, r.prefix, tuple(r.collectors)) for r in S.snapshots(files).collect()} == {("host1", A, ("iostat",)), ("host1", B, ("iostat",)), ("host2", A, ())}
     side = {(r.capture_id, r.suffix): (r.prefix, r.newer_empty) for r in S.latest_sidecar(files).collect()}
     assert [(r.severity, r.message) for r in S.sidecar_diagnostics(S.latest_sidecar(files)).collect()] == [("warning", "fell back past 1 newer empty file(s)")]
     assert side == {("host1", "hostname"): (A, 1), ("host2", "output"): (A, 0)}
-    assert {(r.prefix, r.format) for r in S.detect_format(S.lines(spark, root, "iostat"), "iostat").collect()} == {(A, "v1"), (B, "unsupported")}
+    assert {(r.prefix, r.format) for r in S.formats(files).filter("suffix = 'iostat'").collect()} == {(A, "v1"), (B, "unsupported")}
     assert S.oversize_files(files, 7).count() == 2
 
 
 def test_stream_reads_each_file_once(spark, tmp_path):
-    sample = "| Variable_name | Value |\n| Questions | 5 |\n"
-    root = capture(tmp_path, mysqladmin=[sample, None])
+    sample = "+---+\n| Variable_name | Value |\n| Questions | 5 |\n"
+    root = capture(tmp_path, mysqladmin=[sample, None], iostat="+- Variable_name\n")
     go = lambda: stream_ingest(spark, root, "mysqladmin", R.read_status, f"{tmp_path}/table", f"{tmp_path}/state").awaitTermination()
     go()
     assert spark.read.parquet(f"{tmp_path}/table").count() == 1
