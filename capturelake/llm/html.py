@@ -1,11 +1,15 @@
 """Main-text extraction with a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks (runs of text between block-level tags). Features of a block are the tags, classes, ids and
-roles of its ancestors and its text (length, share of link text, punctuation). A two-label chain (article or not) is
-trained by maximum likelihood on labelled pages and decoded by Viterbi. As the pages come without labels, training pages
-are written by ``labelled_pages``: layouts whose article is known because they are built around it. They are a fixed
-number (``TRAIN_PAGES``), so training is bounded; it runs once on the driver, and tasks get the weights. Text of math, object,
-canvas, svg and noscript elements is text like any other.
+roles of its ancestors, each name with how much of the page's plain text its element holds and whether it holds the title;
+its own text (length, share of link text, punctuation); its container (share of the page's text, blocks that read like
+running text, links, whether no other has more of them); its neighbours, and its place before, amid or after such blocks and
+the title. So an article stands out where no name tells of it, and where a name denies it. A two-label chain (article or
+not) is trained by maximum likelihood on labelled pages and decoded by Viterbi. As the pages come without labels, training
+pages are written by ``labelled_pages``: layouts whose article is known because they are built around it, in an element
+that names it, misleads or says nothing, or in none; a share ``BARE`` of them has no classes, ids and roles at all. They are
+a fixed number (``TRAIN_PAGES``), so training is bounded; it runs once on the driver, and tasks get the weights. Text of
+math, object, canvas, svg and noscript elements is text like any other.
 
 Defined cases: null or empty html gives '' and 0; markup may be broken: an unclosed tag ends with its parent, an unclosed
 script, style or comment hides the rest; a null id or url is kept; character references are decoded once; rows that repeat are extracted each; an
@@ -18,7 +22,7 @@ import html as _html
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from capturelake.llm.common import arrow_rows, release, table, text_chunks
 
-TRAIN_PAGES = 600
+TRAIN_PAGES, BARE = 900, 0.5  # training pages, and the share of them without any class, id or role
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul video audio".split()
 )
@@ -39,19 +43,31 @@ CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "
 TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"(?:\s|^)(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 TOKEN = re.compile(r"[a-z]+")
+SHUT = re.compile(r"(?:^|[\s\"'])/$")  # a slash at the end of an unquoted value belongs to it
+
+
+#: Tags that hold a part of what their container says, and are no containers themselves.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th hr".split())
+#: Containers that are no small boxes.
+WHOLE = frozenset(["", "html", "body", "article", "main"])
 
 
 class Block:
-    __slots__ = ("text", "tokens", "linked")
+    """Text of a leaf, how much of it is in links, and the element that it stands in."""
+
+    __slots__ = ("text", "element", "linked", "tokens", "more")
 
-    def __init__(self, text: str, tokens: frozenset[str], linked: int):
-        self.text, self.tokens, self.linked = text, tokens, linked
+    def __init__(self, text: str, element: int, linked: int):
+        self.text, self.element, self.linked = text, element, linked
+        self.tokens: frozenset[str] = frozenset()
+        self.more: list[str] = []
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, white space already single."""
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order, white space already single. With known, names that are not in it are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    tags, parents, names = [""], [-1], [()]  # of every element, in page order
+    stack = [0]
     opened: Counter[str] = Counter()  # tags on the stack, so that a closing tag without one costs nothing
     run: list[str] = []
     linked, in_link = 0, False
@@ -62,7 +78,7 @@ def blocks(page: str) -> list[Block]:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                out.append(Block(text, stack[-1][1], min(linked, len(text))))
+                out.append(Block(text, stack[-1], min(linked, len(text))))
             run, linked = [], 0
 
     while at < end:
@@ -101,13 +117,13 @@ def blocks(page: str) -> list[Block]:
                 flush()
                 in_link = False
                 while opened[tag]:
-                    gone = stack.pop()[0]
+                    gone = tags[stack.pop()]
                     opened[gone] -= 1
                     if gone == tag:
                         break
             continue
         if tag in RAW_TAGS:
-            if not m[2].endswith("/"):
+            if not SHUT.search(m[2]):
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*+>?", re.I).search(page, at)
                 at = close.end() if close else end
             if tag in ("title",):
@@ -121,33 +137,101 @@ def blocks(page: str) -> list[Block]:
             flush()
             in_link = False
             shut = CLOSES.get(tag, {"p"} if tag not in ("button", "label", "option") else set())
-            while len(stack) > 1 and stack[-1][0] in shut:
-                opened[stack.pop()[0]] -= 1
+            while len(stack) > 1 and tags[stack[-1]] in shut:
+                opened[tags[stack.pop()]] -= 1
             if tag in VOID_TAGS:
                 continue
-            own = {f"<{tag}>"}
-            for name, a, b, c in ATTRIBUTE.findall(m[2]):
-                own |= {f"{'role' if name.lower() == 'role' else 'c'}:{t}" for t in TOKEN.findall((a or b or c).lower())}
-            around = stack[-1][1]
-            if tag in NAMED:  # names of an article itself and of what it stands in say something else than names in it
-                own = {f"<{tag}>", *(f"own {t}" for t in own)}
-                around = frozenset(t if t.startswith("around ") else f"around {t}" for t in around)
-            stack.append((tag, around | own))
+            tags.append(tag)
+            parents.append(stack[-1])
+            names.append(tuple(f"{'role' if name.lower() == 'role' else 'c'}:{t}" for name, a, b, c in ATTRIBUTE.findall(m[2]) for t in TOKEN.findall((a or b or c).lower())))
+            stack.append(len(tags) - 1)
             opened[tag] += 1
     flush()
-    if any(not NAMED_TOKENS.isdisjoint(b.tokens) for b in out):
-        for b in out:
-            if NAMED_TOKENS.isdisjoint(b.tokens):
-                b.tokens |= {"beside"}
+    _describe(out, tags, parents, names, known)
     return out
 
 
+def _prose(b: Block) -> bool:
+    """Whether a block reads like running text."""
+    return len(b.text) >= 40 and b.linked * 3 < len(b.text) and any(c in b.text for c in ".,;:!?")
+
+
+def _level(share: float) -> int:
+    return 0 if share < 0.05 else 1 if share < 0.2 else 2 if share < 0.5 else 3
+
+
+def _describe(page: list[Block], tags: list[str], parents: list[int], names: list[tuple[str, ...]], known: Container[str] | None) -> None:
+    """Tokens of the elements a block stands in, and what its text, its neighbours and its container are like.
+
+    A name says something else in an element that holds most of the page's plain text, or its first h1, than in a small one,
+    so how large the element is belongs to the token. Everything here is linear in blocks and elements."""
+    n = len(tags)
+    plain, first_h1 = [0] * n, -1
+    h1_at = next((i for i, b in enumerate(page) if tags[b.element] == "h1"), -1)
+    first_h1 = h1_element = page[h1_at].element if h1_at >= 0 else -1
+    for b in page:
+        plain[b.element] += len(b.text) - b.linked
+    for e in range(n - 1, 0, -1):  # children come after their parents
+        plain[parents[e]] += plain[e]
+    whole = max(plain[0], 1)
+    titled = set()
+    while first_h1 >= 0:
+        titled.add(first_h1)
+        first_h1 = parents[first_h1]
+    tokens: list[frozenset[str]] = [frozenset()] * n
+    container = [0] * n
+    for e in range(1, n):
+        tag, up = tags[e], parents[e]
+        container[e] = container[up] if tag in PARTS else e
+        state = ("+" if 2 * plain[e] >= whole else "") + ("h" if e in titled else "")
+        own = {f"<{tag}>", *(f"{t}{state}" for t in names[e])}
+        around = tokens[up]
+        if tag in NAMED:  # names of an article itself and of what it stands in say something else than names in it
+            own = {f"<{tag}>", *(f"own {t}" for t in own)}
+            around = frozenset(t if t.startswith("around ") else f"around {t}" for t in around)
+            around = around if known is None else frozenset(t for t in around if t in known)
+        if known is not None:
+            own = {t for t in own if t in known or t in NAMED_TOKENS}
+        tokens[e] = around if own <= around else around | own
+    named = any(not NAMED_TOKENS.isdisjoint(tokens[b.element]) for b in page)
+
+    text, linked, prose = Counter(), Counter(), Counter()
+    for b in page:
+        c = container[b.element]
+        text[c] += len(b.text)
+        linked[c] += b.linked
+        prose[c] += _prose(b)
+    reads = [_prose(b) for b in page]
+    says = Counter()
+    for b, r in zip(page, reads):
+        says[container[b.element]] += (len(b.text) - b.linked) * r
+    most = max(says.values(), default=0)
+    first = next((i for i, r in enumerate(reads) if r), len(page))
+    last = next((i for i in range(len(page) - 1, -1, -1) if reads[i]), -1)
+    for i, b in enumerate(page):
+        c = container[b.element]
+        b.tokens = tokens[b.element]
+        here, short = reads[i], "s" if len(b.text) < 40 else "l"
+        b.more = [
+            f"share:{_level((text[c] - linked[c]) / whole)}", f"prose:{min(prose[c], 4)}", f"links:{_level(linked[c] / max(text[c], 1))}", f"share:{_level((text[c] - linked[c]) / whole)} prose:{min(prose[c], 3)} {short}",
+            f"next:{int(i + 1 < len(page) and reads[i + 1])} {short}", f"before:{int(i > 0 and reads[i - 1])} {short}", f"in:{tags[b.element]} {short}", "early" if i < first else "late" if i > last else f"amid:{int(here)}",
+            f"top:{int(0 < most == says[c])} {short}", f"near top:{_level(says[c] / most) if most else 9} {int(here)}",
+            f"box:{int(tags[c] in WHOLE)} {min(prose[c], 1)} {short}{int(i > last)}{int(i < first)}", f"same:{int(i > 0 and container[page[i - 1].element] == c)}{int(i + 1 < len(page) and container[page[i + 1].element] == c)}",
+        ]
+        if h1_at >= 0:
+            b.more.append(f"h1:{int(i < h1_at)}{int(container[h1_element] == c)}")
+        if named and NAMED_TOKENS.isdisjoint(b.tokens):
+            b.more.append("beside" if h1_at < 0 or NAMED_TOKENS.isdisjoint(tokens[h1_element]) else "beside h1")
+        if named:
+            b.more.append(f"named {tags[c] in NAMED}")
+
+
 def features(block: Block) -> list[str]:
     n = len(block.text)
     share = block.linked / n
     last = block.text[-1]
     stops = sum(map(block.text.count, ".,;:!?"))
-    out = [*block.tokens, "bias", f"len:{min(n.bit_length(), 10)}", f"link:{0 if not share else 1 if share < 0.5 else 2}", f"stop:{min(stops, 5)}", "end" if last in ".!?\"'" else "open"]
+    out = [*block.tokens, *block.more, "bias", f"len:{min(n.bit_length(), 10)}", f"link:{0 if not share else 1 if share < 0.5 else 2}", f"stop:{min(stops, 5)}", "end" if last in ".!?\"'" else "open"]
     if "©" in block.text or "copyright" in block.text.lower():
         out.append("copyright")
     return out
@@ -183,13 +267,16 @@ class Chain:
         return out[::-1]
 
     @staticmethod
-    def fit(pages: list[list[Block]], labels: list[list[int]], rounds: int = 120, rate: float = 0.15, decay: float = 2e-3) -> Chain:
+    def fit(pages: list[list[Block]], labels: list[list[int]], rounds: int = 100, rate: float = 0.15, decay: float = 2e-3) -> Chain:
         """Maximum likelihood with a Gaussian prior, by full-batch Adam; forward-backward runs over all pages at once."""
         index: dict[str, int] = {}
         found = [[[index.setdefault(f, len(index)) for f in features(b)] for b in p] for p in pages]
         steps = max(map(len, pages))
-        row = [(n, t, f) for n, p in enumerate(found) for t, fs in enumerate(p) for f in fs]
-        rn, rt, rf = np.array(row).T
+        sizes = np.array([len(fs) for p in found for fs in p])
+        rf = np.array([f for p in found for fs in p for f in fs])
+        starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        bn = np.array([n for n, p in enumerate(found) for _ in p])
+        bt = np.array([t for p in found for t in range(len(p))])
         size = np.array([len(p) for p in pages])
         live = np.arange(steps) < size[:, None]
         gold = np.zeros((len(pages), steps), int)
@@ -202,7 +289,7 @@ class Chain:
         for step in range(1, rounds + 1):
             w, move, start = theta[:-6].reshape(-1, 2), theta[-6:-2].reshape(2, 2), theta[-2:]
             e = np.zeros((len(pages), steps, 2))
-            np.add.at(e, (rn, rt), w[rf])
+            e[bn, bt] = np.add.reduceat(w[rf], starts)
             f = np.zeros_like(e)
             f[:, 0] = start + e[:, 0]
             for t in range(1, steps):
@@ -215,8 +302,8 @@ class Chain:
             p = np.exp(f + b - z[:, None, None]) * live[:, :, None]
             pp = np.exp(f[:, :-1, :, None] + move + (e + b)[:, 1:, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
             g = np.zeros_like(theta)
-            gw = g[:-6].reshape(-1, 2)
-            np.add.at(gw, rf, (hot - p)[rn, rt])
+            off = (hot - p)[bn, bt][owner]
+            g[:-6] = np.stack([np.bincount(rf, off[:, k], len(index)) for k in (0, 1)], 1).reshape(-1)
             g[-6:-2] = (pair - pp).sum((0, 1)).reshape(-1)
             g[-2:] = (hot - p)[:, 0].sum(0)
             g = g / len(pages) - decay * theta
@@ -245,6 +332,7 @@ MAIN: list[tuple[str, list[str]]] = [("article", ["", "post", "article", "entry"
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> tuple[list[list[Block]], list[list[int]]]:
     """Pages of invented words with known articles: words of the article are marked by a leading 'm' and checked per block."""
     rng = random.Random(seed)
+    bare = False  # nothing but text tells what the boxes of such a page are, so they say little
 
     def word(main: bool) -> str:
         return ("m" if main else "x") + "".join(rng.choice(["ta", "re", "on", "st", "li", "ve"]) for _ in range(rng.randint(1, 4)))
@@ -262,8 +350,11 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> tuple[list[list[Bloc
         return rng.choice([f"<aside>{inner}</aside>", f'<div class="{rng.choice(CARDS)}">{inner}</div>', f'<aside class="{rng.choice(CARDS)}">{inner}</aside>'])
 
     def noise(deep: bool = False) -> str:
-        if rng.random() < 0.08:
+        kind = rng.random()
+        if kind < 0.08:
             return cards()
+        if kind < (0.4 if deep else 0.2):
+            return strip(deep)
         tag = rng.choice(list(NOISE))
         if deep and tag in ("header", "form"):
             tag = "div"
@@ -274,45 +365,75 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> tuple[list[list[Bloc
         if tag == "ul" or kind < 0.3:
             inner = "".join(f'<li><a href="/">{text(False, 1, 3).rstrip(".!?")}</a></li>' for _ in range(rng.randint(2, 7)))
             inner = inner if tag == "ul" else f"<ul>{inner}</ul>"
-        elif kind < 0.6:
-            inner = text(False, 2, 30)
+        elif kind < 0.6 or bare:
+            inner = text(False, 2, 12 if bare else 30)
         else:
             inner = "".join(f"<p>{text(False, 2, 40)}</p>" for _ in range(rng.randint(1, 4)))
+        if tag in ("form", "div", "dialog") and rng.random() < 0.3:
+            inner += f"<button>{text(False, 1, 3).rstrip('.!?')}</button>"
+        if tag == "header" and not deep and rng.random() < 0.3:
+            inner = f"<h1>{text(False, 1, 3).rstrip('.!?')}</h1>" + inner
         if tag == "footer" and rng.random() < 0.6:
             inner += "&copy; " + text(False, 1, 6)
         return f"<{tag}{attr}>{inner}</{tag}>"
 
-    def article() -> str:
-        out = [f"<h1>{text(True, 1, 10)}</h1>"] if rng.random() < 0.9 else []
+    def strip(deep: bool = False) -> str:
+        """A small box of a name that says nothing: a call to do something, a line of links."""
+        ask = text(False, 2, 9).rstrip(".!?")
+        inner = rng.choice([f"<p>{ask}</p>", ask, f'<a href="/">{ask}</a>', f"<p>{ask}</p><button>{word(False)}</button>", f'{ask} <a href="/">{word(False)}</a>'])
+        if deep and rng.random() < 0.4:
+            return f"<button>{text(False, 1, 4).rstrip('.!?')}</button>"
+        return f"<div class='{word(False)}-{word(False)}'>{inner}</div>"
+
+    def body() -> str:
+        """What an article says."""
+        out = [f"<h1>{text(True, 1, 10)}</h1>"] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 12)):
             kind = rng.random()
-            body = text(True, 1, 6) if kind < 0.2 else text(True, 6, 90)
+            said = text(True, 1, 6) if kind < 0.2 else text(True, 6, 90)
+            tag = rng.choices(["p", "h2", "h3", "blockquote", "li", "div", "pre", "figcaption", "td", "nest"], [60, 6, 4, 4, 6, 4, 2, 2, 2, 3])[0]
+            said = text(True, 12, 60) if tag in ("div", "nest") else said
             if rng.random() < 0.2:
-                body += f' <a href="/">{text(True, 1, 3)}</a>'
-            tag = rng.choices(["p", "h2", "h3", "blockquote", "li", "div", "pre", "figcaption", "td"], [60, 6, 4, 4, 6, 4, 2, 2, 2])[0]
-            one = f"<{tag}>{'<b>' if rng.random() < 0.1 else ''}{body}</{tag}>"
-            out.append({"li": f"<ul>{one}</ul>", "td": f"<table><tr>{one}</tr></table>", "figcaption": f"<figure>{one}</figure>"}.get(tag, one))
-            if rng.random() < 0.06:
+                said += f' <a href="/">{text(True, 1, 3)}</a>'
+            one = f"<{tag}>{'<b>' if rng.random() < 0.1 else ''}{said}</{tag}>"
+            nest = f"<div class='{word(False)}'>" + "".join(f"<p>{text(True, 8, 60)}</p>" for _ in range(rng.randint(1, 4))) + "</div>"
+            out.append({"li": f"<ul>{one}</ul>", "td": f"<table><tr>{one}</tr></table>", "figcaption": f"<figure>{one}</figure>", "nest": nest}.get(tag, one))
+            if rng.random() < 0.1:
                 out.append(noise(True))
-        if rng.random() < 0.25:
-            out.append(f'<{rng.choice(["div", "section"])} class="{rng.choice(["comments", "comment-list", "share", "related", "reader-comments"])}">' + "".join(f"<p>{text(False, 3, 40)}</p>" for _ in range(rng.randint(1, 5))) + "</div>")
+        if rng.random() < 0.25 and not bare:
+            out.append(f'<{rng.choice(["div", "section"])} class="{rng.choice(["comments", "comment-list", "share", "related", "reader-comments"])}">' + "".join(f"<p>{text(False, 3, 40)}</p>" for _ in range(rng.randint(1, 12))) + "</div>")
+        return "".join(out)
+
+    def article() -> str:
+        """An article in an element that names it, in one that misleads or says nothing, or in none."""
+        kind, said = rng.random(), body()
+        if kind < 0.12:
+            return said
         tag, names = rng.choice(MAIN)
         name = rng.choice(names)
-        if tag in NAMED and rng.random() < 0.2:
-            name = f"{name} {title()}".strip()
-        return f"<{tag}{f' class={name!r}' if name else ''}>" + "".join(out) + f"</{tag}>"
-
-    def strip() -> str:
-        return f"<div class='{word(False)}-{word(False)}'><p>{text(False, 2, 12)}</p></div>"
+        if tag in NAMED:
+            name = f"{name} {title()}".strip() if rng.random() < 0.2 else name
+        elif kind < 0.6:
+            name = rng.choice(["", title(), title(), word(False)])
+        head = ""
+        if said.startswith("<h1>") and rng.random() < 0.15:  # the title may stand before what holds the rest
+            head, said = said.split("</h1>", 1)
+            head += "</h1>"
+        return f"{head}<{tag}{f' class={name!r}' if name else ''}>{said}</{tag}>"
 
     pages, labels = [], []
     for _ in range(n):
-        body = article()
+        bare = rng.random() < BARE
+        said = article()
         if rng.random() < 0.3:
-            body = f'<{rng.choice(["div", "main", "section"])} {rng.choice(["class", "id"])}="{title() if body.startswith(("<article", "<main")) and rng.random() < 0.3 else rng.choice(["wrap", "container", "page", "layout", "content"])}">' + "".join(noise() for _ in range(rng.randint(0, 2))) + body + "".join(noise() for _ in range(rng.randint(0, 2))) + "</div>"
-        if body.startswith(("<article", "<main")) and rng.random() < 0.3:
-            body = strip() + body if rng.random() < 0.5 else body + strip()
-        page = blocks("<html><body>" + "".join(noise() for _ in range(rng.randint(1, 4))) + body + "".join(noise() for _ in range(rng.randint(1, 4))) + "</body></html>")
+            said = f'<{rng.choice(["div", "main", "section"])} {rng.choice(["class", "id"])}="{title() if rng.random() < 0.5 else rng.choice(["wrap", "container", "page", "layout", "content"])}">' + "".join(noise() for _ in range(rng.randint(0, 2))) + said + "".join(noise() for _ in range(rng.randint(0, 2))) + "</div>"
+        if said.startswith(("<article", "<main")) and rng.random() < 0.3:
+            said = strip() + said if rng.random() < 0.5 else said + strip()
+        whole = "<html><body>" + "".join(noise() for _ in range(rng.randint(0, 4))) + said + "".join(noise() for _ in range(rng.randint(0, 4))) + "</body></html>"
+        if bare:
+            whole = re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^ >]*)", "", whole)
+            whole = whole if rng.random() < 0.7 else re.sub(r"(</?)(?:nav|header|footer|aside|section|dialog|form)>", r"\1div>", whole)
+        page = blocks(whole)
         pages.append(page)
         labels.append([int(b.text[0] == "m") for b in page])
     return pages, labels
@@ -324,7 +445,7 @@ def default_model() -> Chain:
 
 
 def main_text(page: str | None, model: Chain) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", model.index)
     return "\n".join(b.text for b, y in zip(found, model.decode(found), strict=True) if y)
 
 

@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from capturelake.llm import html
 from capturelake.llm.html import blocks, default_model, extract, labelled_pages, main_text
 
 SCHEMA = "page_id long, url string, html string"
@@ -88,3 +90,69 @@ def test_names_of_the_article_and_around_it_are_no_noise():
         f"<article>{body}</article><aside class='related'><article><p>Other story that you may like, read on.</p></article></aside>",
     ]:
         assert main_text(f"<html><body>{menu}{middle}{foot}</body></html>", default_model()) == want
+
+
+PARAGRAPHS = ["Some words of an article, long enough to be one, with stops.", "Another paragraph of it follows here. It has two sentences.", "The third paragraph goes on, as articles do, for a while.", "A fourth one, with more to say about the matter at hand.", "The fifth and last paragraph ends the story, as it should."]
+SAID = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("title", ["", "<h1>Title of it</h1>"])
+@pytest.mark.parametrize(
+    "middle",
+    [
+        SAID, f"<div>{SAID}</div>", *(f'<div class="{c}">{SAID}</div>' for c in ("legal-analysis", "newsletter-archive", "promo-code-guide", "search-results")),
+        f'<div class="social-science comment-on-law"><article>{SAID}</article></div>', f'<article>{SAID}<div class="cta-strip"><p>Try it free today</p></div></article>',
+        f"<article>{SAID}<button>Subscribe now</button></article>", f"<article><script src=/js/>var leak=1;</script>{SAID}</article>",
+    ],
+)
+def test_articles_that_no_name_gives_away_or_a_name_denies(title, middle):
+    """No class names at all, names of parts that hold no article, and boxes and buttons inside the article."""
+    page = f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>{title}{middle}<footer>&copy; site</footer></body></html>"
+    want = "\n".join(PARAGRAPHS)
+    assert main_text(page, default_model()) in ((want, f"Title of it\n{want}") if title else (want,))
+
+
+def test_held_out_pages_without_any_names(monkeypatch):
+    monkeypatch.setattr(html, "BARE", 1.0)
+    pages, labels = labelled_pages(200, seed=21)
+    pairs = [(x, y) for p, want in zip(pages, labels, strict=True) for x, y in zip(default_model().decode(p), want, strict=True)]
+    assert sum(x == y for x, y in pairs) / len(pairs) > 0.98
+
+
+def test_slashes_of_values_and_of_tags():
+    assert [b.text for b in blocks("<p>a</p><script src=/js/>var leak=1;</script><p>b</p><script src='x'/><p>c</p><iframe src=x /><p>d</p>")] == ["a", "b", "c", "d"]
+
+
+def test_many_names_in_deep_nests_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "".join(f"<div class='n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}'>" for i in range(n)) + "<p>text</p>" + "</div>" * n
+        began = time.perf_counter()
+        blocks(page, default_model().index)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(8000) < 20 * seconds(1000) + 0.5
+
+
+def test_extraction_equals_the_articles_of_given_pages():
+    """Brute force over pages whose article is marked: its text without comments and forms, by a plain walk."""
+    import os
+    import re
+
+    import pyarrow.parquet as pq
+
+    at = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no tables here")
+    checked = 0
+    for row in pq.read_table(at).to_pylist():
+        found = re.findall(r"<article>(.*?)</article>", row["html"] or "", re.S)
+        if len(found) != 1:
+            continue
+        inner = [b.text for b in blocks(f"<article>{found[0]}</article>")]
+        got = main_text(row["html"], default_model()).split("\n")
+        assert set(got) <= set(inner) and [x for x in inner if x in set(got)] == got
+        checked += 1
+    assert checked > 5
