@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturelake.deploy import ship
+from capturelake.deploy import ship, written
 from capturelake.functions.fixed import MARKS
 from capturelake.sources.tree import arrow_knows, opened
 
-HEAD, RANGE, AHEAD, OUT = 8192, 16 << 20, 1 << 20, 4 << 20
+HEAD, RANGE, AHEAD, OUT, TASK = 8192, 8 << 20, 1 << 20, 2 << 20, 64 << 20
 LOOK = 128  # bytes within which a head shows after the end of a range
 
 #: Collector -> how a sample's first line begins. All others are read as one block of all lines.
@@ -130,6 +130,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("part"), pa.array(lines, pa.int64()), pa.array(heads, pa.int64())], ["path", "part", "lines", "heads"])
 
 
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """Ranges dealt to tasks one by one. Rows of ranges are tiny, so their number of tasks is set by the bytes behind them."""
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.least(F.col("end") - F.col("begin"), F.lit(RANGE))), F.lit(0))).first()
+    width = ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(max(1, min(n, max(2 * width, size // TASK))))
+
+
 def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
     """files (capture_id, prefix, suffix, path, parts, size) by ranges, with the lines and heads before each."""
     packed = F.exists("parts", lambda p: p["path"].endswith(".gz"))
@@ -138,7 +145,9 @@ def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
     cut = cut.withColumn("begin", F.col("part").cast("long") * size).withColumn("end", F.when(F.col("part") == F.col("n_parts") - 1, F.when(packed, F.lit(1 << 62)).otherwise(F.col("size"))).otherwise((F.col("part") + 1).cast("long") * size))
     one = cut.filter("n_parts = 1").withColumn("lines", F.lit(0).cast("long")).withColumn("heads", F.lit(0).cast("long"))
     many = cut.filter("n_parts > 1")
-    counted = many.select("suffix", "path", "parts", "part", "begin", "end").repartition(F.col("path"), F.col("part")).mapInArrow(_count, "path string, part int, lines long, heads long")
+    if many.head() is None:
+        return one
+    counted = _dealt(many.select("suffix", "path", "parts", "part", "begin", "end")).mapInArrow(_count, "path string, part int, lines long, heads long")
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = counted.select("path", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("lines", "heads")])
     return one.unionByName(many.join(sums, ["path", "part"]))
@@ -188,8 +197,8 @@ def read_blocks(files: DataFrame, limit: int, gate: bool = False, size: int = RA
     if root is not None and not arrow_knows(root):
         cut = _with_contents(files, root)
     else:
-        cut = ranges(files, size).select("capture_id", "prefix", "suffix", "path", "parts", "part", "begin", "end", "lines", "heads")
-    return cut.repartition(F.col("path"), F.col("part")).mapInArrow(_reader(limit, gate), SCHEMA)
+        cut = written(ranges(files, size).select("capture_id", "prefix", "suffix", "path", "parts", "part", "begin", "end", "lines", "heads"))
+    return _dealt(cut).mapInArrow(_reader(limit, gate), SCHEMA)
 
 
 def formats(files: DataFrame) -> DataFrame:

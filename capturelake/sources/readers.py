@@ -56,6 +56,11 @@ def _collapsed(text: Column | str) -> Column:
     return F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
 
 
+def _settled(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once: a filter on them is not moved below them, where it would compute them again."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _numbered(rows: DataFrame, of: list[str], name: str) -> DataFrame:
     """Place of a row among those of its file with the same ``of``, from 0 on: its place in its range, and what is in the
     ranges before it. rows are read twice."""
@@ -70,11 +75,13 @@ BLOCK = ["capture_id", "prefix", "start", "path", "part", "sample"]
 
 
 def parse_status(blocks: DataFrame) -> DataFrame:
-    """Name and raw of every cell of every sample."""
-    cell = r"^\|\s*([^|\s]+)\s*\|\s*(.*?)\s*\|\s*$"
+    """Name and raw of every cell of every sample: what is between the first two bars, and from there to the last one."""
     rows = blocks.filter("sample > 0").select(*BLOCK, F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").startswith("|"))
-    rows = rows.withColumn("name", F.regexp_extract("line", cell, 1)).filter("name <> '' and name <> 'Variable_name'")
-    return rows.select(*BLOCK, "name", F.coalesce(F.regexp_extract("line", cell, 2).try_cast("bigint"), F.lit(0)).alias("raw"))
+    rows = rows.select(*BLOCK, F.split(F.rtrim("line", F.lit(" \t\r")), r"\|").alias("f"))
+    value = F.when(F.size("f") == 4, F.btrim(F.col("f")[2], F.lit(" \t")).try_cast("bigint"))
+    rows = _settled(rows, *BLOCK, cells=F.size("f"), end=F.element_at("f", -1), name=F.btrim(F.try_element_at("f", F.lit(2)), F.lit(" \t")), raw=F.coalesce(value, F.lit(0)))
+    odd = (F.col("name") == "") | (F.col("name") == "Variable_name") | F.col("name").contains(" ") | F.col("name").contains("\t")
+    return rows.filter((F.col("cells") > 3) & (F.col("end") == "") & ~odd).select(*BLOCK, "name", "raw")
 
 
 def _status(parsed: DataFrame) -> DataFrame:
@@ -91,7 +98,7 @@ def _status_rejects(parsed: DataFrame) -> DataFrame:
 
 def read_status(blocks: DataFrame) -> DataFrame:
     """Samples of a file are a second apart."""
-    return _status(parse_status(blocks))
+    return read_both("mysqladmin", blocks)[0]
 
 
 def read_status_rejects(blocks: DataFrame) -> DataFrame:
@@ -361,7 +368,7 @@ def parse_threads(blocks: DataFrame) -> DataFrame:
     stamp = lambda x: F.regexp_extract(x, TS, 1)
     odd = lambda x: x["line"].rlike(r"^TS \S") & ((stamp(x["line"]) == "") | S.epoch_to_ts(stamp(x["line"]), F.lit(None).cast("timestamp")).isNull())
     bad = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), odd)
-    asks = F.col("text").rlike(r"(?:^|\n)TS \D") | (epoch != "") & S.epoch_to_ts(epoch, F.lit(None).cast("timestamp")).isNull()
+    asks = F.col("text").contains("\nTS ") | (F.col("sample") == 0) | (epoch != "") & S.epoch_to_ts(epoch, F.lit(None).cast("timestamp")).isNull()
     bad = F.transform(F.when(asks, bad).otherwise(F.expr("array()").cast("array<struct<i:int,line:string>>")), lambda x: F.struct(F.lit(None).cast("string").alias("text"), x["i"].alias("at")))
     rows = F.transform(F.split("text", r"(?:^|\n)\*+ \d+\. row \*+[^\n]*"), lambda x, i: F.struct(F.when(i > 0, x).alias("text"), F.lit(None).cast("int").alias("at")))
     every = blocks.select(*BLOCK, "n", ts.alias("ts"), F.posexplode(F.concat(bad, F.filter(rows, lambda x: x["text"].isNotNull()))).alias("row", "x"))
@@ -380,7 +387,7 @@ def _threads(parsed: DataFrame) -> DataFrame:
 
 def read_threads(blocks: DataFrame) -> DataFrame:
     """Numbers that cannot be read or are negative are absent; rows that name nothing are dropped."""
-    return _threads(parse_threads(blocks))
+    return read_both("processlist", blocks)[0]
 
 
 def _socket_rows(lines: DataFrame) -> tuple[DataFrame, Column, Column]:
