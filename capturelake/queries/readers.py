@@ -366,10 +366,22 @@ def series_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = days(spark, sf_dir).select(F.col("capture").alias("capture_id"), F.col("name").alias("label"), (F.col("week") * 7 + F.col("day")).alias("at"), "n")
     root = S.shared_folder(spark)
-    write_series(rows, "label", "at", "n", root)
-    back = spark.read.parquet(root)
-    values = F.filter(F.col("points.value"), lambda v: v.isNotNull())
-    return back.select(F.col("capture_id").cast("string").alias("capture_id"), "label", F.size("points").cast("bigint").alias("points"), F.size(values).cast("bigint").alias("values"), F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"))
+    write_series(rows, "label", "at", "n", root, files=4)
+    back = spark.read.parquet(f"{root}/series")
+    values = F.filter("values", lambda v: v.isNotNull())
+    return back.select("capture_id", "label", F.size("values").cast("bigint").alias("points"), F.size(values).cast("bigint").alias("values"), F.aggregate(values, F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("total"))
+
+
+@query(f"""{D_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY week, day) - 1 AS place FROM (SELECT DISTINCT capture_id, week, day FROM d)), l AS (SELECT DISTINCT capture_id, name FROM d)
+SELECT x.capture_id, l.name AS label, x.place, x.week * {WEEK} + x.day * 86400 AS at, x.place = min(x.place) OVER (PARTITION BY x.capture_id, x.week) AS is_boundary, CAST(d.n AS DOUBLE) AS value FROM x JOIN l ON x.capture_id = l.capture_id LEFT JOIN d ON d.capture_id = x.capture_id AND d.week = x.week AND d.day = x.day AND d.name = l.name""")
+def aligned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every series, its time from the shared axis, and whether a snapshot begins there."""
+    from capturelake.sources.sinks import axes, series
+
+    rows = days(spark, sf_dir).select(F.col("capture").alias("capture_id"), "week", F.col("name").alias("label"), (F.col("week") * WEEK + F.col("day") * 86400).alias("at"), "n")
+    places = series(rows, "label", "at", "n", "week").select("capture_id", "label", F.posexplode("values").alias("place", "value"))
+    whole = places.join(axes(rows, "at", "week"), "capture_id")
+    return whole.select("capture_id", "label", F.col("place").cast("bigint").alias("place"), F.col("axis")[F.col("place")].alias("at"), F.array_contains("boundaries", F.col("place")).alias("is_boundary"), "value")
 
 
 @query(f"""{D_SQL}, i AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY capture_id, week ORDER BY day) - 1 AS INTEGER) AS sample_idx FROM d)
