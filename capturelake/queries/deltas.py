@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.catalog import query
+from capturelake.deploy import written
 from capturelake.functions import scalar as S
 from capturelake.operators import deltas as D
+from capturelake.operators import series_index as X
 
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
@@ -145,15 +147,39 @@ def windowed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.windowed_stats(rows, end - 86400 * 10, end - 86400 * 20).withColumn("mean", F.round("mean", 6))
 
 
-@query(f"""WITH {S_SQL}, c AS (SELECT capture_id, greatest(1, floor((max(seconds) - min(seconds)) / 30)) AS want FROM s GROUP BY ALL),
+BUCKET_SQL = f"""WITH {S_SQL}, c AS (SELECT capture_id, greatest(1, floor((max(seconds) - min(seconds)) / 30)) AS want FROM s GROUP BY ALL),
 k AS (SELECT capture_id, CASE {' '.join(f'WHEN want <= {x} THEN {x}' for x in D.STEPS)} ELSE {D.STEPS[-1]} END AS step FROM c),
 r AS (SELECT s.capture_id, name, CASE WHEN count(*) > 1 AND (max(seconds) - min(seconds)) / (count(*) - 1) < 0.9 * any_value(step) THEN any_value(step) END AS step FROM s JOIN k ON s.capture_id = k.capture_id GROUP BY ALL)
 SELECT s.capture_id, s.name, CASE WHEN step IS NULL THEN seconds ELSE seconds // step * step END AS bucket, round(sum(raw) / count(raw), 6) AS mean, count(*) AS n
-FROM s JOIN r ON s.capture_id = r.capture_id AND s.name = r.name WHERE raw IS NOT NULL GROUP BY ALL""")
+FROM s JOIN r ON s.capture_id = r.capture_id AND s.name = r.name WHERE raw IS NOT NULL GROUP BY ALL"""
+
+
+@query(BUCKET_SQL)
 def time_bucket_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.time_bucket_mean(samples(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
+@query(BUCKET_SQL)
+def bucket_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25 from a series index that is written once."""
+    return X.bucket_means(written(X.series_index(samples(spark, sf_dir)))).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {S_SQL}, e AS (SELECT max(seconds) AS until FROM s), w AS (SELECT capture_id, window_id, until - 86400 * (3 * window_id + capture_id % 5) AS lo, until - 86400 * (4 * window_id + capture_id % 5 + 1) AS hi FROM (SELECT DISTINCT capture_id FROM s), (SELECT unnest(range(12)) AS window_id), e),
+k AS (SELECT DISTINCT capture_id, name FROM s)
+SELECT k.capture_id, k.name, w.window_id, CAST(min(raw) AS DOUBLE) AS low, CAST(max(raw) AS DOUBLE) AS high, round(sum(raw) / nullif(count(raw), 0), 6) AS mean, count(raw) AS n
+FROM k JOIN w ON w.capture_id = k.capture_id LEFT JOIN s ON s.capture_id = k.capture_id AND s.name = k.name AND s.seconds BETWEEN least(lo, hi) AND greatest(lo, hi) GROUP BY ALL""")
+def many_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24 for twelve windows a capture, from a series index that is written once."""
+    rows = samples(spark, sf_dir)
+    index = written(X.series_index(rows))
+    until = index.agg(F.max("until")).scalar()
+    ids = index.select("capture_id").distinct().select("capture_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("window_id"))
+    day = lambda k: until - 86400 * (F.col("window_id") * k + F.col("capture_id") % 5 + (k - 3))
+    windows = ids.select("capture_id", "window_id", day(3).alias("lo"), day(4).alias("hi"))
+    return X.windowed_stats(index, windows).withColumn("mean", F.round("mean", 6))
+
+
 @query(f"WITH {S_SQL} SELECT capture_id, seq, snapshot * 604800 + row_number() OVER (PARTITION BY capture_id, snapshot ORDER BY ts, seq) - 1 AS at FROM s")
 def sample_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir).withColumn("start", F.col("snapshot") * 604800)

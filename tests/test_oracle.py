@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["counter_rate", "net_rate", "rolling_peak", "query_digest", "changed_variables", "classify_variable", "findings_table", "read_status", "read_sockets", "series_payload", "densify_devices", "counter_or_gauge", "tag_categories", "select_counters", "default_counters", "diagnostics", "files_to_findings"]
+NAMES = ["counter_rate", "net_rate", "rolling_peak", "query_digest", "changed_variables", "classify_variable", "findings_table", "read_status", "read_sockets", "series_payload", "densify_devices", "counter_or_gauge", "tag_categories", "select_counters", "default_counters", "diagnostics", "files_to_findings", "nested_captures", "merged_counters", "many_windows", "aligned_series", "rules_from_files"]
 
 
 def plain(value):
