@@ -1,10 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-A window of a document has as many words as a benchmark item. Only windows that hold a five-word shingle of some item of
-that size are looked at, which loses nothing: a window without one has no overlap with any. Their 64-bit SimHash is the
-sign of running sums over shingles. Fingerprints within ``radius`` bits of an item's are found by blocks: of eight blocks
-of eight bits, one at least differs by no more than radius // 8 bits, so looking up every block's neighbours finds them
-all. Candidates are verified by exact weighted Jaccard similarity of shingles, at least ``similarity``.
+A window of a document has as many words as a benchmark item. Only windows with so many places that hold a five-word shingle of
+some item of that size, and of these only pairs with so many of the item's own, as the similarity needs are looked at. That
+loses nothing: what a window and an item have in common is at most the places of the item's shingles in it. Their 64-bit
+SimHash is the sign of running sums over shingles. Fingerprints within ``radius`` bits of an item's are found by blocks: of
+eight blocks of eight bits, one at least differs by no more than radius // 8 bits, so looking up every block's neighbours
+finds them all. Candidates are verified by exact weighted Jaccard similarity of shingles, at least ``similarity``.
 
 The benchmark is a query set: it is read in blocks of at most ``block`` items and BLOCK_CHARS characters, each of which is
 searched for in all documents, so the index that tasks hold is bounded whatever the benchmark's size. Documents are never
@@ -52,7 +53,7 @@ class Index:
         self.ids = np.array(ids, np.int64)
         self.bags = [np.sort(s[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
         size = np.diff(start)
-        self.n, self.radius = n, radius
+        self.n, self.radius, self.sizes = n, radius, size
         self.shingles = np.unique(s)
         self.seen = np.zeros(TABLE, bool)
         self.seen[(s & np.uint64(TABLE - 1)).astype(np.int64)] = True
@@ -80,44 +81,69 @@ class Index:
         return at
 
     def search(self, s: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
-        """(item number, first word, similarity) of a document with shingles s and hits at."""
+        """(item number, first word, similarity) of a document with shingles s and hits at.
+
+        Hits of an item inside a window bound what the two have in common, so they are counted first, for all windows and items
+        at once: a prompt that many items share costs a sum, not a comparison with each of them."""
         lo, hi = np.searchsorted(self.sorted, s[at], "left"), np.searchsorted(self.sorted, s[at], "right")
-        sizes = np.unique(np.concatenate([self.sorted_size[a:b] for a, b in {*zip(lo.tolist(), hi.tolist(), strict=True)}]))
+        reach = hi - lo
+        entry = np.repeat(lo - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
+        place, item, of_size = np.repeat(at, reach), self.sorted_item[entry], self.sorted_size[entry]
+        fresh = np.ones(len(item), bool)  # an item that has a shingle twice is hit once at a place
+        fresh[1:] = (place[1:] != place[:-1]) | (item[1:] != item[:-1])
+        place, item, of_size = place[fresh], item[fresh], of_size[fresh]
         best: dict[int, tuple[float, int]] = {}
-        if len(sizes) and sizes[-1] > len(s) >= similarity * sizes[sizes > len(s)][0]:
-            for item in np.unique(np.concatenate([self.sorted_item[a:b] for a, b in {*zip(lo.tolist(), hi.tolist(), strict=True)}])).tolist():
-                if len(self.bags[item]) > len(s) and (got := overlap(np.sort(s), self.bags[item])) >= similarity:
-                    best[item] = (got, 0)
-        for k in sizes.tolist():
-            if k > len(s):
-                continue
+        if (of_size > len(s)).any():
+            count = np.bincount(item, minlength=len(self.bags))
+            total = len(s) + self.sizes
+            for i in np.flatnonzero((self.sizes > len(s)) & (count > 0) & (count * (1 + similarity) >= similarity * total - 1e-9)).tolist():
+                if (got := overlap(np.sort(s), self.bags[i])) >= similarity:
+                    best[i] = (got, 0)
+        for k in np.unique(of_size[of_size <= len(s)]).tolist():
             which, prints, tables = self.by_size[k]
-            cover = np.zeros(len(s) + 1, np.int32)
-            np.add.at(cover, np.maximum(at - k + 1, 0), 1)
-            np.add.at(cover, at + 1, -1)
+            own = of_size == k
+            here, column = place[own], np.searchsorted(which, item[own])
+            least = np.ceil(2 * k * similarity / (1 + similarity) - 1e-9)
+            if len(here) < least:
+                continue
+            last = len(s) - k
             step = max(1, min(4096, (1 << 22) // len(which)))  # windows at once, so that windows times items stay bounded
-            begins = np.flatnonzero(np.cumsum(cover)[: len(s) - k + 1] > 0)
-            for run in np.split(begins, np.flatnonzero(np.diff(begins) > k) + 1):  # near windows share their sums
+            cover = np.zeros(len(s) + 1, np.int32)
+            hit = np.unique(here)  # a place counts once for an item at most
+            np.add.at(cover, np.maximum(hit - k + 1, 0), 1)
+            np.add.at(cover, hit + 1, -1)
+            begins = np.flatnonzero(np.cumsum(cover)[: last + 1] >= least)
+            for run in np.split(begins, np.flatnonzero(np.diff(begins) > 1) + 1):
                 for part in (run[i : i + step] for i in range(0, len(run), step)):
-                    if not len(part):
-                        continue
-                    base = int(part[0])
-                    sums = np.zeros((int(part[-1]) + k - base + 1, 64), np.int32)
-                    np.cumsum(_signs(s[base : int(part[-1]) + k]), axis=0, out=sums[1:])
-                    code = simhash(sums[part - base + k] - sums[part - base])
-                    maybe = np.zeros((len(part), len(which)), bool)
-                    for b in range(8):
-                        maybe |= tables[b][code[:, b]]
-                    w, i = np.nonzero(maybe)
-                    far = np.bitwise_count(code.view(np.uint64)[w, 0] ^ prints.view(np.uint64)[i, 0])
-                    close = np.flatnonzero(far <= self.radius)
-                    for w, i in zip(w[close].tolist(), i[close].tolist(), strict=True):
-                        begin, item = int(part[w]), int(which[i])
-                        got = overlap(np.sort(s[begin : begin + k]), self.bags[item])
-                        if got >= similarity and (item not in best or got > best[item][0]):
-                            best[item] = (got, begin)
+                    if len(part):
+                        self._windows(s, part, k, which, prints, tables, here, column, int(least), similarity, best)
         return [(item, begin, got) for item, (got, begin) in sorted(best.items())]
 
+    def _windows(self, s, part, k, which, prints, tables, here, column, least, similarity, best) -> None:
+        """Compare the windows that begin at part (places one after the other) with the items of k shingles."""
+        base, n, m = int(part[0]), len(part), len(which)
+        near = (here >= base) & (here < base + n + k - 1)
+        first, after = np.maximum(here[near] - k + 1 - base, 0), np.minimum(here[near] + 1 - base, n)
+        change = np.bincount(first * m + column[near], minlength=(n + 1) * m) - np.bincount(after * m + column[near], minlength=(n + 1) * m)
+        enough = np.cumsum(change.reshape(n + 1, m)[:n], axis=0) >= least
+        w, i = np.nonzero(enough)
+        if not len(w):
+            return
+        sums = np.zeros((n + k, 64), np.int32)
+        np.cumsum(_signs(s[base : base + n + k - 1]), axis=0, out=sums[1:])
+        code = simhash(sums[k : k + n] - sums[:n])
+        maybe = np.zeros(len(w), bool)
+        for b in range(8):
+            maybe |= tables[b][code[w, b], i]
+        w, i = w[maybe], i[maybe]
+        far = np.bitwise_count(code.view(np.uint64)[w, 0] ^ prints.view(np.uint64)[i, 0])
+        close = np.flatnonzero(far <= self.radius)
+        for w, i in zip(w[close].tolist(), i[close].tolist(), strict=True):
+            begin, item = base + w, int(which[i])
+            got = overlap(np.sort(s[begin : begin + k]), self.bags[item])
+            if got >= similarity and (item not in best or got > best[item][0]):
+                best[item] = (got, begin)
+
     def matches(self, texts: list[str], similarity: float) -> Iterator[tuple[int, int, int, float]]:
         """(text number, item number, first word, similarity)."""
         hashes, word = words(texts)

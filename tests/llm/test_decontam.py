@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from capturelake.llm.decontam import contaminated, keep_clean
+from capturelake.llm.decontam import Index, contaminated, keep_clean
 from tests.llm.test_neardup import brute_bag, jaccard, words_of
 
 SCHEMA, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -83,3 +84,45 @@ def test_short_items_inside_documents(spark):
     got = sorted(tuple(r) for r in contaminated(docs, bench, short_inside=True).collect())
     assert got == [(1, 90, 1, 1.0), (1, 91, 1, 1.0), (3, 90, 0, 1.0), (3, 91, 0, 1.0), (6, 92, 1, 1.0)]
     assert sorted(r.doc_id for r in keep_clean(docs, bench, short_inside=True).collect()) == [2, 4, 5]
+
+
+def test_a_prompt_that_all_items_share_is_cheap():
+    """Items with a common prompt, and documents that hold the prompt alone: none matches, and none is compared with all items."""
+    import time
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    prompt = [word() for _ in range(30)]
+    items = [" ".join(prompt + [word() for _ in range(20)]) for _ in range(4000)]
+    index = Index(list(range(4000)), items)
+    around = lambda middle: " ".join([word() for _ in range(90)] + middle + [word() for _ in range(90)])
+    docs = [around(prompt) for _ in range(10)]
+    began = time.perf_counter()
+    assert list(index.matches(docs, 0.8)) == []
+    assert time.perf_counter() - began < 1
+    assert [(i, w) for _, i, w, _ in index.matches([around(items[7].split())], 0.8)] == [(7, 90)]
+    near = items[9].split()
+    near[40] = "other"  # five shingles of 46 differ
+    assert [(i, w, round(x, 4)) for _, i, w, x in index.matches([around(near)], 0.8)] == [(9, 90, round(41 / 51, 4))]
+
+
+def test_search_equals_every_window_and_item():
+    rng = random.Random(2)
+    for trial in range(40):
+        words_of = ["w%d" % i for i in range(rng.choice([3, 12, 60]))]
+        items = [" ".join(rng.choice(words_of) for _ in range(rng.randrange(5, 14))) for _ in range(30)]
+        doc = " ".join(rng.choice(words_of) for _ in range(rng.randrange(4, 60))) + " " + rng.choice(items) + " " + rng.choice(words_of)
+        got = {(i, w, round(x, 9)) for _, i, w, x in Index(list(range(30)), items, radius=64).matches([doc], 0.8)}
+        grams = lambda t: [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
+        s, want = grams(doc.split()), set()
+        for i, text in enumerate(items):
+            bag = Counter(grams(text.split()))
+            k, best = sum(bag.values()), None
+            for w in range(max(len(s) - k, 0) + 1):
+                own = Counter(s[w : w + k])
+                x = sum((own & bag).values()) / sum((own | bag).values())
+                if x >= 0.8 and (best is None or x > best[1]):
+                    best = (w, x)
+            if best:
+                want.add((i, best[0], round(best[1], 9)))
+        assert got == want
