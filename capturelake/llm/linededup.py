@@ -1,8 +1,8 @@
 """Line deduplication by site-relative frequency.
 
 For every host, the pages that contain a line are divided by the host's pages; lines above ``max_ratio`` are boilerplate of
-that host and are dropped from its pages. A line that only one page has is repeated nowhere, so it is no duplicate, however
-few pages the host has. Lines are compared without white space at their ends; a page counts once for a line it repeats.
+that host and are dropped from its pages. A line must be on ``min_pages`` pages (two: a line that only one page has is
+repeated nowhere, so it is no duplicate, however few pages the host has). Lines are compared without white space at their ends; a page counts once for a line it repeats.
 Lines travel as 96 bits of hashes, never as text.
 
 A page can hold only so many lines, so a host has at most (lines of a page / max_ratio) boilerplate lines. They are
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from capturelake.llm.common import join_groups, materialize, table
 
-MAX_RATIO, SLOTS, BROADCAST_KEYS = 0.1, 64, 100_000
+MAX_RATIO, MIN_PAGES, SLOTS, BROADCAST_KEYS = 0.1, 2, 64, 100_000
 BLANK = " \t\r\f\x0b"
 
 
@@ -42,20 +42,20 @@ def _host(docs: DataFrame, host_col: str) -> Column:
     return F.coalesce(docs[host_col].cast("string"), F.lit(""))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Host, its pages, and the keys of its boilerplate lines, by slot."""
     rows = docs.select(_host(docs, host_col).alias("host"), docs[text_col].cast("string").alias("text"))
     keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != ""), _key))
-    lines = rows.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    lines = rows.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
     found = lines.join(pages, "host").filter(F.col("n") > F.col("pages") * max_ratio).groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list("key").alias("keys"))
     slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.filter("keys", lambda k: _slot(k) == i))
     return found.select("host", "pages", F.size("keys").alias("n_keys"), slots.alias("slots"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, keep_copies: bool = False, count_as: str | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, keep_copies: bool = False, count_as: str | None = None, broadcast_keys: int = BROADCAST_KEYS, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with the boilerplate lines taken out of text_col; with count_as, also the number of lines dropped."""
-    found = materialize(boilerplate(docs, host_col, text_col, max_ratio))
+    found = materialize(boilerplate(docs, host_col, text_col, max_ratio, min_pages))
     size = found.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.count("*")).first()
     found = found.select(F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("slots").alias("__slots"))
     rows = docs.withColumn("__host", _host(docs, host_col))
@@ -85,7 +85,7 @@ l AS (SELECT host, line, count(*) AS n FROM (
         SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: {_BARE}), lambda x: x <> ''))) AS line FROM d)
       GROUP BY 1, 2),
 p AS (SELECT host, count(*) AS pages FROM d GROUP BY 1),
-b AS (SELECT l.host, list(line) AS drops FROM l JOIN p ON l.host = p.host WHERE n > 1 AND n > pages * CAST({MAX_RATIO} AS DOUBLE) GROUP BY 1),
+b AS (SELECT l.host, list(line) AS drops FROM l JOIN p ON l.host = p.host WHERE n >= {MIN_PAGES} AND n > pages * CAST({MAX_RATIO} AS DOUBLE) GROUP BY 1),
 k AS (SELECT d.*, CASE WHEN drops IS NOT NULL THEN list_filter(lines, lambda x: {_BARE} = '' OR NOT list_contains(drops, {_BARE})) END AS kept
       FROM d LEFT JOIN b ON d.host = b.host),
 c AS (SELECT *, coalesce(len(kept) < len(lines), false) AS changed FROM k)

@@ -43,3 +43,9 @@ def test_small_hosts_white_space_and_null_ids(spark):
 def test_empty(spark):
     assert drop_boilerplate(spark.createDataFrame([], SCHEMA), count_as="n").columns == ["doc_id", "source", "text", "n"]
     assert drop_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_least_number_of_pages(spark):
+    docs = spark.createDataFrame([(1, "h", "a\nx"), (2, "h", "a\ny"), (3, "h", "z")], SCHEMA)
+    texts = lambda **more: {r.doc_id: r.text for r in drop_boilerplate(docs, **more).collect()}
+    assert texts() == {1: "x", 2: "y", 3: "z"} and texts(min_pages=3) == {1: "a\nx", 2: "a\ny", 3: "z"}
