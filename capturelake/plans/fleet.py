@@ -73,6 +73,27 @@ def facts(spark: SparkSession, root: str, limit: int = S.SIZE_LIMIT) -> DataFram
     return facts_of({part: written(rows) for part, rows in states(spark, root, files, limit).items()})
 
 
+def review(spark: SparkSession, root: str, limit: int = S.SIZE_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """What became of every collector's files below root: their diagnostics (S25) and their status (S6); each file is read once.
+
+    Diagnostics are those of the readers, and files above the limit, of an unsupported format, or passed over because a
+    newer one of their kind is empty (S4, S5, S24). A file above the limit is not read, so it has failed."""
+    files = written(S.scan_files(spark, root))
+    whole = S.whole_files(files)
+    formats = written(S.formats(files.join(whole.filter(F.col("size") <= limit).select("capture_id", "prefix", "suffix"), ["capture_id", "prefix", "suffix"], "left_semi")))
+    foreign = formats.filter("format = 'unsupported'").select("capture_id", "prefix", "path", F.lit("file").alias("location"), F.lit("warning").alias("severity"), F.lit("unsupported format").alias("message"))
+    said = S.oversize_files(whole, limit).select(*R.DIAGNOSTIC).unionByName(foreign).unionByName(S.sidecar_diagnostics(S.latest_sidecar(files)))
+    status = None
+    for collector in S.COLLECTORS:
+        rows, rejects = R.read_both(collector, S.blocks(spark, root, collector, limit, True, files))
+        rejects = written(rejects.select(*R.DIAGNOSTIC))
+        said = said.unionByName(rejects)
+        of = lambda df: df.filter(F.col("suffix") == collector)  # noqa: B023, E731
+        one = S.file_status(of(files), rows, rejects, of(formats))
+        status = one if status is None else status.unionByName(one)
+    return said, status
+
+
 def findings(spark: SparkSession, root: str, limit: int = S.SIZE_LIMIT) -> DataFrame:
     """S27 from files: the findings of every capture below root."""
     return P.findings_table(facts(spark, root, limit))

@@ -402,6 +402,39 @@ def nested_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("capture_id", _when(), "sample_idx", "name", "raw", "snapshot_no")
 
 
+W_SQL = f"{FILES}, w AS (SELECT capture_id, week, suffix, sum(size) AS size FROM f GROUP BY ALL)"
+
+
+@query(f"""{W_SQL}, l AS (SELECT capture_id, max(week) AS last FROM w WHERE suffix = 'hostname' GROUP BY ALL)
+SELECT capture_id, week * {WEEK} AS at, 'larger than 60 bytes' AS message, 'error' AS severity, count(*) AS n FROM w WHERE size > 60 GROUP BY ALL
+UNION ALL SELECT capture_id, week * {WEEK}, 'unsupported format', 'warning', count(*) FROM w WHERE suffix = 'iostat' AND size <= 60 GROUP BY ALL
+UNION ALL SELECT capture_id, last * {WEEK}, 'fell back past 1 newer empty file(s)', 'warning', 1 FROM l""")
+def fleet_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All diagnostics of a tree, with a limit of 60 bytes; each capture's newest sidecar is empty."""
+    from capturelake.plans import fleet
+
+    return fleet.review(spark, _tree_with_empty_sidecars(spark, sf_dir), 60)[0].groupBy("capture_id", F.unix_seconds(S.snapshot_ts(F.col("prefix"))).alias("at"), "message", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"{W_SQL} SELECT capture_id, week * {WEEK} AS at, suffix, CASE WHEN suffix = 'iostat' AND size <= 60 THEN 'unsupported' ELSE 'failed' END AS status FROM w WHERE suffix IN ('iostat', 'top', 'vmstat')")
+def fleet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of all collectors' files of a tree: none of them has a row."""
+    from capturelake.plans import fleet
+
+    return fleet.review(spark, _tree_with_empty_sidecars(spark, sf_dir), 60)[1].select("capture_id", F.unix_seconds(S.snapshot_ts(F.col("prefix"))).alias("at"), "suffix", "status")
+
+
+def _tree_with_empty_sidecars(spark: SparkSession, sf_dir: str) -> str:
+    """The tree of scan_files, and a newer empty host name file in each capture that has one."""
+    from capturelake.deploy import file_system
+
+    root, files = _tree(spark, sf_dir)
+    for r in files.filter("suffix = 'hostname'").select("capture_id").distinct().collect():
+        where, path = file_system(spark, f"{root}/capture={r.capture_id}/2099_01_01_00_00_00-hostname")
+        where.create(path).close()
+    return root
+
+
 #: What an event type is here: a status name.
 _COUNTER = {"click": "Select_full_join", "view": "Select_scan", "purchase": "Innodb_buffer_pool_wait_free", "error": "Aborted_connects", "signup": "Threads_running"}
 

@@ -72,7 +72,7 @@ def snapshots(files: DataFrame) -> DataFrame:
 
 def oversize_files(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
     """A diagnostic for each file above the limit; the job goes on without it."""
-    return files.filter(F.col("size") > limit).select("capture_id", "path", F.lit("file").alias("location"), F.lit("error").alias("severity"), F.concat(F.lit("larger than "), F.lit(str(limit)), F.lit(" bytes")).alias("message"))
+    return files.filter(F.col("size") > limit).select("capture_id", "prefix", "path", F.lit("file").alias("location"), F.lit("error").alias("severity"), F.concat(F.lit("larger than "), F.lit(str(limit)), F.lit(" bytes")).alias("message"))
 
 
 def blocks(spark: SparkSession, root: str, suffix: str, limit: int = SIZE_LIMIT, gate: bool = False, files: DataFrame | None = None, size: int = B.RANGE) -> DataFrame:

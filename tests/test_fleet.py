@@ -166,3 +166,11 @@ def test_the_stream_keeps_facts_and_findings_up_to_date(spark, tmp_path):
     files = S.scan_files(spark, str(root)).filter(f"capture_id = 'c/dump' or (capture_id = 'a/dump' and prefix = '{C3}')")
     ingest.update(spark, tree.absolute(spark, str(root)), files, out, 2)  # the last batch once more
     assert shown(spark, out, "findings") == before
+
+
+def test_a_review_says_what_became_of_every_file(spark, tmp_path):
+    root = tmp_path / "r"
+    put(root, "h", a__iostat="Device aqu-sz %util\nsda 1 2\nsdb x\n", b__iostat="Device aqu-sz %util\nsda 1 2\n", c__iostat="Device aqu-sz %util\n" + "sda 1 2\n" * 99, a__vmstat="no marks\n", a__mysqladmin="+- Variable_name\n", a__hostname="db\n", b__hostname="")
+    said, status = fleet.review(spark, str(root), 400)
+    assert {(r.suffix, r.prefix): r.status for r in status.collect()} == {("iostat", A): "partial", ("iostat", B): "ok", ("iostat", C3): "failed", ("vmstat", A): "unsupported", ("mysqladmin", A): "failed"}
+    assert sorted((r.prefix, r.severity, r.location, r.message) for r in said.collect()) == [(A, "warning", "file", "fell back past 1 newer empty file(s)"), (A, "warning", "file", "unsupported format"), (A, "warning", "line 3", "unreadable device row"), (C3, "error", "file", "larger than 400 bytes")]
