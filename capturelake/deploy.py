@@ -46,7 +46,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="capturelake-")).resolve() / "capturelake.zip"
+    path = Path(tempfile.mkdtemp(prefix="capturelake-")).resolve() / "capturelake_core.zip"  # a name of its own: Spark takes one path for a name
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
