@@ -1,8 +1,10 @@
 import json
+import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from capturelake.llm.chat import levels, link
+from capturelake.llm.chat import OP6_SQL, levels, link, op6_chat_tool_calls
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
@@ -62,3 +64,52 @@ def test_each_repeat_has_its_own_row(spark):
     assert sorted((r.conv_id, r.status, r.call_turn or -1, r.result_turn or -1, json.loads(r.json).get("content", "")) for r in got) == [
         (1, "linked", -1, 1, "A"), (1, "linked", 2, 3, "B"), (1, "open", 4, -1, ""), (2, "orphan", -1, 1, "first"), (2, "orphan", -1, 2, "second"),
     ]
+
+
+def longest(edges: dict) -> dict:
+    """Levels by plain recursion; -1 on or behind a cycle."""
+    out: dict = {}
+    for _ in range(len(edges) + 1):
+        for c, deps in edges.items():
+            real = [d for d in set(deps or []) if d in edges]
+            if c not in out and all(d in out for d in real):
+                out[c] = 1 + max((out[d] for d in real), default=-1)
+    return {c: out.get(c, -1) for c in edges}
+
+
+def test_levels_equal_plain_recursion(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv in range(40):
+        n, late = rng.choice([1, 7, 20]), conv % 4 == 3  # in some conversations calls wait for later ones too
+        edges = {f"c{i}": [f"c{rng.randrange(n if late and rng.random() < 0.1 else max(i, 1))}" for _ in range(rng.choice([0, 1, 1, 2, 3]))] if i else [] for i in range(n)}
+        rows += [(conv, i, f"c{i}", "say", "{}", edges[f"c{i}"]) for i in range(n)]
+        want |= {(conv, c): v for c, v in longest(edges).items()}
+    calls = spark.createDataFrame(rows, CALLS).repartition(3)
+    assert {(r.conv_id, r.call_id): r.level for r in levels(calls, stretch=4).collect()} == want
+
+
+def test_many_calls_that_wait_for_several(spark):
+    rows = [(1, i, f"c{i}", "say", "{}", [f"c{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(1500)]
+    assert {r.call_id: r.level for r in levels(spark.createDataFrame(rows, CALLS)).collect()} == {f"c{i}": i for i in range(1500)}
+
+
+def test_hot_identifiers_link_as_others(spark):
+    calls = [(c, i, "call_0" if i % 3 else f"u{i}", "say", json.dumps({"text": str(i)}), ["u0"]) for c in (1, 2) for i in range(60)] + [(3, None, "call_0", None, None, None)]
+    results = [(c, i + 1, "call_0" if i % 3 else f"u{i}", str(i)) for c in (1, 2) for i in range(0, 50)] + [(4, i % 2, "lost", None) for i in range(30)]
+    c, r = spark.createDataFrame(calls, CALLS).repartition(5), spark.createDataFrame(results, RESULTS).repartition(5)
+    plain, spread = (sorted(map(str, link(c, r, SCHEMAS, one_task=n).collect())) for n in (10_000, 10))
+    assert len(plain) == 151 and plain == spread
+
+
+def test_registered_query_equals_sql(spark, tmp_path):
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(12)] + [(2, t, "user", "x") for t in (0, 2, 6, 12, 3, 7, -1)] + [(3, 0, None, None), (None, 1, "user", None), (4, None, "user", "n"), (4, 0, "system", "s"), (4, None, "assistant", "a"), (4, 3, "assistant", None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op6_chat_tool_calls(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.sql(OP6_SQL)
+    cols = sorted(got.columns)
+    assert sorted(want.columns) == cols
+    assert sorted(str(tuple(r)) for r in got.select(*cols).collect()) == sorted(str(r) for r in db.sql(f"SELECT {','.join(cols)} FROM want").fetchall())
+    assert {r.level for r in got.filter("conv_id = 1").collect()} == {0, 1, 2, 3, 4, 5}
