@@ -2,14 +2,16 @@
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers in the whole text. Tokens that could be
 personal data (they hold a digit or '@') are the nodes of a factor graph: chain edges join neighbouring tokens, skip edges
-join tokens of the same or similar form anywhere in the document, through a hub where they are more than two (so edges grow
-with the tokens, not with their pairs). Loopy sum-product passing over all graphs of a batch gives marginals; tokens that the
+join tokens of the same or similar form anywhere in the document, through a hub (so edges grow with the tokens, not with their
+pairs). What repeats share, their form, speaks once, at the hub of the same form; what stands before each speaks at each. Loopy sum-product passing over all graphs of a batch gives marginals; tokens that the
 patterns left out become spans of their likeliest label where that has a probability of ``MIN_PROBABILITY`` or more (in one of
 a run of neighbours). Secrets (keys, tokens, passwords) are a kind that only the field finds.
 
 Training: node and edge weights together by pseudo-likelihood, on at most ``TRAIN_DOCS`` documents that hold such tokens and
 ``TRAIN_TOKENS`` tokens of whole documents, with the patterns' spans and the values of assignments such as ``token = "..."``
-as labels but without features that copy the patterns. Only token features and labels reach the driver.
+as labels but without features that copy the patterns. Repeats of a labelled token have its label in training: most show
+nothing of it themselves, so it is skip edges that find them. Node weights are learned from all that speaks for a form, edge
+weights by the likelihood of each label given its neighbours'. Only token features and labels reach the driver.
 
 Defined cases: null and empty texts have no spans; equal documents give equal spans; null ids are kept; ties between labels go to
 the first kind; with no token to learn from only the patterns' spans are found; an empty table gives no rows; texts are read
@@ -32,7 +34,8 @@ from capturelake.llm.common import arrow_rows, materialize, release, table, text
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret"]
 TRAIN_DOCS, TRAIN_TOKENS, MIN_PROBABILITY = 4000, 40_000, 0.9
-SAME = 2.5  # what tokens of one form are given for equal labels, before training
+REPEAT = 6  # letters and digits from which on equal tokens are one thing; shorter ones are similar only
+SAME = 8.0  # what tokens of one form are given for equal labels, before training
 ROUNDS, TOLERANCE = 60, 1e-3  # message passing ends when no message changes by more, and in any case after so many rounds
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -79,11 +82,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Graph:
-    """Tokens of one document: spans, features, labels by the patterns (0: none), and edges by kind (0 chain, 1 skip).
+    """Tokens of one document: spans, features, labels by the patterns (0: none), and edges by kind (0 chain, 1 similar form, 2
+    same form).
 
-    Tokens of one form are joined directly if they are two; more are joined to a hub, a node without a span, so that a label
-    is two steps away however many they are. ``learn`` has the labels to train on: those of the patterns, of assignments of
-    secrets, and of a hub that of most of its labelled tokens."""
+    Tokens of one form are joined to a hub, a node without a span, so that a label is two steps away however many they are; two
+    of a similar form are joined directly. ``learn`` has the labels to train on: those of the patterns and of assignments of
+    secrets, and for the hub and all tokens of a form what most of its labelled tokens have."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
         self.spans, self.features, self.labels = [], [], []
@@ -111,22 +115,38 @@ class Graph:
                 at += 1
             if not self.learn[i] and at < len(secrets) and secrets[at][0] < e:
                 self.learn[i] = len(KINDS)
-        forms: dict[str, list[int]] = {}
+        same: dict[str, list[int]] = {}
+        similar: dict[str, list[int]] = {}
         for i, k in enumerate(keys):
-            for form in {k, k[:8] + "|" + str(len(k))}:  # the same, or of one length and beginning
-                forms.setdefault(form, []).append(i)
-        for members in {tuple(x) for x in forms.values() if len(x) > 1}:
+            if len(k) >= REPEAT:
+                same.setdefault(k, []).append(i)
+            else:
+                similar.setdefault(k, []).append(i)
+        for k, members in same.items():
+            first = members[0]
+            if len(members) > 1:
+                first = self._hub(members, 2, [f for f in self.features[first] if not f.startswith("before:")])
+                for i in members:
+                    self.learn[i] = self.learn[first]
+                    self.features[i] = [f for f in self.features[i] if f.startswith("before:") and f != BARE]
+            similar.setdefault(k[:8] + "|" + str(len(k)), []).append(first)  # of one length and beginning
+        for members in similar.values():
             if len(members) == 2:
                 self.edges.append((*members, 1))
-            else:
-                hub = len(self.features)
-                self.features.append(["hub"])
-                self.labels.append(0)
-                own = [y for i in members if (y := self.learn[i])]
-                self.learn.append(max(sorted(set(own)), key=own.count) if own else 0)
-                self.edges += [(i, hub, 1) for i in members]
+            elif len(members) > 2:
+                self._hub(members, 1, [])
         self.edges.sort()
 
+    def _hub(self, members: list[int], kind: int, features: list[str]) -> int:
+        """A node without a span, joined to members."""
+        hub = len(self.features)
+        own = [y for i in members if (y := self.learn[i])]
+        self.features.append(features)
+        self.labels.append(0)
+        self.learn.append(max(sorted(set(own)), key=own.count) if own else 0)
+        self.edges += [(i, hub, kind) for i in members]
+        return hub
+
     def added(self, p: np.ndarray) -> list[tuple[int, int, int, bool]]:
         """Runs of tokens, one character apart, that the patterns left out and that share a likely label."""
         tokens = len(self.spans)
@@ -154,21 +174,28 @@ def shape(token: str, before: str) -> list[str]:
     groups = [len(g) for g in re.findall(r"[0-9]+", token)]
     return [
         "bias", f"d{min(digits, 20)}", f"l{min(letters.bit_length(), 5)}", f"long:{min(len(token) // 8, 6)}", "mixed" if digits >= 4 and letters >= 4 and token.isalnum() else "plain", f"groups:{'.'.join(map(str, groups[:5]))}", f"n{min(len(groups), 5)}",
-        *(f"has{c}" for c in "@.+()-:/" if c in token), "at-dot" if "@" in token and "." in token.split("@", 1)[1] else "no-at-dot", f"before:{before}" if before in CUES else "before:-",
+        *(f"has{c}" for c in "@.+()-:/" if c in token), "at-dot" if "@" in token and "." in token.split("@", 1)[1] else "no-at-dot", f"before:{before}" if before in CUES else BARE,
     ]
 
 
+BARE = "before:-"
 #: Words that announce personal data.
 CUES = frozenset("address api apikey bearer call card cell contact email fax host ip key mail mobile passwd password phone secret server tel telephone token visa write".split())
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 class Field:
     def __init__(self, index: dict[str, int], w: np.ndarray, edge: np.ndarray):
         self.index, self.w, self.edge = index, w, edge  # edge[kind, label, label]: log potentials
 
     @staticmethod
     def fit(features: list[list[str]], labels: list[int], edges: list[tuple[int, int, int]], rounds: int = 200) -> Field:
-        """Node and edge weights together, by the likelihood of each label given its features and its neighbours' labels.
+        """Node weights by the likelihood of a form's label given the features of its hub and all its tokens, edge weights by that
+        of each label given its features and its neighbours' labels.
 
         edges: (node, node, kind)."""
         index: dict[str, int] = {}
@@ -181,25 +208,27 @@ class Field:
         to, by, kind = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]]), np.concatenate([e[:, 2]] * 2)
         # Labels around a node, by edge kind, scaled so that a hub's many tokens count as a few.
         share = 1 / np.sqrt(np.maximum(np.bincount(to, minlength=len(found)), 1))
-        around = np.zeros((2, len(found), n))
+        around = np.zeros((3, len(found), n))
         np.add.at(around, (kind, to), gold[by] * share[to][:, None])
-        prior = np.stack([np.zeros((n, n)), SAME * np.eye(n)])
+        prior = np.stack([np.zeros((n, n)), np.zeros((n, n)), SAME * np.eye(n)])
+        form = np.arange(len(found))  # a token with repeats: its hub
+        form[e[e[:, 2] == 2, 0]] = e[e[:, 2] == 2, 1]
         theta = [np.zeros((len(index), n)), prior.copy()]
         m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
         for step in range(1, rounds + 1):
             w, edge = theta
-            z = np.einsum("kia,kab->ib", around, edge)
-            np.add.at(z, rows, w[cols])
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            own, whole = np.zeros((len(found), n)), np.zeros((len(found), n))
+            np.add.at(own, rows, w[cols])
+            np.add.at(whole, form, own)
+            off = gold - _softmax(whole)
             gw = np.zeros_like(w)
-            np.add.at(gw, cols, (gold - p)[rows])
-            ge = np.einsum("kia,ib->kab", around, gold - p)
+            np.add.at(gw, cols, off[form[rows]])
+            ge = np.einsum("kia,ib->kab", around, gold - _softmax(own + np.einsum("kia,kab->ib", around, edge)))
             grads = [gw / len(found) - 1e-4 * w, (ge + ge.transpose(0, 2, 1)) / 2 / len(found) - 1e-2 * (edge - prior)]
             for i, g in enumerate(grads):
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
                 theta[i] = theta[i] + 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-        return Field(index, theta[0], np.clip(theta[1], -3, 3))
+        return Field(index, theta[0], np.clip(theta[1], -10, 10))
 
     def marginals(self, graphs: list[Graph]) -> np.ndarray:
         """Label probabilities of all tokens of all graphs; labels given by the patterns are held fixed."""
@@ -228,8 +257,7 @@ class Field:
                     break
             belief = phi.copy()
             np.add.at(belief, dst, message)
-        p = np.exp(belief - belief.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return _softmax(belief)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_tokens: int = TRAIN_TOKENS) -> Field | None:
