@@ -3,9 +3,10 @@
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers in the whole text. Tokens that could be
 personal data (they hold a digit or '@') are the nodes of a factor graph: chain edges join neighbouring tokens, skip edges
 join tokens of the same or similar form anywhere in the document, through a hub (so edges grow with the tokens, not with their
-pairs). What repeats share, their form, speaks once, at the hub of the same form; what stands before each speaks at each. Loopy sum-product passing over all graphs of a batch gives marginals; tokens that the
-patterns left out become spans of their likeliest label where that has a probability of ``MIN_PROBABILITY`` or more (in one of
-a run of neighbours). Secrets (keys, tokens, passwords) are a kind that only the field finds.
+pairs). What repeats share, their form, speaks once, at the hub of the same form; what stands before each speaks at each.
+Loopy sum-product passing over all graphs of a batch gives marginals; tokens that the patterns left out become spans of their
+likeliest label where that has a probability of ``MIN_PROBABILITY`` or more (in one of a run of neighbours). Secrets (keys,
+tokens, passwords) are a kind that only the field finds.
 
 Training: node and edge weights together by pseudo-likelihood, on at most ``TRAIN_DOCS`` documents that hold such tokens and
 ``TRAIN_TOKENS`` tokens of whole documents, with the patterns' spans and the values of assignments such as ``token = "..."``

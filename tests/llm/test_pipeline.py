@@ -52,3 +52,28 @@ def test_stages_keep_columns(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def lengths(spark, at, docs, items):
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    total = Counter()
+    for r in corpus_pipeline.run(spark, str(at)).collect():
+        total[r.doc_id] += r.length
+    return dict(total)
+
+
+def test_empty_tables(spark, tmp_path):
+    rows, items = data()
+    assert lengths(spark, tmp_path / "a", spark.createDataFrame([], SCHEMA), items) == {}
+    assert len(lengths(spark, tmp_path / "b", spark.createDataFrame(rows[:30], SCHEMA), [])) > 20
+
+
+def test_repeats_and_clashing_columns(spark, tmp_path):
+    """Rows that repeat an id leave one; columns with names that the stages use themselves change nothing."""
+    rows, items = data()
+    docs = spark.createDataFrame(rows[:40], SCHEMA)
+    plain = lengths(spark, tmp_path / "a", docs, items)
+    odd = docs.selectExpr("*", "7 AS id", "'x' AS spans", "-1 AS root", "'h' AS host", "0.5D AS score", "'l' AS line", "3 AS token", "1 AS n")
+    assert lengths(spark, tmp_path / "b", odd, items) == plain
+    assert lengths(spark, tmp_path / "c", docs.union(docs.filter("doc_id = 3")), items).keys() == plain.keys()
