@@ -8,7 +8,7 @@ Loopy sum-product passing over all graphs of a batch gives marginals; tokens tha
 likeliest label where that has a probability of ``MIN_PROBABILITY`` or more (in one of a run of neighbours). Secrets (keys,
 tokens, passwords) are a kind that only the field finds.
 
-Training: node and edge weights together by pseudo-likelihood, on at most ``TRAIN_DOCS`` documents that hold such tokens and
+Training: node weights by likelihood, edge weights by pseudo-likelihood, on at most ``TRAIN_DOCS`` documents that hold such tokens and
 ``TRAIN_TOKENS`` tokens of whole documents, with the patterns' spans and the values of assignments such as ``token = "..."``
 as labels but without features that copy the patterns. Repeats of a labelled token have its label in training: most show
 nothing of it themselves, so it is skip edges that find them. Node weights are learned from all that speaks for a form, edge
