@@ -25,7 +25,7 @@ from capturelake.sources.tree import arrow_knows, opened
 HEAD, RANGE, AHEAD, OUT, TASK = 8192, 8 << 20, 1 << 20, 2 << 20, 64 << 20
 LOOK = 128  # bytes within which a head shows after the end of a range
 
-#: Collector -> how a sample's first line begins. All others are read as one block of all lines.
+#: Collector -> how a sample's first line begins. All others are read as blocks of whole lines, of OUT bytes or one line more.
 HEADS = {"iostat": rb"\nDevice", "top": rb"\ntop - \d\d:\d\d:\d\d", "mysqladmin": rb"\n\|[ \t]*Variable_name", "processlist": rb"\nTS \d+(?:\.\d+)? ", "netstat_s": rb"\nTS \S+ "}
 
 SCHEMA = "capture_id string, prefix string, path string, part int, sample long, n long, text string"
@@ -116,6 +116,28 @@ def _blocks(parts: Parts, begin: int, end: int, head: re.Pattern | None, lines:
             got += len(more)
 
 
+def _pieces(parts: Parts, begin: int, end: int, lines: int, out: int) -> Iterator[tuple[int, int, bytes]]:
+    """As _blocks, of a file without heads: the lines that begin in a range, some at a time; all are sample 0."""
+    data, at, got = bytearray(parts.read(begin, end - begin)), 0, end
+    if begin and parts.read(begin - 1, 1) != b"\n":  # the first line is that of the range before
+        at = data.find(b"\n") + 1
+        if not at:
+            return
+        lines += 1
+    while data and not data.endswith(b"\n") and got < parts.size:  # on to the end of the last line
+        more = parts.read(got, AHEAD)
+        stop = more.find(b"\n") + 1
+        data += more[:stop] if stop else more
+        got += len(more)
+        if stop or not more:
+            break
+    while at < len(data):
+        stop = data.find(b"\n", min(at + out, len(data)) - 1) + 1 or len(data)
+        yield 0, lines + 1, bytes(data[at:stop])
+        lines += data.count(b"\n", at, stop)
+        at = stop
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines and heads of a range."""
     for batch in batches:
@@ -153,7 +175,7 @@ def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
     return one.unionByName(many.join(sums, ["path", "part"]))
 
 
-def _reader(limit: int, gate: bool):
+def _reader(limit: int, gate: bool, out_bytes: int = OUT):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["capture_id", "prefix", "path", "part", "sample", "n", "text"]
         types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
@@ -165,7 +187,8 @@ def _reader(limit: int, gate: bool):
                 head = re.compile(HEADS[row["suffix"]]) if row["suffix"] in HEADS else None
                 fine = parts.size <= limit and (not gate or supported(parts.read(0, HEAD), row["suffix"]))
                 end = min(row["end"], parts.size)
-                for sample, n, text in _blocks(parts, row["begin"], end, head, row["lines"], row["heads"]) if fine and end > row["begin"] else ():
+                whole = _blocks(parts, row["begin"], end, head, row["lines"], row["heads"]) if head else _pieces(parts, row["begin"], end, row["lines"], out_bytes)
+                for sample, n, text in whole if fine and end > row["begin"] else ():
                     for column, value in zip(out, (row["capture_id"], row["prefix"], row["path"], row["part"], sample, n, text.decode("utf-8", "replace"))):
                         column.append(value)
                     held += len(text)

@@ -86,11 +86,11 @@ def blocks(spark: SparkSession, root: str, suffix: str, limit: int = SIZE_LIMIT,
 
 
 def as_lines(blocks: DataFrame) -> DataFrame:
-    """capture_id, prefix, start, path, n, line of blocks; lines pass as they are."""
+    """capture_id, prefix, start, path, piece (the block's first line), n, line of blocks; lines pass as they are."""
     if "text" not in blocks.columns:
-        return blocks
+        return blocks if "piece" in blocks.columns else blocks.withColumn("piece", F.lit(1).cast("long"))
     rows = blocks.select("capture_id", "prefix", "start", "path", F.col("n").alias("first"), F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("i", "line"))
-    return rows.select("capture_id", "prefix", "start", "path", (F.col("first") + F.col("i")).alias("n"), F.rtrim("line", F.lit(" \r")).alias("line"))
+    return rows.select("capture_id", "prefix", "start", "path", F.col("first").alias("piece"), (F.col("first") + F.col("i")).alias("n"), F.rtrim("line", F.lit(" \r")).alias("line"))
 
 
 def lines(spark: SparkSession, root: str, suffix: str, limit: int = SIZE_LIMIT, gate: bool = False, files: DataFrame | None = None) -> DataFrame:

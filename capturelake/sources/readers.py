@@ -26,6 +26,14 @@ def _so_far() -> Window:
     return Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _next(lines: DataFrame) -> DataFrame:
+    """lines with next: the line after each, among those given. It is looked up in a line's piece, and at a piece's end in the next one that has any."""
+    first = lines.groupBy("path", "piece").agg(F.min_by("line", "n").alias("first"))
+    after = first.select("path", "piece", F.lead("first").over(Window.partitionBy("path").orderBy("piece")).alias("after"))
+    here = lines.withColumn("next", F.lead("line").over(Window.partitionBy("path", "piece").orderBy("n")))
+    return here.join(after, ["path", "piece"]).withColumn("next", F.coalesce("next", "after")).drop("after")
+
+
 def _blocks(lines: DataFrame, header: Column, name: str = "block") -> DataFrame:
     """Number of the block a line is in: 0 before the first header."""
     return lines.withColumn(name, F.sum(F.when(header, 1).otherwise(0)).over(_so_far()))
@@ -334,17 +342,17 @@ def read_variables(lines: DataFrame) -> DataFrame:
 def read_engine(lines: DataFrame) -> DataFrame:
     """Pool instances are summed; of the sync line and the hash table size the last counts."""
     lines = as_lines(lines)
-    one = lambda p, i=1: F.regexp_extract("line", p, i).try_cast("double")
-    writes = r"^Pending writes: LRU (\d+), flush list (\d+), single page (\d+)"
-    fsync = r"^Pending flushes \(fsync\) log: (\d+); buffer pool: (\d+)"
-    hashes = r"^([\d.]+) hash searches/s, ([\d.]+) non-hash searches/s"
+    said = lambda mark, p, i=1: F.when(F.col("line").startswith(mark), F.regexp_extract("line", p, i)).try_cast("double")
+    writes = lambda i: said("Pending writes: LRU ", r"^Pending writes: LRU (\d+), flush list (\d+), single page (\d+)", i)
+    fsync = lambda i: said("Pending flushes (fsync) log: ", r"^Pending flushes \(fsync\) log: (\d+); buffer pool: (\d+)", i)
+    hashes = lambda i: F.when(F.col("line").contains(" hash searches/s, "), F.regexp_extract("line", r"^([\d.]+) hash searches/s, ([\d.]+) non-hash searches/s", i)).try_cast("double")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     last = lambda c: F.coalesce(F.max_by(c, F.when(c.isNotNull(), F.col("n"))), F.lit(0.0))
     return lines.groupBy("capture_id", "prefix", F.col("start").alias("snapshot_ts")).agg(
-        F.count_if(F.col("line").rlike(r"^--Thread .* has waited at ")).cast("double").alias("semaphore_count"), total(one(r"^Pending reads\s+(\d+)")).alias("pending_reads"),
-        (total(one(writes)) + total(one(writes, 2)) + total(one(writes, 3))).alias("pending_writes"), total(one(writes)).alias("pending_writes_lru"), total(one(writes, 2)).alias("pending_writes_flush_list"), total(one(writes, 3)).alias("pending_writes_single_page"),
-        last(one(fsync)).alias("pending_fsync_log"), last(one(fsync, 2)).alias("pending_fsync_bp"), total(one(r"^Modified db pages\s+(\d+)")).alias("modified_pages"), last(one(r"^Hash table size (\d+)")).alias("hash_table_size"),
-        last(one(hashes)).alias("hash_per_s"), last(one(hashes, 2)).alias("nonhash_per_s"), last(one(r"^History list length (\d+)")).alias("history_list"),
+        F.count_if(F.col("line").startswith("--Thread ") & F.col("line").rlike(r"^--Thread .* has waited at ")).cast("double").alias("semaphore_count"), total(said("Pending reads", r"^Pending reads\s+(\d+)")).alias("pending_reads"),
+        (total(writes(1)) + total(writes(2)) + total(writes(3))).alias("pending_writes"), total(writes(1)).alias("pending_writes_lru"), total(writes(2)).alias("pending_writes_flush_list"), total(writes(3)).alias("pending_writes_single_page"),
+        last(fsync(1)).alias("pending_fsync_log"), last(fsync(2)).alias("pending_fsync_bp"), total(said("Modified db pages", r"^Modified db pages\s+(\d+)")).alias("modified_pages"), last(said("Hash table size ", r"^Hash table size (\d+)")).alias("hash_table_size"),
+        last(hashes(1)).alias("hash_per_s"), last(hashes(2)).alias("nonhash_per_s"), last(said("History list length ", r"^History list length (\d+)")).alias("history_list"),
     )
 
 
@@ -352,8 +360,7 @@ def read_latch_waits(lines: DataFrame) -> DataFrame:
     """Waits by file, line and the mutex that the next line names."""
     lines = as_lines(lines)
     wait, mutex = r"^--Thread \S+ has waited at (\S+) line (\d+)", r"^Mutex at \S+, (?:Mutex )?(\S+)"
-    named = F.lead("line").over(Window.partitionBy("path").orderBy("n"))
-    rows = lines.filter(F.trim("line") != "").withColumn("next", named).filter(F.col("line").rlike(wait))
+    rows = _next(lines.filter(F.trim("line") != "")).filter(F.col("line").startswith("--Thread ") & F.col("line").rlike(wait))
     return rows.groupBy("capture_id", "prefix", F.regexp_extract("line", wait, 1).alias("file"), F.regexp_extract("line", wait, 2).cast("int").alias("line"), F.regexp_extract(F.coalesce("next", F.lit("")), mutex, 1).alias("mutex")).agg(F.count("*").alias("wait_count"))
 
 

@@ -203,3 +203,27 @@ def test_latch_query_of_more_orders_than_a_file_holds(spark, tmp_path, monkeypat
         at = (f"c{k * 7 % 40 % 4}", k % 3, f"f{k % 3}.cc", k % 4, "" if k % 2 else f"M{k % 5}")
         want[at] = want.get(at, 0) + 1
     assert {(r.capture_id, r.week, r.file, r.line, r.mutex): r.wait_count for r in got} == want
+
+
+def test_files_without_heads_are_read_by_pieces(spark, tmp_path, monkeypatch):
+    """Ranges and pieces of a few bytes give the rows that whole files give, and no piece is a whole file."""
+    from capturelake.sources import blocks as B
+
+    wait = "--Thread 1 has waited at a.cc line 5 for 0 seconds\n"
+    stamp = lambda n: f"TS 177679030{n} x\n"
+    root = capture(
+        tmp_path, innodbstatus1=wait + "\n\nMutex at 0x1, Mutex REDO created\n" + wait * 2 + "Mutex at 0x1, Mutex é created\nPending reads 3\n" + wait, variables="x\n\nVariable_name\tValue\na\t1\nlong\t" + "v" * 90 + "\na\t2\nb\t3\n\nc\t4\nVariable_name\tValue\nd\t5",
+        vmstat=" 9 9\n r  b  free\n 1 2 3\n 4 5 6\n r  b  buff\n 7 8 9\n", meminfo="".join(stamp(i) + f"MemFree: {i} kB\nSwapTotal: 9 kB\nSwapFree: 1 kB\n" for i in range(4)), netstat=stamp(1) + "ESTAB 0 0 a b\n\n" + stamp(2) + "UNCONN 0 0 a b\nESTAB 1 0 a b\n",
+        df=stamp(1) + "/dev/old 9 9 9 9% /old\n" + stamp(2) + "/dev/mapper/long\n 100 50 50 50% /data\n/dev/x 10 9 1 90% /\n", procstat=stamp(1) + "cpu0 1\ncpu1 1\nbtime 5\n" + stamp(2) + "cpu0 1\nbtime 6\n",
+    )
+    of = {"innodbstatus1": [R.read_engine, R.read_latch_waits, R.read_engine_rejects], "variables": [R.read_variables, R.read_variables_rejects], "vmstat": [R.read_host, R.read_host_rejects], "meminfo": [R.read_memory, R.read_memory_rejects], "netstat": [R.read_sockets, R.read_sockets_rejects], "df": [R.read_filesystems], "procstat": [R.read_cpu_boot]}
+    whole = {(c, i): sorted(map(str, rows(spark, root, c, f))) for c, fs in of.items() for i, f in enumerate(fs)}
+    assert {r.mutex: r.wait_count for r in rows(spark, root, "innodbstatus1", R.read_latch_waits)} == {"REDO": 1, "é": 1, "": 2}
+    assert sorted((r.name, r.value[:1]) for r in rows(spark, root, "variables", R.read_variables)) == [("a", "1"), ("b", "3"), ("long", "v")]
+    run = B._reader
+    monkeypatch.setattr(B, "_reader", lambda limit, gate: run(limit, gate, 8))
+    for collector, fs in of.items():
+        pieces = S.blocks(spark, root, collector, size=24)
+        assert pieces.count() > 3
+        for i, f in enumerate(fs):
+            assert sorted(map(str, f(pieces).collect())) == whole[collector, i], (collector, i)
