@@ -133,3 +133,11 @@ def test_sql_names_are_registered():
     names = catalog.queries()
     assert set(catalog.oracle_sql()) <= set(names) and len(names) > 130
     assert all(re.fullmatch(r"[a-z][a-z0-9_]*", n) for n in names)
+
+
+def test_a_default_is_looked_up_for_each_row_without_multiplying_it(spark):
+    seen = spark.createDataFrame([(1, "8.0.3", "X", "1"), (1, "5.7.1-log", "x", "0"), (2, "5.6.1", "x", "0"), (3, "9.1", "x", "b, A"), (4, "8.0", "y", "1"), (5, None, "x", "1")], "capture_id long, version string, name string, value string")
+    known = spark.createDataFrame([("x", "5.7", "0"), ("X", "8.0", "1"), ("x", "8.10", "a,b"), ("y", "8.0", None)], "name string, version string, default_value string")
+    got = V.classify_variable(seen, known)
+    assert sorted((r.capture_id, r.name, r.status) for r in got.collect()) == [(1, "X", "default"), (1, "x", "default"), (2, "x", "unknown"), (3, "x", "default"), (4, "y", "modified"), (5, "x", "unknown")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
