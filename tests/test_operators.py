@@ -141,3 +141,12 @@ def test_a_default_is_looked_up_for_each_row_without_multiplying_it(spark):
     got = V.classify_variable(seen, known)
     assert sorted((r.capture_id, r.name, r.status) for r in got.collect()) == [(1, "X", "default"), (1, "x", "default"), (2, "x", "unknown"), (3, "x", "default"), (4, "y", "modified"), (5, "x", "unknown")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_status_of_variables_joins_once(spark, tmp_path):
+    from capturelake.queries import variables as Q
+
+    spark.createDataFrame([(k, f"Brand#{k % 2 + 1}{k % 5 + 1}", k % 50 + 1) for k in range(300)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    every, some = Q.classify_variable(spark, str(tmp_path)), Q.variable_status(spark, str(tmp_path))
+    assert every.count() == 300 and sorted(map(str, some.collect())) == sorted(str(r) for r in every.collect() if r.status == "modified")
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
