@@ -132,10 +132,12 @@ def sidecar_diagnostics(latest: DataFrame) -> DataFrame:
     return latest.filter("newer_empty > 0").select("capture_id", "prefix", "path", F.lit("file").alias("location"), F.lit("warning").alias("severity"), text.alias("message"))
 
 
-def land(rows: DataFrame, root: str) -> None:
-    """Write text files; rows have capture, prefix, suffix, ord and line. Each file is written by one task, in order.
+def land(rows: DataFrame, root: str, cut: bool = False) -> None:
+    """Write text files; rows have capture, prefix, suffix, ord and line. Each file is written by one task, in order; with cut, by as
+    many as its rows call for: ranges of the order are its parts, whose names are in order too, and it is read as one file.
 
     A capture that is the same constant in all rows would drop out of the order, and the writer would sort anew."""
     named = rows.select(F.concat("capture", F.substring("prefix", 1, 0)).alias("capture"), F.concat("prefix", F.lit("-"), "suffix").alias("file"), "ord", "line")
-    dealt = named.repartition("capture", "file").sortWithinPartitions("capture", "file", "ord")
+    dealt = named.repartitionByRange("capture", "file", "ord") if cut else named.repartition("capture", "file")
+    dealt = dealt.sortWithinPartitions("capture", "file", "ord")
     dealt.select("capture", "file", F.col("line").alias("value")).write.mode("append").partitionBy("capture", "file").text(root)

@@ -210,7 +210,8 @@ def read_memory_rejects(lines: DataFrame) -> DataFrame:
 
 def read_variables_rejects(lines: DataFrame) -> DataFrame:
     """Repeated names of S11."""
-    return diagnostics(_variable_rows(lines).filter("k > 1"), F.concat(F.lit("duplicate "), F.col("name"), F.lit("; first value kept")))
+    kept, first = _variable_rows(lines)
+    return diagnostics(kept.join(first, ["path", "n"], "left_anti"), F.concat(F.lit("duplicate "), F.col("name"), F.lit("; first value kept")))
 
 
 SECTIONS = ["BACKGROUND THREAD", "SEMAPHORES", "TRANSACTIONS", "FILE I/O", "INSERT BUFFER AND ADAPTIVE HASH INDEX", "LOG", "BUFFER POOL AND MEMORY", "ROW OPERATIONS"]
@@ -322,21 +323,24 @@ def read_memory(lines: DataFrame) -> DataFrame:
     return good.select("capture_id", "prefix", "ts", *MEMORY.values(), F.greatest(F.col("swap_total") - F.col("swap_free"), F.lit(0.0)).alias("swap_used"))
 
 
-def _variable_rows(lines: DataFrame) -> DataFrame:
+def _variable_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a file's first listing, which goes from its head to the next one or to what is no row, and the first place of each
+    name. Both are found by aggregates: no window goes over a file's lines, and only a few rows a file are joined to them."""
     lines = as_lines(lines)
-    cells = F.split("line", "\t")
-    row = F.size(cells) == 2
-    head = F.col("line").startswith("Variable_name\t")
-    opened = _blocks(lines, head).filter("block = 1").filter(~head)
-    stop = (~row) | F.col("line").startswith("THREAD_ID\t") | F.col("line").startswith("SHOW ")
-    kept = opened.withColumn("stopped", F.max(F.when(stop, 1).otherwise(0)).over(_so_far())).filter("stopped = 0")
-    first = F.row_number().over(Window.partitionBy("path", "name").orderBy("n"))
-    return kept.select(*KEY, "n", cells[0].alias("name"), cells[1].alias("value")).withColumn("k", first)
+    cells, head = F.split("line", "\t"), F.col("line").startswith("Variable_name\t")
+    stop = head | (F.size(cells) != 2) | F.col("line").startswith("THREAD_ID\t") | F.col("line").startswith("SHOW ")
+    every = written(lines.select(*KEY, "n", head.alias("head"), stop.alias("stop"), F.when(~stop, cells[0]).alias("name"), F.when(~stop, cells[1]).alias("value")))
+    begin = every.filter("head").groupBy("path").agg(F.min("n").alias("begin"))
+    opened = every.join(begin, "path").filter("n > begin")
+    end = opened.filter("stop").groupBy("path").agg(F.min("n").alias("end"))
+    kept = opened.join(end, "path", "left").filter("end is null or n < end").select(*KEY, "n", "name", "value")
+    return kept, kept.groupBy("path", "name").agg(F.min("n").alias("n")).select("path", "n")
 
 
 def read_variables(lines: DataFrame) -> DataFrame:
     """The first listing only; the first of equal names."""
-    return _variable_rows(lines).filter("k = 1").select("capture_id", "prefix", F.col("start").alias("snapshot_ts"), "name", "value")
+    kept, first = _variable_rows(lines)
+    return kept.join(first, ["path", "n"], "left_semi").select("capture_id", "prefix", F.col("start").alias("snapshot_ts"), "name", "value")
 
 
 def read_engine(lines: DataFrame) -> DataFrame:

@@ -227,3 +227,23 @@ def test_files_without_heads_are_read_by_pieces(spark, tmp_path, monkeypatch):
         assert pieces.count() > 3
         for i, f in enumerate(fs):
             assert sorted(map(str, f(pieces).collect())) == whole[collector, i], (collector, i)
+
+
+def test_variables_have_no_window_over_a_file(spark, tmp_path):
+    root = capture(tmp_path, variables="Variable_name\tValue\nb\t1\na\t1\na\t2\nb\t3\nSHOW x\nc\t4\n")
+    pieces = S.blocks(spark, root, "variables", size=16)
+    got, said = R.read_variables(pieces), R.read_variables_rejects(pieces)
+    assert sorted((r.name, r.value) for r in got.collect()) == [("a", "1"), ("b", "1")]
+    assert sorted((r.location, r.message) for r in said.collect()) == [("line 4", "duplicate a; first value kept"), ("line 5", "duplicate b; first value kept")]
+    assert not any("Window" in x._jdf.queryExecution().optimizedPlan().toString() for x in (got, said))
+
+
+def test_a_file_written_by_several_tasks_is_read_as_one(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select(F.lit("c").alias("capture"), F.lit(A).alias("prefix"), F.lit("variables").alias("suffix"), (3999 - F.col("id")).alias("ord"), F.concat(F.lit("v"), (3999 - F.col("id")).cast("string")).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        S.land(rows, f"{tmp_path}/root", cut=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert S.scan_files(spark, f"{tmp_path}/root").count() > 1
+    assert [r.line for r in S.lines(spark, f"{tmp_path}/root", "variables").orderBy("n").collect()] == [f"v{i}" for i in range(4000)]
