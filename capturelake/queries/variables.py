@@ -61,10 +61,10 @@ SELECT o.capture_id, o.name, CASE WHEN best IS NULL THEN 'unknown' WHEN lower(va
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part is a server: its size gives the version, its brand is a variable."""
+    """A part is a server: its key and size give the version (none without a key), its brand is a variable."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     minor = (F.col("p_size") % 12).cast("string")
-    observed = part.select(F.col("p_partkey").alias("capture_id"), F.concat_ws(".", (F.col("p_partkey") % 6 + 5).cast("string"), minor, F.lit("3-log")).alias("version"), F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "b, A").otherwise((F.col("p_size") % 3).cast("string")).alias("value"))
+    observed = part.select(F.col("p_partkey").alias("capture_id"), F.concat((F.col("p_partkey") % 6 + 5).cast("string"), F.lit("."), minor, F.lit(".3-log")).alias("version"), F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "b, A").otherwise((F.col("p_size") % 3).cast("string")).alias("value"))
     defaults = part.filter("right(p_brand, 1) <> '1'").select(F.col("p_brand").alias("name"), F.concat_ws(".", (F.col("p_size") % 5 + 5).cast("string"), minor).alias("version"), F.when(F.col("p_size") % 2 == 0, "a,b").otherwise((F.col("p_size") % 3).cast("string")).alias("default_value")).distinct()
     return V.classify_variable(observed, defaults)
 

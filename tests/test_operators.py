@@ -150,3 +150,12 @@ def test_status_of_variables_joins_once(spark, tmp_path):
     every, some = Q.classify_variable(spark, str(tmp_path)), Q.variable_status(spark, str(tmp_path))
     assert every.count() == 300 and sorted(map(str, some.collect())) == sorted(str(r) for r in every.collect() if r.status == "modified")
     assert some._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_a_part_without_key_has_no_version_and_no_status_but_unknown(spark, tmp_path):
+    from capturelake.queries import variables as Q
+
+    spark.createDataFrame([(None, "Brand#12", 10), (None, "Brand#12", 10), (5, "Brand#12", 10), (6, "Brand#12", 10), (5, None, 10)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    every, some = Q.classify_variable(spark, str(tmp_path)), Q.variable_status(spark, str(tmp_path))
+    want = [(5, "Brand#12", "modified"), (5, None, "unknown"), (6, "Brand#12", "default"), (None, "Brand#12", "unknown"), (None, "Brand#12", "unknown")]
+    assert sorted(map(tuple, every.collect()), key=str) == sorted(want, key=str) and [tuple(r) for r in some.collect()] == want[:1]
