@@ -325,16 +325,17 @@ def read_memory(lines: DataFrame) -> DataFrame:
 
 def _variable_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of a file's first listing, which goes from its head to the next one or to what is no row, and the first place of each
-    name. Both are found by aggregates: no window goes over a file's lines, and only a few rows a file are joined to them."""
+    name. Both are found by aggregates: no window goes over a file's lines, and only a few rows a file are joined to them. These are
+    written, so their size is known, and while they are few, no line is moved: one file may hold most of the lines."""
     lines = as_lines(lines)
     cells, head = F.split("line", "\t"), F.col("line").startswith("Variable_name\t")
     stop = head | (F.size(cells) != 2) | F.col("line").startswith("THREAD_ID\t") | F.col("line").startswith("SHOW ")
     every = written(lines.select(*KEY, "n", head.alias("head"), stop.alias("stop"), F.when(~stop, cells[0]).alias("name"), F.when(~stop, cells[1]).alias("value")))
     begin = every.filter("head").groupBy("path").agg(F.min("n").alias("begin"))
-    opened = every.join(begin, "path").filter("n > begin")
-    end = opened.filter("stop").groupBy("path").agg(F.min("n").alias("end"))
-    kept = opened.join(end, "path", "left").filter("end is null or n < end").select(*KEY, "n", "name", "value")
-    return kept, kept.groupBy("path", "name").agg(F.min("n").alias("n")).select("path", "n")
+    end = every.filter("stop").join(begin, "path").filter("n > begin").groupBy("path").agg(F.min("n").alias("end"))
+    listing = written(begin.join(end, "path", "left"))
+    kept = every.join(listing, "path").filter("n > begin and (end is null or n < end)").select(*KEY, "n", "name", "value")
+    return kept, written(kept.groupBy("path", "name").agg(F.min("n").alias("n")).select("path", "n"))
 
 
 def read_variables(lines: DataFrame) -> DataFrame:

@@ -257,3 +257,43 @@ def test_batches_of_the_stream_read_events_once(spark, tmp_path):
     _, batches = Q._batches(spark, str(tmp_path))
     assert sum(b.count() for b in batches) == 60 * 3
     assert not any("events.parquet" in f for b in batches for f in b.inputFiles())
+
+
+def orders_and_sql(spark, tmp_path, rows):
+    """A folder with a table of orders (key, customer, status, priority), and what the SQL of read_variables makes of it."""
+    import duckdb
+
+    from capturelake.catalog import oracle_sql
+
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    return str(tmp_path), sorted(db.sql(oracle_sql()["read_variables"]).fetchall(), key=str)
+
+
+def test_variables_of_files_above_the_limit_of_captures_are_read(spark, tmp_path, monkeypatch):
+    from capturelake.queries import readers as Q
+
+    sf_dir, want = orders_and_sql(spark, tmp_path, [(i, i % 8, "OFP"[i % 7 % 3], f"{i % 5}-P") for i in range(600)])
+    monkeypatch.setattr(S.blocks, "__defaults__", (100, *S.blocks.__defaults__[1:]))
+    assert len(want) == 60 and sorted(map(tuple, Q.read_variables(spark, sf_dir).collect()), key=str) == want
+
+
+def test_no_row_of_variables_ends_the_listing_or_gets_lost(spark, tmp_path):
+    from capturelake.queries import readers as Q
+
+    odd = [None, "", "a\tb", "a\nb", "a\r", "tail ", " x", "Variable_name", "THREAD_ID", "SHOW x", "\\N", "%", "%09", "+", "é", "\t", "\n"]
+    rows = [(i, i % 8, "OFP"[i % 3], f"{i % 5}-P") for i in range(120)]
+    rows += [(-12 - i, i % 4, f"v{i}", x) for i, x in enumerate(odd)] + [(-112 - i, i % 4, x, f"n{i}") for i, x in enumerate(odd)]
+    rows += [(200 + i % 3, None, "F", f"{i}-P") for i in range(6)] + [(None, i % 4, "O", f"{i}-P") for i in range(6)] + [(None, None, "P", "x")]
+    rows += [(1, 1, x, "tie") for x in ("b", "a", None)] + [(None, 1, x, "tie") for x in (None, "b")] + [(2, 1, None, "none")]
+    sf_dir, want = orders_and_sql(spark, tmp_path, rows)
+    assert sorted(map(tuple, Q.read_variables(spark, sf_dir).collect()), key=str) == want
+
+
+def test_lines_of_variables_are_not_moved(spark, tmp_path):
+    root = capture(tmp_path, variables=["Variable_name\tValue\nb\t1\na\t1\na\t2\nTHREAD_ID\tN\tV\nc\t4\n", "Variable_name\tValue\na\t3\n"])
+    pieces = S.blocks(spark, root, "variables", size=16)
+    got, said = R.read_variables(pieces), R.read_variables_rejects(pieces)
+    assert sorted((r.prefix, r.name, r.value) for r in got.collect()) == [(A, "a", "1"), (A, "b", "1"), (B, "a", "3")]
+    assert not any(mark in x._jdf.queryExecution().executedPlan().toString() for x in (got, said) for mark in ("SortMergeJoin", "hashpartitioning"))
